@@ -31,5 +31,38 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {"op3_bpe": op3_bpe, "op4_token_counts": op4_token_counts}
-ORACLES: dict[str, str] = {}
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.warc import archived
+
+    return archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.pii import pseudonymised
+
+    return pseudonymised(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_pii", F.array_join("pii_kinds", ",").alias("pii_kinds"))
+
+
+QUERIES = {"op3_bpe": op3_bpe, "op4_token_counts": op4_token_counts, "op5_mixing": op5_mixing, "op7_warc": op7_warc, "op10_pii": op10_pii}
+
+ORACLES: dict[str, str] = {
+    "op7_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS body FROM pages
+        ), d AS (
+            SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest FROM p
+        ), f AS (
+            SELECT payload_digest, min(page_id) AS first_page FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest
+        )
+        SELECT d.page_id, d.payload_bytes, d.payload_digest,
+               CASE WHEN f.first_page < d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN f.first_page < d.page_id THEN f.first_page END AS refers_to
+        FROM d LEFT JOIN f USING (payload_digest)
+    """,
+}
