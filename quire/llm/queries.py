@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import table
+from quire.llm.common import fold, table
 
 #: File name of the public vocabulary that the queries use; its folder is found by the installed package.
 VOCABULARY = "word_bpe_49k.json"
 
 
+#: The public vocabulary whose pieces the language models give probabilities to.
+PIECES = "piece_bpe_32k.model"
+
+
 def vocabulary(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
@@ -37,19 +41,34 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.quality import labelled_sample, score_quality
+
+    docs, part = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5)
+    known = labelled_sample(docs, table(spark, sf_dir, "labels").filter(part != 0), "quality")
+    return score_quality(docs, known).select("doc_id", (part == 0).alias("held_out"), "score", "predicted")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.warc import archived
 
     return archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.langid import identify
+
+    docs, part = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4)
+    return identify(docs, docs.filter(part != 2), vocabulary(PIECES)).select("doc_id", (part == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.pii import pseudonymised
 
     return pseudonymised(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_pii", F.array_join("pii_kinds", ",").alias("pii_kinds"))
 
 
-QUERIES = {"op3_bpe": op3_bpe, "op4_token_counts": op4_token_counts, "op5_mixing": op5_mixing, "op7_warc": op7_warc, "op10_pii": op10_pii}
+QUERIES = {"op3_bpe": op3_bpe, "op4_token_counts": op4_token_counts, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op7_warc": op7_warc, "op9_langid": op9_langid, "op10_pii": op10_pii}
 
 ORACLES: dict[str, str] = {
     "op7_warc": """
