@@ -21,6 +21,12 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.bpe import encode_documents
 
@@ -55,6 +61,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.ann import neighbours
+
+    return neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.langid import identify
 
@@ -68,9 +80,22 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymised(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_pii", F.array_join("pii_kinds", ",").alias("pii_kinds"))
 
 
-QUERIES = {"op3_bpe": op3_bpe, "op4_token_counts": op4_token_counts, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op7_warc": op7_warc, "op9_langid": op9_langid, "op10_pii": op10_pii}
+QUERIES = {"op1_topk": op1_topk, "op3_bpe": op3_bpe, "op4_token_counts": op4_token_counts, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_ann": op8_ann, "op9_langid": op9_langid, "op10_pii": op10_pii}
 
 ORACLES: dict[str, str] = {
+    "op1_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+        ), r AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+    """,
     "op7_warc": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS body FROM pages
