@@ -4,9 +4,9 @@ Ordinary texts are encoded whole. A text longer than ``chunk_chars`` is encoded
 chunks with offsets, so that memory stays bounded by the chunk and not by the document. Two
 neighbouring chunks are spliced at a boundary inside their overlap that is
 
-* proven stable: white space on its left and an ASCII letter or digit on its right. Every public
-  vocabulary served here cuts pieces at white space first, so nothing to the right of such a
-  place can change the pieces to its left, nor the other way round;
+* proven stable: a single space or line end between two ASCII letters or digits. Every public
+  vocabulary served here cuts pieces there before it merges (white space is dropped, or goes to
+  the piece on its right), so what is on one side can't change the pieces on the other;
 * common: both encodings start a token there, and from there to the last stable boundary of the
   overlap they agree token for token.
 
@@ -16,7 +16,9 @@ the chunk reaches the end of the text, where it is exact by itself.
 
 from __future__ import annotations
 
+import json
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -28,7 +30,7 @@ CHUNK_CHARS = 1 << 16
 #: Characters that neighbouring chunks share at first.
 OVERLAP_CHARS = 1 << 9
 
-_STABLE = re.compile(r"(?<=[ \t\n])[A-Za-z0-9]")
+_STABLE = re.compile(r"(?<=[A-Za-z0-9])[ \n](?=[A-Za-z0-9])")
 
 #: One encoding: token ids and, for each, the character offset at which it starts.
 Encoded = tuple[list[int], list[int]]
@@ -49,46 +51,82 @@ def json_encoder(path: str) -> Callable[[str], Encoded]:
     return encode
 
 
-def count_json(path: str, texts: list[str]) -> list[int]:
-    """Token counts of whole texts, through the library's batch call (no offsets)."""
-    from tokenizers import Tokenizer
+class JsonCounter:
+    """Token counts of texts by the tokenizers library.
+
+    Where the vocabulary's first step cuts at white space and drops it, white space is a stable
+    boundary on both sides: a text's count is the sum of its words' counts, and a word met before
+    is not encoded again. Other vocabularies get the whole text.
+    """
+
+    def __init__(self, path: str, memo: int = 400_000):
+        from tokenizers import Tokenizer
+
+        self._tok = Tokenizer.from_file(path)
+        self._tok.no_truncation()
+        self._tok.no_padding()
+        self._limit, self._memo = memo, {}
+        with open(path, encoding="utf-8") as f:
+            self.by_words = _drops_white_space(json.load(f))
+
+    def _encode(self, texts: list[str]) -> list[int]:
+        return [len(e) for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    tok = _kept.get(path)
-    if tok is None:
-        tok = _kept[path] = Tokenizer.from_file(path)
-        tok.no_truncation()
-        tok.no_padding()
-    return [len(e.ids) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def counts(self, texts: list[str]) -> list[int]:
+        if not self.by_words:
+            return self._encode(texts)
+        memo = self._memo
+        if len(memo) > self._limit:
+            memo.clear()
+        # str.split() also cuts at four control characters that are not white space to the vocabulary
+        words = [t.split() if _CONTROLS.isdisjoint(t) else t.split(" ") for t in texts]
+        new = list({w for ws in words for w in ws if w not in memo})
+        memo.update(zip(new, self._encode(new), strict=True))
+        found = [sum([memo[w] for w in ws]) for ws in words]
+        for w in new:
+            if len(w) > 64:
+                del memo[w]
+        return found
 
 
-_kept: dict = {}
+_CONTROLS = frozenset("\x1c\x1d\x1e\x1f")
+
+
+def _drops_white_space(spec: dict) -> bool:
+    """Whether white space is collapsed and then lies outside every piece of a removing, inverted split."""
+    pre = spec.get("pre_tokenizer") or {}
+    first = (pre.get("pretokenizers") or [pre])[0]
+    pattern = (first.get("pattern") or {}).get("Regex", " ")
+    added = all(not t["lstrip"] and not t["rstrip"] and not any(c.isspace() for c in t["content"]) for t in spec.get("added_tokens", []))
+    return added and first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and " " not in pattern.replace(r"[^\s", "") and "\\s" not in pattern.replace(r"[^\s", "")
 
 
 def stable_boundaries(text: str, lo: int, hi: int) -> list[int]:
-    """Offsets in [lo, hi) with white space on the left and an ASCII letter or digit on the right."""
+    """Offsets in [lo, hi) of single spaces or line ends between two ASCII letters or digits."""
     return [m.start() for m in _STABLE.finditer(text, max(lo, 1), hi)]
 
 
-def splice_point(left: Encoded, left_at: int, right: Encoded, right_at: int, places: list[int]) -> int | None:
-    """The first of ``places`` from which both encodings start tokens and agree up to the last place.
+def splice_point(left: Encoded, left_at: int, right: Encoded, right_at: int, places: list[int]) -> tuple[int, int] | None:
+    """Where to splice: token numbers in both encodings, or None.
 
-    Offsets of an encoding are relative to its own chunk, which begins at ``left_at``/``right_at``.
+    The first of ``places`` at which a token begins in both encodings (at the space or just after
+    it, as the vocabulary has it) and from which both agree up to the last place. Offsets of an
+    encoding are relative to its own chunk, which begins at ``left_at``/``right_at``.
     """
     if len(places) < 2:
         return None
-    last = places[-1]
-    after = {}
-    for name, (ids, starts), at in (("l", left, left_at), ("r", right, right_at)):
-        after[name] = {}
-        for i, s in enumerate(starts):
-            after[name].setdefault(s + at, i)
+
+    def first(e: Encoded, at: int, place: int) -> int | None:
+        i = bisect_left(e[1], place - at)
+        return i if i < len(e[1]) and e[1][i] + at <= place + 1 else None
+
+    x, y = first(left, left_at, places[-1]), first(right, right_at, places[-1])
+    if x is None or y is None:
+        return None
     for p in places[:-1]:
-        a, b = after["l"].get(p), after["r"].get(p)
-        x, y = after["l"].get(last), after["r"].get(last)
-        if None in (a, b, x, y):
-            continue
-        if left[0][a:x] == right[0][b:y] and [s + left_at for s in left[1][a:x]] == [s + right_at for s in right[1][b:y]]:
-            return p
+        a, b = first(left, left_at, p), first(right, right_at, p)
+        if a is not None and b is not None and left[0][a:x] == right[0][b:y] and [s + left_at for s in left[1][a:x]] == [s + right_at for s in right[1][b:y]]:
+            return a, b
     return None
 
 
@@ -113,9 +151,8 @@ def spliced(text: str, encode: Callable[[str], Encoded], chunk: int = CHUNK_CHAR
             ids, starts = encode(text[begin:end])
             # what is out already ends at a stable boundary, which is where this chunk's tokens go on
             continue
-        cut = next(i for i, s in enumerate(starts) if s + begin == at)
-        yield ids[done:cut]
-        done = next(i for i, s in enumerate(nstarts) if s + lo == at)
+        yield ids[done : at[0]]
+        done = at[1]
         begin, end, ids, starts = lo, nxt_end, nids, nstarts
     yield ids[done:]
 
@@ -136,8 +173,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, text: str = "text", keep: t
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         model = None
-        encode = json_encoder(tokenizer) if tokenizer.endswith(".json") else None
-        if encode is None:
+        if tokenizer.endswith(".json"):
+            encode, counter = json_encoder(tokenizer), JsonCounter(tokenizer)
+        else:
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=tokenizer)
@@ -152,7 +190,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, text: str = "text", keep: t
                     continue
                 short = [i for i, t in enumerate(texts) if len(t) <= chunk_chars]
                 counts = [0] * len(texts)
-                for i, n in zip(short, count_json(tokenizer, [texts[i] for i in short]) if short else [], strict=True):
+                for i, n in zip(short, counter.counts([texts[i] for i in short]), strict=True):
                     counts[i] = n
                 for i, t in enumerate(texts):
                     if len(t) > chunk_chars:
