@@ -27,6 +27,12 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.jaccard import join_components
+
+    return join_components(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.bpe import encode_documents
 
@@ -80,7 +86,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymised(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_pii", F.array_join("pii_kinds", ",").alias("pii_kinds"))
 
 
-QUERIES = {"op1_topk": op1_topk, "op3_bpe": op3_bpe, "op4_token_counts": op4_token_counts, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_ann": op8_ann, "op9_langid": op9_langid, "op10_pii": op10_pii}
+QUERIES = {"op1_topk": op1_topk, "op2_jaccard": op2_jaccard, "op3_bpe": op3_bpe, "op4_token_counts": op4_token_counts, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_ann": op8_ann, "op9_langid": op9_langid, "op10_pii": op10_pii}
 
 ORACLES: dict[str, str] = {
     "op1_topk": """
