@@ -424,3 +424,13 @@ def join_components(docs: DataFrame, text: str = "text") -> DataFrame:
     alone = marks.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
 
+
+def one_per_component(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns kept, whose doc_id names their component: one document of each group.
+
+    Rows without words are groups of their own. Rows with a null id stay only where their group has
+    no other id. Rows that repeat the id that names a group are one document and all stay.
+    """
+    found = join_components(docs, text)
+    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["__id"]), "left_semi")

@@ -212,6 +212,12 @@ class Scorer:
 _worker: dict[str, Scorer] = {}
 
 
+def accepted(docs: DataFrame, train: DataFrame, model: str, **options) -> DataFrame:
+    """The rows of ``docs``, all columns kept, whose language is not ``und``."""
+    found = identify(docs, train, model, keep=tuple(docs.columns), **options)
+    return found.filter(found["lang_pred"] != UNDETERMINED).select(*docs.columns)
+
+
 def identify(docs: DataFrame, train: DataFrame, model: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), train_docs: int = TRAIN_DOCS) -> DataFrame:
     """``keep`` columns, ``lang_pred`` and ``score`` for every row of ``docs``.
 
@@ -220,6 +226,7 @@ def identify(docs: DataFrame, train: DataFrame, model: str, *, text: str = "text
     whole, whatever their length; repeated rows get equal answers. Columns beyond ``keep`` and
     ``text`` are never read.
     """
+    source = text if text in keep else "__text"
     shipped, tag, names = docs.sparkSession.sparkContext.broadcast(fit(train, model, train_docs=train_docs)), uuid.uuid4().hex, list(keep)
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double"])
 
@@ -229,7 +236,8 @@ def identify(docs: DataFrame, train: DataFrame, model: str, *, text: str = "text
             _worker[tag] = Scorer(shipped.value)
         scorer = _worker[tag]
         for batch in batches:
-            found = [scorer.score(t.as_py()) for t in batch.column("__text")]
+            found = [scorer.score(t.as_py()) for t in batch.column(source)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*names, "lang_pred", "score"])
 
-    return docs.select(*names, F.col(text).alias("__text")).mapInArrow(run, schema)
+    extra = [] if text in keep else [F.col(text).alias(source)]
+    return docs.select(*names, *extra).mapInArrow(run, schema)
