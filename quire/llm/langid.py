@@ -53,49 +53,80 @@ def words_of(chunk: str) -> list[str]:
 
 
 class Pieces:
-    """Piece probabilities of all languages: ``prob[piece]`` is a tuple, one entry per language."""
+    """Piece probabilities of all languages: ``prob[piece]`` is a tuple, one entry per language.
+
+    Sums over segmentations run over many words at once. An Aho-Corasick automaton finds all
+    occurrences of pieces; each is an arc from its begin to its end in its word.
+    """
 
     def __init__(self, prob: dict[str, tuple[float, ...]], langs: list[str]):
-        self.prob, self.langs = prob, langs
-        self.longest = max(map(len, prob), default=1)
-        self._unknown = tuple([UNKNOWN] * len(langs))
-
-    def _arcs(self, word: str):
-        """(begin, end, piece, probabilities) of every piece in ``word``; letters without one stand alone."""
-        n, get = len(word), self.prob.get
-        for j in range(1, n + 1):
-            alone = True
-            for i in range(max(0, j - self.longest), j):
-                p = get(word[i:j])
-                if p is not None:
-                    alone = alone and i != j - 1
-                    yield i, j, word[i:j], p
-            if alone:  # keeps every word segmentable
-                yield j - 1, j, None, self._unknown
-
-    def likelihood(self, word: str) -> list[float]:
-        """log of the sum over segmentations, per language."""
-        k = range(len(self.langs))
-        f = [[1.0] * len(self.langs)] + [[0.0] * len(self.langs) for _ in word]
-        for i, j, _, p in self._arcs(word):
-            a, b = f[i], f[j]
-            for x in k:
-                b[x] += a[x] * p[x]
-        return [math.log(v) for v in f[-1]]
-
-    def expected(self, word: str, lang: int, out: dict[str, float], times: float) -> None:
-        """Add ``times`` the expected piece counts of ``word`` in one language to ``out``."""
-        arcs = [(i, j, piece, p[lang]) for i, j, piece, p in self._arcs(word)]
-        n = len(word)
-        f, b = [1.0] + [0.0] * n, [0.0] * n + [1.0]
-        for i, j, _, p in arcs:
-            f[j] += f[i] * p
-        for i, j, _, p in reversed(arcs):
-            b[i] += b[j] * p
-        scale = times / f[n]
-        for i, j, piece, p in arcs:
-            if piece is not None:
-                out[piece] += f[i] * p * b[j] * scale
+        self.langs = langs
+        self.pieces = sorted(prob)
+        # the last row is for letters that no piece covers
+        self.table = np.array([*(prob[p] for p in self.pieces), [UNKNOWN] * len(langs)], dtype=np.float64).reshape(len(prob) + 1, len(langs))
+        self._automaton = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_automaton": None}
+
+    def _arcs(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """(word, begin, end, piece) of all arcs, by end; letters without a piece of their own get an arc alone."""
+        if self._automaton is None:
+            import ahocorasick
+
+            self._automaton = ahocorasick.Automaton()
+            for i, p in enumerate(self.pieces):
+                self._automaton.add_word(p, i << 8 | len(p))
+            self._automaton.make_automaton()
+        text = "\n".join(words)
+        lengths = np.array([len(w) for w in words], dtype=np.int64)
+        starts = np.cumsum(lengths + 1) - lengths - 1
+        found = np.array(list(self._automaton.iter(text)) if self.pieces else [], dtype=np.int64).reshape(-1, 2)
+        word = np.searchsorted(starts, found[:, 0], side="right") - 1
+        end, size, piece = found[:, 0] - starts[word] + 1, found[:, 1] & 255, found[:, 1] >> 8
+        bare = np.ones(len(text) + 1, bool)
+        bare[found[size == 1, 0]] = False
+        bare[starts + lengths] = False
+        at = np.flatnonzero(bare[: len(text)])
+        own = np.searchsorted(starts, at, side="right") - 1
+        word, end = np.concatenate([word, own]), np.concatenate([end, at - starts[own] + 1])
+        size, piece = np.concatenate([size, np.ones(len(at), np.int64)]), np.concatenate([piece, np.full(len(at), len(self.pieces))])
+        order = np.argsort(end, kind="stable")
+        return word[order], (end - size)[order], end[order], piece[order], lengths
+
+    def _forward(self, arcs: tuple[np.ndarray, ...], p: np.ndarray) -> np.ndarray:
+        word, begin, end, _, lengths = arcs
+        f = np.zeros((len(lengths), int(lengths.max(initial=0)) + 1, p.shape[1]))
+        f[:, 0] = 1
+        cuts = np.searchsorted(end, np.arange(f.shape[1] + 1))
+        for j in range(1, f.shape[1]):
+            k = slice(cuts[j], cuts[j + 1])
+            np.add.at(f[:, j], word[k], f[word[k], begin[k]] * p[k])
+        return f
+
+    def likelihoods(self, words: list[str]) -> np.ndarray:
+        """log of the sum over segmentations, per word and language."""
+        if not words:
+            return np.zeros((0, len(self.langs)))
+        arcs = self._arcs(words)
+        f = self._forward(arcs, self.table[arcs[3]])
+        return np.log(f[np.arange(len(words)), arcs[4]])
+
+    def expected(self, words: list[str], times: np.ndarray, lang: int) -> np.ndarray:
+        """Expected counts of the pieces over all segmentations of ``words`` in one language."""
+        arcs = word, begin, end, piece, lengths = self._arcs(words)
+        p = self.table[piece, lang][:, None]
+        f = self._forward(arcs, p)[:, :, 0]
+        b = np.zeros_like(f)
+        b[np.arange(len(words)), lengths] = 1
+        order = np.argsort(-begin, kind="stable")
+        cuts = np.searchsorted(-begin[order], -np.arange(f.shape[1], -2, -1))
+        for n, i in enumerate(range(f.shape[1], -1, -1)):
+            k = order[cuts[n] : cuts[n + 1]]
+            if len(k):
+                np.add.at(b[:, i], word[k], b[word[k], end[k]] * p[k, 0])
+        share = f[word, begin] * p[:, 0] * b[word, end] * (times / f[np.arange(len(words)), lengths])[word]
+        return np.bincount(piece, weights=share, minlength=len(self.pieces) + 1)[:-1]
 
 
 def _word_counts(train: DataFrame) -> DataFrame:
@@ -142,14 +173,19 @@ def fit(train: DataFrame, model: str, *, train_docs: int = TRAIN_DOCS, rounds: i
         known = spark.sparkContext.broadcast(Pieces(prob, langs))
 
         def run(batches, known=known):
-            model, counts = known.value, [defaultdict(float) for _ in langs]
-            no = {lang: i for i, lang in enumerate(model.langs)}
+            model, no = known.value, {lang: i for i, lang in enumerate(langs)}
+            counts = np.zeros((len(langs), len(model.pieces)))
             for batch in batches:
-                for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    model.expected(word, no[lang], counts[no[lang]], float(n))
-            for lang, c in zip(model.langs, counts, strict=True):
-                if c:
-                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(c), pa.string()), "piece": pa.array(c.keys(), pa.string()), "n": pa.array(c.values(), pa.float64())})
+                lang, word, times = np.array(batch.column(0).to_pylist()), batch.column(1).to_pylist(), batch.column(2).to_numpy().astype(np.float64)
+                for one in np.unique(lang):
+                    at = np.flatnonzero(lang == one)
+                    for lo in range(0, len(at), 4096):
+                        part = at[lo : lo + 4096]
+                        counts[no[str(one)]] += model.expected([word[i] for i in part], times[part], no[str(one)])
+            for i, one in enumerate(langs):
+                hit = np.flatnonzero(counts[i])
+                if len(hit):
+                    yield pa.RecordBatch.from_pydict({"lang": pa.array([one] * len(hit), pa.string()), "piece": pa.array([model.pieces[j] for j in hit], pa.string()), "n": pa.array(counts[i][hit], pa.float64())})
 
         # rounding to whole millionths makes the sums, and so the model, the same in any order
         sums = words.mapInArrow(run, "lang string, piece string, n double").groupBy("lang", "piece").agg(F.sum(F.round(F.col("n") * 1e6).cast("long")).alias("n"))
@@ -163,50 +199,58 @@ def fit(train: DataFrame, model: str, *, train_docs: int = TRAIN_DOCS, rounds: i
 
 
 class Scorer:
-    """Scores texts; what a chunk between white spaces adds is kept for the next time it is met."""
+    """Scores texts; what a word or a chunk between white spaces adds is kept for the next time it is met."""
 
-    def __init__(self, model: Pieces, memo: int = 400_000):
+    def __init__(self, model: Pieces, memo: int = 800_000):
         self.model, self.limit = model, memo
         self._clear()
 
     def _clear(self):
-        self._rows: dict[str, int] = {}
-        self._used, self._words = 0, {}
-        self._table = np.zeros((1024, len(self.model.langs) + 1))
-
-    def _row(self, chunk: str) -> int:
-        words, row = words_of(chunk), np.zeros(len(self.model.langs) + 1)
-        for w in words:
-            known = self._words.get(w)
-            if known is None:
-                known = self._words[w] = np.array([*self.model.likelihood(w), 1.0])
-            row += known
-        if self._used == len(self._table):
+        self._rows: dict[str, int] = {}  # chunks and (marked) words -> row of the table; row 0 adds nothing
+        self._used = 1
+        self._table = np.zeros((4096, len(self.model.langs) + 1))
+
+    def _append(self, rows: np.ndarray) -> int:
+        while self._used + len(rows) > len(self._table):
             self._table = np.vstack([self._table, np.zeros_like(self._table)])
-        self._table[self._used] = row
-        self._used += 1
-        if len(chunk) <= 64:
-            self._rows[chunk] = self._used - 1
-        return self._used - 1
-
-    def score(self, text: str | None) -> tuple[str, float]:
-        """(language, confidence); ties go to the smaller language name."""
-        if not text or not self.model.langs:
-            return UNDETERMINED, 0.0
-        if self._used > self.limit or len(self._words) > self.limit:
+        self._table[self._used : self._used + len(rows)] = rows
+        self._used += len(rows)
+        return self._used - len(rows)
+
+    def _learn(self, chunks: list[str]) -> None:
+        rows, words = self._rows, {c: words_of(c) for c in chunks}
+        new = list({w for ws in words.values() for w in ws if w not in rows})
+        z = self.model.likelihoods(new)
+        rows.update(zip(new, range(first := self._append(np.concatenate([z, np.ones((len(z), 1))], 1)), first + len(new)), strict=True))
+        for c, ws in words.items():
+            if len(ws) == 1:
+                rows[c] = rows[ws[0]]
+            else:
+                rows[c] = self._append(self._table[[rows[w] for w in ws]].sum(axis=0, keepdims=True)) if ws else 0
+
+    def scores(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, confidence) of each text; ties go to the smaller language name."""
+        if not self.model.langs:
+            return [(UNDETERMINED, 0.0)] * len(texts)
+        if len(self._rows) > self.limit:
             self._clear()
-        rows = self._rows
-        chunks = text.split()
-        at = [rows.get(c, -1) for c in chunks]
-        if -1 in at:
-            at = [self._row(c) if i < 0 and c not in rows else rows.get(c, i) for c, i in zip(chunks, at, strict=True)]
-        total = self._table[np.array(at, dtype=np.intp)].sum(axis=0) if at else np.zeros(len(self.model.langs) + 1)
-        n = total[-1]
-        if n == 0:
-            return UNDETERMINED, 0.0
-        z = total[:-1] * min(1.0, FULL_WORDS / n)
-        best = int(np.argmax(z))
-        return self.model.langs[best], float(1 / np.exp(z - z[best]).sum())
+        rows, chunks = self._rows, [(t or "").split() for t in texts]
+        new = list({c for cs in chunks for c in cs if c not in rows})
+        for lo in range(0, len(new), 4096):
+            self._learn(new[lo : lo + 4096])
+        out = []
+        for cs in chunks:
+            total = self._table[np.array([rows[c] for c in cs], dtype=np.intp)].sum(axis=0)
+            if total[-1] == 0:
+                out.append((UNDETERMINED, 0.0))
+                continue
+            z = total[:-1] * min(1.0, FULL_WORDS / total[-1])
+            best = int(np.argmax(z))
+            out.append((self.model.langs[best], float(1 / np.exp(z - z[best]).sum())))
+        for c in new:  # what is too long to meet again
+            if len(c) > 64:
+                del rows[c]
+        return out
 
 
 _worker: dict[str, Scorer] = {}
@@ -236,7 +280,7 @@ def identify(docs: DataFrame, train: DataFrame, model: str, *, text: str = "text
             _worker[tag] = Scorer(shipped.value)
         scorer = _worker[tag]
         for batch in batches:
-            found = [scorer.score(t.as_py()) for t in batch.column(source)]
+            found = [f for lo in range(0, batch.num_rows, 256) for f in scorer.scores(batch.column(source).slice(lo, 256).to_pylist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*names, "lang_pred", "score"])
 
     extra = [] if text in keep else [F.col(text).alias(source)]
