@@ -1,4 +1,736 @@
-"""The queries of the transcript engine, and the SQL that checks them."""
+"""The queries of the transcript engine, each with the DuckDB SQL that checks it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.functions import text as T
+from quire.operators import accuracy, align, batch, cache, cascade, chat, compare, confidence, events, fuse, reports, routing
+from quire.params import PROFILES, Output
+from quire.plans.fixtures import fixture, with_fixtures
+from quire.sources import documents as D
+from quire.sources import export
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = with_fixtures(oracle)
+        return f
+
+    return register
+
+
+# --- DuckDB pieces of the checks --------------------------------------------------------------------
+
+_TOK = r"'[^\s\x1c-\x1f\x85\p{Z}]+'"
+
+
+def _tokens(c: str) -> str:
+    return f"regexp_extract_all(coalesce({c}, ''), {_TOK})"
+
+
+def _sub(c: str, pattern: str, by: str = "''") -> str:
+    return f"regexp_replace({c}, '{pattern}', {by}, 'g')"
+
+
+def _strip(c: str) -> str:
+    return _sub(c, r"\A[\s\x1c-\x1f\x85\p{Z}]+|[\s\x1c-\x1f\x85\p{Z}]+\z")
+
+
+def _spaces(c: str) -> str:
+    c = _sub(c, r"\r\n|\r", "chr(10)")
+    c = _sub(c, r"(?m)[ \t\x0b\x0c\x1c-\x1f\x85\p{Z}]+$")
+    return _strip(_sub(c, r"\n{3,}", "chr(10) || chr(10)"))
+
+
+def _clean(c: str) -> str:
+    return _spaces(_sub(_sub(f"coalesce({c}, '')", r"\r\n|\r", "chr(10)"), r"[ \t]{2,}", "' '"))
+
+
+def _blank(c: str) -> str:
+    return f"NOT regexp_matches(coalesce({c}, ''), {_TOK})"
+
+
+def _assess(rows: str, layer: str = "embedded_text") -> str:
+    """A subquery: ``rows`` with cleaned, word_count, quality, usable and reason."""
+    plausible = r"list_filter(toks, lambda t: regexp_matches(t, '\p{N}') OR length(regexp_replace(t, '[^\p{L}]', '', 'g')) <= 2 OR regexp_matches(t, '[aeiouyAEIOUY]'))"
+    return f"""(
+        SELECT *, CASE WHEN word_count < 25 OR damaged THEN CAST(0 AS DOUBLE) ELSE share END AS quality,
+               (word_count >= 25 AND NOT damaged AND share >= 0.7) AS usable,
+               CASE WHEN {_blank(layer)} THEN 'the page carries no text layer'
+                    WHEN word_count < 25 THEN 'the text layer holds only ' || word_count || ' word(s), too few to be the page'
+                    WHEN damaged THEN 'the text layer is full of replacement characters, so its font encoding is broken'
+                    WHEN share < 0.7 THEN 'only ' || CAST(round_even(share * 100, 0) AS INTEGER) || '% of the text layer reads as language, so it is probably a damaged encoding'
+                    ELSE 'the page carries a usable text layer of ' || word_count || ' words' END AS reason
+        FROM (SELECT *, CAST(len(toks) AS BIGINT) AS word_count, len(regexp_extract_all(cleaned, '[\\x{{fffd}}\\x{{fffe}}\\x{{ffff}}]')) > length(cleaned) * 0.01 AS damaged,
+                     CAST(len({plausible}) AS DOUBLE) / nullif(len(toks), 0) AS share
+              FROM (SELECT *, {_tokens('cleaned')} AS toks FROM (SELECT *, {_clean(layer)} AS cleaned FROM {rows})))
+    )"""
+
+
+_ROUTES = f"""(
+    SELECT *, CASE WHEN usable THEN 'text_layer' WHEN ink < 0.002 THEN 'blank' WHEN first_page < page_number THEN 'duplicate' ELSE 'needs_ocr' END AS page_class
+    FROM (SELECT *, CASE WHEN usable THEN NULL ELSE min(page_number) OVER (PARTITION BY doc, usable, sha256(embedded_text)) END AS first_page FROM {_assess('{pages}')})
+)"""
+_ROUTED = f"(SELECT *, CASE WHEN page_class = 'duplicate' THEN first_page END AS duplicate_of, CASE WHEN usable THEN '' ELSE sha256(embedded_text) END AS fingerprint FROM {_ROUTES})"
+_SUMMARY = f"""(
+    SELECT doc, count(*) AS pages, count(*) FILTER (page_class = 'text_layer') AS text_layer, count(*) FILTER (page_class = 'blank') AS blank,
+           count(*) FILTER (page_class = 'duplicate') AS duplicate, count(*) FILTER (page_class = 'needs_ocr') AS needs_ocr, count(*) - count(*) FILTER (page_class = 'needs_ocr') AS pages_avoided
+    FROM {_ROUTES} GROUP BY doc
+)"""
+
+# --- text layers and routing ------------------------------------------------------------------------
+
+
+@query(
+    f"""SELECT source, count(*) AS pages, count(*) FILTER (usable) AS via_text_layer, count(*) FILTER (NOT usable) AS need_engine, avg(quality) AS mean_quality, CAST(sum(word_count) AS BIGINT) AS words
+    FROM {_assess('documents', 'text')} GROUP BY source"""
+)
+def text_layer_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = routing.assessed(fixture(spark, sf_dir, "documents").select("source", "text"), "text")
+    return df.groupBy("source").agg(F.count("*").alias("pages"), F.count_if("usable").alias("via_text_layer"), F.count_if(~F.col("usable")).alias("need_engine"), F.avg("quality").alias("mean_quality"), F.sum("word_count").alias("words"))
+
+
+@query(f"SELECT doc, page_number, word_count, quality, usable, reason, sha256(cleaned) AS cleaned_sha FROM {_assess('{pages}')}")
+def text_layer_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = routing.assessed(fixture(spark, sf_dir, "pages"))
+    return df.select("doc", "page_number", "word_count", "quality", "usable", "reason", F.sha2("cleaned", 256).alias("cleaned_sha"))
+
+
+@query(
+    f"""SELECT doc, page_number, page_class, fingerprint, duplicate_of,
+        CASE page_class WHEN 'text_layer' THEN reason WHEN 'blank' THEN 'the page is blank (' || printf('%.3f', ink * 100) || '% of it carries ink)'
+             WHEN 'duplicate' THEN 'the page is identical to page ' || duplicate_of ELSE CASE WHEN word_count > 0 THEN reason ELSE 'the page must be read by an engine' END END AS route_reason
+    FROM {_ROUTED}"""
+)
+def page_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.routed(fixture(spark, sf_dir, "pages")).select("doc", "page_number", "page_class", "fingerprint", "duplicate_of", "route_reason")
+
+
+@query(f"SELECT *, CAST(pages_avoided AS DOUBLE) / pages AS share_avoided FROM {_SUMMARY}")
+def routing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.plan_summary(routing.routed(fixture(spark, sf_dir, "pages"))).withColumn("share_avoided", F.col("pages_avoided") / F.col("pages"))
+
+
+@query(
+    f"""SELECT doc, CASE WHEN parts = '' THEN 'All ' || pages || ' page(s) need OCR.'
+        ELSE needs_ocr || ' of ' || pages || ' page(s) need OCR; the rest are covered without a model (' || parts || ').' END AS headline
+    FROM (SELECT *, concat_ws(', ', CASE WHEN text_layer > 0 THEN text_layer || ' from the text layer' END, CASE WHEN duplicate > 0 THEN duplicate || ' duplicate' END, CASE WHEN blank > 0 THEN blank || ' blank' END) AS parts FROM {_SUMMARY})"""
+)
+def routing_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.headline(routing.plan_summary(routing.routed(fixture(spark, sf_dir, "pages")))).select("doc", "headline")
+
+
+@query(
+    """SELECT doc, page_number, CASE WHEN total > 5 THEN 'Only the first 5 of ' || total || ' pages were processed because of the configured page limit.' END AS warning
+    FROM (SELECT *, count(*) OVER (PARTITION BY doc) AS total, row_number() OVER (PARTITION BY doc ORDER BY page_number) AS n FROM {pages}) WHERE n <= 5"""
+)
+def page_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.page_limited(fixture(spark, sf_dir, "pages"), 5).select("doc", "page_number", "warning")
+
+
+@query("SELECT doc_id, sha256(text) AS fingerprint, md5(to_base64(encode(text))) AS encoded FROM documents")
+def page_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = fixture(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("image"))
+    return df.select("doc_id", routing.fingerprint("image").alias("fingerprint"), F.md5(F.replace(D.base64_image("image"), F.lit("\r\n"), F.lit("")).cast("binary")).alias("encoded"))
+
+
+@query(
+    """SELECT o_orderkey, CAST(CASE WHEN longest > 2048 THEN greatest(1, floor(w * (2048.0::DOUBLE / longest))) ELSE w END AS BIGINT) AS width, CAST(CASE WHEN longest > 2048 THEN greatest(1, floor(h * (2048.0::DOUBLE / longest))) ELSE h END AS BIGINT) AS height
+    FROM (SELECT *, greatest(w, h) AS longest FROM (SELECT o_orderkey, round_even(CAST(400 + o_orderkey % 900 AS DOUBLE) * (120 / 72.0::DOUBLE), 0) AS w, round_even(CAST(500 + o_custkey % 1100 AS DOUBLE) * (120 / 72.0::DOUBLE), 0) AS h FROM orders))"""
+)
+def rendered_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = fixture(spark, sf_dir, "orders")
+    w, h = routing.rendered_size((400 + F.col("o_orderkey") % 900).cast("double"), (500 + F.col("o_custkey") % 1100).cast("double"))
+    return df.select("o_orderkey", w.alias("width"), h.alias("height"))
+
+
+_FILES = "(VALUES ('a.pdf','255044462D312E37'),('b.png','89504E470D0A1A0A00'),('c.jpg','FFD8FFE0'),('d.gif','474946383961'),('e.png','255044462D'),('f.tif','49492A0008'),('g.tiff','4D4D002A08'),('h.bmp','424D3600'),('i.webp','524946460000000057454250'),('j.webp','5249464600000000574156'),('k.txt','68656C6C6F'),('l.PDF','00'),('m.jpeg','0011'),('noext','0011'),('n.png','')) AS f(name, hexed)"
+
+
+@query(
+    f"""SELECT name, CASE WHEN starts_with(hexed, '255044462D') THEN 'pdf' WHEN starts_with(hexed, '89504E470D0A1A0A') OR starts_with(hexed, 'FFD8FF') OR starts_with(hexed, '474946383761') OR starts_with(hexed, '474946383961') OR starts_with(hexed, '424D') OR starts_with(hexed, '49492A00') OR starts_with(hexed, '4D4D002A') THEN 'image'
+        WHEN starts_with(hexed, '52494646') AND substr(hexed, 17, 8) = '57454250' THEN 'image' WHEN ext = 'pdf' THEN 'pdf' WHEN ext IN ('png', 'jpg', 'jpeg', 'webp', 'tif', 'tiff', 'bmp') THEN 'image' ELSE 'unknown' END AS kind,
+        CASE WHEN hexed = '' THEN 'The uploaded file is empty.' WHEN name IN ('k.txt') THEN '.txt files are not supported. Supported types: PNG, JPG, WEBP, TIFF and PDF.' WHEN name = 'noext' THEN '(no extension) files are not supported. Supported types: PNG, JPG, WEBP, TIFF and PDF.' END AS load_error
+    FROM (SELECT *, lower(regexp_extract(name, '[^/]\\.([^./]*)$', 1)) AS ext FROM {_FILES})"""
+)
+def sniff_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.sql(f"SELECT name, unhex(hexed) AS content FROM {_FILES}")
+    return df.select("name", D.sniffed(F.col("content"), F.col("name")).alias("kind"), D.load_error(F.col("content"), F.col("name")).alias("load_error"))
+
+
+@query(
+    r"""SELECT doc, count(*) AS pages, bool_or(regexp_matches(embedded_text, '\S')) AS has_text_layer, sha256(string_agg(embedded_text, chr(10) || chr(10) ORDER BY page_number) FILTER (regexp_matches(embedded_text, '\S'))) AS text_sha FROM {pages} GROUP BY doc"""
+)
+def document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.document_text(fixture(spark, sf_dir, "pages")).select("doc", "pages", "has_text_layer", F.sha2("text", 256).alias("text_sha"))
+
+
+# --- engine output, confidence, cascade ---------------------------------------------------------------
+
+_FENCE = T.FENCE
+_PRE, _EPI = T.PREAMBLE.replace("'", "''"), T.EPILOGUE
+
+
+def _fence(c: str) -> str:
+    return f"CASE WHEN regexp_matches({c}, '{_FENCE}') THEN regexp_extract({c}, '{_FENCE}', 1) ELSE {c} END"
+
+
+@query(
+    f"""WITH a AS (SELECT doc_id, {_fence('raw')} AS x FROM {{raw}}), b AS (SELECT doc_id, regexp_replace(x, '{_PRE}', '') AS x FROM a), c AS (SELECT doc_id, regexp_replace(x, '{_EPI}', '') AS x FROM b), d AS (SELECT doc_id, {_fence('x')} AS x FROM c)
+    SELECT doc_id, {_spaces('x')} AS cleaned FROM d"""
+)
+def clean_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture(spark, sf_dir, "raw").select("doc_id", T.clean_output("raw").alias("cleaned"))
+
+
+def _longest(text: str, key: str, rows: str) -> str:
+    """Longest repeat run per key, by gaps and islands."""
+    line = _strip("line")
+    return f"""(SELECT {key}, coalesce(max(n) FILTER (n > 1), 0) AS run FROM (SELECT {key}, grp, line, count(*) AS n FROM (
+        SELECT *, i - row_number() OVER (PARTITION BY {key}, line ORDER BY i) AS grp FROM (SELECT {key}, line, row_number() OVER (PARTITION BY {key} ORDER BY pos) AS i FROM (SELECT {key}, {line} AS line, pos FROM (SELECT {key}, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM (SELECT {key}, regexp_split_to_array({text}, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85]') AS parts FROM {rows}))) WHERE line <> '')
+    ) GROUP BY {key}, grp, line) GROUP BY {key})"""
+
+
+@query(f"SELECT d.doc_id, CAST(coalesce(run, 0) AS INTEGER) AS longest FROM documents d LEFT JOIN {_longest('text', 'doc_id', 'documents')} r USING (doc_id)")
+def repeat_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture(spark, sf_dir, "documents").select("doc_id", T.longest_repeat("text").alias("longest"))
+
+
+def _ratio(c: str) -> str:
+    return f"CASE WHEN len({_tokens(c)}) = 0 THEN 0 ELSE CAST(len(list_filter({_tokens(c)}, lambda t: regexp_matches(t, '^[A-Za-z0-9]'))) AS DOUBLE) / len({_tokens(c)}) END"
+
+
+@query(f"SELECT doc_id, {_ratio('text')} AS ratio FROM documents")
+def language_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture(spark, sf_dir, "documents").select("doc_id", T.language_ratio("text").alias("ratio"))
+
+
+_SCORED = f"""(
+    SELECT *, CASE WHEN flags = 'empty' THEN CAST(0 AS DOUBLE) ELSE greatest(0.0::DOUBLE, 1.0::DOUBLE - 0.3::DOUBLE * CASE WHEN flags = '' THEN 0 ELSE len(string_split(flags, ',')) END) END AS score
+    FROM (SELECT r.*, CASE WHEN status = 'failed' OR {_blank('text')} THEN 'empty' ELSE concat_ws(',', CASE WHEN done_reason = 'length' THEN 'truncated' END, CASE WHEN run >= 6 THEN 'repetition' END,
+            CASE WHEN ink >= 0.06 AND len({_tokens('text')}) < 30 THEN 'sparse_for_ink' END, CASE WHEN {_ratio('text')} < 0.5 THEN 'not_language' END) END AS flags
+          FROM {{results}} r LEFT JOIN {_longest('text', 'page_number', '{results}')} l USING (page_number))
+)"""
+_REASON = "array_to_string(list_transform(string_split(flags, ','), lambda f: CASE f " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in confidence.REASONS.items()) + " END), '; ')"
+
+
+@query(f"SELECT doc, page_number, flags, score, CASE WHEN flags = '' THEN 'the transcription looks complete' ELSE {_REASON} END AS reason FROM {_SCORED}")
+def page_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = confidence.scored(fixture(spark, sf_dir, "results"))
+    return df.select("doc", "page_number", F.array_join("flags", ",").alias("flags"), "score", "reason")
+
+
+@query(
+    f"""SELECT doc, page_number, place, cap FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page_number) AS place
+        FROM (SELECT *, CAST(greatest(1, floor(count(*) OVER (PARTITION BY doc) * 0.5)) AS BIGINT) AS cap FROM {_SCORED}) WHERE flags <> '') WHERE place <= cap"""
+)
+def verification_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return confidence.selected_for_rereading(confidence.scored(fixture(spark, sf_dir, "results"))).select("doc", "page_number", "place", "cap")
+
+
+@query(f"SELECT doc, page_number, flags, CASE WHEN {_blank('text')} THEN NULL ELSE text END AS shown FROM {_SCORED} WHERE flags <> ''")
+def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = fixture(spark, sf_dir, "results").withColumn("engine_ord", F.lit(0))
+    return confidence.review_queue(confidence.scored(df).drop("text"), df).select("doc", "page_number", F.array_join("flags", ",").alias("flags"), "shown")
+
+
+@query(
+    """SELECT doc, engine_id, count(*) AS pages, count(*) FILTER (status = 'success') AS succeeded, CASE WHEN count(*) FILTER (status = 'success') = 0 THEN 'failed' WHEN count(*) FILTER (status = 'success') = count(*) THEN 'success' ELSE 'partial' END AS engine_status,
+        arg_min(CASE WHEN status = 'failed' THEN 'page ' || page_number || ' failed' END, page_number) FILTER (status = 'failed') AS first_error FROM {engines} GROUP BY doc, engine_id"""
+)
+def engine_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = fixture(spark, sf_dir, "engines").withColumn("error", F.when(F.col("status") == "failed", F.concat(F.lit("page "), F.col("page_number").cast("string"), F.lit(" failed"))))
+    return cascade.engine_status(df, "doc", "engine_id")
+
+
+@query(
+    f"""SELECT doc, engine_id, count(*) AS pages, count(*) FILTER (status = 'success') AS succeeded FROM (
+        SELECT doc, 'text_layer' AS engine_id, 'success' AS status FROM {_ROUTED} WHERE page_class = 'text_layer'
+        UNION ALL SELECT doc, 'qwen_vl', CASE WHEN {_blank('embedded_text')} THEN 'failed' ELSE 'success' END FROM {_ROUTED} WHERE page_class = 'needs_ocr'
+        UNION ALL SELECT doc, 'unlimited_ocr', 'success' FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page_number) AS place FROM (
+            SELECT *, greatest(1, floor(count(*) OVER (PARTITION BY doc) * 0.5)) AS cap FROM {_ROUTED} r LEFT JOIN {_longest('embedded_text', 'dp', "(SELECT doc || ':' || page_number AS dp, embedded_text FROM {pages})")} l ON l.dp = r.doc || ':' || r.page_number WHERE page_class = 'needs_ocr')
+            WHERE coalesce(run, 0) >= 6 OR (ink >= 0.06 AND len({_tokens('embedded_text')}) < 30) OR {_ratio('embedded_text')} < 0.5) WHERE place <= cap
+    ) GROUP BY doc, engine_id"""
+)
+def cascade_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    routes = routing.routed(fixture(spark, sf_dir, "pages"))
+    df = cascade.cascade(routes, [cascade.stub_engine("qwen_vl"), cascade.stub_engine("unlimited_ocr")])
+    return df.groupBy("doc", "engine_id").agg(F.count("*").alias("pages"), F.count_if(F.col("status") == "success").alias("succeeded"))
+
+
+@query(f"SELECT doc, page_number, needs_text FROM (SELECT r.doc, r.page_number, CAST(word_count AS BIGINT) AS needs_text FROM {_ROUTED} r WHERE page_class = 'needs_ocr' AND page_number % 2 = 1)")
+def unread_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    routes = routing.routed(fixture(spark, sf_dir, "pages"))
+    read = routes.filter("page_number % 2 = 0").select("doc", "page_number")
+    return cascade.unread(routes, read).select("doc", "page_number", F.col("word_count").alias("needs_text"))
+
+
+@query(
+    f"""SELECT r.doc, r.page_number, r.page_class, CASE WHEN r.page_class = 'blank' THEN '' ELSE coalesce(o.embedded_text, '') END AS text, 'success' AS status, CASE WHEN r.page_class = 'blank' THEN 1.0::DOUBLE END AS confidence
+    FROM {_ROUTED} r LEFT JOIN (SELECT doc, page_number, embedded_text FROM {_ROUTED} WHERE page_class = 'needs_ocr') o ON o.doc = r.doc AND o.page_number = r.duplicate_of WHERE r.page_class IN ('blank', 'duplicate')"""
+)
+def routed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    routes = routing.routed(fixture(spark, sf_dir, "pages"))
+    results = routes.filter("page_class = 'needs_ocr'").select("doc", "page_number", F.col("embedded_text").alias("text"), F.lit(1).alias("engine_ord"))
+    return cascade.filled(routes, results)
+
+
+@query(
+    """SELECT doc, place, rate, remaining, 'Page ' || (place + 1) || ' of ' || total || CASE WHEN remaining IS NULL THEN ' - timing the first page before estimating' WHEN remaining / 60 < 1 THEN ' - under a minute left' ELSE ' - about ' || CAST(round_even(remaining / 60, 0) AS INTEGER) || ' min left' END AS said
+    FROM (SELECT *, CASE WHEN total > place AND rate IS NOT NULL THEN rate * (total - place) END AS remaining FROM (
+        SELECT doc, place, total, avg(seconds) OVER (PARTITION BY doc ORDER BY place ROWS UNBOUNDED PRECEDING) AS rate FROM (
+            SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY page_number) AS BIGINT) AS place, count(*) OVER (PARTITION BY doc) AS total, CAST(page_number % 97 AS DOUBLE) AS seconds FROM {timings})))"""
+)
+def run_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("doc")
+    df = fixture(spark, sf_dir, "timings").select("doc", F.row_number().over(w.orderBy("page_number")).cast("bigint").alias("place"), F.count("*").over(w).alias("total"), (F.col("page_number") % 97).cast("double").alias("seconds"))
+    return reports.run_progress(df).select("doc", "place", "rate", "remaining", "said")
+
+
+@query(
+    """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'local' WHEN 1 THEN 'remote' WHEN 2 THEN 'local' WHEN 3 THEN 'local' ELSE 'remote' END AS location FROM orders"""
+)
+def processing_location(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hosts = F.array(*(F.lit(x) for x in ("http://localhost:11434", "https://ocr.example.com/v1", "http://127.0.0.1:8000/api", "http://[::1]:80/", "http://localhost.example.com")))
+    return fixture(spark, sf_dir, "orders").select("o_orderkey", cascade.processing_location(F.element_at(hosts, (F.col("o_orderkey") % 5 + 1).cast("int"))).alias("location"))
+
+
+# --- comparison and fusion ----------------------------------------------------------------------------
+
+_NUM = "list_transform(regexp_extract_all({c}, '[0-9][0-9,.\\-/]*'), lambda x: replace(x, ',', ''))"
+
+
+@query(
+    rf"""SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, sha256(array_to_string(lines, chr(10))) AS lines_sha FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(raw, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85]'), lambda x: trim(regexp_replace(x, '[\s\x1c-\x1f\x85\p{{Z}}]+', ' ', 'g'))), lambda x: x <> '') AS lines FROM {{raw}})"""
+)
+def normalised_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = T.lines("raw")
+    return fixture(spark, sf_dir, "raw").select("doc_id", F.size(lines).cast("bigint").alias("n_lines"), F.sha2(F.array_join(lines, "\n"), 256).alias("lines_sha"))
+
+
+@query("SELECT doc_id, array_to_string(" + _NUM.format(c="reference || hypothesis") + ", ' ') AS numbers FROM {truth}")
+def extract_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture(spark, sf_dir, "truth").select("doc_id", F.array_join(T.numbers(F.concat("reference", "hypothesis")), " ").alias("numbers"))
+
+
+_ELIGIBLE = f"(SELECT * FROM {{engines}} WHERE engine_id <> 'routing' AND engine_status IN ('success', 'partial') AND NOT ({_blank('text')}))"
+_PAIR = f"""(SELECT doc, first, second, shared FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY shared DESC, o1, o2) AS place FROM (
+    SELECT a.doc, a.engine_id AS first, a.engine_ord AS o1, b.engine_id AS second, b.engine_ord AS o2, count(*) AS shared FROM {_ELIGIBLE} a JOIN {_ELIGIBLE} b ON a.doc = b.doc AND a.page_number = b.page_number AND a.engine_ord < b.engine_ord GROUP BY ALL)) WHERE place = 1)"""
+
+
+@query(f"SELECT * FROM {_PAIR}")
+def comparison_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.best_pair(fixture(spark, sf_dir, "engines"))
+
+
+@query(
+    f"""SELECT p.doc, p.first, p.second, sha256(string_agg(a.text, chr(10) || chr(10) ORDER BY a.page_number)) AS sha_a, sha256(string_agg(b.text, chr(10) || chr(10) ORDER BY a.page_number)) AS sha_b
+    FROM {_PAIR} p JOIN {_ELIGIBLE} a ON a.doc = p.doc AND a.engine_id = p.first JOIN {_ELIGIBLE} b ON b.doc = p.doc AND b.engine_id = p.second AND b.page_number = a.page_number GROUP BY ALL"""
+)
+def shared_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = compare.shared_text(fixture(spark, sf_dir, "engines"))
+    return df.select("doc", "first", "second", F.sha2("text_a", 256).alias("sha_a"), F.sha2("text_b", 256).alias("sha_b"))
+
+
+def _invoice_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = fixture(spark, sf_dir, "invoice_lines")
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("line_no", c)))), lambda x: x[c]), "\n")
+    return n.groupBy("doc").agg(joined("line_a").alias("text_a"), joined("line_b").alias("text_b"))
+
+
+_INVOICE = r"(SELECT *, regexp_replace(line_b, '\s+', ' ', 'g') AS norm_b FROM {invoice_lines})"
+
+
+@query(
+    f"""SELECT doc, count(*) FILTER (norm_b = line_a) AS equal_lines, count(*) FILTER (norm_b <> line_a) AS changed_lines, count(*) FILTER (line_b IS NULL) AS only_a_lines, CAST(0 AS BIGINT) AS only_b_lines, count(*) AS total_lines, count(*) - count(*) FILTER (norm_b = line_a) AS differing_lines FROM {_INVOICE} GROUP BY doc"""
+)
+def diff_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = compare.summary(compare.diff_lines(_invoice_pairs(spark, sf_dir), "doc"), "doc")
+    return df.select("doc", "equal_lines", "changed_lines", "only_a_lines", "only_b_lines", "total_lines", "differing_lines")
+
+
+@query(f"SELECT doc, line_a AS text_a, norm_b AS text_b, array_to_string({_NUM.format(c='line_a')}, ' ') AS numbers_a, array_to_string({_NUM.format(c='norm_b')}, ' ') AS numbers_b FROM {_INVOICE} WHERE norm_b <> line_a AND {_NUM.format(c='line_a')} <> {_NUM.format(c='norm_b')}")
+def numeric_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = compare.conflicts(compare.diff_lines(_invoice_pairs(spark, sf_dir), "doc"))
+    return df.select("doc", "text_a", "text_b", F.array_join("numbers_a", " ").alias("numbers_a"), F.array_join("numbers_b", " ").alias("numbers_b"))
+
+
+def _page_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuse.first_two(fixture(spark, sf_dir, "engines"), "doc", "page_number").filter("text_a is not null and text_b is not null")
+
+
+@query()
+def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.diff_lines(_page_pairs(spark, sf_dir), "doc", "page_number")
+
+
+@query()
+def similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = fixture(spark, sf_dir, "invoice_lines").filter("line_b is not null")
+    plain = lines.filter("line_a = line_b").select("doc", "line_no", F.lit(1.0).alias("ratio"))
+    return plain.unionByName(lines.filter("line_a <> line_b").select("doc", "line_no", align.ratio("line_a", "line_b").alias("ratio")))
+
+
+@query()
+def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = compare.summary(compare.diff_lines(_page_pairs(spark, sf_dir), "doc", "page_number"), "doc", "page_number")
+    percent = F.round(F.col("similarity") * 100, 1)
+    return df.withColumn("agreement_percent", percent).select("doc", "page_number", "similarity", "agreement_percent", compare.badge().alias("badge"))
+
+
+@query(f"SELECT doc, line_no - 1 AS row_no, CASE WHEN line_b IS NULL THEN 'only_a' ELSE 'changed' END AS kind FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY line_no) AS n FROM {_INVOICE} WHERE line_b IS NULL OR norm_b <> line_a) WHERE n <= 2")
+def disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.disagreements(compare.diff_lines(_invoice_pairs(spark, sf_dir), "doc"), "doc", limit=2).select("doc", "row_no", "kind")
+
+
+_ENGINE_TEXT = "(SELECT doc, engine_id, engine_ord, engine_status, string_agg(text, chr(10) || chr(10) ORDER BY page_number) FILTER (text <> '') AS text FROM {engines} GROUP BY ALL)"
+_USABLE = f"(SELECT * FROM {_ENGINE_TEXT} WHERE engine_status IN ('success', 'partial') AND NOT ({_blank('text')}))"
+
+
+def _engine_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.joined_text(fixture(spark, sf_dir, "engines"), "doc", "engine_id", "engine_ord", "engine_status")
+
+
+@query(f"SELECT doc, engine_id, CAST(engine_ord AS INTEGER) AS engine_ord, CAST(length(text) AS BIGINT) AS characters, CAST(len({_tokens('text')}) AS BIGINT) AS words, sha256(text) AS text_sha FROM {_ENGINE_TEXT} WHERE text IS NOT NULL")
+def engine_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _engine_texts(spark, sf_dir).select("doc", "engine_id", "engine_ord", F.length("text").cast("bigint").alias("characters"), T.word_count("text").alias("words"), F.sha2("text", 256).alias("text_sha"))
+
+
+@query(f"SELECT doc, engine_id, sha256(text) AS text_sha FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY engine_ord) AS n FROM {_USABLE}) WHERE n = 1")
+def fuse_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuse.prefer_primary(_engine_texts(spark, sf_dir), "doc").select("doc", "engine_id", F.sha2("text", 256).alias("text_sha"))
+
+
+@query(f"SELECT doc, engine_id, sha256(text) AS text_sha FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY length(text) DESC, engine_ord) AS n FROM {_USABLE}) WHERE n = 1")
+def fuse_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuse.prefer_longest(_engine_texts(spark, sf_dir), "doc").select("doc", "engine_id", F.sha2("text", 256).alias("text_sha"))
+
+
+@query(
+    f"""SELECT doc, string_agg(CASE WHEN length(norm_b) > length(line_a) THEN norm_b ELSE line_a END, chr(10) ORDER BY line_no) AS text, count(*) FILTER (norm_b = line_a) AS agreed, count(*) FILTER (norm_b <> line_a) AS reconciled, count(*) FILTER (line_b IS NULL) AS kept_single, CAST(0 AS BIGINT) AS repositioned,
+        count(*) FILTER (norm_b = line_a) || ' lines agreed, ' || count(*) FILTER (norm_b <> line_a) || ' reconciled, ' || count(*) FILTER (line_b IS NULL) || ' kept from a single engine.' AS detail FROM {_INVOICE} GROUP BY doc"""
+)
+def fuse_line_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuse.line_vote(_invoice_pairs(spark, sf_dir), "doc").withColumn("detail", fuse.merge_detail())
+
+
+_WORDS = "regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}_][\\p{{L}}\\p{{N}}_,.\\-/]*')"
+_FUSED = "(SELECT doc_id, reference AS text_a, hypothesis AS text_b, CASE doc_id % 5 WHEN 0 THEN hypothesis WHEN 1 THEN 'a summary of what this document says' WHEN 2 THEN substr(reference, 1, 60) WHEN 3 THEN '' ELSE lower(reference) END AS fused FROM {truth})"
+
+
+@query(
+    f"""WITH f AS (SELECT * FROM {_FUSED}), wf AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest({_WORDS.format(c='fused')}) AS word FROM f) GROUP BY ALL),
+        wa AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest({_WORDS.format(c='text_a')}) AS word FROM f) GROUP BY ALL), wb AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest({_WORDS.format(c='text_b')}) AS word FROM f) GROUP BY ALL),
+        c AS (SELECT doc_id, CAST(sum(least(wf.n, greatest(coalesce(wa.n, 0), coalesce(wb.n, 0)))) AS DOUBLE) / sum(wf.n) AS containment FROM wf LEFT JOIN wa USING (doc_id, word) LEFT JOIN wb USING (doc_id, word) GROUP BY doc_id),
+        r AS (SELECT f.doc_id, containment, CASE WHEN {_blank('fused')} THEN 'blank' WHEN containment IS NULL THEN 'no_words' WHEN containment < 0.75 THEN 'not_contained' WHEN least(length(text_a), length(text_b)) > 0 AND length(fused) < least(length(text_a), length(text_b)) * 0.5 THEN 'too_short' END AS rejected_for FROM f LEFT JOIN c USING (doc_id))
+    SELECT *, rejected_for IS NULL AS accepted FROM r"""
+)
+def fusion_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fused = F.expr("CASE doc_id % 5 WHEN 0 THEN hypothesis WHEN 1 THEN 'a summary of what this document says' WHEN 2 THEN substr(reference, 1, 60) WHEN 3 THEN '' ELSE lower(reference) END")
+    df = fixture(spark, sf_dir, "truth").select("doc_id", F.col("reference").alias("text_a"), F.col("hypothesis").alias("text_b"), fused.alias("fused"))
+    return fuse.guarded(df, "doc_id").select("doc_id", "containment", "rejected_for", "accepted")
+
+
+@query(
+    f"""SELECT doc, sha256({_strip('joined')}) AS text_sha, pages, contested FROM (SELECT doc, string_agg(text, chr(10) || chr(10) ORDER BY page_number) AS joined, count(*) AS pages, count(*) FILTER (readings > 1) AS contested FROM (
+        SELECT *, row_number() OVER (PARTITION BY doc, page_number ORDER BY length(text) DESC, engine_ord) AS n, count(*) OVER (PARTITION BY doc, page_number) AS readings FROM {{engines}} WHERE engine_status IN ('success', 'partial') AND status = 'success' AND NOT ({_blank('text')})) WHERE n = 1 GROUP BY doc)"""
+)
+def fuse_pagewise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuse.pagewise(fixture(spark, sf_dir, "engines"), "prefer_longest").select("doc", F.sha2("text", 256).alias("text_sha"), "pages", "contested")
+
+
+@query()
+def fuse_pagewise_line_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuse.pagewise(fixture(spark, sf_dir, "engines"), "line_vote").select("doc", F.sha2("text", 256).alias("text_sha"), "pages", "contested")
+
+
+@query(
+    f"""SELECT d.doc, sha256(CASE WHEN length(d.doc) % 2 = 0 THEN 'fused ' || d.doc ELSE coalesce(e.text, '') END) AS text_sha FROM (SELECT DISTINCT doc FROM {{engines}}) d LEFT JOIN (SELECT doc, arg_min(text, engine_ord) AS text FROM {_USABLE} GROUP BY doc) e USING (doc)"""
+)
+def final_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fixture(spark, sf_dir, "engines").select("doc").distinct()
+    fused = docs.select("doc", F.when(F.length("doc") % 2 == 0, F.concat(F.lit("fused "), "doc")).otherwise(" ").alias("text"))
+    return fuse.final_text(docs, fused, _engine_texts(spark, sf_dir)).select("doc", F.sha2("text", 256).alias("text_sha"))
+
+
+# --- accuracy -------------------------------------------------------------------------------------------
+
+
+def _fold(c: str) -> str:
+    kept = f"regexp_replace(lower({c}), '[^a-z0-9.,%$/:()\\-\\s]', ' ', 'g')"
+    return f"list_filter(list_transform(regexp_extract_all({kept}, '\\S+'), lambda t: regexp_replace(t, '^[.,:;()\\-/$%]+|[.,:;()\\-/$%]+$', '', 'g')), lambda t: t <> '')"
+
+
+_FIG = "regexp_extract_all({c}, '[0-9][0-9,]*(?:\\.[0-9]+)?')"
+_RECALL = f"CASE WHEN len(r) = 0 THEN 1 ELSE CAST(len(list_filter(r, lambda w: list_contains(h, w))) AS DOUBLE) / len(r) END"
+_FIGURES = f"""(SELECT doc_id, CAST(sum(least(r.n, coalesce(h.n, 0))) AS DOUBLE) / sum(r.n) AS figure_recall FROM (SELECT doc_id, f, count(*) AS n FROM (SELECT doc_id, unnest({_FIG.format(c='reference')}) AS f FROM {{truth}}) GROUP BY ALL) r
+    LEFT JOIN (SELECT doc_id, f, count(*) AS n FROM (SELECT doc_id, unnest({_FIG.format(c='hypothesis')}) AS f FROM {{truth}}) GROUP BY ALL) h USING (doc_id, f) GROUP BY doc_id)"""
+
+
+@query(f"SELECT doc_id, array_to_string({_fold('hypothesis')}, ' ') AS folded FROM {{truth}}")
+def fold_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture(spark, sf_dir, "truth").select("doc_id", F.array_join(T.fold("hypothesis"), " ").alias("folded"))
+
+
+@query(f"SELECT doc_id, {_RECALL} AS recall FROM (SELECT doc_id, {_fold('reference')} AS r, {_fold('hypothesis')} AS h FROM {{truth}})")
+def word_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return accuracy.word_recall_joined(fixture(spark, sf_dir, "truth"), "doc_id")
+
+
+@query(f"SELECT t.doc_id, coalesce(figure_recall, 1) AS figure_recall FROM documents t LEFT JOIN {_FIGURES} f USING (doc_id)")
+def figure_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return accuracy.figure_recall(fixture(spark, sf_dir, "truth"), "doc_id")
+
+
+def _lines_of_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ground truth line by line: what the matcher scores is a line, and pages of any length stay affordable."""
+    n = fixture(spark, sf_dir, "invoice_lines")
+    return n.select(F.concat_ws("-", "doc", "line_no").alias("key"), F.col("line_a").alias("reference"), F.coalesce("line_b", F.lit("")).alias("hypothesis"))
+
+
+@query()
+def error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return accuracy.error_rates(_lines_of_truth(spark, sf_dir), "key")
+
+
+_RANKED = f"(SELECT *, count(*) FILTER (good) OVER (PARTITION BY doc ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT *, usable AND word_count >= 60 AS good FROM {_assess('{pages}')}))"
+
+
+@query(f"SELECT doc, page_number, word_count AS words, sha256(cleaned) AS reference_sha FROM {_RANKED} WHERE good AND before < 3")
+def gold_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return accuracy.gold_set(fixture(spark, sf_dir, "pages")).select("doc", "page_number", "words", F.sha2("reference", 256).alias("reference_sha"))
+
+
+@query(f"SELECT count(*) FILTER (good) AS pages, count(DISTINCT doc) FILTER (good) AS documents, CAST(coalesce(sum(word_count) FILTER (good), 0) AS BIGINT) AS words, count(*) FILTER (NOT usable) AS skipped FROM {_RANKED} WHERE before < 3")
+def gold_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return accuracy.gold_summary(fixture(spark, sf_dir, "pages"))
+
+
+@query(
+    f"""SELECT source, count(*) AS pages, avg({_RECALL}) AS recall, avg(coalesce(figure_recall, 1)) AS figure_recall FROM (SELECT doc_id, source, {_fold('reference')} AS r, {_fold('hypothesis')} AS h FROM {{truth}}) LEFT JOIN {_FIGURES} USING (doc_id) GROUP BY source"""
+)
+def accuracy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = fixture(spark, sf_dir, "truth")
+    scores = t.select("doc_id", "source").join(accuracy.word_recall_joined(t, "doc_id"), "doc_id").join(accuracy.figure_recall(t, "doc_id"), "doc_id")
+    return accuracy.report(scores, "source")
+
+
+# --- reports --------------------------------------------------------------------------------------------
+
+_TOTALS = "(SELECT engine_id, count(*) AS pages, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, sum(seconds) AS seconds FROM {timings} GROUP BY engine_id)"
+
+
+@query(f"SELECT engine_id, pages, input_tokens, output_tokens, seconds, CASE WHEN input_tokens IS NULL AND output_tokens IS NULL THEN NULL ELSE coalesce(input_tokens, 0) + coalesce(output_tokens, 0) END AS total_tokens, CASE WHEN output_tokens > 0 AND seconds > 0 THEN output_tokens / seconds END AS tokens_per_second FROM {_TOTALS}")
+def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.token_totals(fixture(spark, sf_dir, "timings"), "engine_id")
+
+
+@query(
+    """SELECT engine_id, CAST(n AS BIGINT) AS measured, total / n AS mean, (v[CAST(floor((n - 1) / 2.0) AS INTEGER) + 1] + v[CAST(ceil((n - 1) / 2.0) AS INTEGER) + 1]) / 2 AS median, v[least(n - 1, CAST(round_even(0.9 * (n - 1), 0) AS BIGINT)) + 1] AS p90, v[least(n - 1, CAST(round_even(0.95 * (n - 1), 0) AS BIGINT)) + 1] AS p95, v[n] AS max
+    FROM (SELECT engine_id, count(*) AS n, sum(seconds) AS total, list_sort(list(seconds)) AS v FROM {timings} WHERE seconds IS NOT NULL GROUP BY engine_id)"""
+)
+def timing_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.percentiles(fixture(spark, sf_dir, "timings"), "engine_id")
+
+
+
+
+@query(
+    """SELECT count(*) AS documents, CAST(sum(pages) AS BIGINT) AS pages, CAST(sum(pages % 3) AS BIGINT) AS ocr_pages, CAST(sum(pages - pages % 3) AS BIGINT) AS pages_avoided, sum(seconds) AS seconds, CASE WHEN sum(seconds) > 0 AND sum(pages) > 0 THEN sum(pages) / sum(seconds) * 60 END AS pages_per_minute, max(CASE WHEN job % 5 = 0 THEN NULL ELSE CAST(job % 4096 AS DOUBLE) END) AS memory_mb FROM {jobs}"""
+)
+def benchmark_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = fixture(spark, sf_dir, "jobs").select("pages", (F.col("pages") % 3).alias("pages_needing_ocr"), (F.col("pages") - F.col("pages") % 3).alias("pages_avoided"), "seconds", F.when(F.col("job") % 5 != 0, (F.col("job") % 4096).cast("double")).alias("memory_mb"))
+    return reports.benchmark_totals(df)
+
+
+@query(
+    f"""SELECT engine_id, label, value FROM (SELECT engine_id, unnest(['Engine', 'Model', 'Status', 'Processing', 'Total time', 'Model load', 'Inference', 'Per page', 'Input tokens', 'Output tokens', 'Total tokens', 'Throughput', 'Pages', 'Characters', 'Words', 'Confidence']) AS label,
+        unnest([engine_id, 'N/A', 'Success', 'Local', dur, 'N/A', 'N/A', '2.50s', coalesce(format('{{:,}}', input_tokens), 'N/A'), coalesce(format('{{:,}}', output_tokens), 'N/A'), coalesce(format('{{:,}}', CASE WHEN input_tokens IS NULL AND output_tokens IS NULL THEN NULL ELSE coalesce(input_tokens, 0) + coalesce(output_tokens, 0) END), 'N/A'), CASE WHEN output_tokens IS NULL THEN 'N/A' ELSE '12.5 tok/s' END, format('{{:,}}', pages), '1,024', '256', '97.5%']) AS value
+    FROM (SELECT *, CASE WHEN pages * 2.5 < 60 THEN printf('%.2f', pages * 2.5) || 's' ELSE CAST(floor(pages * 2.5 / 60) AS BIGINT) || 'm ' || CAST(round_even(pages * 2.5 - 60 * floor(pages * 2.5 / 60), 0) AS INTEGER) || 's' END AS dur FROM {_TOTALS}))"""
+)
+def display_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = reports.token_totals(fixture(spark, sf_dir, "timings"), "engine_id")
+    none = F.lit(None).cast("double")
+    df = df.withColumns({
+        "doc": F.lit("all"), "engine_name": F.col("engine_id"), "model_name": F.lit(None).cast("string"), "backend": F.lit(None).cast("string"), "engine_status": F.lit("success"), "location": F.lit("local"), "seconds": F.col("pages") * 2.5,
+        "load_seconds": none, "inference_seconds": none, "tokens_per_second": F.when(F.col("output_tokens").isNotNull(), 12.5), "characters": F.lit(1024), "words": F.lit(256), "confidence": F.lit(0.975),
+    })
+    return reports.display_metrics(df, Output()).select("engine_id", "label", "value")
+
+
+@query(
+    f"""SELECT doc, pages, seconds, engines_run, engines_succeeded, engines_failed, input_tokens, output_tokens, seconds / pages AS average_seconds, CASE WHEN input_tokens IS NULL AND output_tokens IS NULL THEN NULL ELSE coalesce(input_tokens, 0) + coalesce(output_tokens, 0) END AS total_tokens
+    FROM (SELECT doc, CAST(sum(pages) AS BIGINT) AS pages, CAST(sum(pages) AS DOUBLE) * 2 AS seconds, count(*) AS engines_run, count(*) FILTER (engine_id <> 'click') AS engines_succeeded, count(*) FILTER (engine_id = 'click') AS engines_failed, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens
+          FROM (SELECT doc, engine_id, count(*) AS pages, sum(input_tokens) AS input_tokens, sum(output_tokens) AS output_tokens FROM {{timings}} GROUP BY ALL) GROUP BY doc)"""
+)
+def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = reports.token_totals(fixture(spark, sf_dir, "timings"), "doc", "engine_id").withColumn("engine_status", F.when(F.col("engine_id") == "click", "failed").otherwise("success"))
+    docs = e.groupBy("doc").agg(F.sum("pages").alias("pages"), (F.sum("pages") * 2.0).alias("seconds"))
+    fused = docs.select("doc", F.lit("x").alias("text"))
+    return reports.run_metrics(e, docs, fused).drop("final_characters", "final_words")
+
+
+@query("SELECT * FROM (VALUES ('fast', 96, 1600, 2048, false), ('balanced', 120, 2048, 3072, true), ('accurate', 150, 2048, 4096, true)) AS p(profile, render_dpi, max_dimension, max_tokens, fallback_enabled)")
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(n, p["render_dpi"], p["max_dimension"], p["max_tokens"], p["fallback_enabled"]) for n, p in PROFILES.items()], "profile string, render_dpi int, max_dimension int, max_tokens int, fallback_enabled boolean")
+
+
+# --- cache ----------------------------------------------------------------------------------------------
+
+_OPTIONS = {"prompt": "transcribe", "temperature": 0}
+_KEY = "sha256(encode({c}) || '\\x00'::BLOB || encode('qwen_vl') || '\\x00'::BLOB || encode('m') || '\\x00'::BLOB || encode('{{\"prompt\": \"transcribe\", \"temperature\": 0}}'))"
+_CACHE = f"""(SELECT DISTINCT ON (key) * FROM (SELECT {_KEY.format(c='text')} AS key, 'cached ' || doc_id AS cached_text, CAST(doc_id % 50 AS DOUBLE) AS saved, doc_id AS created_at FROM documents WHERE doc_id % 3 = 0) ORDER BY key, created_at DESC)"""
+_LOOKED = f"(SELECT d.doc_id, d.source, {_KEY.format(c='text')} AS key, c.key IS NOT NULL AS hit, c.cached_text, c.saved FROM documents d LEFT JOIN {_CACHE} c ON c.key = {_KEY.format(c='d.text')})"
+
+
+def _cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fixture(spark, sf_dir, "documents")
+    key = cache.page_key(F.col("text"), "qwen_vl", "m", _OPTIONS)
+    entries = docs.filter("doc_id % 3 = 0").select(
+        key.alias("key"), F.lit(cache.FORMAT).alias("format"), F.lit("qwen_vl").alias("provider_id"), F.lit("m").alias("model"), F.concat(F.lit("cached "), F.col("doc_id").cast("string")).alias("text"),
+        F.lit(None).cast("bigint").alias("input_tokens"), F.lit(None).cast("bigint").alias("output_tokens"), (F.col("doc_id") % 50).cast("double").alias("seconds"), F.col("doc_id").cast("double").alias("created_at"),
+    )
+    old = entries.withColumn("format", F.lit(0)).withColumn("created_at", F.col("created_at") + 1e9)
+    pages = docs.select(F.col("source").alias("doc"), F.col("doc_id").alias("page_number"), key.alias("key"))
+    return cache.lookup(pages, entries.unionByName(old))
+
+
+@query(f"SELECT doc_id AS page_number, key, hit, cached_text FROM {_LOOKED}")
+def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cached(spark, sf_dir).select("page_number", "key", "hit", "cached_text")
+
+
+@query(f"SELECT source AS doc, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, coalesce(sum(saved) FILTER (hit), 0) AS seconds_saved FROM {_LOOKED} GROUP BY source")
+def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cache.stats(_cached(spark, sf_dir), "doc")
+
+
+@query(f"SELECT source AS doc, doc_id AS page_number, CASE WHEN hit THEN cached_text ELSE 'fresh' END AS text, CASE WHEN hit THEN 'cache' ELSE 'engine' END AS origin, CASE WHEN hit THEN 0.0::DOUBLE ELSE 1.5::DOUBLE END AS seconds, 'success' AS status FROM {_LOOKED}")
+def cache_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    looked = _cached(spark, sf_dir)
+    fresh = looked.filter("not hit").select("doc", "page_number", F.lit("fresh").alias("text"), F.lit("success").alias("status"), F.lit(1.5).alias("seconds"))
+    return cache.merged(looked, fresh)
+
+
+# --- batch ----------------------------------------------------------------------------------------------
+
+_KNOWN = "(SELECT source, arg_max(state, job) AS state, arg_max(pages, job) AS pages, arg_max(seconds, job) AS seconds FROM {jobs} GROUP BY source)"
+
+
+@query(f"SELECT f.source, coalesce(k.state, 'queued') AS state, coalesce(k.pages, 0) AS pages, coalesce(k.seconds, 0) AS seconds FROM (SELECT DISTINCT replace(source, 'file1', 'new1') AS source FROM {{jobs}}) f LEFT JOIN {_KNOWN} k USING (source)")
+def batch_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = fixture(spark, sf_dir, "jobs")
+    known = jobs.groupBy("source").agg(*(F.max_by(c, "job").alias(c) for c in ("state", "pages", "seconds")))
+    return batch.reconciled(jobs.select(F.replace("source", F.lit("file1"), F.lit("new1")).alias("source")), known)
+
+
+_FIN = "state IN ('completed', 'review_required', 'failed', 'cancelled')"
+
+
+@query(
+    f"""SELECT folder, count(*) AS documents_total, count(*) FILTER ({_FIN}) AS documents_completed, {', '.join(f"count(*) FILTER (state = '{s}') AS {s}" for s in batch.STATES)}, CAST(coalesce(sum(pages) FILTER ({_FIN}), 0) AS BIGINT) AS pages_completed, coalesce(sum(seconds), 0) AS elapsed_seconds,
+        CASE WHEN sum(seconds) > 0 AND sum(pages) FILTER ({_FIN}) > 0 THEN sum(pages) FILTER ({_FIN}) / sum(seconds) * 60 END AS pages_per_minute, CASE WHEN count(*) FILTER ({_FIN} AND pages > 0) > 0 AND count(*) FILTER (NOT {_FIN}) > 0 THEN sum(seconds) FILTER ({_FIN} AND pages > 0) / count(*) FILTER ({_FIN} AND pages > 0) * count(*) FILTER (NOT {_FIN}) END AS remaining_seconds
+    FROM {{jobs}} GROUP BY folder"""
+)
+def batch_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batch.progress(fixture(spark, sf_dir, "jobs"), "folder")
+
+
+@query(
+    """SELECT job, CASE WHEN attempts <= 1 THEN 'processing' ELSE 'retrying' END AS started, CASE WHEN load_error IS NOT NULL THEN 'failed' WHEN run_error IS NOT NULL THEN CASE WHEN attempts >= 2 THEN 'failed' ELSE 'retrying' END WHEN flagged > 0 THEN 'review_required' ELSE 'completed' END AS state FROM {jobs}"""
+)
+def batch_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = fixture(spark, sf_dir, "jobs")
+    return df.select("job", batch.started_state(F.col("attempts")).alias("started"), batch.next_state(F.col("load_error"), F.col("run_error"), F.col("flagged"), F.col("attempts")).alias("state"))
+
+
+@query(
+    """SELECT source, stem || CASE WHEN n > 0 THEN '_' || n ELSE '' END || '.txt' AS output FROM (SELECT source, stem, row_number() OVER (PARTITION BY stem ORDER BY source) - 1 AS n FROM (SELECT DISTINCT source, regexp_replace(regexp_extract(source, '[^/]+$'), '\\.[^.]*$', '') AS stem FROM {jobs}))"""
+)
+def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batch.output_names(fixture(spark, sf_dir, "jobs").select("source").distinct())
+
+
+@query(
+    """SELECT job, CASE WHEN s IS NULL THEN 'n/a' WHEN s >= 3600 THEN (s // 3600) || 'h ' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') || 'm' WHEN s >= 60 THEN (s // 60) || 'm ' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') || 's' ELSE s || 's' END AS elapsed FROM (SELECT job, CASE WHEN job % 10 = 0 THEN NULL ELSE CAST(seconds * 40 AS BIGINT) END AS s FROM {jobs})"""
+)
+def elapsed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture(spark, sf_dir, "jobs").select("job", batch.elapsed_text(F.when(F.col("job") % 10 != 0, F.col("seconds") * 40)).alias("elapsed"))
+
+
+# --- exports, chat, log -----------------------------------------------------------------------------------
+
+
+@query(
+    f"""SELECT doc, engine, page, status, characters, words, text_sha FROM (
+        SELECT doc, upper(engine_id) AS engine, CAST(page_number AS VARCHAR) AS page, status, CAST(length(text) AS VARCHAR) AS characters, CAST(len({_tokens('text')}) AS VARCHAR) AS words, sha256(text) AS text_sha FROM {{engines}}
+        UNION ALL SELECT doc, 'Final (line_vote)', '', 'success', CAST(length(doc) AS VARCHAR), '1', sha256(doc) FROM (SELECT DISTINCT doc FROM {{engines}})
+        UNION ALL SELECT doc, 'IDLE', '', 'failed', 'N/A', 'N/A', sha256('') FROM (SELECT DISTINCT doc FROM {{engines}}))"""
+)
+def csv_export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = fixture(spark, sf_dir, "engines")
+    docs = e.select("doc").distinct()
+    named = e.select("doc", "engine_id", "engine_ord", "engine_status").distinct().unionByName(docs.select("doc", F.lit("idle").alias("engine_id"), F.lit(9).alias("engine_ord"), F.lit("failed").alias("engine_status")))
+    none = {c: F.lit(None).cast(t) for c, t in (("seconds", "double"), ("input_tokens", "bigint"), ("output_tokens", "bigint"), ("confidence", "double"), ("error", "string"))}
+    engines = named.withColumns({"engine_name": F.upper("engine_id"), "model_name": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
+    rows = export.csv_rows(engines, e.withColumns(none), docs.select("doc", F.lit("line_vote").alias("strategy"), F.col("doc").alias("text")))
+    return rows.select("doc", "engine", "page", "status", "characters", "words", F.sha2("text", 256).alias("text_sha"))
+
+
+@query(
+    r"""SELECT key, CASE WHEN regexp_matches(tag, '^[A-Za-z_]') THEN tag ELSE '_' || tag END AS tag, CASE WHEN key LIKE '%ies' AND length(key) > 3 THEN substr(key, 1, length(key) - 3) || 'y' WHEN key LIKE '%s' AND key NOT LIKE '%ss' AND length(key) > 1 THEN substr(key, 1, length(key) - 1) ELSE 'item' END AS entry, replace(replace(key, '|', '\|'), chr(10), ' ') AS cell
+    FROM (SELECT DISTINCT key, regexp_replace(key, '[^A-Za-z0-9_.\-]', '_', 'g') AS tag FROM (SELECT c_mktsegment || 's' AS key FROM customer UNION ALL SELECT c_name FROM customer UNION ALL SELECT 'entries' UNION ALL SELECT 'class' UNION ALL SELECT '9 lives|x' UNION ALL SELECT 's'))"""
+)
+def export_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = fixture(spark, sf_dir, "customer")
+    keys = c.select(F.concat("c_mktsegment", F.lit("s")).alias("key")).unionByName(c.select(F.col("c_name").alias("key"))).unionByName(spark.createDataFrame([("entries",), ("class",), ("9 lives|x",), ("s",)], "key string")).distinct()
+    return keys.select("key", export.xml_tag("key").alias("tag"), export.singular("key").alias("entry"), export.cell("key").alias("cell"))
+
+
+@query()
+def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = fixture(spark, sf_dir, "engines")
+    none = {c: F.lit(None).cast(t) for c, t in (("seconds", "double"), ("input_tokens", "bigint"), ("output_tokens", "bigint"), ("confidence", "double"), ("error", "string"))}
+    engines = e.select("doc", "engine_id", "engine_ord", "engine_status").distinct().withColumns({"engine_name": F.upper("engine_id"), "model_name": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
+    docs = e.select("doc").distinct().withColumn("filename", F.concat("doc", F.lit(".pdf")))
+    fused = fuse.pagewise(e, "prefer_longest").select("doc", "text", F.lit("pagewise").alias("strategy"))
+    return export.export_record(docs, engines, e.withColumns(none), fused)
+
+
+@query(
+    """SELECT doc_id, CASE WHEN length(text) > 1500 THEN substr(text, 1, 900) || chr(10) || chr(10) || '[... ' || format('{:,}', length(text) - 1500) || ' characters omitted from the middle of the document ...]' || chr(10) || chr(10) || right(text, 600) ELSE text END AS context, length(text) > 1500 AS trimmed FROM documents"""
+)
+def chat_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    context, cut = chat.trimmed("text", 1500)
+    return fixture(spark, sf_dir, "documents").select("doc_id", context.alias("context"), cut.alias("trimmed"))
+
+
+@query(
+    """WITH s AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS answer FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), e AS (SELECT conv_id, turn, text AS question, answer FROM s WHERE role = 'user' AND next_role = 'assistant' AND answer IS NOT NULL)
+    SELECT conv_id, string_agg('Q: ' || question || chr(10) || 'A: ' || answer, chr(10) ORDER BY turn) AS history FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM e) WHERE n <= 2 GROUP BY conv_id"""
+)
+def chat_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.history(chat.exchanges(fixture(spark, sf_dir, "conversations")), 2)
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN {_blank('q')} THEN 'Ask a question about the document.' WHEN turn % 5 = 4 THEN 'There is no transcription to ask about yet.' END AS error FROM (SELECT conv_id, turn, role, CASE WHEN conv_id % 9 = 0 THEN '  ' ELSE text END AS q FROM conversations)")
+def chat_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = fixture(spark, sf_dir, "conversations").withColumn("q", F.when(F.col("conv_id") % 9 == 0, "  ").otherwise(F.col("text"))).withColumn("t", F.when(F.col("turn") % 5 != 4, F.lit("x")).otherwise(""))
+    return df.select("conv_id", "turn", chat.validation(F.col("q"), F.col("t")).alias("error"))
+
+
+@query(f"SELECT event_id, '[' || strftime(ts, '%H:%M:%S') || '] ' || event_type AS line, format('{{:,}}', length(props)) || ' characters, ' || format('{{:,}}', len({_tokens('props')})) || ' words' AS summary FROM events")
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = fixture(spark, sf_dir, "events")
+    return df.select("event_id", events.line(F.col("ts"), F.col("event_type")).alias("line"), events.text_summary("props").alias("summary"))
