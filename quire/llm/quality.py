@@ -9,7 +9,6 @@ nearest vote with their similarities as weights.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -28,55 +27,81 @@ FEATURES = SHAPES + WORDS + MEASURES
 BLOCK = 256
 
 
+_CLASSES = [(regex.compile(p), c) for p, c in ((r"\p{Lu}\p{Lu}+", "\x01"), (r"\p{Lu}", "\x02"), (r"\p{L}+", "\x03"), (r"\d+", "\x04"))]
+_REPEATS = regex.compile(r"(.)\1{3,}")
+_MARKS = ".,;:!?*&%$#|\"')]}"
+
+
 def shape(word: str) -> str:
     """Runs of letters and digits as classes, everything else as it is, repeats up to three kept."""
-    s = word[:64].replace("A", "Z")
-    s = regex.sub(r"\p{Lu}\p{Lu}+", "\x01", s)
-    s = regex.sub(r"\p{Lu}", "\x02", s)
-    s = regex.sub(r"\p{L}+", "\x03", s)
-    s = regex.sub(r"\d+", "\x04", s)
-    return regex.sub(r"(.)\1{3,}", r"\1\1\1", s)
+    s = word[:64]
+    core = s.rstrip(_MARKS)
+    if core.isalpha() and len(core) > 1:  # most words: letters, then marks
+        low = core.lower()
+        if core == low:
+            return "\x03" + _REPEATS.sub(r"\1\1\1", s[len(core) :])
+        if core[1:] == low[1:]:
+            return "\x02\x03" + _REPEATS.sub(r"\1\1\1", s[len(core) :])
+    for pattern, name in _CLASSES:
+        s = pattern.sub(name, s)
+    return _REPEATS.sub(r"\1\1\1", s)
 
 
 class Features:
-    """Counts of a text, as a dense vector of FEATURES cells."""
+    """Counts and measures of a text, as a dense vector of FEATURES cells.
+
+    What a word contributes is found once and kept: its shape's cell, its own cell, a number that
+    ignores case, and whether it ends in two marks or is in capitals.
+    """
 
     def __init__(self, memo: int = 400_000):
-        self._memo: dict[str, tuple[int, int]] = {}
         self._limit = memo
-
-    def _cells(self, w: str) -> tuple[int, int]:
-        found = (zlib.crc32(shape(w).encode("utf-8", "replace")) % SHAPES, SHAPES + zlib.crc32(w.strip(".,;:!?").lower().encode("utf-8", "replace")) % WORDS)
-        if len(w) <= 64:
-            self._memo[w] = found
-        return found
+        self._clear()
+
+    def _clear(self):
+        self._no: dict[str, int] = {}
+        self._about = np.zeros((4096, 5), dtype=np.int64)
+
+    def _number(self, w: str) -> int:
+        n = len(self._no)
+        if n == len(self._about):
+            self._about = np.vstack([self._about, np.zeros_like(self._about)])
+        low, shaped = w.lower(), shape(w)
+        marks = len(w) > 1 and not w[-1].isalnum() and not w[-2].isalnum()
+        code = zlib.crc32(low.encode("utf-8", "replace"))
+        own = zlib.crc32(low.strip(".,;:!?").encode("utf-8", "replace")) % WORDS
+        self._about[n] = (zlib.crc32(shaped.encode("utf-8", "replace")) % SHAPES, SHAPES + own, code, marks, w.isupper())
+        self._no[w] = n
+        return n
 
     def vector(self, text: str | None) -> np.ndarray:
         text = text or ""
-        if len(self._memo) > self._limit:
-            self._memo.clear()
-        words, memo = text.split(), self._memo
-        cells = [memo.get(w) or self._cells(w) for w in words]
-        out = np.bincount(np.array(cells, dtype=np.intp).ravel(), minlength=FEATURES).astype(np.float64) if cells else np.zeros(FEATURES)
-        np.log1p(out, out)
-        out /= max(1e-12, np.linalg.norm(out))
-        for i, v in enumerate(self._measures(text, words)):
+        if len(self._no) > self._limit:
+            self._clear()
+        words, get = text.split(), self._no.get
+        if not words:
+            return np.zeros(FEATURES)
+        at = [get(w, -1) for w in words]
+        if -1 in at:
+            at = [self._number(w) if i < 0 and w not in self._no else self._no[w] for w, i in zip(words, at, strict=True)]
+        at = np.array(at, dtype=np.intp)
+        about = self._about[at]
+        out = np.bincount(about[:, :2].ravel(), minlength=FEATURES).astype(np.float64)
+        hit = np.flatnonzero(out)
+        out[hit] = np.log1p(out[hit])
+        out /= max(1e-12, np.sqrt(np.dot(out, out)))
+        for i, v in enumerate(self._measures(text, at, about)):
             out[SHAPES + WORDS + 8 * i + min(7, int(v * 8))] = 0.35
-        return out if words else np.zeros(FEATURES)
+        return out
 
     @staticmethod
-    def _measures(text: str, words: list[str]) -> list[float]:
+    def _measures(text: str, at: np.ndarray, about: np.ndarray) -> list[float]:
         """Shares between 0 and 1: length, distinct words, most frequent word, repeated lines and word pairs, marks, capitals, words said twice."""
-        n = len(words)
-        if not n:
-            return [0.0] * 8
-        lines = [x for x in text.split("\n") if x.strip()]
-        counts = Counter(words)
-        pairs = len(set(zip(words, words[1:], strict=False)))
-        twice = sum(a == b or a.lower() == b.lower() for a, b in zip(words, words[1:], strict=False))
-        upper = sum(map(str.isupper, words)) / n
-        marks = sum(1 for w in counts.elements() if not w[-1].isalnum() and len(w) > 1 and not w[-2].isalnum()) / n
-        return [min(1.0, np.log10(n + 1) / 4), len(counts) / n, counts.most_common(1)[0][1] / n, 1 - len(set(lines)) / max(1, len(lines)), 1 - pairs / max(1, n - 1), marks, upper, twice / n]
+        n, lines = len(at), [x for x in text.split("\n") if x.strip()]
+        counts = np.unique(at, return_counts=True)[1]
+        pairs = len(np.unique(at[:-1] * (1 << 32) + at[1:]))
+        twice = int((about[1:, 2] == about[:-1, 2]).sum())
+        return [min(1.0, np.log10(n + 1) / 4), len(counts) / n, counts.max() / n, 1 - len(set(lines)) / max(1, len(lines)), 1 - pairs / max(1, n - 1), about[:, 3].sum() / n, about[:, 4].sum() / n, twice / n]
 
 
 class Voters:
@@ -151,6 +176,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int
     return found.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("text").alias("text"))
 
 
+#: A worker process keeps what it knows of words from task to task.
+_worker: dict[str, Features] = {}
+
+
 def score_quality(docs: DataFrame, labelled: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.3) -> DataFrame:
     """``keep`` columns, ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on) for every row of ``docs``.
 
@@ -162,7 +191,7 @@ def score_quality(docs: DataFrame, labelled: DataFrame, *, text: str = "text", k
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double, predicted int"])
 
     def run(batches):
-        model, f = shipped.value, Features()
+        model, f = shipped.value, _worker.setdefault("features", Features())
         for batch in batches:
             for lo in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(lo, BLOCK)
