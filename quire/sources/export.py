@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,9 +76,25 @@ def csv_rows(engines: DataFrame, pages: DataFrame, fused: DataFrame, show: Outpu
     return rows.unionByName(last)
 
 
+def csv_line(columns: list[str]) -> Column:
+    """One CSV line: every field quoted, line ends inside fields as they are."""
+    quoted = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in columns]
+    return F.concat_ws(",", *quoted)
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
-    """All fields quoted, CRLF line ends."""
-    rows.write.option("header", "true").option("quoteAll", "true").option("escape", '"').option("lineSep", "\r\n").csv(path)
+    """All fields quoted, CRLF line ends, a header in each file.
+
+    Spark's own CSV writer would turn line ends inside fields into its line separator.
+    """
+    ship(rows.sparkSession)
+    header = ",".join(f'"{c}"' for c in rows.columns)
+
+    def run(batches):
+        yield pa.RecordBatch.from_pydict({"value": pa.array([header], pa.string())})
+        yield from batches
+
+    rows.select(csv_line(rows.columns).alias("value")).mapInArrow(run, "value string").write.option("lineSep", "\r\n").text(path)
 
 
 def write_texts(texts: DataFrame, path: str, column: str = "text") -> None:

@@ -18,7 +18,8 @@ def run_new_files(spark: SparkSession, source: str, checkpoint: str, output: str
     """
 
     def keep(batch: DataFrame, number: int) -> None:
-        process(batch).write.mode("overwrite").parquet(f"{output}/batch={number}")
+        found = batch.selectExpr("path", "content", "length as size_bytes", "modificationTime as modified")
+        process(found).write.mode("overwrite").parquet(f"{output}/batch={number}")
 
     stream = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch).load(source)
     return stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
