@@ -92,7 +92,7 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
     def run(batches):
         yield pa.RecordBatch.from_pydict({"value": pa.array([header], pa.string())})
-        yield from batches
+        yield from (pa.RecordBatch.from_arrays(b.columns, ["value"]) for b in batches)
 
     rows.select(csv_line(rows.columns).alias("value")).mapInArrow(run, "value string").write.option("lineSep", "\r\n").text(path)
 
