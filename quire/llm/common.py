@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,45 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds)
 
 
+_state: dict = {}
+
+
+def worker_state(tag: str, make):
+    """What this worker process keeps from task to task for one query; the next query's replaces it."""
+    if tag not in _state:
+        _state.clear()
+        _state[tag] = make()
+    return _state[tag]
+
+
+def slices(texts, rows: int, size: int = 2 << 20):
+    """(begin, length) of consecutive parts of an Arrow column of texts: up to ``rows`` texts and about ``size`` bytes each, one text at least."""
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends = lengths.cumsum()
+    lo = 0
+    while lo < len(lengths):
+        before = ends[lo - 1] if lo else 0
+        hi = min(lo + rows, max(lo + 1, int(ends.searchsorted(before + size, side="right"))))
+        yield lo, hi - lo
+        lo = hi
+
+
 def tasks(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver collect what it no longer refers to, so that Spark removes those shuffle files now and not at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table made by ``written`` that nothing will read again."""
+    spark = df.sparkSession
+    jvm, paths = spark.sparkContext._jvm, {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        if "/quire/" in path:
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

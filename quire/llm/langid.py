@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import written
+from quire.llm.common import slices, worker_state, written
 
 #: Documents of a language that the fit uses, about (those with the smallest hashes of their ids).
 TRAIN_DOCS = 3000
@@ -201,7 +201,7 @@ def fit(train: DataFrame, model: str, *, train_docs: int = TRAIN_DOCS, rounds: i
 class Scorer:
     """Scores texts; what a word or a chunk between white spaces adds is kept for the next time it is met."""
 
-    def __init__(self, model: Pieces, memo: int = 800_000):
+    def __init__(self, model: Pieces, memo: int = 500_000):
         self.model, self.limit = model, memo
         self._clear()
 
@@ -253,17 +253,14 @@ class Scorer:
         return out
 
 
-_worker: dict[str, Scorer] = {}
-
-
 def accepted(docs: DataFrame, train: DataFrame, model: str, **options) -> DataFrame:
     """The rows of ``docs``, all columns kept, whose language is not ``und``."""
-    found = identify(docs, train, model, keep=tuple(docs.columns), **options)
-    return found.filter(found["lang_pred"] != UNDETERMINED).select(*docs.columns)
+    found = identify(docs, train, model, keep=tuple(docs.columns), names=("__lang", "__score"), **options)
+    return found.filter(F.col("__lang") != UNDETERMINED).select(*(found[f"`{c}`"] for c in docs.columns))
 
 
-def identify(docs: DataFrame, train: DataFrame, model: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """``keep`` columns, ``lang_pred`` and ``score`` for every row of ``docs``.
+def identify(docs: DataFrame, train: DataFrame, model: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score"), train_docs: int = TRAIN_DOCS) -> DataFrame:
+    """``keep`` columns, ``lang_pred`` and ``score`` (or other ``names``) for every row of ``docs``.
 
     ``model`` is the path of a public sentencepiece vocabulary. Null text and text without a letter
     are ``und`` with score 0, as is everything when ``train`` has no labelled row. Texts are scored
@@ -271,17 +268,17 @@ def identify(docs: DataFrame, train: DataFrame, model: str, *, text: str = "text
     ``text`` are never read.
     """
     source = text if text in keep else "__text"
-    shipped, tag, names = docs.sparkSession.sparkContext.broadcast(fit(train, model, train_docs=train_docs)), uuid.uuid4().hex, list(keep)
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double"])
+    shipped, tag, kept = docs.sparkSession.sparkContext.broadcast(fit(train, model, train_docs=train_docs)), uuid.uuid4().hex, list(keep)
+    as_lang, as_score = names
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"{as_lang} string, {as_score} double"])
 
     def run(batches):
-        if tag not in _worker:
-            _worker.clear()
-            _worker[tag] = Scorer(shipped.value)
-        scorer = _worker[tag]
+        scorer = worker_state(tag, lambda: Scorer(shipped.value))
         for batch in batches:
-            found = [f for lo in range(0, batch.num_rows, 256) for f in scorer.scores(batch.column(source).slice(lo, 256).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*names, "lang_pred", "score"])
+            for lo, rows in slices(batch.column(source), 256):
+                part = batch.slice(lo, rows)
+                found = scorer.scores(part.column(source).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*kept, as_lang, as_score])
 
     extra = [] if text in keep else [F.col(text).alias(source)]
-    return docs.select(*names, *extra).mapInArrow(run, schema)
+    return docs.select(*kept, *extra).mapInArrow(run, schema)

@@ -8,6 +8,7 @@ nearest vote with their similarities as weights.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -16,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import slices, worker_state
+
 #: Labelled rows that the fit uses at most (those with the smallest hashes of their ids).
 SAMPLE = 4096
 #: Latent axes, and neighbours that vote.
@@ -176,10 +179,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int
     return found.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("text").alias("text"))
 
 
-#: A worker process keeps what it knows of words from task to task.
-_worker: dict[str, Features] = {}
-
-
 def score_quality(docs: DataFrame, labelled: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.3) -> DataFrame:
     """``keep`` columns, ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on) for every row of ``docs``.
 
@@ -187,14 +186,14 @@ def score_quality(docs: DataFrame, labelled: DataFrame, *, text: str = "text", k
     everything when nothing is labelled similar; without any labelled row that share is 0.5. Texts
     are read whole. Repeated rows get equal scores; columns beyond ``keep`` and ``text`` are not read.
     """
-    shipped, names = docs.sparkSession.sparkContext.broadcast(fit(labelled)), list(keep)
+    shipped, names, tag = docs.sparkSession.sparkContext.broadcast(fit(labelled)), list(keep), uuid.uuid4().hex
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double, predicted int"])
 
     def run(batches):
-        model, f = shipped.value, _worker.setdefault("features", Features())
+        model, f = shipped.value, worker_state(tag, Features)
         for batch in batches:
-            for lo in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(lo, BLOCK)
+            for lo, rows in slices(batch.column("__text"), BLOCK):
+                part = batch.slice(lo, rows)
                 scores = model.scores(np.array([f.vector(t.as_py()) for t in part.column("__text")]))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32), pa.int32())], [*names, "score", "predicted"])
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import slices, worker_state
+
 #: Texts above this many characters are encoded in chunks.
 CHUNK_CHARS = 1 << 16
 #: Characters that neighbouring chunks share at first.
@@ -79,7 +82,7 @@ class JsonCounter:
         if len(memo) > self._limit:
             memo.clear()
         # str.split() also cuts at four control characters that are not white space to the vocabulary
-        words = [t.split() if _CONTROLS.isdisjoint(t) else t.split(" ") for t in texts]
+        words = [t.split(" ") if any(c in t for c in _CONTROLS) else t.split() for t in texts]
         new = list({w for ws in words for w in ws if w not in memo})
         memo.update(zip(new, self._encode(new), strict=True))
         found = [sum([memo[w] for w in ws]) for ws in words]
@@ -166,7 +169,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, text: str = "text", keep: t
     an empty result; other columns are ignored, whatever their names.
     """
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "n_bytes long", "n_tokens long", "over_limit boolean"])
-    names = list(keep)
+    names, tag = list(keep), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -174,7 +177,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, text: str = "text", keep: t
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         model = None
         if tokenizer.endswith(".json"):
-            encode, counter = json_encoder(tokenizer), JsonCounter(tokenizer)
+            encode, counter = json_encoder(tokenizer), worker_state(tag, lambda: JsonCounter(tokenizer))
         else:
             import sentencepiece
 
@@ -182,8 +185,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, text: str = "text", keep: t
         for batch in batches:
             n_bytes, n_tokens = [], []
             column = batch.column("text")
-            for lo in range(0, len(column), 256):  # few texts at a time: encodings are larger than texts
-                texts = [t or "" for t in column[lo : lo + 256].to_pylist()]
+            for lo, rows in slices(column, 256):  # few texts at a time: encodings are larger than texts
+                texts = [t or "" for t in column.slice(lo, rows).to_pylist()]
                 n_bytes += [len(t.encode("utf-8", "surrogatepass")) for t in texts]
                 if model is not None:
                     n_tokens += [len(model.encode(t, num_threads=1)) for t in texts]
