@@ -17,26 +17,35 @@ import heapq
 import itertools
 import json
 import mmap
+import re
 import struct
 import tempfile
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import slices, tidy, worker_state, written
+
 #: Frequent pieces that the automaton holds at most.
-LEXICON_SIZE = 131_072
+LEXICON_SIZE = 1 << 18
 #: Pieces longer than this many bytes are not put into the automaton.
 LEXICON_BYTES = 64
+#: Texts, and bytes of them, whose words are looked up at once.
+SLICE, SLICE_BYTES = 4096, 4 << 20
 #: Distinct pieces that a counting task holds before it passes its counts on.
-FLUSH = 200_000
+FLUSH = 500_000
 
 _SPACES = regex.compile(r"\p{White_Space}+")
-_SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
+#: Characters beyond ASCII's six that some rule takes for white space.
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
 
 
 def byte_letters() -> list[str]:
@@ -57,7 +66,11 @@ class Merges:
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.rank = {(self.vocab[a], self.vocab[b]): (r, self.vocab[a + b]) for r, (a, b) in enumerate(pairs)}
+        # a pair of ids as one number -> rank; rank -> the id that the pair becomes
+        self.rank, self.becomes = {}, []
+        for r, (a, b) in enumerate(pairs):
+            self.rank[self.vocab[a] << 32 | self.vocab[b]] = r
+            self.becomes.append(self.vocab[a + b])
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.texts = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
         self.letters = byte_letters()
@@ -75,15 +88,34 @@ class Merges:
                 at = m.end()
         yield False, text[at:]
 
+    @staticmethod
+    def normal(segment: str) -> str:
+        """The segment in composed form and lower case, letter by letter (no rule for word ends)."""
+        s = segment if segment.isascii() else unicodedata.normalize("NFC", segment).replace("Σ", "σ")
+        return s.lower()
+
     def chunks(self, segment: str) -> list[str]:
         """The normalised segment cut at white space; no piece crosses these cuts."""
-        s = unicodedata.normalize("NFC", segment)
-        if "Σ" in s:  # lower case letter by letter, without the rule for word ends
-            s = s.replace("Σ", "σ")
-        s = s.lower()
-        if _SEPARATORS.isdisjoint(s):
-            return s.split()
-        return [c for c in _SPACES.split(s) if c]
+        s = self.normal(segment)
+        return s.split() if not _ODD.search(s) else [c for c in _SPACES.split(s) if c]
+
+    def split(self, texts: list[str | None]) -> tuple[pa.Array, np.ndarray, dict[int, str]]:
+        """(chunks of all texts one after the other, where each text's begin and end, texts that need care).
+
+        Texts with added tokens or with white space that not all split alike are left out of the
+        first two and come back in the third.
+        """
+        plain, apart = [], {}
+        for i, t in enumerate(texts):
+            s = self.normal(t).strip(" \t\n\r\x0b\x0c") if t else ""
+            if s and ("<|" in t or _ODD.search(s)):
+                apart[i], s = t, ""
+            plain.append(s)
+        lists = pc.utf8_split_whitespace(pa.array(plain, pa.string()))
+        full = np.array([len(s) > 0 for s in plain], bool)
+        lists = pc.if_else(pa.array(full, pa.bool_()), lists, pa.scalar([], lists.type)) if not full.all() else lists
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        return lists.flatten(), np.concatenate([[0], np.cumsum(sizes)]), apart
 
     def merge(self, piece: str) -> list[int]:
         """Ids of one piece: letters joined pair by pair, lowest rank first, leftmost first."""
@@ -91,33 +123,51 @@ class Merges:
         if not symbols:
             return []
         symbols[-1] += self.suffix
-        ids: list[int | None] = [self.vocab[s] for s in symbols if s in self.vocab]
-        n = len(ids)
+        ids = [self.vocab[s] for s in symbols if s in self.vocab]
+        return self._merge_short(ids) if len(ids) <= 64 else self._merge_long(ids)
+
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        """Merge in place: the smallest of all pair ranks, found anew after each merge."""
+        get, none = self.rank.get, len(self.becomes)
+        ranks = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks:
+            r = min(ranks)
+            if r == none:
+                break
+            i = ranks.index(r)
+            ids[i] = self.becomes[r]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << 32 | ids[i], none)
+            if i < len(ranks):
+                ranks[i] = get(ids[i] << 32 | ids[i + 1], none)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap of pairs and linked places: n log n for pieces of any length."""
+        n, gone = len(ids), -1
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         heap = []
+
+        def push(i: int, j: int) -> None:
+            r = self.rank.get(ids[i] << 32 | ids[j])
+            if r is not None:
+                heapq.heappush(heap, (r, i, ids[i], ids[j]))
+
         for i in range(n - 1):
-            found = self.rank.get((ids[i], ids[i + 1]))
-            if found:
-                heap.append((found[0], i, found[1], ids[i], ids[i + 1]))
-        heapq.heapify(heap)
+            push(i, i + 1)
         while heap:
-            _, i, new, a, b = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = right[i]
             if ids[i] != a or j >= n or ids[j] != b:
                 continue
-            ids[i], ids[j] = new, None
-            right[i] = right[j]
+            ids[i], ids[j], right[i] = self.becomes[r], gone, right[j]
             if right[i] < n:
                 left[right[i]] = i
-                found = self.rank.get((new, ids[right[i]]))
-                if found:
-                    heapq.heappush(heap, (found[0], i, found[1], new, ids[right[i]]))
+                push(i, right[i])
             if left[i] >= 0:
-                k = left[i]
-                found = self.rank.get((ids[k], new))
-                if found:
-                    heapq.heappush(heap, (found[0], k, found[1], ids[k], new))
-        return [x for x in ids if x is not None]
+                push(left[i], i)
+        return [x for x in ids if x != gone]
 
 
 # --- the automaton ------------------------------------------------------------------------------
@@ -198,17 +248,19 @@ def compile_lexicon(entries: Iterable[tuple[bytes, list[int]]]) -> bytes:
             pool.extend((len(ids), *ids))
         return where[ids]
 
-    first, labels, targets, outs, ends = [0], bytearray(), [], [], []
-    for final, out, arcs in table:
-        ends.append(put(out) if final else 0xFFFFFFFF)
-        for b, t, o in arcs:
-            labels.append(b)
-            targets.append(t)
-            outs.append(put(o))
-        first.append(len(labels))
-    pad = -len(labels) % 4
-    head = struct.pack("<4I", root, len(table), len(labels) + pad, len(pool))
-    return b"".join([head, *(struct.pack(f"<{len(x)}I", *x) for x in (first, ends, targets + [0] * pad, outs + [0] * pad, pool)), bytes(labels) + b"\0" * pad])
+    keys, targets, outs, ends = [], [], [], []
+    for state, (final, out, arcs) in enumerate(table):
+        ends.append(put(out) if final else NO_END)
+        for label, target, ids in arcs:  # states and labels ascend, so the keys do
+            keys.append(state << 8 | label)
+            targets.append(target)
+            outs.append(put(ids))
+    parts = (ends, keys, targets, outs, pool)
+    return b"".join([struct.pack("<6I", root, *map(len, parts)), *(np.array(x, np.uint32).tobytes() for x in parts)])
+
+
+#: In the table of final outputs: this state ends no key.
+NO_END = 0xFFFFFFFF
 
 
 class Lexicon:
@@ -219,34 +271,56 @@ class Lexicon:
             f.write(data)
             f.flush()
             self._map = mmap.mmap(f.fileno(), len(data), access=mmap.ACCESS_READ)
-        view = memoryview(self._map)
-        self._root, states, arcs, pool = struct.unpack_from("<4I", view)
-        at, parts = 16, []
-        for n in (states + 1, states, arcs, arcs, pool):
-            parts.append(view[at : at + 4 * n].cast("I"))
+        self._root, *sizes = struct.unpack_from("<6I", self._map)
+        at, parts = 24, []
+        for n in sizes:
+            parts.append(np.frombuffer(self._map, np.uint32, n, at))
             at += 4 * n
-        self._first, self._ends, self._targets, self._outs, self._pool = parts
-        self._labels = at
+        self._ends, self._keys, self._targets, self._outs, self._pool = parts
+
+    def walk(self, words: list[bytes]) -> list[list[int] | None]:
+        """For every word the places in the pool of the outputs along its path, or None if it isn't held.
+
+        All words take a step at a time, so a step is a few array operations for all of them.
+        """
+        if not words or not len(self._keys):
+            return [([] if not w and len(self._ends) and self._ends[self._root] != NO_END else None) for w in words]
+        lengths = np.array([len(w) for w in words])
+        starts, data = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(words), np.uint8)
+        state, found = np.full(len(words), self._root, np.int64), np.zeros((len(words), int(lengths.max(initial=0)) + 1), np.uint32)
+        live = np.arange(len(words))
+        ended = [live[:0]]
+        for i in range(found.shape[1]):
+            ended.append(live[lengths[live] == i])
+            live = live[lengths[live] > i]
+            if not len(live):
+                break
+            key = state[live] << 8 | data[starts[live] + i]
+            arc = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
+            held = self._keys[arc] == key
+            live, arc = live[held], arc[held]
+            state[live], found[live, i] = self._targets[arc], self._outs[arc]
+        done = np.concatenate(ended)
+        last = self._ends[state[done]]
+        done, last = done[last != NO_END], last[last != NO_END]
+        found[done, -1] = last
+        out: list[list[int] | None] = [None] * len(words)
+        for w in done.tolist():
+            out[w] = []
+        keep = np.zeros(len(words), bool)
+        keep[done] = True
+        rows, columns = np.nonzero(found)
+        for w, place in zip(rows[keep[rows]].tolist(), found[rows, columns][keep[rows]].tolist(), strict=True):
+            out[w].append(place)
+        return out
+
+    def output(self, place: int) -> list[int]:
+        return self._pool[place + 1 : place + 1 + int(self._pool[place])].tolist()
 
     def get(self, word: bytes) -> list[int] | None:
         """The ids of ``word``, or None if the automaton doesn't hold it."""
-        state, ids = self._root, []
-        find, base = self._map.find, self._labels
-        for i in range(len(word)):
-            arc = find(word[i : i + 1], base + self._first[state], base + self._first[state + 1])
-            if arc < 0:
-                return None
-            arc -= base
-            out = self._outs[arc]
-            if out:
-                ids.extend(self._pool[out + 1 : out + 1 + self._pool[out]])
-            state = self._targets[arc]
-        end = self._ends[state]
-        if end == 0xFFFFFFFF:
-            return None
-        if end:
-            ids.extend(self._pool[end + 1 : end + 1 + self._pool[end]])
-        return ids
+        places = self.walk([word])[0]
+        return None if places is None else [i for p in places for i in self.output(p)]
 
 
 # --- over tables --------------------------------------------------------------------------------
@@ -261,67 +335,136 @@ def piece_counts(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFra
         def out():
             pieces = Counter()
             for c, n in chunks.items():
-                for p in rule.pieces.findall(c):
-                    if len(p) <= LEXICON_BYTES:
+                if c.isalpha():
+                    pieces[c] += n
+                else:
+                    for p in rule.pieces.findall(c):
                         pieces[p] += n
             chunks.clear()
+            for p in [p for p in pieces if len(p) > LEXICON_BYTES // 4 and len(p.encode()) > LEXICON_BYTES]:
+                del pieces[p]
             return pa.RecordBatch.from_pydict({"piece": pa.array(pieces.keys(), pa.string()), "n": pa.array(pieces.values(), pa.int64())})
 
         for batch in batches:
-            for t in batch.column(0):
-                t = t.as_py()
-                if t:
+            for lo, rows in slices(batch.column(0), SLICE, SLICE_BYTES):
+                words, _, apart = rule.split(batch.column(0).slice(lo, rows).to_pylist())
+                seen = words.value_counts()
+                for c, n in zip(seen.field(0).to_pylist(), seen.field(1).to_pylist(), strict=True):
+                    chunks[c] += n
+                for t in apart.values():
                     for special, s in rule.segments(t):
                         if not special:
                             chunks.update(rule.chunks(s))
                 if len(chunks) >= FLUSH:
                     yield out()
+            tidy()
         yield out()
 
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, tokenizer: str, text: str = "text", size: int = LEXICON_SIZE) -> bytes:
-    """The automaton of the ``size`` most frequent pieces of all texts (ties to the smaller piece)."""
-    top = piece_counts(docs, tokenizer, text).orderBy(F.col("n").desc(), "piece").limit(size).collect()
+    """The automaton of the most frequent pieces of all texts: as many whole classes of equal counts as ``size`` holds.
+
+    Which counts are high enough is found from the number of pieces per count, so that no task and
+    no sort returns more than the ``size`` pieces that are compiled.
+    """
+    counted = written(piece_counts(docs, tokenizer, text), "pieces")
+    # counts above ``size`` each hold few pieces; they need no class of their own
+    classes = counted.groupBy(F.least("n", F.lit(size)).alias("n")).agg(F.count("*").alias("pieces")).orderBy(F.col("n").desc()).collect()
+    held, least = 0, None
+    for n, pieces in classes:
+        held += pieces
+        if held > size:
+            break
+        least = n
+    top = [] if least is None else counted.filter(F.col("n") >= least).select("piece").collect()
     rule = Merges(tokenizer)
-    return compile_lexicon((p.encode("utf-8"), rule.merge(p)) for (p, _) in top if len(p.encode("utf-8")) <= LEXICON_BYTES)
+    return compile_lexicon((p.encode("utf-8"), rule.merge(p)) for (p,) in top)
 
 
 class Encoder:
     """Encodes and decodes texts with the automaton first and exact merges for the rest."""
 
-    def __init__(self, tokenizer: str, lexicon: bytes, memo: int = 400_000):
+    def __init__(self, tokenizer: str, lexicon: bytes, memo: int = 300_000):
         self.rule, self.lexicon, self.limit = Merges(tokenizer), Lexicon(lexicon), memo
         self._memo: dict[str, tuple[str, str, int]] = {}
-
-    def piece(self, piece: str) -> list[int]:
-        found = self.lexicon.get(piece.encode("utf-8"))
-        return self.rule.merge(piece) if found is None else found
-
-    def _chunk(self, chunk: str) -> tuple[str, str, int]:
-        ids = [i for p in self.rule.pieces.findall(chunk) for i in self.piece(p)]
-        entry = (" ".join(map(str, ids)), " ".join([self.rule.texts[i] for i in ids]), len(ids))
-        if len(chunk) <= 64:
-            self._memo[chunk] = entry
-        return entry
+        self._outputs: dict[int, tuple[str, str, int]] = {}
+
+    def _entry(self, ids: list[int]) -> tuple[str, str, int]:
+        return " ".join(map(str, ids)), " ".join(map(self.rule.texts.__getitem__, ids)), len(ids)
+
+    @staticmethod
+    def _joined(parts: list[tuple[str, str, int]]) -> tuple[str, str, int]:
+        if len(parts) == 1:
+            return parts[0]
+        parts = [e for e in parts if e[2]]
+        return " ".join([e[0] for e in parts]), " ".join([e[1] for e in parts]), sum([e[2] for e in parts])
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Put chunks and their pieces into the memo: from the automaton, or merged."""
+        # a piece's text, taken as a chunk, is cut into that piece alone, so both share the memo
+        memo, outputs = self._memo, self._outputs
+        parts = {c: [c] if c.isalpha() else self.rule.pieces.findall(c) for c in chunks}
+        new = list({p for ps in parts.values() for p in ps if p not in memo})
+        for p, places in zip(new, self.lexicon.walk([p.encode("utf-8") if len(p) <= LEXICON_BYTES else b"" for p in new]), strict=True):
+            if places is None or len(p) > LEXICON_BYTES:
+                memo[p] = self._entry(self.rule.merge(p))
+                continue
+            for k in places:
+                if k not in outputs:
+                    outputs[k] = self._entry(self.lexicon.output(k))
+            memo[p] = self._joined([outputs[k] for k in places])
+        for c, ps in parts.items():
+            if len(ps) != 1:
+                memo[c] = self._joined([memo[p] for p in ps])
+
+    def _known(self, chunks: list[str]) -> list[tuple[str, str, int]]:
+        """The entries of all chunks; what is too long to be met again isn't kept."""
+        memo = self._memo
+        if len(memo) > self.limit:
+            memo.clear()
+        new = [c for c in dict.fromkeys(chunks) if c not in memo]
+        if new:
+            self._learn(new)
+        entries = [memo[c] for c in chunks]
+        for c in new:
+            if len(c) > 64:
+                for p in (c, *self.rule.pieces.findall(c)):
+                    memo.pop(p, None)
+        return entries
 
     def encode(self, text: str) -> tuple[str, str, int]:
         """Decimal ids joined by one space, the decoded text, the number of ids."""
-        if len(self._memo) > self.limit:
-            self._memo.clear()
-        memo, found = self._memo, []
+        found = []
         for special, s in self.rule.segments(text):
-            if special:
-                found.append((str(self.rule.added[s]), s, 1))
-                continue
-            chunks = self.rule.chunks(s)
-            try:
-                found += [memo[c] for c in chunks]
-            except KeyError:
-                found += [memo.get(c) or self._chunk(c) for c in chunks]
-        found = [e for e in found if e[2]]
-        return " ".join([e[0] for e in found]), " ".join([e[1] for e in found]), sum([e[2] for e in found])
+            found += [(str(self.rule.added[s]), s, 1)] if special else self._known(self.rule.chunks(s))
+        return self._joined([e for e in found if e[2]])
+
+    def encode_many(self, texts: list[str | None]) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """``encode`` of every text: arrays of ids, decoded texts and numbers of ids.
+
+        Each distinct chunk of all the texts is looked up once; putting the texts together again is
+        Arrow's work. Texts with added tokens go one by one.
+        """
+        words, ends, apart = self.rule.split(texts)
+        apart = {i: self.encode(t) for i, t in apart.items()}
+        coded = words.dictionary_encode()
+        entries = self._known(coded.dictionary.to_pylist())
+        if not all(e[2] for e in entries):  # a chunk without any id must not leave a space
+            apart = {i: self.encode(t or "") for i, t in enumerate(texts)}
+        joined = []
+        for k in (0, 1):
+            parts = pa.array([e[k] for e in entries], pa.string()).take(coded.indices)
+            joined.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts), " "))
+        sizes = np.concatenate([[0], np.cumsum(np.array([e[2] for e in entries], np.int64)[coded.indices.to_numpy()])]) if len(words) else np.zeros(1, np.int64)
+        counts = pa.array(np.diff(sizes[ends]), pa.int64())
+        if apart:
+            ids, decoded, n = joined[0].to_pylist(), joined[1].to_pylist(), counts.to_pylist()
+            for i, e in apart.items():
+                ids[i], decoded[i], n[i] = e
+            return pa.array(ids, pa.string()), pa.array(decoded, pa.string()), pa.array(n, pa.int64())
+        return joined[0], joined[1], counts
 
 
 def decode(ids: Iterable[int], rule: Merges) -> str:
@@ -338,21 +481,17 @@ def encode_documents(docs: DataFrame, tokenizer: str, *, text: str = "text", kee
     """
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast(build_lexicon(docs, tokenizer, text, lexicon_size))
-    names = list(keep)
+    names, tag = list(keep), uuid.uuid4().hex
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "ids string, n_tokens long, decoded string"])
 
     def run(batches):
-        encoder = Encoder(tokenizer, shipped.value)
+        encoder = worker_state(tag, lambda: Encoder(tokenizer, shipped.value))
         for batch in batches:
-            lo = 0
-            while lo < batch.num_rows:
-                part = batch.slice(lo, 256)
-                lo += 256
-                done = [encoder.encode(t or "") for t in part.column("__text").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in names), pa.array([d[0] for d in done], pa.string()), pa.array([d[2] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.string())],
-                    [*names, "ids", "n_tokens", "decoded"],
-                )
+            for lo, rows in slices(batch.column("__text"), SLICE, SLICE_BYTES):
+                part = batch.slice(lo, rows)
+                ids, decoded, n = encoder.encode_many(part.column("__text").to_pylist())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), ids, n, decoded], [*names, "ids", "n_tokens", "decoded"])
+            tidy()
 
     return docs.select(*names, F.col(text).alias("__text")).mapInArrow(run, schema)
 

@@ -8,7 +8,8 @@ holds the points that may be within the radius r = 1 - threshold of something in
    the first n - ceil(t * n) + 1 of either, so these shingles cut the space into overlapping
    blocks, and within a block sizes must be within the factor t; a point alone in all its blocks
    has no link and is done.
-2. Each block's pivot is its smallest point. A point goes to the region of the pivot that it
+   Points share more than that in somewhat longer prefixes; one that doesn't is done as well.
+2. Each block's pivot is the point that shares most shingles with others. A point goes to the region of the pivot that it
    shares most blocks with (its Voronoi cell), and its exact distance to that pivot is computed.
    Distances up to r are links, and linked points are joined into components.
 3. Points on a border are those with another pivot in another component; they are replicated into
@@ -24,7 +25,6 @@ and not each other; exact copies are one point; links and blocks are rows, never
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import written
+from quire.llm.common import discard, release, slices, tidy, worker_state, written
 from quire.llm.components import components
 
 #: Words of a shingle, and the threshold as hundredths.
@@ -42,8 +42,12 @@ SHINGLE, THRESHOLD = 5, 80
 COUNTERS, FILTER_BITS = 1 << 22, 1 << 25
 #: Counters or filter bytes in one row of a partial result.
 CHUNK = 1 << 14
+#: Hundredths of a set by which the prefix is longer in which shared shingles are counted.
+EXTRA = 15
+#: Members of a region, or of a part of a large one, about.
+REGION = 512
 #: Documents hashed together; prefix shingles in a bucket, about.
-TOGETHER, BUCKET = 1024, 500_000
+TOGETHER, BUCKET = 1024, 1_000_000
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -56,46 +60,64 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Shingler:
-    """Texts to sets of 64-bit shingle hashes."""
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Values of bytes by their place in a word (modulo 8), and powers of an odd number by place.
+_BYTES = np.random.default_rng(20).integers(0, 1 << 63, (8, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _powers(n: int) -> np.ndarray:
+    out = np.full(n, _FACTORS[0], np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
 
-    def __init__(self, memo: int = 400_000):
-        self._limit = memo
-        self._clear()
+class Shingler:
+    """Texts to sets of 64-bit shingle hashes, many texts at once and without an object per word.
 
-    def _clear(self):
-        self._no: dict[bytes, int] = {}
-        self._hash = np.zeros(1 << 16, np.uint64)
+    A word's hash is the sum over its bytes of a value that depends on byte and place times a power
+    that depends on the place; a shingle's is a mixed sum over its words.
+    """
 
-    def _number(self, word: bytes) -> int:
-        n = len(self._no)
-        if n == len(self._hash):
-            self._hash = np.concatenate([self._hash, np.zeros_like(self._hash)])
-        self._hash[n] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        self._no[word] = n
-        return n
+    def __init__(self):
+        self._power = _powers(1 << 12)
+
+    def _words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(hash of every word, number of words of every text); A-Z count as a-z, ASCII white space ends words."""
+        parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        data = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
+        inside = ~_SPACE[data]
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        if len(inside) and inside[0]:
+            edge = np.concatenate([[0], edge])
+        starts, ends = edge[::2], edge[1::2]
+        lengths = ends - starts
+        if not len(starts):
+            return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+        while lengths.max() > len(self._power):
+            self._power = _powers(2 * len(self._power))
+        letters = _LOWER[data[inside]]
+        first = np.cumsum(lengths) - lengths
+        place = np.arange(len(letters)) - np.repeat(first, lengths)
+        values = _BYTES[place & 7, letters] * self._power[place]
+        words = mixed(np.add.reduceat(values, first) + lengths.astype(np.uint64))
+        bounds = np.cumsum([len(p) + 1 for p in parts])
+        return words, np.diff(np.searchsorted(starts, np.concatenate([[0], bounds])))
 
     def sets(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The sorted distinct shingle hashes of each text: words by ASCII white space, A-Z in lower case."""
-        if len(self._no) > self._limit:
-            self._clear()
-        numbers, lengths, get = [], [], self._no.get
-        for t in texts:
-            words = (t or "").encode("utf-8", "surrogatepass").lower().split()
-            found = [get(w, -1) for w in words]
-            if -1 in found:
-                found = [self._number(w) if i < 0 and w not in self._no else self._no[w] for w, i in zip(words, found, strict=True)]
-            numbers += found
-            lengths.append(len(words))
-        w = self._hash[np.array(numbers, dtype=np.intp)]
+        """The sorted distinct shingle hashes of each text."""
+        w, lengths = self._words(texts)
         whole = np.zeros(max(0, len(w) - SHINGLE + 1), np.uint64)
         for i in range(SHINGLE if len(whole) else 0):
             whole += w[i : len(w) - SHINGLE + 1 + i] * _FACTORS[i]
         whole = mixed(whole)
         out, at = [], 0
-        for n in lengths:
+        for n in lengths.tolist():
             if n >= SHINGLE:
-                out.append(np.unique(whole[at : at + n - SHINGLE + 1]))
+                s = np.sort(whole[at : at + n - SHINGLE + 1])
+                out.append(s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) > 1 else s)
             elif n:
                 few = (w[at : at + n] * _FACTORS[:n]).sum(dtype=np.uint64) + np.uint64(n)
                 out.append(mixed(np.array([few], np.uint64)))
@@ -117,6 +139,20 @@ def prefix_length(n: int, t: int = THRESHOLD) -> int:
     return n - -(-n * t // 100) + 1
 
 
+def extra_length(n: int) -> int:
+    """How much longer the prefix is in which shared elements are counted."""
+    return n * EXTRA // 100
+
+
+def least_shared(n: int, t: int = THRESHOLD) -> int:
+    """Shared elements that a linked set of n elements has in its longer prefix, at least.
+
+    Two linked sets share an element more than the smaller of their extra lengths there, and the
+    smaller set has at least t hundredths of n elements.
+    """
+    return extra_length(-(-n * t // 100)) + 1
+
+
 # --- fixed-size partial results, merged on the executors --------------------------------------------
 
 
@@ -156,14 +192,14 @@ def levels(docs: DataFrame) -> np.ndarray:
     """How common a shingle is, by the top bits of its hash: 0 for up to twice the mean count, then by powers of two."""
 
     def run(batches):
-        shingler, counts, held, n = Shingler(), np.zeros(COUNTERS, np.uint32), [], 0
+        shingler, counts, held, n = worker_state("shingles", Shingler), np.zeros(COUNTERS, np.uint32), [], 0
 
         def put():
             counts[:] += np.bincount(np.concatenate(held).astype(np.intp), minlength=COUNTERS).astype(np.uint32)
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, TOGETHER):
-                for s in shingler.sets(batch.column(0).slice(lo, TOGETHER).to_pylist()):
+            for lo, n_rows in slices(batch.column(0), TOGETHER):
+                for s in shingler.sets(batch.column(0).slice(lo, n_rows).to_pylist()):
                     held.append(s >> np.uint64(64 - COUNTERS.bit_length() + 1))
                     n += len(s)
                 if n > 2_000_000:
@@ -178,22 +214,34 @@ def levels(docs: DataFrame) -> np.ndarray:
     return np.maximum(np.floor(np.log2(np.maximum(total / mean, 1))), 0).astype(np.uint8)
 
 
-def in_filter(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
-    at = (mixed(names.view(np.uint64)) >> np.uint64(64 - FILTER_BITS.bit_length() + 1)).astype(np.intp)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+def _bits(ids: np.ndarray) -> np.ndarray:
+    """The place of an id in the filter."""
+    return (mixed(ids.view(np.uint64)) >> np.uint64(64 - FILTER_BITS.bit_length() + 1)).astype(np.intp)
 
 
-def name_filter(names: DataFrame) -> np.ndarray:
-    """A bitmap that holds every ``sid`` of ``names`` (and, by chance, others)."""
+def row_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap that holds every ``doc_id`` of ``ids`` (and, by chance, others)."""
 
     def run(batches):
         bits = np.zeros(FILTER_BITS // 8, np.uint8)
         for batch in batches:
-            at = (mixed(batch.column(0).to_numpy().view(np.uint64)) >> np.uint64(64 - FILTER_BITS.bit_length() + 1)).astype(np.intp)
+            at = _bits(batch.column(0).to_numpy())
             np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
         yield from _chunks(bits)
 
-    return _merged(names.select("sid").mapInArrow(run, "chunk int, data binary"), add=False)
+    return _merged(ids.select("doc_id").mapInArrow(run, "chunk int, data binary"), add=False)
+
+
+def _narrowed(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``texts`` (doc_id, text) that ``ids`` names, and a few by chance: what a join with them need not shuffle."""
+    shipped = texts.sparkSession.sparkContext.broadcast(row_filter(ids))
+
+    def run(batches):
+        for batch in batches:
+            at = _bits(batch.column(0).to_numpy())
+            yield batch.filter(pa.array((shipped.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0))
+
+    return texts.mapInArrow(run, "doc_id long, text string")
 
 
 # --- blocks -----------------------------------------------------------------------------------------
@@ -207,10 +255,10 @@ def _prefixes(docs: DataFrame, common: np.ndarray, bits: int) -> DataFrame:
     shift, mask = np.uint64(64 - COUNTERS.bit_length() + 1), np.uint64((1 << bits) - 1)
 
     def run(batches):
-        shingler, level = Shingler(), shipped.value
+        shingler, level = worker_state("shingles", Shingler), shipped.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(lo, TOGETHER)
+            for lo, n_rows in slices(batch.column(1), TOGETHER):
+                part = batch.slice(lo, n_rows)
                 sets = shingler.sets(part.column(1).to_pylist())
                 names = [name_of(s) for s in sets]
                 sizes = [len(s) for s in sets]
@@ -219,11 +267,13 @@ def _prefixes(docs: DataFrame, common: np.ndarray, bits: int) -> DataFrame:
                     if n and x not in first:
                         first[x] = i
                 own = list(first.values())
-                picked = []
+                picked, basic = [], []
                 for i in own:
                     s, lv = sets[i], level[(sets[i] >> shift).astype(np.intp)]
                     p = prefix_length(len(s))
-                    picked.append(s[:p] if not lv.any() else s[np.argsort(lv, kind="stable")[:p]])
+                    q = min(len(s), p + extra_length(len(s)))
+                    picked.append(s[:q] if not lv.any() else s[np.argsort(lv, kind="stable")[:q]])
+                    basic.append(np.arange(q) < p)
                 none = pa.nulls(len(names), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([-1] * len(names), pa.int32()), part.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), none, none, none, none], names=["bucket", "doc_id", "sid", "n", "hashes", "owners", "sids", "sizes"]
@@ -232,15 +282,16 @@ def _prefixes(docs: DataFrame, common: np.ndarray, bits: int) -> DataFrame:
                     continue
                 h = np.concatenate(picked)
                 o = np.repeat(np.arange(len(own), dtype=np.uint16), [len(p) for p in picked])
+                first = np.concatenate(basic).astype(np.uint16) << np.uint16(15)
                 bucket = (h & mask).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                h, o, bucket = h[order], o[order], bucket[order]
+                h, o, first, bucket = h[order], o[order], first[order], bucket[order]
                 cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(h)]
                 all_s, all_n = np.array([names[i] for i in own], np.int64), np.array([sizes[i] for i in own], np.int32)
                 rows = []
                 for a, b in zip(cuts, cuts[1:], strict=False):
                     there, at = np.unique(o[a:b], return_inverse=True)
-                    rows.append((int(bucket[a]), h[a:b].tobytes(), at.astype(np.uint16).tobytes(), all_s[there].tobytes(), all_n[there].tobytes()))
+                    rows.append((int(bucket[a]), h[a:b].tobytes(), (at.astype(np.uint16) | first[a:b]).tobytes(), all_s[there].tobytes(), all_n[there].tobytes()))
                 no_long, no_int = pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int32())
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), no_long, no_long, no_int, *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "doc_id", "sid", "n", "hashes", "owners", "sids", "sizes"])
@@ -249,98 +300,140 @@ def _prefixes(docs: DataFrame, common: np.ndarray, bits: int) -> DataFrame:
 
 
 def _blocks(packed: DataFrame) -> DataFrame:
-    """``block``, ``pivot``, ``sid``, ``n``: the points of every block that has several, cut where sizes leave a gap.
+    """``block``, ``sid``, ``n``, ``shared``, ``degree``, rows of two kinds.
 
-    Blocks with equal points get equal numbers, and are one.
+    With a block: a point of a block that has several, from the shorter prefixes, cut where sizes
+    leave a gap; blocks with equal points get equal numbers, and are one. With a null block: how many
+    shingles of a point's longer prefix in this bucket other points have too, and by how many.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        hs, ss, ns = [], [], []
+        hs, ss, ns, fs = [], [], [], []
         for h, o, s, n in zip(*(table.column(c) for c in ("hashes", "owners", "sids", "sizes")), strict=True):
             at = np.frombuffer(o.as_buffer(), np.uint16)
+            fs.append(at >> 15 > 0)
+            at = at & np.uint16(0x7FFF)
             hs.append(np.frombuffer(h.as_buffer(), np.uint64))
             ss.append(np.frombuffer(s.as_buffer(), np.int64)[at])
             ns.append(np.frombuffer(n.as_buffer(), np.int32)[at])
-        h, s, n = np.concatenate(hs), np.concatenate(ss), np.concatenate(ns)
+        h, s, n, f = np.concatenate(hs), np.concatenate(ss), np.concatenate(ns), np.concatenate(fs)
         # only shingles that occur twice can have two points
         order = np.argsort(h, kind="stable")
-        h, s, n = h[order], s[order], n[order]
+        h, s, n, f = h[order], s[order], n[order], f[order]
         same = h[1:] == h[:-1]
         twice = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        h, s, n = h[twice], s[twice], n[twice]
+        h, s, n, f = h[twice], s[twice], n[twice], f[twice]
         order = np.lexsort((s, n, h))
-        h, s, n = h[order], s[order], n[order]
+        h, s, n, f = h[order], s[order], n[order], f[order]
         fresh = np.ones(len(h), bool)
         fresh[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
-        h, s, n = h[fresh], s[fresh], n[fresh]
+        h, s, n, f = h[fresh], s[fresh], n[fresh], f[fresh]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (n[:-1].astype(np.int64) * 100 < n[1:].astype(np.int64) * THRESHOLD)
-        starts = np.flatnonzero(new)
-        lengths = np.diff(np.append(starts, len(h)))
-        if not len(starts):
-            return pa.table({"block": pa.array([], pa.int64()), "pivot": pa.array([], pa.int64()), "sid": pa.array([], pa.int64()), "n": pa.array([], pa.int32())})
-        with np.errstate(over="ignore"):
-            number = np.add.reduceat(mixed(s.view(np.uint64) + _FACTORS[2]), starts) + lengths.astype(np.uint64) * _FACTORS[3]
-        pivot = np.minimum.reduceat(s, starts)
-        _, one = np.unique(number, return_index=True)
-        keep = np.zeros(len(starts), bool)
-        keep[one] = True
-        keep &= lengths > 1
-        rows = np.repeat(keep, lengths)
-        return pa.table({"block": pa.array(np.repeat(number.view(np.int64), lengths)[rows]), "pivot": pa.array(np.repeat(pivot, lengths)[rows]), "sid": pa.array(s[rows]), "n": pa.array(n[rows])})
+        group = np.cumsum(new) - 1
+        lengths = np.bincount(group, minlength=0) if len(group) else np.zeros(0, np.int64)
+        several = lengths[group] > 1 if len(group) else np.zeros(0, bool)
+        who, inverse = np.unique(s[several], return_inverse=True)
+        size = np.zeros(len(who), np.int32)
+        size[inverse] = n[several]
+        shared = np.bincount(inverse, minlength=len(who))
+        degree = np.bincount(inverse, weights=lengths[group][several] - 1, minlength=len(who)).astype(np.int64)
+        # blocks: members with the shingle in their shorter prefix
+        keep = f & several
+        s, n, group = s[keep], n[keep], group[keep]
+        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+        lengths = np.diff(np.append(starts, len(group)))
+        number = np.add.reduceat(mixed(s.view(np.uint64) + _FACTORS[2]), starts) + lengths.astype(np.uint64) * _FACTORS[3] if len(starts) else np.zeros(0, np.uint64)
+        once = np.zeros(len(starts), bool)
+        once[np.unique(number, return_index=True)[1]] = True
+        rows = np.repeat(once & (lengths > 1), lengths)
+        block = np.repeat(number.view(np.int64), lengths)[rows]
+        zero = np.zeros(len(block), np.int64)
+        return pa.table(
+            {
+                "block": pa.concat_arrays([pa.array(block), pa.nulls(len(who), pa.int64())]),
+                "sid": pa.array(np.concatenate([s[rows], who])),
+                "n": pa.array(np.concatenate([n[rows], size])),
+                "shared": pa.array(np.concatenate([zero, shared])),
+                "degree": pa.array(np.concatenate([zero, degree])),
+            }
+        )
+
+    return packed.groupBy("bucket").applyInArrow(run, "block long, sid long, n int, shared long, degree long")
+
+
+def _open_blocks(found: DataFrame) -> DataFrame:
+    """``block``, ``pivot``, ``sid``, ``n``, ``degree``: blocks of the points that share enough to have a link.
+
+    The pivot is the point whose shingles most others have: of an original and its edited copies
+    the original, which is nearer to the copies than these are to each other.
+    """
+    least = F.floor(F.ceil(F.col("n") * (THRESHOLD / 100) - 1e-9) * EXTRA / 100) + 1
+    points = found.filter("block is null").groupBy("sid").agg(F.sum("shared").alias("shared"), F.sum("degree").alias("degree"), F.max("n").alias("n"))
+    points = points.filter(F.col("shared") >= least).select("sid", "degree")
+    rows = found.filter("block is not null").select("block", "sid", "n").dropDuplicates(["block", "sid"]).join(points, "sid")
+    rows = written(rows, "blocks")
+    pivots = rows.groupBy("block").agg(F.count("*").alias("k"), F.max(F.struct("degree", "sid")).alias("top")).filter("k > 1")
+    return written(rows.join(pivots.select("block", F.col("top.sid").alias("pivot")), "block"), "blocks")
 
-    return packed.groupBy("bucket").applyInArrow(run, "block long, pivot long, sid long, n int")
 
+_MEMBERS = "cell long, salt int, member int, sid long, shingles binary"
 
-def _sets(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """``sid``, ``shingles`` of the points in the filter."""
-    shipped = docs.sparkSession.sparkContext.broadcast(wanted)
 
-    def run(batches):
-        shingler, seen = Shingler(), set()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, TOGETHER):
-                sets = shingler.sets(batch.column(0).slice(lo, TOGETHER).to_pylist())
-                names = np.array([name_of(s) for s in sets], np.int64)
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                rows = []
-                for i in np.flatnonzero(in_filter(shipped.value, names)):
-                    x = int(names[i])
-                    if x not in seen and len(sets[i]):
-                        seen.add(x)
-                        rows.append((x, sets[i].tobytes()))
-                if rows:
-                    yield pa.RecordBatch.from_pydict({"sid": pa.array([r[0] for r in rows], pa.int64()), "shingles": pa.array([r[1] for r in rows], pa.binary())})
+def _measured(pairs: DataFrame, points: DataFrame, texts: DataFrame) -> DataFrame:
+    """``a``, ``b``, ``common``, ``either``, for pairs of points: exact sizes of intersection and union.
 
-    return docs.select("text").mapInArrow(run, "sid long, shingles binary")
-
-
-def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a``, ``b``, ``common``, ``either``, for pairs of points: exact sizes of intersection and union."""
+    Points are (sid, doc_id), with the row whose text has that set. A text goes to the regions that
+    need it and becomes a set there; in a region the pivot comes first and the members pass by it
+    one at a time. Regions with many members are cut into parts with a copy of the pivot each.
+    """
+    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / REGION).cast("int").alias("parts"))
+    members = pairs.join(counts, "a").select(F.col("a").alias("cell"), F.pmod(F.xxhash64("b"), "parts").cast("int").alias("salt"), F.lit(1).alias("member"), F.col("b").alias("sid"))
+    pivots = counts.select(F.col("a").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("a").alias("sid"))
+    wanted = written(members.unionByName(pivots).join(points, "sid"), "members")
 
-    def run(batches):
+    def shingled(batches):
+        shingler = worker_state("shingles", Shingler)
         for batch in batches:
-            common, either = [], []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
+            for lo, n_rows in slices(batch.column("text"), TOGETHER):
+                part = batch.slice(lo, n_rows)
+                sets = shingler.sets(part.column("text").to_pylist())
+                # another row may have the same id: its set has another name
+                keep = [name_of(s) == x for s, x in zip(sets, part.column("sid").to_pylist(), strict=True)]
+                part = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("cell", "salt", "member", "sid")), pa.array([s.tobytes() for s in sets], pa.binary())], ["cell", "salt", "member", "sid", "shingles"])
+                yield part.filter(pa.array(keep, pa.bool_()))
+
+    def compared(batches):
+        place, pivot = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            a, b, common, either = [], [], [], []
+            for cell, salt, member, sid, s in zip(*(batch.column(c).to_pylist() for c in ("cell", "salt", "member", "sid")), batch.column("shingles"), strict=True):
+                s = np.frombuffer(s.as_buffer(), np.uint64)
+                if not member:
+                    place, pivot = (cell, salt), s.copy()
+                    continue
+                if place != (cell, salt):
+                    raise RuntimeError(f"the pivot {cell} of a region isn't there")
+                both = np.concatenate([pivot, s])
                 both.sort(kind="stable")
                 k = int((both[1:] == both[:-1]).sum())
+                a.append(cell)
+                b.append(sid)
                 common.append(k)
                 either.append(len(both) - k)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int32()), pa.array(either, pa.int32())], ["a", "b", "common", "either"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(common, pa.int32()), pa.array(either, pa.int32())], ["a", "b", "common", "either"])
 
-    with_x = pairs.join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b")
-    with_both = with_x.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a")
-    return with_both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, common int, either int")
+    found = _narrowed(texts, wanted.select("doc_id").distinct()).join(wanted, "doc_id")
+    sets = found.mapInArrow(shingled, _MEMBERS)
+    dealt = sets.repartition("cell", "salt").sortWithinPartitions("cell", "salt", "member")
+    return dealt.mapInArrow(compared, "a long, b long, common int, either int")
 
 
 class _Join:
     """The recursion: known distances, and the component of every point that has a link."""
 
-    def __init__(self, sets: DataFrame):
-        self.sets, self.known, self.of = sets, None, None
+    def __init__(self, points: DataFrame, texts: DataFrame):
+        self.points, self.texts, self.known, self.of = points, texts, None, None
 
     def labelled(self, df: DataFrame, column: str, out: str) -> DataFrame:
         if self.of is None:
@@ -350,7 +443,14 @@ class _Join:
 
     def measure(self, pairs: DataFrame) -> None:
         """Compute the distances of new pairs, and join what they link."""
-        found = written(_measured(pairs, self.sets), "distances")
+        pairs = written(pairs, "pairs")
+        if pairs.isEmpty():
+            if self.of is None:
+                self.of = pairs.select(F.col("a").alias("node"), F.col("b").alias("label"))
+                self.known = pairs.select("a", "b", F.lit(0).alias("common"), F.lit(1).alias("either"))
+            return
+        found = written(_measured(pairs, self.points, self.texts), "distances")
+        release(found.sparkSession)
         self.known = found if self.known is None else self.known.unionByName(found)
         links = found.filter(F.col("common").cast("long") * 100 >= F.col("either").cast("long") * THRESHOLD).select("a", "b")
         if self.of is None:
@@ -376,16 +476,25 @@ def join_components(docs: DataFrame, text: str = "text") -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     count = docs.count()
     bits = min(20, max(6, math.ceil(math.log2(max(1, count * 100 / BUCKET)))))
+    spark = docs.sparkSession
     table = written(_prefixes(docs, levels(docs), bits), "prefixes")
-    marks = table.filter("bucket < 0").select("doc_id", "sid", "n")
-    blocks = written(_blocks(table.filter("bucket >= 0")).dropDuplicates(["block", "sid"]), "blocks")
-    points = blocks.select("sid").distinct()
-    sets = written(_sets(docs, name_filter(points)).dropDuplicates(["sid"]).join(points, "sid", "left_semi"), "sets")
-    join = _Join(sets)
+    marks = written(table.filter("bucket < 0").select("doc_id", "sid", "n"), "marks")
+    found = written(_blocks(table.filter("bucket >= 0")), "found")
+    discard(table)
+    del table
+    release(spark)
+    blocks = _open_blocks(found)
+    points = marks.join(blocks.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("doc_id"))
+    points = written(points, "points")
+    texts = written(_narrowed(docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(0))), points), "texts")
+    release(spark)
+    join = _Join(points, texts)
 
     # every point meets the pivot that it shares most blocks with
-    pairs = written(blocks.filter("sid <> pivot").groupBy("pivot", "sid").agg(F.count("*").alias("k")), "pairs")
-    cells = pairs.groupBy("sid").agg(F.max(F.struct("k", "pivot")).alias("m")).select(F.col("m.pivot").alias("a"), F.col("sid").alias("b"))
+    hubs = blocks.filter("sid = pivot").select("pivot", F.col("degree").alias("hub")).distinct()
+    pairs = blocks.filter("sid <> pivot").groupBy("pivot", "sid").agg(F.count("*").alias("k")).join(hubs, "pivot")
+    pairs = written(pairs.select("pivot", "sid", "k", F.col("hub").alias("degree")), "pairs")
+    cells = pairs.groupBy("sid").agg(F.max(F.struct("k", "degree", "pivot")).alias("m")).select(F.col("m.pivot").alias("a"), F.col("sid").alias("b"))
     join.measure(cells)
 
     # border points meet the pivots of other components whose regions they reach
@@ -401,7 +510,7 @@ def join_components(docs: DataFrame, text: str = "text") -> DataFrame:
         outside = now.filter("c <> pc")
         if done is not None:
             outside = outside.join(done, ["block", "sid"], "left_anti")
-        rank = F.row_number().over(Window.partitionBy("block").orderBy(F.xxhash64("sid"), "sid"))
+        rank = F.row_number().over(Window.partitionBy("block").orderBy(F.col("degree").desc(), "sid"))
         next_pivots = written(outside.withColumn("r", rank).filter(F.col("r") <= 4 ** min(turn, 8)).select("block", F.col("sid").alias("p"), F.col("n").alias("pn"), F.col("c").alias("p_c")), "pivots")
         if next_pivots.isEmpty():
             break

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import slices, worker_state, written
+from quire.llm.common import slices, tidy, worker_state, written
 
 #: Documents of a language that the fit uses, about (those with the smallest hashes of their ids).
 TRAIN_DOCS = 3000
@@ -201,7 +201,7 @@ def fit(train: DataFrame, model: str, *, train_docs: int = TRAIN_DOCS, rounds: i
 class Scorer:
     """Scores texts; what a word or a chunk between white spaces adds is kept for the next time it is met."""
 
-    def __init__(self, model: Pieces, memo: int = 500_000):
+    def __init__(self, model: Pieces, memo: int = 300_000):
         self.model, self.limit = model, memo
         self._clear()
 
@@ -279,6 +279,7 @@ def identify(docs: DataFrame, train: DataFrame, model: str, *, text: str = "text
                 part = batch.slice(lo, rows)
                 found = scorer.scores(part.column(source).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*kept, as_lang, as_score])
+            tidy()
 
     extra = [] if text in keep else [F.col(text).alias(source)]
     return docs.select(*kept, *extra).mapInArrow(run, schema)
