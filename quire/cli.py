@@ -47,6 +47,8 @@ def run(args: argparse.Namespace) -> int:
 
 
 def check(args: argparse.Namespace) -> int:
+    for h in ENGINES.health_report():
+        print(json.dumps(h))
     found = documents.described(documents.files(_spark(), args.path))
     found.groupBy("kind", F.col("load_error").isNull().alias("loadable")).count().show(truncate=False)
     return 0

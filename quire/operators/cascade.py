@@ -29,6 +29,8 @@ class Engine:
     location: str = "local"
     retries: int = 1
     options: dict = field(default_factory=dict)
+    #: Whether the engine can be used now: (available, message, remedy); asked on the driver, once a run.
+    health: Callable[[], tuple[bool, str, str | None]] = lambda: (True, "ready", None)
 
 
 class Registry:
@@ -61,6 +63,17 @@ class Registry:
         ids = [i for i in first if i in self._on]
         return [self._engines[i] for i in ids + [i for i in self._engines if i in self._on and i not in ids]]
 
+    def health_report(self) -> list[dict]:
+        """What every enabled engine says of itself; an engine whose check raises is not available."""
+        out = []
+        for e in self.ordered():
+            try:
+                available, message, remedy = e.health()
+            except Exception as error:  # noqa: BLE001
+                available, message, remedy = False, str(error), None
+            out.append({"engine_id": e.engine_id, "available": available, "message": message, "remedy": remedy})
+        return out
+
     def describe(self) -> list[dict]:
         return [{"engine_id": e.engine_id, "name": e.name, "model": e.model, "location": e.location, "enabled": e.engine_id in self._on} for e in self._engines.values()]
 

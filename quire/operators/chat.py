@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.params import Chat
+from quire.session import ship
 
 HEAD_SHARE = 0.6
 #: Fixed value: the mark between the kept head and tail of a long document.
@@ -82,3 +85,22 @@ def asked(documents: DataFrame, template: str, rule: Chat = Chat()) -> DataFrame
     error = validation(F.col("question"), F.col("text"), rule)
     df = documents.withColumn("error", error).withColumn("trimmed", cut)
     return df.withColumn("prompt", F.when(F.col("error").isNull(), rendered(template, filename=F.col("filename"), document=context, history=F.col("history"), question=T.stripped("question"))))
+
+
+def answered(questions: DataFrame, call: Callable[[str], str]) -> DataFrame:
+    """``questions`` from ``asked`` with ``answer``: only rows with a prompt reach the model; its errors become the row's error."""
+    ship(questions.sparkSession)
+
+    @F.pandas_udf("struct<answer:string,error:string>")
+    def run(prompts: pd.Series) -> pd.DataFrame:
+        out = []
+        for p in prompts:
+            try:
+                out.append((call(p).strip(), None))
+            except Exception as e:  # noqa: BLE001 - a model's error is that question's answer
+                out.append((None, str(e)))
+        return pd.DataFrame(out, columns=["answer", "error"])
+
+    said = questions.filter("error is null").withColumn("__m", run("prompt"))
+    said = said.withColumn("answer", F.col("__m.answer")).withColumn("error", F.col("__m.error")).drop("__m")
+    return said.unionByName(questions.filter("error is not null").withColumn("answer", F.lit(None).cast("string")))

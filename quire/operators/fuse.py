@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import compare
+from quire.session import ship
 
 MIN_CONTAINMENT = 0.75
 
@@ -120,6 +124,32 @@ def final_text(docs: DataFrame, fused: DataFrame, engines: DataFrame) -> DataFra
     return df.select("doc", F.when(~T.is_blank("fused_text"), F.col("fused_text")).otherwise(F.coalesce("engine_text", F.lit(""))).alias("text"))
 
 
+def with_model(pairs: DataFrame, call: Callable[[str, str], str], *keys: str, least: float = MIN_CONTAINMENT) -> DataFrame:
+    """``text``, ``fallback_used`` and ``warning``: a model's merge of text_a and text_b, where it may stand.
+
+    ``call`` runs on the executors, once per pair, and may raise. An error, or a text that the guard
+    rejects, is replaced by the line vote.
+    """
+    ship(pairs.sparkSession)
+
+    @F.pandas_udf("struct<fused:string,error:string>")
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            try:
+                out.append((call(x or "", y or ""), None))
+            except Exception as e:  # noqa: BLE001 - whatever a model raises leads to the fallback
+                out.append((None, str(e)))
+        return pd.DataFrame(out, columns=["fused", "error"])
+
+    asked = pairs.withColumn("__m", run("text_a", "text_b")).select(*keys, "text_a", "text_b", F.coalesce("__m.fused", F.lit("")).alias("fused"), F.col("__m.error").alias("error"))
+    judged = guarded(asked, *keys, least=least)
+    voted = line_vote(pairs.select(*keys, "text_a", "text_b"), *keys).select(*keys, F.col("text").alias("voted"))
+    ok = F.col("accepted") & F.col("error").isNull()
+    df = judged.join(voted, list(keys), "left")
+    return df.select(*keys, F.when(ok, F.col("fused")).otherwise(F.col("voted")).alias("text"), (~ok).alias("fallback_used"), F.when(~ok, F.coalesce("error", "rejected_for")).alias("warning"))
+
+
 #: Whole-document strategies over engine texts; the first two columns of each result are doc and text.
 STRATEGIES = {
     "prefer_primary": lambda e: prefer_primary(e, "doc"),

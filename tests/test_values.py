@@ -75,6 +75,19 @@ def test_guard(spark, fused, ok):
     assert fuse.guarded(df, "doc").first()["accepted"] is ok
 
 
+def test_model_fusion_falls_back(spark):
+    def call(a, b):
+        if a.startswith("boom"):
+            raise RuntimeError("model is gone")
+        return a if a.startswith("Acme") else "an invented summary of everything"
+
+    df = spark.createDataFrame([(1, A, B), (2, "one line\ntwo lines here", "one line"), (3, "boom text", "boom text")], "doc int, text_a string, text_b string")
+    got = {r["doc"]: r for r in fuse.with_model(df, call, "doc").collect()}
+    assert got[1]["text"] == A and not got[1]["fallback_used"]
+    assert got[2]["text"] == "one line\ntwo lines here" and got[2]["warning"] == "not_contained"
+    assert got[3]["text"] == "boom text" and got[3]["warning"] == "model is gone"
+
+
 def test_numbers(spark):
     found = one(spark, T.numbers("t"), t="Invoice INV-1024 total 38,085.10 on 14/03/2025")
     assert "38085.10" in found and "1024" in found
@@ -141,6 +154,10 @@ def test_registry():
         r.register(cascade.stub_engine("a"))
     r.enable_only(["a", "c"])
     assert [e.engine_id for e in r.ordered(["c", "b"])] == ["c", "a"]
+    sick = cascade.Engine("d", "D", dict, health=lambda: 1 / 0)
+    r.register(sick)
+    assert [(h["engine_id"], h["available"]) for h in r.health_report()] == [("a", True), ("c", True), ("d", False)]
+    r.unregister("d")
     r.unregister("a")
     assert [d["engine_id"] for d in r.describe()] == ["b", "c"]
 
@@ -215,6 +232,15 @@ def test_chat(spark):
     assert rows[1] == ("short", False) and rows[2] == (None, False)
     assert chat.render("{a} {b}", a=1) == "1 {b}" and chat.render("{oops", a=1) == "{oops"
     asked = chat.asked(spark.createDataFrame([(" total? ", "text", "f.pdf", "")], "question string, text string, filename string, history string"), "{filename}: {document} {question}").first()
+    both = chat.asked(spark.createDataFrame([("q", "text", "f", ""), ("", "text", "f", ""), ("bad", "text", "f", "")], "question string, text string, filename string, history string"), "{question}")
+
+    def call(prompt):
+        if prompt == "bad":
+            raise RuntimeError("no model")
+        return f" answer to {prompt} "
+
+    got = {r["question"]: (r["answer"], r["error"]) for r in chat.answered(both, call).collect()}
+    assert got == {"q": ("answer to q", None), "": (None, "Ask a question about the document."), "bad": (None, "no model")}
     assert asked["error"] is None and asked["prompt"] == "f.pdf: text total?"
 
 
