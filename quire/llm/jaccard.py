@@ -15,9 +15,10 @@ holds the points that may be within the radius r = 1 - threshold of something in
 3. Points on a border are those with another pivot in another component; they are replicated into
    that pivot's region, and their distances computed as well.
 4. A block whose points now lie in one component is done. In the others, points outside the
-   pivot's component become pivots, more in each round, and meet the block's points of other
-   components, except those whose known distances to a common pivot differ by more than r (triangle
-   inequality). This recurs until no such point is left, so no link between components is missed.
+   pivot's component become pivots and meet the block's points of other components, except those
+   whose known distances to a common pivot differ by more than r (triangle inequality) and those
+   whose sketches already prove more than r. This recurs until no such point is left, so no link
+   between components is missed.
 
 Hot groups: a group of near copies is one component after step 2, since its points meet their pivot
 and not each other; exact copies are one point; links and blocks are rows, never lists in memory.
@@ -44,6 +45,10 @@ COUNTERS, FILTER_BITS = 1 << 22, 1 << 25
 CHUNK = 1 << 14
 #: Hundredths of a set by which the prefix is longer in which shared shingles are counted.
 EXTRA = 15
+#: Bits of a point's sketch: how often, modulo two, its shingles fall on each.
+SKETCH_BITS = 2048
+#: Points of a block that become pivots in one round.
+NEW_PIVOTS = 2048
 #: Members of a region, or of a part of a large one, about.
 REGION = 512
 #: Documents hashed together; prefix shingles in a bucket, about.
@@ -134,6 +139,12 @@ def name_of(s: np.ndarray) -> int:
     return int(mixed(np.array([h], np.uint64)).view(np.int64)[0])
 
 
+def sketch_of(s: np.ndarray) -> bytes:
+    """Parities of shingle counts: two sketches differ in no more places than the sets differ in elements."""
+    odd = np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.intp), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def prefix_length(n: int, t: int = THRESHOLD) -> int:
     """Of sets with n elements that link, one of the first this many (in any common order) is shared."""
     return n - -(-n * t // 100) + 1
@@ -246,7 +257,7 @@ def _narrowed(texts: DataFrame, ids: DataFrame) -> DataFrame:
 
 # --- blocks -----------------------------------------------------------------------------------------
 
-_MARKS = "bucket int, doc_id long, sid long, n int, hashes binary, owners binary, sids binary, sizes binary"
+_MARKS = "bucket int, doc_id long, sid long, n int, sketch binary, hashes binary, owners binary, sids binary, sizes binary"
 
 
 def _prefixes(docs: DataFrame, common: np.ndarray, bits: int) -> DataFrame:
@@ -276,7 +287,7 @@ def _prefixes(docs: DataFrame, common: np.ndarray, bits: int) -> DataFrame:
                     basic.append(np.arange(q) < p)
                 none = pa.nulls(len(names), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([-1] * len(names), pa.int32()), part.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), none, none, none, none], names=["bucket", "doc_id", "sid", "n", "hashes", "owners", "sids", "sizes"]
+                    [pa.array([-1] * len(names), pa.int32()), part.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array([sketch_of(s) for s in sets], pa.binary()), none, none, none, none], names=["bucket", "doc_id", "sid", "n", "sketch", "hashes", "owners", "sids", "sizes"]
                 )
                 if not picked:
                     continue
@@ -294,7 +305,7 @@ def _prefixes(docs: DataFrame, common: np.ndarray, bits: int) -> DataFrame:
                     rows.append((int(bucket[a]), h[a:b].tobytes(), (at.astype(np.uint16) | first[a:b]).tobytes(), all_s[there].tobytes(), all_n[there].tobytes()))
                 no_long, no_int = pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int32())
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), no_long, no_long, no_int, *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "doc_id", "sid", "n", "hashes", "owners", "sids", "sizes"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), no_long, no_long, no_int, pa.nulls(len(rows), pa.binary()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "doc_id", "sid", "n", "sketch", "hashes", "owners", "sids", "sizes"])
 
     return docs.select("doc_id", "text").mapInArrow(run, _MARKS)
 
@@ -390,7 +401,7 @@ def _measured(pairs: DataFrame, points: DataFrame, texts: DataFrame) -> DataFram
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / REGION).cast("int").alias("parts"))
     members = pairs.join(counts, "a").select(F.col("a").alias("cell"), F.pmod(F.xxhash64("b"), "parts").cast("int").alias("salt"), F.lit(1).alias("member"), F.col("b").alias("sid"))
     pivots = counts.select(F.col("a").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("a").alias("sid"))
-    wanted = written(members.unionByName(pivots).join(points, "sid"), "members")
+    wanted = written(members.unionByName(pivots).join(points.select("sid", "doc_id"), "sid"), "members")
 
     def shingled(batches):
         shingler = worker_state("shingles", Shingler)
@@ -429,6 +440,62 @@ def _measured(pairs: DataFrame, points: DataFrame, texts: DataFrame) -> DataFram
     return dealt.mapInArrow(compared, "a long, b long, common int, either int")
 
 
+def _near(rows: DataFrame) -> DataFrame:
+    """``a``, ``b``: pairs of a new pivot (role 0) and a member (role 1) of a block that may still be links.
+
+    ``rows`` are (block, role, sid, n, c, d, sketch) with component c and distance d to the block's
+    first pivot (null: unknown). Left out are pairs of one component, of sizes beyond the threshold's
+    factor, outside the triangle inequality's window, and those whose sketches differ in more places
+    than linked sets may differ in elements. Large blocks are cut, with a copy of the new pivots each.
+    """
+    parts = rows.filter("role = 1").groupBy("block").agg(F.ceil(F.count("*") / (4 * REGION)).cast("int").alias("parts"))
+    rows = rows.join(parts, "block")
+    salts = F.when(F.col("role") == 1, F.array(F.pmod(F.xxhash64("sid"), "parts").cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = rows.withColumn("salt", F.explode(salts)).drop("parts").repartition("block", "salt").sortWithinPartitions("block", "salt", "role")
+    radius = 1 - THRESHOLD / 100
+
+    def compared(pivots, members):
+        ps, pn, pcomp, pd, pk = pivots
+        ms, mn, mcomp, md, mk = members
+        out = set()
+        for lo in range(0, len(ms), 64):
+            k = slice(lo, lo + 64)
+            total = pn[:, None] + mn[None, k]
+            differ = np.bitwise_count(pk[:, None, :] ^ mk[None, k, :]).sum(axis=2, dtype=np.int64)
+            ok = differ * (100 + THRESHOLD) <= total * (100 - THRESHOLD)
+            ok &= (pcomp[:, None] != mcomp[None, k]) & (np.minimum(pn[:, None], mn[None, k]) * 100 >= np.maximum(pn[:, None], mn[None, k]) * THRESHOLD)
+            ok &= ~(np.abs(pd[:, None] - md[None, k]) > radius + 1e-9)  # unknown distances are not numbers and exclude nothing
+            i, j = np.nonzero(ok)
+            out.update(zip(np.minimum(ps[i], ms[k][j]).tolist(), np.maximum(ps[i], ms[k][j]).tolist(), strict=True))
+        return out
+
+    def run(batches):
+        place, pivots, ready = None, [], None
+        for batch in batches:
+            blocks, salt, role = batch.column("block").to_numpy(), batch.column("salt").to_numpy(), batch.column("role").to_numpy()
+            sid, n, c = (batch.column(x).to_numpy().astype(np.int64) for x in ("sid", "n", "c"))
+            d = batch.column("d").to_numpy(zero_copy_only=False).astype(np.float64)
+            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(len(sid), -1)
+            fresh = np.concatenate([[True], (blocks[1:] != blocks[:-1]) | (salt[1:] != salt[:-1]) | (role[1:] != role[:-1])]) if len(sid) else np.zeros(0, bool)
+            starts = np.flatnonzero(fresh)
+            found = set()
+            for lo, hi in zip(starts, np.append(starts[1:], len(sid)), strict=True):
+                part = [x[lo:hi] for x in (sid, n, c, d, sketch)]
+                here = (blocks[lo], salt[lo])
+                if here != place:
+                    place, pivots, ready = here, [], None
+                if role[lo] == 0:
+                    pivots.append(part)
+                    continue
+                if ready is None:
+                    ready = [np.concatenate(x) for x in zip(*pivots, strict=True)] if pivots else None
+                if ready is not None:
+                    found |= compared(ready, part)
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
+
+    return dealt.select("block", "salt", "role", "sid", "n", "c", "d", "sketch").mapInArrow(run, "a long, b long").distinct()
+
+
 class _Join:
     """The recursion: known distances, and the component of every point that has a link."""
 
@@ -478,13 +545,13 @@ def join_components(docs: DataFrame, text: str = "text") -> DataFrame:
     bits = min(20, max(6, math.ceil(math.log2(max(1, count * 100 / BUCKET)))))
     spark = docs.sparkSession
     table = written(_prefixes(docs, levels(docs), bits), "prefixes")
-    marks = written(table.filter("bucket < 0").select("doc_id", "sid", "n"), "marks")
+    marks = written(table.filter("bucket < 0").select("doc_id", "sid", "n", "sketch"), "marks")
     found = written(_blocks(table.filter("bucket >= 0")), "found")
     discard(table)
     del table
     release(spark)
     blocks = _open_blocks(found)
-    points = marks.join(blocks.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("doc_id"))
+    points = marks.join(blocks.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("doc_id"), F.first("sketch").alias("sketch"))
     points = written(points, "points")
     texts = written(_narrowed(docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(0))), points), "texts")
     release(spark)
@@ -502,7 +569,7 @@ def join_components(docs: DataFrame, text: str = "text") -> DataFrame:
     join.measure(rest.join(join.known.select("a", "b"), ["a", "b"], "left_anti"))
 
     # blocks that still hold several components: their other points become pivots
-    open_rows, turn = blocks, 0
+    open_rows = blocks
     done = None
     while True:
         now = written(join.labelled(join.labelled(open_rows, "sid", "c"), "pivot", "pc"), "open")
@@ -511,21 +578,16 @@ def join_components(docs: DataFrame, text: str = "text") -> DataFrame:
         if done is not None:
             outside = outside.join(done, ["block", "sid"], "left_anti")
         rank = F.row_number().over(Window.partitionBy("block").orderBy(F.col("degree").desc(), "sid"))
-        next_pivots = written(outside.withColumn("r", rank).filter(F.col("r") <= 4 ** min(turn, 8)).select("block", F.col("sid").alias("p"), F.col("n").alias("pn"), F.col("c").alias("p_c")), "pivots")
-        if next_pivots.isEmpty():
+        new = written(outside.withColumn("r", rank).filter(F.col("r") <= NEW_PIVOTS).drop("r"), "pivots")
+        if new.isEmpty():
             break
-        used = next_pivots.select("block", F.col("p").alias("sid"))
+        used = new.select("block", "sid")
         done = used if done is None else done.unionByName(used)
         open_rows = written(now.join(several, "block", "left_semi").drop("c", "pc"), "open")
-        meet = now.join(next_pivots, "block").filter("c <> p_c and sid <> p")
-        meet = meet.filter(f"least(n, pn) * 100L >= greatest(n, pn) * {THRESHOLD}L")
-        # triangle inequality with the block's pivot, where both distances are known
-        d = join.known.select(F.col("a").alias("pivot"), F.col("b"), (1 - F.col("common") / F.col("either")).alias("d"))
-        meet = meet.join(d.select("pivot", F.col("b").alias("sid"), F.col("d").alias("d1")), ["pivot", "sid"], "left").join(d.select("pivot", F.col("b").alias("p"), F.col("d").alias("d2")), ["pivot", "p"], "left")
-        meet = meet.filter(F.coalesce(F.abs(F.col("d1") - F.col("d2")) <= 1 - THRESHOLD / 100 + 1e-9, F.lit(True)))
-        meet = meet.select(F.least("p", "sid").alias("a"), F.greatest("p", "sid").alias("b")).distinct().join(join.known.select("a", "b"), ["a", "b"], "left_anti")
-        join.measure(meet)
-        turn += 1
+        met = now.join(new.select("block").distinct(), "block", "left_semi").withColumn("role", F.lit(1)).unionByName(new.withColumn("role", F.lit(0)))
+        d = join.known.groupBy(F.col("a").alias("pivot"), F.col("b").alias("sid")).agg(F.first(1 - F.col("common") / F.col("either")).alias("d"))
+        met = met.join(d, ["pivot", "sid"], "left").join(points.select("sid", "sketch"), "sid")
+        join.measure(_near(met.select("block", "role", "sid", "n", "c", "d", "sketch")).join(join.known.select("a", "b"), ["a", "b"], "left_anti"))
 
     of = join.labelled(marks.filter("n > 0"), "sid", "label")
     smallest = of.groupBy("label").agg(F.min("doc_id").alias("component_id"))
