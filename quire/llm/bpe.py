@@ -386,9 +386,10 @@ def build_lexicon(docs: DataFrame, tokenizer: str, text: str = "text", size: int
 class Encoder:
     """Encodes and decodes texts with the automaton first and exact merges for the rest."""
 
-    def __init__(self, tokenizer: str, lexicon: bytes, memo: int = 300_000):
+    def __init__(self, tokenizer: str, lexicon: bytes, memo: int = 250_000):
         self.rule, self.lexicon, self.limit = Merges(tokenizer), Lexicon(lexicon), memo
         self._memo: dict[str, tuple[str, str, int]] = {}
+        self._older: dict[str, tuple[str, str, int]] = {}
         self._outputs: dict[int, tuple[str, str, int]] = {}
 
     def _entry(self, ids: list[int]) -> tuple[str, str, int]:
@@ -421,10 +422,16 @@ class Encoder:
 
     def _known(self, chunks: list[str]) -> list[tuple[str, str, int]]:
         """The entries of all chunks; what is too long to be met again isn't kept."""
-        memo = self._memo
-        if len(memo) > self.limit:
-            memo.clear()
-        new = [c for c in dict.fromkeys(chunks) if c not in memo]
+        if len(self._memo) > self.limit:  # what is used again comes back from the older half
+            self._memo, self._older = {}, self._memo
+        memo, older, new = self._memo, self._older, []
+        for c in dict.fromkeys(chunks):
+            if c not in memo:
+                entry = older.get(c)
+                if entry is None:
+                    new.append(c)
+                else:
+                    memo[c] = entry
         if new:
             self._learn(new)
         entries = [memo[c] for c in chunks]
