@@ -260,6 +260,17 @@ def _narrowed(texts: DataFrame, ids: DataFrame) -> DataFrame:
 _MARKS = "bucket int, doc_id long, sid long, n int, sketch binary, hashes binary, owners binary, sids binary, sizes binary"
 
 
+def _short(h: np.ndarray) -> bytes:
+    """Hashes without their lowest 16 bits, which the bucket mostly holds; the rest may by chance make two shingles one, and a candidate more."""
+    return h.view(np.uint16).reshape(-1, 4)[:, 1:].tobytes()
+
+
+def _long(data) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 4), np.uint16)
+    out[:, 1:] = np.frombuffer(data, np.uint16).reshape(-1, 3)
+    return out.reshape(-1).view(np.uint64)
+
+
 def _prefixes(docs: DataFrame, common: np.ndarray, bits: int) -> DataFrame:
     """Rows of two kinds: a document's mark (bucket -1), and a bucket's share of prefix shingles with their owners."""
     shipped = docs.sparkSession.sparkContext.broadcast(common)
@@ -302,7 +313,7 @@ def _prefixes(docs: DataFrame, common: np.ndarray, bits: int) -> DataFrame:
                 rows = []
                 for a, b in zip(cuts, cuts[1:], strict=False):
                     there, at = np.unique(o[a:b], return_inverse=True)
-                    rows.append((int(bucket[a]), h[a:b].tobytes(), (at.astype(np.uint16) | first[a:b]).tobytes(), all_s[there].tobytes(), all_n[there].tobytes()))
+                    rows.append((int(bucket[a]), _short(h[a:b]), (at.astype(np.uint16) | first[a:b]).tobytes(), all_s[there].tobytes(), all_n[there].tobytes()))
                 no_long, no_int = pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int32())
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), no_long, no_long, no_int, pa.nulls(len(rows), pa.binary()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "doc_id", "sid", "n", "sketch", "hashes", "owners", "sids", "sizes"])
@@ -324,7 +335,7 @@ def _blocks(packed: DataFrame) -> DataFrame:
             at = np.frombuffer(o.as_buffer(), np.uint16)
             fs.append(at >> 15 > 0)
             at = at & np.uint16(0x7FFF)
-            hs.append(np.frombuffer(h.as_buffer(), np.uint64))
+            hs.append(_long(h.as_buffer()))
             ss.append(np.frombuffer(s.as_buffer(), np.int64)[at])
             ns.append(np.frombuffer(n.as_buffer(), np.int32)[at])
         h, s, n, f = np.concatenate(hs), np.concatenate(ss), np.concatenate(ns), np.concatenate(fs)
