@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import slices, tidy, worker_state, written
 
 #: Frequent pieces that the automaton holds at most.
-LEXICON_SIZE = 1 << 18
+LEXICON_SIZE = 1 << 17
 #: Pieces longer than this many bytes are not put into the automaton.
 LEXICON_BYTES = 64
 #: Texts, and bytes of them, whose words are looked up at once.
@@ -386,7 +386,7 @@ def build_lexicon(docs: DataFrame, tokenizer: str, text: str = "text", size: int
 class Encoder:
     """Encodes and decodes texts with the automaton first and exact merges for the rest."""
 
-    def __init__(self, tokenizer: str, lexicon: bytes, memo: int = 250_000):
+    def __init__(self, tokenizer: str, lexicon: bytes, memo: int = 150_000):
         self.rule, self.lexicon, self.limit = Merges(tokenizer), Lexicon(lexicon), memo
         self._memo: dict[str, tuple[str, str, int]] = {}
         self._older: dict[str, tuple[str, str, int]] = {}

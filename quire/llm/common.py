@@ -56,6 +56,8 @@ def worker_state(tag: str, make):
     """What this worker process keeps from task to task for one query; the next query's replaces it."""
     if tag not in _state:
         _state.clear()
+        gc.collect()
+        tidy()
         _state[tag] = make()
     return _state[tag]
 

@@ -213,9 +213,10 @@ def levels(docs: DataFrame) -> np.ndarray:
                 for s in shingler.sets(batch.column(0).slice(lo, n_rows).to_pylist()):
                     held.append(s >> np.uint64(64 - COUNTERS.bit_length() + 1))
                     n += len(s)
-                if n > 2_000_000:
+                if n > 1_000_000:
                     put()
                     held, n = [], 0
+            tidy()
         if held:
             put()
         yield from _chunks(np.minimum(counts, 255).astype(np.uint8))
@@ -317,6 +318,7 @@ def _prefixes(docs: DataFrame, common: np.ndarray, bits: int) -> DataFrame:
                 no_long, no_int = pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int32())
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), no_long, no_long, no_int, pa.nulls(len(rows), pa.binary()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "doc_id", "sid", "n", "sketch", "hashes", "owners", "sids", "sizes"])
+            tidy()
 
     return docs.select("doc_id", "text").mapInArrow(run, _MARKS)
 
@@ -424,6 +426,7 @@ def _measured(pairs: DataFrame, points: DataFrame, texts: DataFrame) -> DataFram
                 keep = [name_of(s) == x for s, x in zip(sets, part.column("sid").to_pylist(), strict=True)]
                 part = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("cell", "salt", "member", "sid")), pa.array([s.tobytes() for s in sets], pa.binary())], ["cell", "salt", "member", "sid", "shingles"])
                 yield part.filter(pa.array(keep, pa.bool_()))
+            tidy()
 
     def compared(batches):
         place, pivot = None, np.zeros(0, np.uint64)

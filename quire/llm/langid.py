@@ -201,7 +201,7 @@ def fit(train: DataFrame, model: str, *, train_docs: int = TRAIN_DOCS, rounds: i
 class Scorer:
     """Scores texts; what a word or a chunk between white spaces adds is kept for the next time it is met."""
 
-    def __init__(self, model: Pieces, memo: int = 300_000):
+    def __init__(self, model: Pieces, memo: int = 200_000):
         self.model, self.limit = model, memo
         self._clear()
 
