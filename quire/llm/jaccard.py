@@ -558,13 +558,17 @@ def join_components(docs: DataFrame, text: str = "text") -> DataFrame:
     count = docs.count()
     bits = min(20, max(6, math.ceil(math.log2(max(1, count * 100 / BUCKET)))))
     spark = docs.sparkSession
-    table = written(_prefixes(docs, levels(docs), bits), "prefixes")
+    common = levels(docs)
+    release(spark)
+    table = written(_prefixes(docs, common, bits), "prefixes")
     marks = written(table.filter("bucket < 0").select("doc_id", "sid", "n", "sketch"), "marks")
     found = written(_blocks(table.filter("bucket >= 0")), "found")
     discard(table)
     del table
     release(spark)
     blocks = _open_blocks(found)
+    discard(found)
+    del found
     points = marks.join(blocks.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("doc_id"), F.first("sketch").alias("sketch"))
     points = written(points, "points")
     texts = written(_narrowed(docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(0))), points), "texts")
