@@ -13,7 +13,7 @@ from quire.operators import accuracy, batch, cascade, reports, routing
 from quire.params import PROFILES, Settings, profile_of, with_profile
 from quire.sources import documents
 
-ENGINES = cascade.Registry([cascade.Engine("text_layer", "Embedded text", lambda page: {}), cascade.stub_engine("qwen_vl"), cascade.stub_engine("unlimited_ocr"), cascade.stub_engine("tesseract")])
+ENGINES = cascade.Registry([cascade.Engine("text_layer", "Embedded text", lambda page: {}), cascade.stub_engine("vision_a"), cascade.stub_engine("vision_b"), cascade.stub_engine("classic")])
 
 
 def _spark() -> SparkSession:

@@ -66,7 +66,7 @@ class Settings:
     documents: Documents = field(default_factory=Documents)
     chat: Chat = field(default_factory=Chat)
     output: Output = field(default_factory=Output)
-    engine_order: tuple[str, ...] = ("text_layer", "qwen_vl", "unlimited_ocr", "tesseract")
+    engine_order: tuple[str, ...] = ("text_layer", "vision_a", "vision_b", "classic")
     fusion: str = "line_vote"
     changed_threshold: float = 0.55
     max_tokens: int = 3072

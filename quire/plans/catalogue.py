@@ -255,15 +255,15 @@ def engine_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""SELECT doc, engine_id, count(*) AS pages, count(*) FILTER (status = 'success') AS succeeded FROM (
         SELECT doc, 'text_layer' AS engine_id, 'success' AS status FROM {_ROUTED} WHERE page_class = 'text_layer'
-        UNION ALL SELECT doc, 'qwen_vl', CASE WHEN {_blank('embedded_text')} THEN 'failed' ELSE 'success' END FROM {_ROUTED} WHERE page_class = 'needs_ocr'
-        UNION ALL SELECT doc, 'unlimited_ocr', 'success' FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page_number) AS place FROM (
+        UNION ALL SELECT doc, 'vision_a', CASE WHEN {_blank('embedded_text')} THEN 'failed' ELSE 'success' END FROM {_ROUTED} WHERE page_class = 'needs_ocr'
+        UNION ALL SELECT doc, 'vision_b', 'success' FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page_number) AS place FROM (
             SELECT *, greatest(1, floor(count(*) OVER (PARTITION BY doc) * 0.5)) AS cap FROM {_ROUTED} r LEFT JOIN {_longest('embedded_text', 'dp', "(SELECT doc || ':' || page_number AS dp, embedded_text FROM {pages})")} l ON l.dp = r.doc || ':' || r.page_number WHERE page_class = 'needs_ocr')
             WHERE coalesce(run, 0) >= 6 OR (ink >= 0.06 AND len({_tokens('embedded_text')}) < 30) OR {_ratio('embedded_text')} < 0.5) WHERE place <= cap
     ) GROUP BY doc, engine_id"""
 )
 def cascade_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     routes = routing.routed(fixture(spark, sf_dir, "pages"))
-    df = cascade.cascade(routes, [cascade.stub_engine("qwen_vl"), cascade.stub_engine("unlimited_ocr")])
+    df = cascade.cascade(routes, [cascade.stub_engine("vision_a"), cascade.stub_engine("vision_b")])
     return df.groupBy("doc", "engine_id").agg(F.count("*").alias("pages"), F.count_if(F.col("status") == "success").alias("succeeded"))
 
 
@@ -589,16 +589,16 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- cache ----------------------------------------------------------------------------------------------
 
 _OPTIONS = {"prompt": "transcribe", "temperature": 0}
-_KEY = "sha256(encode({c}) || '\\x00'::BLOB || encode('qwen_vl') || '\\x00'::BLOB || encode('m') || '\\x00'::BLOB || encode('{{\"prompt\": \"transcribe\", \"temperature\": 0}}'))"
+_KEY = "sha256(encode({c}) || '\\x00'::BLOB || encode('vision_a') || '\\x00'::BLOB || encode('m') || '\\x00'::BLOB || encode('{{\"prompt\": \"transcribe\", \"temperature\": 0}}'))"
 _CACHE = f"""(SELECT DISTINCT ON (key) * FROM (SELECT {_KEY.format(c='text')} AS key, 'cached ' || doc_id AS cached_text, CAST(doc_id % 50 AS DOUBLE) AS saved, doc_id AS created_at FROM documents WHERE doc_id % 3 = 0) ORDER BY key, created_at DESC)"""
 _LOOKED = f"(SELECT d.doc_id, d.source, {_KEY.format(c='text')} AS key, c.key IS NOT NULL AS hit, c.cached_text, c.saved FROM documents d LEFT JOIN {_CACHE} c ON c.key = {_KEY.format(c='d.text')})"
 
 
 def _cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fixture(spark, sf_dir, "documents")
-    key = cache.page_key(F.col("text"), "qwen_vl", "m", _OPTIONS)
+    key = cache.page_key(F.col("text"), "vision_a", "m", _OPTIONS)
     entries = docs.filter("doc_id % 3 = 0").select(
-        key.alias("key"), F.lit(cache.FORMAT).alias("format"), F.lit("qwen_vl").alias("provider_id"), F.lit("m").alias("model"), F.concat(F.lit("cached "), F.col("doc_id").cast("string")).alias("text"),
+        key.alias("key"), F.lit(cache.FORMAT).alias("format"), F.lit("vision_a").alias("provider_id"), F.lit("m").alias("model"), F.concat(F.lit("cached "), F.col("doc_id").cast("string")).alias("text"),
         F.lit(None).cast("bigint").alias("input_tokens"), F.lit(None).cast("bigint").alias("output_tokens"), (F.col("doc_id") % 50).cast("double").alias("seconds"), F.col("doc_id").cast("double").alias("created_at"),
     )
     old = entries.withColumn("format", F.lit(0)).withColumn("created_at", F.col("created_at") + 1e9)

@@ -26,7 +26,7 @@ SELECT doc, page_number + 1000000 AS page_number, doc_id, embedded_text, ink FRO
 
 #: One engine's results: empty, looping, truncated and symbol-only pages among good ones.
 RESULTS = """
-SELECT source AS doc, CAST(doc_id AS BIGINT) AS page_number, 'qwen_vl' AS engine_id,
+SELECT source AS doc, CAST(doc_id AS BIGINT) AS page_number, 'vision_a' AS engine_id,
        CASE WHEN doc_id % 13 = 0 THEN '' WHEN doc_id % 19 = 0 THEN repeat('the same line again' || chr(10), 8)
             WHEN doc_id % 23 = 0 THEN repeat('## ++ == ', 12) WHEN doc_id % 29 = 0 THEN 'Total' ELSE text END AS text,
        CASE WHEN doc_id % 31 = 0 THEN 'failed' ELSE 'success' END AS status,
@@ -41,8 +41,8 @@ WITH base AS (
     SELECT source AS doc, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS page_number, doc_id, text FROM documents
 ), e AS (
     SELECT 'text_layer' AS engine_id, 0 AS engine_ord, 'success' AS engine_status
-    UNION ALL SELECT 'qwen_vl', 1, 'success' UNION ALL SELECT 'unlimited_ocr', 2, 'partial'
-    UNION ALL SELECT 'tesseract', 3, 'failed' UNION ALL SELECT 'routing', 4, 'success'
+    UNION ALL SELECT 'vision_a', 1, 'success' UNION ALL SELECT 'vision_b', 2, 'partial'
+    UNION ALL SELECT 'classic', 3, 'failed' UNION ALL SELECT 'routing', 4, 'success'
 )
 SELECT doc, page_number, doc_id, engine_id, engine_ord, engine_status,
        CASE WHEN engine_ord = 2 AND doc_id % 5 = 0 THEN '' WHEN engine_ord = 1 THEN text || chr(10) || 'page ' || CAST(page_number AS VARCHAR(20)) ELSE text END AS text,
