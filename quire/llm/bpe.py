@@ -39,9 +39,9 @@ LEXICON_SIZE = 1 << 17
 #: Pieces longer than this many bytes are not put into the automaton.
 LEXICON_BYTES = 64
 #: Texts, and bytes of them, whose words are looked up at once.
-SLICE, SLICE_BYTES = 4096, 4 << 20
+SLICE, SLICE_BYTES = 4096, 2 << 20
 #: Distinct pieces that a counting task holds before it passes its counts on.
-FLUSH = 500_000
+FLUSH = 150_000
 
 _SPACES = regex.compile(r"\p{White_Space}+")
 #: Characters beyond ASCII's six that some rule takes for white space.
