@@ -1,7 +1,10 @@
 """Format-preserving pseudonyms for personal data, in SQL expressions only.
 
-Every text is searched once for candidates. A candidate that passes its kind's validation is
-replaced by a keyed pseudonym of the same format; what fails validation stays as it is.
+Secrets and e-mail addresses are found first. The rest is cut wherever some layout of the other
+kinds may begin, and every such place is tried by itself, kind after kind and the longest layout
+first, so a match that fails validation hides neither a shorter one nor one that begins inside it.
+What passes its kind's validation is replaced by a keyed pseudonym of the same format; what fails
+stays as it is.
 
 ================  =====================================  ==========================================
 kind              validated by                           pseudonym
@@ -40,10 +43,34 @@ PATTERNS = {
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])(?!\.[0-9])",
     "date": r"(?<![0-9./\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/\-])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
-    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .\-][0-9]{2,8}){1,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![0-9])",
     "card": r"(?<![0-9\-])(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){2,3}(?:[ \-][0-9]{1,3})?|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![0-9\-])",
 }
-ANY = "|".join(PATTERNS.values())
+#: A further group of a phone number; one that begins an address, a date, an SSN or a card is none.
+GROUP = (
+    r"(?:[ .\-](?![0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])|[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9])|[0-9]{2}([./])[0-9]{2}\1[0-9]{4}(?![0-9])"
+    r"|[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])|[0-9]{4}(?:[ \-][0-9]{4}){3}(?![0-9]))[0-9]{2,8})"
+)
+PLUS = r"(?<![0-9+])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})"
+#: Layouts of a kind, longest first; a number of the North American plan has ten digits after +1.
+LAYOUTS = {
+    "iban": [PATTERNS["iban"]],
+    "ip": [PATTERNS["ip"]],
+    "date": [PATTERNS["date"]],
+    "ssn": [PATTERNS["ssn"]],
+    "phone": [
+        r"(?<![0-9+])\+1[ .\-]?(?:\([0-9]{3}\)|[0-9]{3})[ .\-][0-9]{3}[ .\-][0-9]{4}(?![0-9])",
+        *(PLUS + GROUP.replace("\\1", "\\2") + "{%d}(?![0-9])" % n for n in (4, 3, 2, 1)),
+        r"(?<![0-9+])(?:\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![0-9])",
+    ],
+    "card": [PATTERNS["card"]],
+}
+#: Where some layout may begin.
+START = "|".join([*(PATTERNS[k] for k in ("iban", "ip", "date", "ssn", "card")), PLUS + r"[ .\-][0-9]{2}", LAYOUTS["phone"][-1]])
+WORDS = "|".join(PATTERNS[k] for k in ("secret", "email"))
+#: Characters seen from a start (no layout is longer), and starts at most in them.
+SEEN, STARTS = 80, 40
+#: Starts that are put together at once, so that long tables of numbers take time in proportion.
+CHUNK = 128
 
 
 def _lit(text: str) -> str:
@@ -100,7 +127,7 @@ def _card(key: str) -> str:
     body = "substr(x.d, 2, length(x.d) - 2)"  # the first digit names the network and stays; the last is the check digit
     new = _let("p", f"concat(substr(x.d, 1, 1), {_let('q', body, _digits('q', "'card'", key))})", _let("z", "concat(p, '0')", f"concat(p, cast((10 - {_luhn('z')}) % 10 as string))"))
     # issuer ranges of the second digit may be left by the permutation; the format (length, network digit, Luhn) is kept
-    return f"case when {valid} then {_let('n', new, _refill('x.m', 'n'))} else x.m end"
+    return f"case when {valid} then {_let('n', new, _refill('x.m', 'n'))} end"
 
 
 def _iban(key: str) -> str:
@@ -118,7 +145,7 @@ def _iban(key: str) -> str:
                 "array_join(transform(split(x.m, ''), (c, j) -> case when c = ' ' then c else substr(whole, length(replace(substr(x.m, 1, j + 1), ' ', '')), 1) end), '')",
             ),
         )
-        + " else x.m end",
+        + " end",
     )
 
 
@@ -129,7 +156,7 @@ def _ssn(key: str) -> str:
     left = f"(({area} - 1 - case when {area} > 666 then 1 else 0 end) * 99 + cast(substr(x.d, 4, 2) as int) - 1)"
     f = _feistel(left, "(cast(substr(x.d, 6) as int) - 1)", str(898 * 99), "9999", "'ssn'", key)
     new = "concat_ws('-', lpad(cast(f.l div 99 + 1 + case when f.l div 99 >= 665 then 1 else 0 end as string), 3, '0'), lpad(cast(f.l % 99 + 1 as string), 2, '0'), lpad(cast(f.r + 1 as string), 4, '0'))"
-    return f"case when {valid} then {_let('f', f, new)} else x.m end"
+    return f"case when {valid} then {_let('f', f, new)} end"
 
 
 def _phone(key: str) -> str:
@@ -138,7 +165,7 @@ def _phone(key: str) -> str:
     return (
         "case when length(x.d) between 8 and 15 then "
         + _let("h", head, _let("t", "substr(x.m, length(h) + 1)", _let("d", "regexp_replace(t, r'[^0-9]', '')", _let("n", _digits("d", "'phone'", key), f"concat(h, {_refill('t', 'n')})"))))
-        + " else x.m end"
+        + " end"
     )
 
 
@@ -150,14 +177,14 @@ def _date(key: str) -> str:
     return _let(
         "k",
         f"datediff(cast({parsed} as date), date'1900-01-01')",
-        f"case when k between 0 and {a * b - 1} then {_let('f', f, _let('n', f"date_add(date'1900-01-01', cast(f.l * {b} + f.r as int))", back))} else x.m end",
+        f"case when k between 0 and {a * b - 1} then {_let('f', f, _let('n', f"date_add(date'1900-01-01', cast(f.l * {b} + f.r as int))", back))} end",
     )
 
 
 def _ip(key: str) -> str:
     octet = lambda i: f"cast(element_at(o, {i}) as int)"
     f = _feistel(f"({octet(1)} * 256 + {octet(2)})", f"({octet(3)} * 256 + {octet(4)})", "65536", "65536", "'ip'", key)
-    return _let("o", r"split(x.m, r'\.')", f"case when forall(o, v -> cast(v as int) <= 255) then {_let('f', f, "concat_ws('.', f.l div 256, f.l % 256, f.r div 256, f.r % 256)")} else x.m end")
+    return _let("o", r"split(x.m, r'\.')", f"case when forall(o, v -> cast(v as int) <= 255) then {_let('f', f, "concat_ws('.', f.l div 256, f.l % 256, f.r div 256, f.r % 256)")} end")
 
 
 def _email(key: str) -> str:
@@ -170,12 +197,41 @@ def _secret(key: str) -> str:
     return _let("v", value, f"concat(substr(x.m, 1, length(x.m) - length(v) - case when endswith(x.m, '\"') then 1 else 0 end), substr({stream}, 1, length(v)), case when endswith(x.m, '\"') then '\"' else '' end)")
 
 
-def _found(key: str) -> str:
-    """SQL struct (kind, old, new) for one candidate ``m``."""
-    kinds = {"secret": _secret, "email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
-    kind = "case " + " ".join(f"when m rlike {_lit('^(?:' + PATTERNS[k] + ')$')} then '{k}'" for k in kinds) + " end"
-    new = "case x.kind " + " ".join(f"when '{k}' then {f(key)}" for k, f in kinds.items()) + " else x.m end"
-    return _let("x", f"named_struct('kind', {kind}, 'm', m, 'd', regexp_replace(m, r'[^0-9]', ''))", f"named_struct('kind', x.kind, 'old', x.m, 'new', {new})")
+KINDS = {"iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
+
+
+def _word(key: str) -> str:
+    """SQL struct (kind, old, new) for a secret or an e-mail address ``m``."""
+    secret = f"m rlike {_lit('^(?:' + PATTERNS['secret'] + ')$')}"
+    return _let("x", "named_struct('m', m)", f"case when {secret} then named_struct('kind', 'secret', 'old', m, 'new', {_secret(key)}) else named_struct('kind', 'email', 'old', m, 'new', {_email(key)}) end")
+
+
+def _matches(kind: str) -> str:
+    """SQL array: what the layouts of ``kind`` match at the second character of ``w``, or empty strings."""
+    return "array(" + ", ".join(f"regexp_extract(w, {_lit('(?s)^.(' + p + ')')}, 1)" for p in LAYOUTS[kind]) + ")"
+
+
+def _number(key: str) -> str:
+    """SQL struct (kind, old, new) for the first valid value at the second character of ``w``, or null."""
+    hits = []
+    for kind, f in KINDS.items():
+        found = _let("x", "named_struct('m', m, 'd', regexp_replace(m, r'[^0-9]', ''))", f"named_struct('kind', '{kind}', 'old', m, 'new', {f(key)})")
+        hits.append(f"get(filter(transform(filter({_matches(kind)}, m -> m <> ''), m -> {found}), h -> h.new is not null), 0)")
+    return f"case when w rlike {_lit('(?s)^.(?:' + START + ')')} then coalesce({', '.join(hits)}) end"
+
+
+def _numbers(key: str) -> str:
+    """SQL array of structs (text, hit): the text ``g`` with its numbers, addresses and dates replaced, in parts."""
+    window = f"concat(case when i = 0 then '\\n' else right(p[i - 1], 1) end, substr(array_join(transform(slice(p, i + 1, {STARTS}), q -> substr(q, 1, {SEEN})), ''), 1, {SEEN}))"
+    tried = f"transform(p, (q, i) -> named_struct('q', q, 'h', {_let('w', window, _number(key))}))"
+    # a part that a value found before covers is dropped as far as it is covered; values don't begin inside others
+    free = "named_struct('skip', greatest(length(c.h.old) - length(c.q), 0), 'out', concat(s.out, array(named_struct('text', concat(c.h.new, substr(c.q, length(c.h.old) + 1)), 'hit', c.h))))"
+    plain = "named_struct('skip', greatest(s.skip - length(c.q), 0), 'out', concat(s.out, array(named_struct('text', substr(c.q, s.skip + 1), 'hit', cast(null as struct<kind: string, old: string, new: string>)))))"
+    none = "cast(array() as array<struct<text: string, hit: struct<kind: string, old: string, new: string>>>)"
+    step = f"case when s.skip = 0 and c.h is not null then {free} else {plain} end"
+    chunk = f"aggregate(slice(t, k * {CHUNK} + 1, {CHUNK}), named_struct('skip', a.skip, 'out', {none}), (s, c) -> {step})"
+    whole = f"aggregate(sequence(0, (size(t) - 1) div {CHUNK}), named_struct('skip', 0, 'out', cast(array() as array<array<struct<text: string, hit: struct<kind: string, old: string, new: string>>>>)), (a, k) -> {_let('o', chunk, 'named_struct(\'skip\', o.skip, \'out\', concat(a.out, array(o.out)))')})"
+    return f"case when g rlike {_lit(START)} then {_let('p', f'split(g, {_lit("(?=" + START + ")")}, -1)', _let('t', tried, f'flatten(({whole}).out)'))} else array(named_struct('text', g, 'hit', cast(null as struct<kind: string, old: string, new: string>))) end"
 
 
 def pseudonymised(docs: DataFrame, key: str = "quire", text: str = "text") -> DataFrame:
@@ -188,18 +244,17 @@ def pseudonymised(docs: DataFrame, key: str = "quire", text: str = "text") -> Da
     if "'" in key or "\\" in key:
         raise ValueError("the key may hold neither quotes nor backslashes")
     k = f"'{key}'"
-    found, gaps = "__quire_found", "__quire_gaps"
-    any_pii = F.col(text).rlike("[0-9@]|(?i:token|secret|passw|key)") & F.col(text).rlike(ANY)
+    parts = "__quire_parts"
+    any_pii = F.col(text).rlike("[0-9@]|(?i:token|secret|passw|key)") & F.col(text).rlike(WORDS + "|" + START)
     kept = docs.drop("n_pii", "pii_kinds")
-    hits: Column = F.when(any_pii, F.expr(f"transform(regexp_extract_all(`{text}`, {_lit(ANY)}, 0), m -> {_found(k)})"))
-    parts: Column = F.when(any_pii, F.expr(f"split(`{text}`, {_lit(ANY)}, -1)"))
-    out = kept.withColumn(found, hits).withColumn(gaps, parts)
-    joined = F.expr(f"array_join(transform({gaps}, (g, i) -> concat(g, case when i < size({found}) then {found}[i].new else '' end)), '')")
-    changed = F.expr(f"filter({found}, h -> h.new <> h.old)")
-    names = [joined.isNull()]  # noqa: F841
+    word = f"array(named_struct('text', v[i].new, 'hit', v[i]))"
+    cut = _let("v", f"transform(regexp_extract_all(`{text}`, {_lit(WORDS)}, 0), m -> {_word(k)})", f"flatten(transform(split(`{text}`, {_lit(WORDS)}, -1), (g, i) -> case when i < size(v) then concat({_numbers(k)}, {word}) else {_numbers(k)} end))")
+    out = kept.withColumn(parts, F.when(any_pii, F.expr(cut)))
+    joined = F.expr(f"array_join(transform({parts}, h -> h.text), '')")
+    changed = F.expr(f"filter({parts}, h -> h.hit is not null and h.hit.new <> h.hit.old)")
     columns = [F.coalesce(joined, F.col(text)).alias(text) if c == text else F.col(f"`{c}`") for c in kept.columns]
     return out.select(
         *columns,
-        F.coalesce(F.size(F.when(F.col(found).isNotNull(), changed)), F.lit(0)).cast("long").alias("n_pii"),
-        F.coalesce(F.transform(F.when(F.col(found).isNotNull(), changed), lambda h: h["kind"]), F.array().cast("array<string>")).alias("pii_kinds"),
+        F.coalesce(F.size(F.when(F.col(parts).isNotNull(), changed)), F.lit(0)).cast("long").alias("n_pii"),
+        F.coalesce(F.transform(F.when(F.col(parts).isNotNull(), changed), lambda h: h["hit"]["kind"]), F.array().cast("array<string>")).alias("pii_kinds"),
     )

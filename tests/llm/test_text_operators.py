@@ -281,6 +281,16 @@ def test_very_long_text(spark):
     assert n == 1 and "a.b@mail" not in text and text.startswith("clean words ")
 
 
+def test_phones_end_before_other_values(spark):
+    alone, *rest = changed(spark, "+1 (826) 555-4081", "+1 (826) 555-4081 190.137.223.204", "+1 (826) 555-4081 190", "+44 20 7946 0958 1984-02-29", "+44 20 7946 0958 123456 123456 x", *["+1 (826) 555-4081 10.1.2.3 "] * 2)
+    phone = alone[0]
+    (both, n, kinds), (short, *_), (dated, _, second), (long, _, third), twice, again = rest
+    assert n == 2 and kinds == ["phone", "ip"] and both.startswith(phone + " ") and "190.137" not in both
+    assert short == phone + " 190" and second == ["phone", "date"] and third == ["phone"] and twice == again and "7946" not in long
+    (table, n, _), = changed(spark, "+1 (826) 555-4081 10.1.2.3; " * 400)
+    assert n == 800 and table == (twice[0].rstrip() + "; ") * 400
+
+
 # --- the pipeline -----------------------------------------------------------------------------------
 
 
