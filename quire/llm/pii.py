@@ -53,7 +53,7 @@ GROUP = (
 PLUS = r"(?<![0-9+])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})"
 #: Layouts of a kind, longest first; a number of the North American plan has ten digits after +1.
 LAYOUTS = {
-    "iban": [PATTERNS["iban"]],
+    "iban": [PATTERNS["iban"]],  # and those of _ibans
     "ip": [PATTERNS["ip"]],
     "date": [PATTERNS["date"]],
     "ssn": [PATTERNS["ssn"]],
@@ -62,8 +62,17 @@ LAYOUTS = {
         *(PLUS + GROUP.replace("\\1", "\\2") + "{%d}(?![0-9])" % n for n in (4, 3, 2, 1)),
         r"(?<![0-9+])(?:\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![0-9])",
     ],
-    "card": [PATTERNS["card"]],
-}
+    "card": [r"(?<![0-9\-])(?:" + p + r")(?![0-9\-])" for p in (
+        "[0-9]{13,19}", *(r"[0-9]{4}(?:[ \-][0-9]{4}){3}[ \-][0-9]{%d}(?!/[0-9])" % n for n in (3, 2, 1)), r"[0-9]{4}(?:[ \-][0-9]{4}){3}",
+        *(r"[0-9]{4}(?:[ \-][0-9]{4}){2}[ \-][0-9]{%d}" % n for n in (3, 2, 1)), r"[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5}",
+    )],
+}
+#: Characters of each country's IBAN.
+IBANS = dict(x.split(":") for x in (
+    "AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BI:27 BR:29 BY:28 CH:21 CR:22 CY:28 CZ:24 DE:22 DJ:27 DK:18 DO:28 EE:20 EG:29 ES:24 FI:18 FK:18 FO:18 FR:27 GB:22 GE:22 GI:23 "
+    "GL:18 GR:27 GT:28 HR:21 HU:28 IE:22 IL:23 IQ:23 IS:26 IT:27 JO:30 KW:30 KZ:20 LB:28 LC:32 LI:21 LT:20 LU:20 LV:21 LY:25 MC:27 MD:24 ME:22 MK:19 MN:20 MR:27 MT:31 MU:30 NI:28 NL:18 "
+    "NO:15 OM:23 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 RU:33 SA:24 SC:31 SD:18 SE:24 SI:19 SK:24 SM:27 SO:23 ST:25 SV:28 TL:23 TN:24 TR:26 UA:29 VA:22 VG:24 XK:20"
+).split())
 #: Where some layout may begin.
 START = "|".join([*(PATTERNS[k] for k in ("iban", "ip", "date", "ssn", "card")), PLUS + r"[ .\-][0-9]{2}", LAYOUTS["phone"][-1]])
 WORDS = "|".join(PATTERNS[k] for k in ("secret", "email"))
@@ -206,9 +215,19 @@ def _word(key: str) -> str:
     return _let("x", "named_struct('m', m)", f"case when {secret} then named_struct('kind', 'secret', 'old', m, 'new', {_secret(key)}) else named_struct('kind', 'email', 'old', m, 'new', {_email(key)}) end")
 
 
+def _ibans() -> str:
+    """SQL array: IBANs of their country's length at the second character of ``w``; without a known country those of any length."""
+    known = "map(" + ", ".join(f"'{c}', {n}" for c, n in IBANS.items()) + ")"
+    tail = "case when n % 4 > 0 then concat(' [A-Z0-9]{', n % 4, '}') else '' end"
+    layout = f"concat({_lit('(?s)^.((?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{')}, n - 4, {_lit('}|(?: [A-Z0-9]{4}){')}, n div 4 - 1, '}}', {tail}, {_lit('))(?![A-Za-z0-9])')})"
+    lengths = f"case when map_contains_key({known}, substr(w, 2, 2)) then array(element_at({known}, substr(w, 2, 2))) else sequence(34, 15, -1) end"
+    return f"case when w rlike {_lit('(?s)^.[A-Z]{2}[0-9]{2}')} then transform({lengths}, n -> regexp_extract(w, {layout}, 1)) else array() end"
+
+
 def _matches(kind: str) -> str:
     """SQL array: what the layouts of ``kind`` match at the second character of ``w``, or empty strings."""
-    return "array(" + ", ".join(f"regexp_extract(w, {_lit('(?s)^.(' + p + ')')}, 1)" for p in LAYOUTS[kind]) + ")"
+    found = "array(" + ", ".join(f"regexp_extract(w, {_lit('(?s)^.(' + p + ')')}, 1)" for p in LAYOUTS[kind]) + ")"
+    return f"concat({_ibans()}, {found})" if kind == "iban" else found
 
 
 def _number(key: str) -> str:

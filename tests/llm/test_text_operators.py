@@ -291,6 +291,18 @@ def test_phones_end_before_other_values(spark):
     assert n == 800 and table == (twice[0].rstrip() + "; ") * 400
 
 
+def test_text_after_grouped_values(spark):
+    values = {"4111 1111 1111 1111": ["123", "12/25", "12/25/1999", "123 456 7890", "4012 8888 8888 1881"], "BE68 5390 0754 7034": ["EUR", "2024"], "ES91 2100 0418 4502 0005 1332": ["2024", "AND 12"], "FR14 2004 1010 0505 0001 3M02 606": ["EUR"], "3782 822463 10005": ["12"]}
+    for value, tails in values.items():
+        (alone, n, kinds), *rest = changed(spark, value, *(f"{value} {t}" for t in tails))
+        assert n == 1 and alone != value
+        for (text, _, found), tail in zip(rest, tails, strict=True):
+            assert text.startswith(alone + " ") and found[0] == kinds[0]
+            assert len(found) == 2 or text == f"{alone} {tail}"
+    (text, n, _), = changed(spark, "1234 4111 1111 1111 1111")
+    assert n == 1 and text.startswith("1234 4") and "1111 1111" not in text
+
+
 # --- the pipeline -----------------------------------------------------------------------------------
 
 
