@@ -13,7 +13,8 @@ card number       13-19 digits, issuer range, Luhn       digits permuted, check
 IBAN              length, checksum modulo 97             digits permuted, checksum recomputed
 SSN               area, group and serial ranges          digits permuted within the valid ranges
 phone number      8-15 digits, a telephone layout        subscriber digits permuted
-date              a calendar date from 1900 to 2099      another calendar date, same layout
+date              a calendar date from 1900 to 2099,     another calendar date, same layout
+                  dd/MM or else MM/dd
 IPv4 address      four octets up to 255                  another address
 e-mail address    shape                                  hashed local part and domain
 secret            a key name before a long value         letters and digits hashed, same length
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 #: Days from 1900-01-01 that dates are permuted over: 250 x 292, to 2099-11-13.
 DAYS = (250, 292)
+#: Steps at most of a walk along the permutation's cycle to a date of the wanted layout.
+WALK = 64
 
 # Patterns are used by Java's engine; quantifiers are bounded or possessive, so no text makes them
 # backtrack far. None holds a single quote.
@@ -45,6 +48,8 @@ PATTERNS = {
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "card": r"(?<![0-9\-])(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){2,3}(?:[ \-][0-9]{1,3})?|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![0-9\-])",
 }
+#: Country codes of one and two digits; all others have three.
+CODES = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 #: A further group of a phone number; one that begins an address, a date, an SSN or a card is none.
 GROUP = (
     r"(?:[ .\-](?![0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])|[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9])|[0-9]{2}([./])[0-9]{2}\1[0-9]{4}(?![0-9])"
@@ -60,7 +65,8 @@ LAYOUTS = {
     "phone": [
         r"(?<![0-9+])\+1[ .\-]?(?:\([0-9]{3}\)|[0-9]{3})[ .\-][0-9]{3}[ .\-][0-9]{4}(?![0-9])",
         *(PLUS + GROUP.replace("\\1", "\\2") + "{%d}(?![0-9])" % n for n in (4, 3, 2, 1)),
-        r"(?<![0-9+])(?:\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![0-9])",
+        r"(?<![0-9+])\+[0-9]{8,15}(?![0-9])",
+        r"(?<![0-9+])(?:\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}|[2-9][0-9]{2} [0-9]{3} [0-9]{4})(?![0-9])",
     ],
     "card": [r"(?<![0-9\-])(?:" + p + r")(?![0-9\-])" for p in (
         "[0-9]{13,19}", *(r"[0-9]{4}(?:[ \-][0-9]{4}){3}[ \-][0-9]{%d}(?!/[0-9])" % n for n in (3, 2, 1)), r"[0-9]{4}(?:[ \-][0-9]{4}){3}",
@@ -74,7 +80,7 @@ IBANS = dict(x.split(":") for x in (
     "NO:15 OM:23 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 RU:33 SA:24 SC:31 SD:18 SE:24 SI:19 SK:24 SM:27 SO:23 ST:25 SV:28 TL:23 TN:24 TR:26 UA:29 VA:22 VG:24 XK:20"
 ).split())
 #: Where some layout may begin.
-START = "|".join([*(PATTERNS[k] for k in ("iban", "ip", "date", "ssn", "card")), PLUS + r"[ .\-][0-9]{2}", LAYOUTS["phone"][-1]])
+START = "|".join([*(PATTERNS[k] for k in ("iban", "ip", "date", "ssn", "card")), PLUS + r"[ .\-][0-9]{2}", *LAYOUTS["phone"][-2:]])
 WORDS = "|".join(PATTERNS[k] for k in ("secret", "email"))
 #: Characters seen from a start (no layout is longer), and starts at most in them.
 SEEN, STARTS = 80, 40
@@ -170,7 +176,7 @@ def _ssn(key: str) -> str:
 
 def _phone(key: str) -> str:
     # the country code after "+" stays
-    head = r"regexp_extract(x.m, r'^(\+[0-9]{1,3}[ .\-]|\+1|)', 1)"
+    head = f"regexp_extract(x.m, {_lit(r'^(\+[0-9]{1,3}[ .\-]|\+(?:' + CODES + '|[0-9]{3})|)')}, 1)"
     return (
         "case when length(x.d) between 8 and 15 then "
         + _let("h", head, _let("t", "substr(x.m, length(h) + 1)", _let("d", "regexp_replace(t, r'[^0-9]', '')", _let("n", _digits("d", "'phone'", key), f"concat(h, {_refill('t', 'n')})"))))
@@ -179,15 +185,17 @@ def _phone(key: str) -> str:
 
 
 def _date(key: str) -> str:
+    """Slashed dates are dd/MM where that is a date, else MM/dd; both are permuted among their like by walking the cycle."""
     a, b = DAYS
-    parsed = "case when x.m like '____-__-__' then try_to_timestamp(x.m, 'yyyy-MM-dd') when x.m like '__.__.____' then try_to_timestamp(x.m, 'dd.MM.yyyy') else try_to_timestamp(x.m, 'dd/MM/yyyy') end"
-    back = "case when x.m like '____-__-__' then date_format(n, 'yyyy-MM-dd') when x.m like '__.__.____' then date_format(n, 'dd.MM.yyyy') else date_format(n, 'dd/MM/yyyy') end"
-    f = _feistel(f"(k div {b})", f"(k % {b})", str(a), str(b), "'date'", key)
-    return _let(
-        "k",
-        f"datediff(cast({parsed} as date), date'1900-01-01')",
-        f"case when k between 0 and {a * b - 1} then {_let('f', f, _let('n', f"date_add(date'1900-01-01', cast(f.l * {b} + f.r as int))", back))} end",
-    )
+    parsed = "case when x.m like '____-__-__' then try_to_timestamp(x.m, 'yyyy-MM-dd') when x.m like '__.__.____' then try_to_timestamp(x.m, 'dd.MM.yyyy') else coalesce(try_to_timestamp(x.m, 'dd/MM/yyyy'), try_to_timestamp(x.m, 'MM/dd/yyyy')) end"
+    back = "case when x.m like '____-__-__' then date_format(n, 'yyyy-MM-dd') when x.m like '__.__.____' then date_format(n, 'dd.MM.yyyy') when us then date_format(n, 'MM/dd/yyyy') else date_format(n, 'dd/MM/yyyy') end"
+    us = "(x.m like '__/__/____' and try_to_timestamp(x.m, 'dd/MM/yyyy') is null)"
+    step = _let("f", _feistel(f"(w.k div {b})", f"(w.k % {b})", str(a), str(b), "'date'", key), f"f.l * {b} + f.r")
+    ok = "(not us or day(date_add(date'1900-01-01', cast(y as int))) > 12)"
+    # one step fails at most four times in ten, so WALK of them leave no value without an end
+    walked = f"aggregate(sequence(1, {WALK}), named_struct('k', cast(k as bigint), 'done', false), (w, i) -> case when w.done then w else {_let('y', step, f'named_struct(\'k\', y, \'done\', {ok})')} end)"
+    shifted = _let("n", f"date_add(date'1900-01-01', cast({walked}.k as int))", back)
+    return _let("us", us, _let("k", f"datediff(cast({parsed} as date), date'1900-01-01')", f"case when k between 0 and {a * b - 1} then {shifted} end"))
 
 
 def _ip(key: str) -> str:

@@ -303,6 +303,20 @@ def test_text_after_grouped_values(spark):
     assert n == 1 and text.startswith("1234 4") and "1111 1111" not in text
 
 
+def test_more_phones_and_month_first_dates(spark):
+    phones = ["+14155552671", "+1 (415) 555-2671", "+4915112345678", "+442079460958123", "+35312345678", "555 123 4567", "(555) 123 4567"]
+    got = changed(spark, *phones, "call +14155552671, or 555 123 4567.")
+    assert [(n, kinds) for _, n, kinds in got[:-1]] == [(1, ["phone"])] * len(phones) and got[-1][1] == 2
+    digits = [re.sub("[^0-9]", "", text) for text, *_ in got]
+    assert digits[0] == digits[1] and [d[:n] for d, n in zip(digits[2:5], (2, 2, 3), strict=True)] == ["49", "44", "353"]
+    assert all(re.sub("[0-9]", "0", t) == re.sub("[0-9]", "0", p) and t != p for (t, *_), p in zip(got, phones, strict=False))
+    days = [f"{d.astype('O'):%m/%d/%Y}" for d in np.arange("1999-12-13", "2001-02-01", dtype="datetime64[D]") if d.astype("O").day > 12]
+    out = [t for t, n, kinds in changed(spark, *days, "12/25/1999 05/03/1999 13/13/1999")]
+    assert len(set(out[:-1])) == len(days) and all(re.fullmatch(r"(0\d|1[0-2])/(1[3-9]|[23]\d)/(19|20)\d\d", t) for t in out[:-1])
+    a, b, c = out[-1].split()
+    assert a == out[days.index("12/25/1999")] and b != "05/03/1999" and c == "13/13/1999"
+
+
 # --- the pipeline -----------------------------------------------------------------------------------
 
 
