@@ -7,12 +7,15 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Cells of a similarity table up to which a changed block is aligned; beyond, lines pair by position.
 MAX_CELLS = 15_000
+#: Cells of two sequences up to which difflib alone matches them, and pairs of equal windows up to which runs are listed.
+SMALL, MAX_PAIRS = 40_000, 4_000_000
 DIFF = "array<struct<kind:string,text_a:string,text_b:string,similarity:double>>"
 
 
@@ -85,12 +88,71 @@ def diff_rows(a: list[str], b: list[str], least: float = 0.55) -> list[tuple]:
     return out
 
 
+def _matched(a: list, b: list) -> int:
+    return sum(x.size for x in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+
+
+def _runs(a: np.ndarray, b: np.ndarray, doublings: int) -> np.ndarray | None:
+    """Rows (i, j, length) of all maximal equal runs of at least 2 ** doublings elements; None if they are too many."""
+    ids, n = np.concatenate([a, [-1], b]), len(a)
+    for k in range(doublings):
+        ids = ids - ids.min()
+        ids = np.unique(ids[: -(2**k)] * (int(ids.max()) + 1) + ids[2**k :], return_inverse=True)[1]
+    t = 2**doublings
+    x, y = ids[: n - t + 1], ids[n + 1 :]
+    order = np.argsort(y, kind="stable")
+    first, last = np.searchsorted(y[order], x, "left"), np.searchsorted(y[order], x, "right")
+    count = last - first
+    if count.sum() > MAX_PAIRS:
+        return None
+    i = np.repeat(np.arange(len(x)), count)
+    j = order[np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)]
+    by = np.lexsort((i, j - i))
+    i, j = i[by], j[by]
+    starts = np.flatnonzero(np.r_[True, (np.diff(j - i) != 0) | (np.diff(i) != 1)][: len(i)])
+    return np.stack([i[starts], j[starts], np.diff(np.r_[starts, len(i)]) + t - 1], 1)
+
+
+def matched_size(a: list, b: list) -> int:
+    """Elements in difflib's matching blocks, without its walk over all equal pairs for long sequences.
+
+    While a stretch holds a match of a window's length, its longest match is looked up among the
+    maximal runs, cut to the stretch; ties go to the first in ``a``, then in ``b``, as in difflib,
+    which matches what is left.
+    """
+    if len(a) * len(b) <= SMALL:
+        return _matched(a, b)
+    code: dict = {}
+    u, v = (np.array([code.setdefault(x, len(code)) for x in s]) for s in (a, b))
+    doublings = 3 if len(code) <= 64 else 2
+    t = 2**doublings
+    runs = _runs(u, v, doublings) if min(len(a), len(b)) >= t else None
+    if runs is None:
+        return _matched(a, b)
+    total, stack = 0, [(0, len(a), 0, len(b), runs)]
+    while stack:
+        alo, ahi, blo, bhi, r = stack.pop()
+        i, j, n = r[:, 0], r[:, 1], r[:, 2]
+        skip = np.maximum(0, np.maximum(alo - i, blo - j))
+        size = np.minimum(n, np.minimum(ahi - i, bhi - j)) - skip
+        r, i, j, size = (x[size >= t] for x in (r, i + skip, j + skip, size))
+        if not len(r):
+            if alo < ahi and blo < bhi:
+                total += _matched(a[alo:ahi], b[blo:bhi])
+            continue
+        k = int(size.max())
+        best = np.flatnonzero(size == k)
+        x, y = min(zip(i[best].tolist(), j[best].tolist(), strict=True))
+        total += k
+        stack += [(alo, x, blo, y, r), (x + k, ahi, y + k, bhi, r)]
+    return total
+
+
 def unmatched_share(reference: list, hypothesis: list) -> float:
     """Share of the reference outside the matching blocks; insertions cost nothing."""
     if not len(reference):
         return float(len(hypothesis) > 0)
-    blocks = SequenceMatcher(None, reference, hypothesis, autojunk=False).get_matching_blocks()
-    return max(0.0, 1.0 - sum(b.size for b in blocks) / len(reference))
+    return max(0.0, 1.0 - matched_size(reference, hypothesis) / len(reference))
 
 
 def ratio(a: str, b: str) -> Column:
@@ -112,7 +174,7 @@ def diff(a: str, b: str, least: float = 0.55) -> Column:
 
 
 def unmatched(reference: str, hypothesis: str) -> Column:
-    """``unmatched_share`` of two array columns."""
+    """``unmatched_share`` of two array columns, or of the characters of two strings."""
 
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:

@@ -493,15 +493,9 @@ def figure_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accuracy.figure_recall(fixture(spark, sf_dir, "truth"), "doc_id")
 
 
-def _lines_of_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ground truth line by line: what the matcher scores is a line, and pages of any length stay affordable."""
-    n = fixture(spark, sf_dir, "invoice_lines")
-    return n.select(F.concat_ws("-", "doc", "line_no").alias("key"), F.col("line_a").alias("reference"), F.coalesce("line_b", F.lit("")).alias("hypothesis"))
-
-
 @query()
 def error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return accuracy.error_rates(_lines_of_truth(spark, sf_dir), "key")
+    return accuracy.error_rates(fixture(spark, sf_dir, "truth"), "doc_id")
 
 
 _RANKED = f"(SELECT *, count(*) FILTER (good) OVER (PARTITION BY doc ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT *, usable AND word_count >= 60 AS good FROM {_assess('{pages}')}))"
@@ -526,6 +520,14 @@ def accuracy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accuracy.report(scores, "source")
 
 
+@query()
+def accuracy_report_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """accuracy_report with the error rates, which have no SQL."""
+    t = fixture(spark, sf_dir, "truth")
+    scores = t.select("doc_id", "source").join(accuracy.error_rates(t, "doc_id"), "doc_id").join(accuracy.word_recall_joined(t, "doc_id"), "doc_id").join(accuracy.figure_recall(t, "doc_id"), "doc_id")
+    return accuracy.report(scores, "source")
+
+
 # --- reports --------------------------------------------------------------------------------------------
 
 _TOTALS = "(SELECT engine_id, count(*) AS pages, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, sum(seconds) AS seconds FROM {timings} GROUP BY engine_id)"

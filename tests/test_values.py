@@ -312,3 +312,47 @@ def test_python_runs_only_on_filtered_rows(spark, sf_dir):
     scan = spark.read.parquet(f"{sf_dir}/documents.parquet")
     layer = routing.assessed(scan.select("source", "text"), "text").groupBy("source").agg(F.avg("quality"))
     assert "lang" not in layer._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1][:120]
+
+
+def test_error_rates_of_whole_pages(spark, sf_dir):
+    from difflib import SequenceMatcher
+
+    from quire.plans import catalogue
+    from quire.plans.fixtures import fixture
+
+    def missed(a, b):
+        if not a:
+            return float(len(b) > 0)
+        return max(0.0, 1 - sum(x.size for x in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()) / len(a))
+
+    truth = fixture(spark, sf_dir, "truth").select("doc_id", T.fold("reference").alias("r"), T.fold("hypothesis").alias("h"))
+    got = {r["doc_id"]: r for r in catalogue.QUERIES["error_rates"](spark, sf_dir).collect()}
+    pages = truth.collect()
+    assert set(got) == {p["doc_id"] for p in pages} and any(g["wer"] > 0 for g in got.values())
+    for p in sorted(pages, key=lambda p: len(p["r"]))[:150]:
+        g = got[p["doc_id"]]
+        assert g["wer"] == pytest.approx(missed(p["r"], p["h"])) and g["cer"] == pytest.approx(missed(" ".join(p["r"]), " ".join(p["h"])))
+    by = {r["source"]: r for r in catalogue.QUERIES["accuracy_report_aligned"](spark, sf_dir).collect()}
+    some = next(iter(by))
+    mine = [got[r["doc_id"]] for r in fixture(spark, sf_dir, "truth").filter(F.col("source") == some).collect()]
+    assert by[some]["pages"] == len(mine) and all(by[some][c] == pytest.approx(sum(g[c] for g in mine if g[c] is not None) / len([g for g in mine if g[c] is not None])) for c in ("wer", "cer"))
+
+
+def test_long_pages_have_no_character_rate(spark):
+    text = "word " * 5_000
+    df = spark.createDataFrame([(1, text, text + "x"), (2, text, text), (3, "word", "ward")], "doc_id int, reference string, hypothesis string")
+    assert {r["doc_id"]: (r["wer"], r["cer"]) for r in accuracy.error_rates(df, "doc_id").collect()} == {1: (0.0, None), 2: (0.0, None), 3: (1.0, 0.25)}
+
+
+@pytest.mark.parametrize("small", [0, 400])
+def test_matched_size_is_difflibs(monkeypatch, small):
+    import random
+
+    monkeypatch.setattr(align, "SMALL", small)
+    rng = random.Random(small)
+    for n in range(120):
+        words = ["".join(rng.choices("abcde", k=rng.randint(1, 5))) for _ in range(rng.choice([2, 5, 90]))]
+        a = rng.choices(words, k=rng.randint(1, 150))
+        b = [w for x in a for w in rng.choice([[x]] * 9 + [[], [rng.choice(words)], [x, rng.choice(words)]])]
+        for x, y in ((a, b), (list(" ".join(a)), list(" ".join(b)))):
+            assert align.matched_size(x, y) == align._matched(x, y)
