@@ -32,15 +32,15 @@ from pyspark.sql import functions as F
 
 #: Half rounds of the Feistel network.
 ROUNDS = 8
-#: Days from 1900-01-01 that dates are permuted over: 250 x 292, to 2099-11-13.
-DAYS = (250, 292)
-#: Steps at most of a walk along the permutation's cycle to a date of the wanted layout.
+#: Days from 1900-01-01 to 2099-12-31, and the factors of the range they are permuted over.
+DAYS, DAY_RANGE = 73_049, (270, 271)
+#: Steps at most of a walk along the permutation's cycle to a date in the range and of the wanted layout.
 WALK = 64
 
 # Patterns are used by Java's engine; quantifiers are bounded or possessive, so no text makes them
 # backtrack far. None holds a single quote.
 PATTERNS = {
-    "secret": r"(?i:\b(?:token|secret|passwd|password|api[_-]?key|access[_-]?key)\b\s{0,3}[=:]\s{0,3}\x22?[0-9A-Za-z_+/\-]{16,256}+\x22?)",
+    "secret": r"(?i:\b(?:token|secret|passwd|password|api[_-]?key|access[_-]?key)\b\s{0,3}[=:]\s{0,3}\x22?[0-9A-Za-z_+/\-]{16,}+\x22?)",
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9_%+\-](?:[A-Za-z0-9._%+\-]{0,62}[A-Za-z0-9_%+\-])?@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])(?!\.[0-9])",
@@ -186,16 +186,16 @@ def _phone(key: str) -> str:
 
 def _date(key: str) -> str:
     """Slashed dates are dd/MM where that is a date, else MM/dd; both are permuted among their like by walking the cycle."""
-    a, b = DAYS
+    a, b = DAY_RANGE
     parsed = "case when x.m like '____-__-__' then try_to_timestamp(x.m, 'yyyy-MM-dd') when x.m like '__.__.____' then try_to_timestamp(x.m, 'dd.MM.yyyy') else coalesce(try_to_timestamp(x.m, 'dd/MM/yyyy'), try_to_timestamp(x.m, 'MM/dd/yyyy')) end"
     back = "case when x.m like '____-__-__' then date_format(n, 'yyyy-MM-dd') when x.m like '__.__.____' then date_format(n, 'dd.MM.yyyy') when us then date_format(n, 'MM/dd/yyyy') else date_format(n, 'dd/MM/yyyy') end"
     us = "(x.m like '__/__/____' and try_to_timestamp(x.m, 'dd/MM/yyyy') is null)"
     step = _let("f", _feistel(f"(w.k div {b})", f"(w.k % {b})", str(a), str(b), "'date'", key), f"f.l * {b} + f.r")
-    ok = "(not us or day(date_add(date'1900-01-01', cast(y as int))) > 12)"
+    ok = f"y < {DAYS} and (not us or day(date_add(date'1900-01-01', cast(y as int))) > 12)"
     # one step fails at most four times in ten, so WALK of them leave no value without an end
     walked = f"aggregate(sequence(1, {WALK}), named_struct('k', cast(k as bigint), 'done', false), (w, i) -> case when w.done then w else {_let('y', step, f'named_struct(\'k\', y, \'done\', {ok})')} end)"
     shifted = _let("n", f"date_add(date'1900-01-01', cast({walked}.k as int))", back)
-    return _let("us", us, _let("k", f"datediff(cast({parsed} as date), date'1900-01-01')", f"case when k between 0 and {a * b - 1} then {shifted} end"))
+    return _let("us", us, _let("k", f"datediff(cast({parsed} as date), date'1900-01-01')", f"case when k between 0 and {DAYS - 1} then {shifted} end"))
 
 
 def _ip(key: str) -> str:
@@ -209,9 +209,11 @@ def _email(key: str) -> str:
 
 
 def _secret(key: str) -> str:
-    value = r"regexp_extract(x.m, r'[=:]\s{0,3}\x22?([0-9A-Za-z_+/\-]{16,256})\x22?$', 1)"
-    stream = f"array_join(transform(sequence(0, 3), i -> sha2(concat_ws('|', {key}, 'secret', i, v), 256)), '')"
-    return _let("v", value, f"concat(substr(x.m, 1, length(x.m) - length(v) - case when endswith(x.m, '\"') then 1 else 0 end), substr({stream}, 1, length(v)), case when endswith(x.m, '\"') then '\"' else '' end)")
+    value = r"regexp_extract(x.m, r'[=:]\s{0,3}\x22?([0-9A-Za-z_+/\-]{16,}+)\x22?$', 1)"
+    # the first hashes are those of values of 256 characters at most
+    stream = f"array_join(transform(sequence(0, greatest(3, (length(v) - 1) div 64)), i -> sha2(concat_ws('|', {key}, 'secret', i, h), 256)), '')"
+    hashed = _let("h", "case when length(v) <= 256 then v else sha2(v, 256) end", f"substr({stream}, 1, length(v))")
+    return _let("v", value, f"concat(substr(x.m, 1, length(x.m) - length(v) - case when endswith(x.m, '\"') then 1 else 0 end), {hashed}, case when endswith(x.m, '\"') then '\"' else '' end)")
 
 
 KINDS = {"iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}

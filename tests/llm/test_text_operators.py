@@ -317,6 +317,16 @@ def test_more_phones_and_month_first_dates(spark):
     assert a == out[days.index("12/25/1999")] and b != "05/03/1999" and c == "13/13/1999"
 
 
+def test_long_secrets_and_last_days(spark):
+    value = "aB3_" * 1000 + "tail"
+    (one, n, kinds), (two, *_), (quoted, *_) = changed(spark, f"token={value}", f"token={value[:-1]}L and more", f'secret: "{value}"')
+    assert n == 1 and kinds == ["secret"] and re.fullmatch("token=[0-9a-f]{4004}", one) and quoted == f'secret: "{one[6:]}"'
+    assert re.fullmatch("token=[0-9a-f]{4004} and more", two) and two[6:70] != one[6:70]
+    days = [str(d) for d in np.arange("2099-10-01", "2100-01-02", dtype="datetime64[D]")]
+    out = [t for t, *_ in changed(spark, *days)]
+    assert all(a != b and "1900" <= b[:4] <= "2099" for a, b in zip(days[:-1], out[:-1], strict=True)) and out[-1] == days[-1] and len(set(out)) == len(days)
+
+
 # --- the pipeline -----------------------------------------------------------------------------------
 
 
