@@ -230,7 +230,7 @@ def _ibans() -> str:
     known = "map(" + ", ".join(f"'{c}', {n}" for c, n in IBANS.items()) + ")"
     tail = "case when n % 4 > 0 then concat(' [A-Z0-9]{', n % 4, '}') else '' end"
     layout = f"concat({_lit('(?s)^.((?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{')}, n - 4, {_lit('}|(?: [A-Z0-9]{4}){')}, n div 4 - 1, '}}', {tail}, {_lit('))(?![A-Za-z0-9])')})"
-    lengths = f"case when map_contains_key({known}, substr(w, 2, 2)) then array(element_at({known}, substr(w, 2, 2))) else sequence(34, 15, -1) end"
+    lengths = _let("c", f"element_at({known}, substr(w, 2, 2))", "case when c is null then sequence(34, 15, -1) else array(c) end")
     return f"case when w rlike {_lit('(?s)^.[A-Z]{2}[0-9]{2}')} then transform({lengths}, n -> regexp_extract(w, {layout}, 1)) else array() end"
 
 
@@ -276,8 +276,8 @@ def pseudonymised(docs: DataFrame, key: str = "quire", text: str = "text") -> Da
     parts = "__quire_parts"
     any_pii = F.col(text).rlike("[0-9@]|(?i:token|secret|passw|key)") & F.col(text).rlike(WORDS + "|" + START)
     kept = docs.drop("n_pii", "pii_kinds")
-    word = f"array(named_struct('text', v[i].new, 'hit', v[i]))"
-    cut = _let("v", f"transform(regexp_extract_all(`{text}`, {_lit(WORDS)}, 0), m -> {_word(k)})", f"flatten(transform(split(`{text}`, {_lit(WORDS)}, -1), (g, i) -> case when i < size(v) then concat({_numbers(k)}, {word}) else {_numbers(k)} end))")
+    word = "transform(slice(v, i + 1, 1), h -> named_struct('text', h.new, 'hit', h))"
+    cut = _let("v", f"transform(regexp_extract_all(`{text}`, {_lit(WORDS)}, 0), m -> {_word(k)})", f"flatten(transform(split(`{text}`, {_lit(WORDS)}, -1), (g, i) -> concat({_numbers(k)}, {word})))")
     out = kept.withColumn(parts, F.when(any_pii, F.expr(cut)))
     joined = F.expr(f"array_join(transform({parts}, h -> h.text), '')")
     changed = F.expr(f"filter({parts}, h -> h.hit is not null and h.hit.new <> h.hit.old)")
