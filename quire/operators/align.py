@@ -26,57 +26,98 @@ def ratio_of(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
-def _one_sided(kind: str, lines: list[str]) -> list[tuple]:
-    return [(kind, x, "", 0.0) if kind == "only_a" else (kind, "", x, 0.0) for x in lines]
+def _only(kind: str, lines: list[str]) -> list[tuple]:
+    return [(kind, *((x, "") if kind == "only_a" else ("", x)), 0.0) for x in lines]
 
 
-def _by_position(a: list[str], b: list[str], least: float) -> list[tuple]:
-    out = []
-    for x, y in zip(a, b, strict=False):
-        r = ratio_of(x, y)
-        out += [("changed", x, y, r)] if r >= least else [*_one_sided("only_a", [x]), *_one_sided("only_b", [y])]
-    n = min(len(a), len(b))
-    return out + _one_sided("only_a", a[n:]) + _one_sided("only_b", b[n:])
+def _same_place(a: list[str], b: list[str], least: float) -> list[tuple]:
+    """Lines of the same number against each other; a pair that is too unlike stands as two lines."""
+    out: list[tuple] = []
+    both = min(len(a), len(b))
+    for place in range(both):
+        r = ratio_of(a[place], b[place])
+        out.extend([("changed", a[place], b[place], r)] if r >= least else [("only_a", a[place], "", 0.0), ("only_b", "", b[place], 0.0)])
+    return out + _only("only_a", a[both:]) + _only("only_b", b[both:])
+
+
+def _like_pairs(a: list[str], b: list[str], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line of a, line of b, ratio) of all pairs that reach ``least``, by both numbers.
+
+    A ratio is at most what the letters alone allow, so whole tables of letter counts rule most
+    pairs out before any is matched.
+    """
+    letters = {c: i for i, c in enumerate(sorted(set("".join(a) + "".join(b))))}
+    count = [np.array([np.bincount([letters[c] for c in x], minlength=len(letters)) for x in side]) for side in (a, b)]
+    size = [c.sum(axis=1) for c in count]
+    total = size[0][:, None] + size[1][None, :]
+    shared = np.stack([np.minimum(row, count[1]).sum(axis=1) for row in count[0]])
+    rows, cols = np.nonzero(2.0 * shared >= least * total * (1 - 1e-12))
+    found: dict[tuple[int, int], float] = {}
+    for j in np.unique(cols).tolist():
+        matcher = SequenceMatcher(None, autojunk=False)
+        matcher.set_seq2(b[j])  # what is prepared belongs to the second sequence
+        for i in rows[cols == j].tolist():
+            matcher.set_seq1(a[i])
+            found[i, j] = matcher.ratio()
+    kept = sorted(p for p, r in found.items() if r >= least and r > 0)
+    return (*np.array(kept, np.int64).reshape(-1, 2).T, np.array([found[p] for p in kept]))
+
+
+def _chain_weights(rows: np.ndarray, cols: np.ndarray, ratios: np.ndarray) -> np.ndarray:
+    """For each pair the greatest sum of ratios of a chain that begins with it, both numbers rising.
+
+    Pairs are taken by falling row; a Fenwick tree over the columns, from the right, holds the
+    greatest weight of a chain that begins right of a column.
+    """
+    width = int(cols.max()) + 1 if len(cols) else 0
+    tree, weight = [0.0] * (width + 1), np.zeros(len(rows))
+    hi = len(rows)
+    while hi:
+        lo = int(np.searchsorted(rows, rows[hi - 1], side="left"))
+        for k in range(lo, hi):  # a row's pairs don't chain with each other
+            at, best = width - 1 - int(cols[k]), 0.0
+            while at > 0:
+                best = max(best, tree[at])
+                at &= at - 1
+            weight[k] = ratios[k] + best
+        for k in range(lo, hi):
+            at = width - int(cols[k])
+            while at <= width:
+                tree[at] = max(tree[at], weight[k])
+                at += at & -at
+        hi = lo
+    return weight
 
 
 def aligned_block(a: list[str], b: list[str], least: float) -> list[tuple]:
     """Order-preserving pairs of greatest total similarity, pairs below ``least`` never counted.
 
-    Ties: a pair before a skip, a skip on the left before one on the right.
+    Of several chains of that total, where the next line of b is the partner in some, the one with
+    the first such line of a; else the one that leaves out most lines of a here, then fewest of b.
+    Left-out lines of a stand before those of b. Blocks of more than MAX_CELLS pairs go by place.
     """
     if len(a) * len(b) > MAX_CELLS:
-        return _by_position(a, b, least)
-    pair: dict[tuple[int, int], float] = {}
-    for j, y in enumerate(b):
-        m = SequenceMatcher(None, autojunk=False)
-        m.set_seq2(y)  # what the matcher prepares belongs to its second sequence
-        for i, x in enumerate(a):
-            m.set_seq1(x)
-            if m.real_quick_ratio() >= least and m.quick_ratio() >= least and (r := m.ratio()) >= least:
-                pair[i, j] = r
-    best = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in reversed(range(len(a))):
-        for j in reversed(range(len(b))):
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], pair[i, j] + best[i + 1][j + 1] if pair.get((i, j), 0) > 0 else 0.0)
+        return _same_place(a, b, least)
+    rows, cols, ratios = _like_pairs(a, b, least)
+    weight = _chain_weights(rows, cols, ratios)
     out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        r = pair.get((i, j), 0.0)
-        if r > 0 and best[i][j] == r + best[i + 1][j + 1]:
-            out.append(("changed", a[i], b[j], r))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            out += _one_sided("only_a", [a[i]])
-            i += 1
-        else:
-            out += _one_sided("only_b", [b[j]])
-            j += 1
-    return out + _one_sided("only_a", a[i:]) + _one_sided("only_b", b[j:])
+    while True:
+        ahead = np.flatnonzero((rows >= i) & (cols >= j))
+        if not len(ahead):
+            break
+        best = ahead[weight[ahead] == weight[ahead].max()]
+        beside = best[cols[best] == j]
+        k = int(beside[rows[beside].argmin()] if len(beside) else min(best, key=lambda k: (-rows[k], cols[k])))
+        out += _only("only_a", a[i : rows[k]]) + _only("only_b", b[j : cols[k]])
+        out.append(("changed", a[rows[k]], b[cols[k]], float(ratios[k])))
+        i, j = int(rows[k]) + 1, int(cols[k]) + 1
+    return out + _only("only_a", a[i:]) + _only("only_b", b[j:])
 
 
 def diff_rows(a: list[str], b: list[str], least: float = 0.55) -> list[tuple]:
     """(kind, text_a, text_b, similarity) rows that align two lists of normalised lines."""
     if not a or not b:
-        return _one_sided("only_a", a) + _one_sided("only_b", b)
+        return _only("only_a", a) + _only("only_b", b)
     out = []
     for tag, i, i2, j, j2 in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
         if tag == "equal":
@@ -84,7 +125,7 @@ def diff_rows(a: list[str], b: list[str], least: float = 0.55) -> list[tuple]:
         elif tag == "replace":
             out += aligned_block(a[i:i2], b[j:j2], least)
         else:
-            out += _one_sided("only_a", a[i:i2]) + _one_sided("only_b", b[j:j2])
+            out += _only("only_a", a[i:i2]) + _only("only_b", b[j:j2])
     return out
 
 
