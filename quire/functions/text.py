@@ -95,8 +95,8 @@ def clean_layer(c: str | Column) -> Column:
 def with_normal_form(df: DataFrame, name: str) -> DataFrame:
     """``df`` with column ``name`` in compatibility normal form.
 
-    Only rows with characters that the form may change go through Python; a filter sends them there,
-    since a conditional would run the function on all rows.
+    Only texts with characters that the form may change are handed to Python; for all other rows it
+    gets a null and gives one back, so the table is read once and isn't split.
     """
     ship(df.sparkSession)
 
@@ -107,7 +107,7 @@ def with_normal_form(df: DataFrame, name: str) -> DataFrame:
         return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
     odd = F.coalesce(F.col(name).rlike(NORMAL), F.lit(False))
-    return df.filter(~odd).unionByName(df.filter(odd).withColumn(name, nfkc(name)))
+    return df.withColumn("__odd", F.when(odd, F.col(name))).withColumn(name, F.coalesce(nfkc("__odd"), F.col(name))).drop("__odd")
 
 
 def strip_fence(c: str | Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -9,11 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions import text as T
 from quire.operators.confidence import scored, selected_for_rereading
 from quire.operators.routing import assessed
 from quire.params import Confidence, Routing
 from quire.session import ship
+from quire.shared import written
 
 RESULT = "doc string, page_number bigint, engine_id string, engine_ord int, text string, status string, error string, done_reason string, seconds double, input_tokens bigint, output_tokens bigint"
 
@@ -28,6 +29,9 @@ class Engine:
     model: str | None = None
     location: str = "local"
     retries: int = 1
+    #: Seconds before the first further try, and before any at most.
+    wait: float = 0.2
+    longest_wait: float = 30.0
     options: dict = field(default_factory=dict)
     #: Whether the engine can be used now: (available, message, remedy); asked on the driver, once a run.
     health: Callable[[], tuple[bool, str, str | None]] = lambda: (True, "ready", None)
@@ -78,19 +82,37 @@ class Registry:
         return [{"engine_id": e.engine_id, "name": e.name, "model": e.model, "location": e.location, "enabled": e.engine_id in self._on} for e in self._engines.values()]
 
 
+CUT = "the output reached the token limit and was cut off"
+EMPTY = "the engine returned no text"
+
+
+def page_status(text: str, done_reason: str | None, error: str | None) -> tuple[str, str | None]:
+    """(status, error) of a page: empty output failed; output cut at the limit succeeded, with a note."""
+    if not (text or "").strip():
+        return "failed", error or EMPTY
+    if error is not None:
+        return "failed", error
+    return "success", CUT if done_reason == "length" else None
+
+
 def run_engine(pages: DataFrame, engine: Engine, order: int) -> DataFrame:
     """Results of one engine for its pages (RESULT); a page that fails is a row with its error, never a lost row.
 
-    An error marked ``permanent`` is not tried again. Empty output is a failed page.
+    A failed read is tried again after a wait that doubles each time; an error marked ``permanent``
+    isn't. Empty output is a failed page. Evaluating the result again asks the engine again:
+    ``read_once`` keeps it.
     """
     ship(pages.sparkSession)
+    columns = [c for c in pages.columns if c not in ("cleaned", "reason", "route_reason", "fingerprint")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for page in batch.to_dict("records"):
                 out, error = {}, None
-                for _ in range(engine.retries + 1):
+                for attempt in range(engine.retries + 1):
+                    if attempt:
+                        time.sleep(min(engine.wait * 2 ** (attempt - 1), engine.longest_wait))
                     try:
                         out, error = engine.read(page), None
                         break
@@ -99,10 +121,8 @@ def run_engine(pages: DataFrame, engine: Engine, order: int) -> DataFrame:
                         if getattr(e, "permanent", False):
                             break
                 text = out.get("text") or ""
-                if error is None and not text.strip():
-                    error = "the engine returned no text"
-                status = "failed" if not text.strip() else "success"
-                rows.append((page["doc"], page["page_number"], engine.engine_id, order, text, status, error or out.get("error"), out.get("done_reason"), out.get("seconds"), out.get("input_tokens"), out.get("output_tokens")))
+                status, said = page_status(text, out.get("done_reason"), error or out.get("error"))
+                rows.append((page["doc"], page["page_number"], engine.engine_id, order, text, status, said, out.get("done_reason"), out.get("seconds"), out.get("input_tokens"), out.get("output_tokens")))
             names = [c.split()[0] for c in RESULT.split(", ")]
             frame = pd.DataFrame(rows, columns=names)
             for c in ("input_tokens", "output_tokens"):
@@ -110,12 +130,20 @@ def run_engine(pages: DataFrame, engine: Engine, order: int) -> DataFrame:
             frame["seconds"] = frame["seconds"].astype("float64")
             yield frame
 
-    return pages.mapInPandas(run, RESULT)
+    return pages.select(*columns).mapInPandas(run, RESULT)
+
+
+def read_once(pages: DataFrame, engine: Engine, order: int) -> DataFrame:
+    """``run_engine``, kept as a table: whatever is made of the results, the engine is asked once a page.
+
+    Engines cost far more than the table, and some answer differently when asked again.
+    """
+    return written(run_engine(pages, engine, order), f"read-{order}")
 
 
 def text_layer_results(pages: DataFrame, order: int = 0, rule: Routing = Routing()) -> DataFrame:
     """The engine that reads embedded text, in the JVM: the cleaned layer, or a failed page with the reason."""
-    df = assessed(pages, rule=rule)
+    df = pages if {"usable", "cleaned", "reason"} <= set(pages.columns) else assessed(pages, rule=rule)
     none = lambda kind: F.lit(None).cast(kind)
     return df.select(
         "doc", F.col("page_number").cast("bigint").alias("page_number"), F.lit("text_layer").alias("engine_id"), F.lit(order).alias("engine_ord"), F.when(F.col("usable"), F.col("cleaned")).otherwise("").alias("text"),
@@ -123,13 +151,6 @@ def text_layer_results(pages: DataFrame, order: int = 0, rule: Routing = Routing
     )
 
 
-def page_status(text: Column, done_reason: Column, error: Column) -> tuple[Column, Column]:
-    """(status, error) of a page: empty output failed; output cut at the limit succeeded with a note."""
-    empty = T.is_blank(text)
-    said = F.when(empty, F.coalesce(error, F.lit("the engine returned no text"))).when(done_reason == "length", F.lit("the output reached the token limit and was cut off"))
-    return F.when(empty | error.isNotNull(), "failed").otherwise("success"), F.coalesce(said, error)
-
-
 def engine_status(results: DataFrame, *keys: str) -> DataFrame:
     """Per engine run: all pages well ``success``, none (or no page) ``failed``, else ``partial``; the first error in page order."""
     ok = F.count_if(F.col("status") == "success")
@@ -140,34 +161,57 @@ def engine_status(results: DataFrame, *keys: str) -> DataFrame:
 
 def cascade(routes: DataFrame, engines: list[Engine], rule: Confidence = Confidence(), *, fallback_on_total_failure: bool = False) -> DataFrame:
     """Results of all engines over routed pages: the text layer reads its own, the first engine the
-    rest, the others what verification flags.
+    rest, the others what verification flags. Each engine is asked once for each of its pages.
 
     If the first engine has no result for a page, nothing flags that page; with
     ``fallback_on_total_failure`` such pages are flagged as empty.
     """
-    out = text_layer_results(routes.filter("page_class = 'text_layer'"))
     others = [e for e in engines if e.engine_id != "text_layer"]
-    todo = routes.filter("page_class = 'needs_ocr'")
+    # routes are read once; what follows reads the table, and its filters on the class are pushed down
+    kept = ["doc", "page_number", "ink", "embedded_text", "image", "usable", "cleaned", "reason", "page_class"]
+    routes = written(routes.select(*(c for c in kept if c in routes.columns)), "routes")
+    out = text_layer_results(routes.filter("page_class = 'text_layer'"))
+    todo = routes.filter("page_class = 'needs_ocr'").drop("cleaned", "reason", "usable", "page_class")
     if not others:
         return out
-    first = run_engine(todo, others[0], 1)
+    first = read_once(todo, others[0], 1)
     out = out.unionByName(first)
+    if len(others) == 1 or not rule.fallback_enabled:
+        return out
     judged = first.join(todo.select("doc", "page_number", "ink"), ["doc", "page_number"], "right" if fallback_on_total_failure else "inner")
-    again = selected_for_rereading(scored(judged, rule), rule).select("doc", "page_number")
+    again = written(todo.join(selected_for_rereading(scored(judged, rule), rule).select("doc", "page_number"), ["doc", "page_number"], "left_semi"), "again")
     for i, e in enumerate(others[1:], start=2):
-        out = out.unionByName(run_engine(todo.join(again, ["doc", "page_number"], "left_semi"), e, i))
+        out = out.unionByName(read_once(again, e, i))
     return out
 
 
-def all_engines(pages: DataFrame, engines: list[Engine]) -> DataFrame:
-    """Every engine reads every page."""
-    parts = [text_layer_results(pages, i) if e.engine_id == "text_layer" else run_engine(pages, e, i) for i, e in enumerate(engines)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+def all_engines(pages: DataFrame, engines: list[Engine], *, continue_on_error: bool = True) -> DataFrame:
+    """Every engine reads every page, once; unless ``continue_on_error``, engines after one without any good page don't run."""
+    out = None
+    for i, e in enumerate(engines):
+        part = text_layer_results(pages, i) if e.engine_id == "text_layer" else read_once(pages, e, i)
+        out = part if out is None else out.unionByName(part)
+        if not continue_on_error and i + 1 < len(engines) and part.filter("status = 'success'").isEmpty():
+            break
     return out
 
 
+def skipped(docs: DataFrame, results: DataFrame, engines: list[Engine]) -> DataFrame:
+    """``doc``, ``engine_id``, ``engine_status``: engines that had no page of a document to read (a cascade's usual case)."""
+    ids = F.array(*(F.lit(e.engine_id) for e in engines))
+    each = docs.select("doc").distinct().withColumn("engine_id", F.explode(ids))
+    return each.join(results.select("doc", "engine_id").distinct(), ["doc", "engine_id"], "left_anti").withColumn("engine_status", F.lit("skipped"))
+
+
+def with_remedy(status: DataFrame, health: list[dict]) -> DataFrame:
+    """``engine_status`` rows with ``first_remedy``: what the engine's own health report advises, where a run failed."""
+    advice = {h["engine_id"]: h["remedy"] for h in health if h["remedy"]}
+    if not advice:
+        return status.withColumn("first_remedy", F.lit(None).cast("string"))
+    known = F.create_map(*(F.lit(x) for pair in advice.items() for x in pair))
+    return status.withColumn("first_remedy", F.when(F.col("engine_status") != "success", known[F.col("engine_id")]))
+
+
 def unread(routes: DataFrame, results: DataFrame) -> DataFrame:
     """Pages that need an engine and that none has read."""
     return routes.filter("page_class = 'needs_ocr'").join(results.select("doc", "page_number"), ["doc", "page_number"], "left_anti")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators import compare
 from quire.session import ship
+from quire.shared import written
 
 MIN_CONTAINMENT = 0.75
 
@@ -42,14 +43,17 @@ def merged_lines(rows: DataFrame, *keys: str) -> DataFrame:
     Equal lines stay; of a changed line the longer version; a line of one engine stays unless the
     other engine has it too and an earlier row already carried it.
     """
-    sides = rows.select(*keys, "row_no", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("text_a").alias("line")), F.struct(F.lit("b").alias("side"), F.col("text_b").alias("line")))).alias("s"))
-    sides = sides.select(*keys, "row_no", "s.side", "s.line").filter("line <> ''")
-    seen = sides.groupBy(*keys, "line").agg(F.min("row_no").alias("first_at"), F.max((F.col("side") == "a").cast("int")).alias("in_a"), F.max((F.col("side") == "b").cast("int")).alias("in_b"))
-    df = rows.withColumn("line", F.when(F.col("kind") == "only_b", F.col("text_b")).otherwise(F.col("text_a"))).join(seen, [*keys, "line"], "left")
+    # every row once for each side's line; windows over equal lines replace a join, so that the
+    # alignment is evaluated once
+    line = lambda side: F.struct(F.lit(side).alias("side"), F.col(f"text_{side}").alias("line"))
+    sides = rows.withColumn("s", F.explode(F.array(line("a"), line("b")))).select("*", "s.side", "s.line").drop("s").filter("line <> ''")
+    w = Window.partitionBy(*keys, "line")
+    sides = sides.withColumns({"first_at": F.min("row_no").over(w), "in_a": F.max((F.col("side") == "a").cast("int")).over(w), "in_b": F.max((F.col("side") == "b").cast("int")).over(w)})
+    df = sides.filter((F.col("side") == "b") == (F.col("kind") == "only_b"))
     other = F.when(F.col("kind") == "only_a", F.col("in_b")).when(F.col("kind") == "only_b", F.col("in_a")).otherwise(0)
     repeated = (other == 1) & (F.col("first_at") < F.col("row_no"))
     longer = F.when(F.length("text_b") > F.length("text_a"), F.col("text_b")).otherwise(F.col("text_a"))
-    return df.withColumn("kept", F.when(repeated, F.lit(None)).when(F.col("kind") == "changed", longer).otherwise(F.col("line"))).drop("first_at", "in_a", "in_b", "line")
+    return df.withColumn("kept", F.when(repeated, F.lit(None)).when(F.col("kind") == "changed", longer).otherwise(F.col("line"))).drop("first_at", "in_a", "in_b", "line", "side")
 
 
 def line_vote(pairs: DataFrame, *keys: str, threshold: float = 0.55) -> DataFrame:
@@ -127,8 +131,8 @@ def final_text(docs: DataFrame, fused: DataFrame, engines: DataFrame) -> DataFra
 def with_model(pairs: DataFrame, call: Callable[[str, str], str], *keys: str, least: float = MIN_CONTAINMENT) -> DataFrame:
     """``text``, ``fallback_used`` and ``warning``: a model's merge of text_a and text_b, where it may stand.
 
-    ``call`` runs on the executors, once per pair, and may raise. An error, or a text that the guard
-    rejects, is replaced by the line vote.
+    ``call`` runs on the executors and may raise; its answers are kept as a table, so it is asked
+    once a pair. An error, or a text that the guard rejects, is replaced by the line vote.
     """
     ship(pairs.sparkSession)
 
@@ -143,8 +147,9 @@ def with_model(pairs: DataFrame, call: Callable[[str, str], str], *keys: str, le
         return pd.DataFrame(out, columns=["fused", "error"])
 
     asked = pairs.withColumn("__m", run("text_a", "text_b")).select(*keys, "text_a", "text_b", F.coalesce("__m.fused", F.lit("")).alias("fused"), F.col("__m.error").alias("error"))
+    asked = written(asked, "answers")
     judged = guarded(asked, *keys, least=least)
-    voted = line_vote(pairs.select(*keys, "text_a", "text_b"), *keys).select(*keys, F.col("text").alias("voted"))
+    voted = line_vote(asked.select(*keys, "text_a", "text_b"), *keys).select(*keys, F.col("text").alias("voted"))
     ok = F.col("accepted") & F.col("error").isNull()
     df = judged.join(voted, list(keys), "left")
     return df.select(*keys, F.when(ok, F.col("fused")).otherwise(F.col("voted")).alias("text"), (~ok).alias("fallback_used"), F.when(~ok, F.coalesce("error", "rejected_for")).alias("warning"))
