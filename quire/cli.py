@@ -35,14 +35,26 @@ def settings_of(args: argparse.Namespace) -> Settings:
     return s
 
 
-def run(args: argparse.Namespace) -> int:
-    from quire.operators import fuse
+def transcribed(pages, s: Settings, mode: str = "cascade"):
+    """(routes or None, page results, final texts) of pages: a cascade over routed pages, or all engines on all pages.
 
-    s = settings_of(args)
-    routes = routing.routed(_pages(_spark(), args.path), rule=s.routing)
-    results = cascade.cascade(routes, ENGINES.ordered(s.engine_order), s.confidence)
+    Texts are fused page by page where engines divide the pages between them, else as wholes.
+    """
+    from quire.operators import compare, fuse
+
+    routes = routing.routed_or_all(pages, rule=s.routing) if mode == "cascade" else None
+    engines = ENGINES.ordered(s.engine_order)
+    results = cascade.all_engines(pages, engines) if routes is None else cascade.cascade(routes, engines, s.confidence)
     status = cascade.engine_status(results, "doc", "engine_id").select("doc", "engine_id", "engine_status")
-    fuse.pagewise(results.join(status, ["doc", "engine_id"]), s.fusion).write.mode("overwrite").parquet(args.output)
+    known = results.join(status, ["doc", "engine_id"])
+    if routes is None:
+        return routes, known, fuse.fused(compare.joined_text(known, "doc", "engine_id", "engine_ord", "engine_status"), s.fusion).select("doc", "text")
+    return routes, known, fuse.pagewise(known, s.fusion).select("doc", "text")
+
+
+def run(args: argparse.Namespace) -> int:
+    s = settings_of(args)
+    transcribed(_pages(_spark(), args.path), s, args.mode)[2].write.mode("overwrite").parquet(args.output)
     return 0
 
 
@@ -67,22 +79,52 @@ def profiles(args: argparse.Namespace) -> int:
     return 0
 
 
+def batch_documents(found, s: Settings):
+    """A batch of files to (doc, state, pages, pages_via_model, pages_flagged, seconds, error, text), one row per file.
+
+    A file that can't be loaded is failed with its error; the others are transcribed together.
+    """
+    from quire.operators.confidence import scored
+
+    seen = documents.described(found, s.documents)
+    pages = documents.loaded_pages(found.join(seen.filter("load_error is null").select(F.col("doc").alias("path")), "path", "left_semi"), s.documents)
+    bad = pages.filter("error is not null").groupBy("doc").agg(F.first("error").alias("page_error"))
+    good = pages.filter("error is null").withColumn("ink", F.lit(None).cast("double"))
+    routes, results, texts = transcribed(good, s)
+    read = results.withColumn("ink", F.lit(None).cast("double"))
+    judged = scored(read.filter("engine_id <> 'text_layer'"), s.confidence)
+    totals = results.groupBy("doc").agg(F.count_distinct("page_number").alias("pages"), F.count_distinct(F.when(F.col("engine_id") != "text_layer", F.col("page_number"))).alias("pages_via_model"), F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("seconds"))
+    flagged = judged.filter(F.size("flags") > 0).groupBy("doc").agg(F.count_distinct("page_number").alias("pages_flagged"))
+    df = seen.select("doc", "load_error")
+    for part in (bad, totals, flagged, texts):
+        df = df.join(part, "doc", "left")
+    df = df.fillna(0, ["pages", "pages_via_model", "pages_flagged", "seconds"])
+    error = F.coalesce("load_error", "page_error")
+    return df.select("doc", batch.next_state(error, F.lit(None).cast("string"), F.col("pages_flagged"), F.lit(1)).alias("state"), "pages", "pages_via_model", "pages_flagged", "seconds", error.alias("error"), "text")
+
+
 def run_batch(args: argparse.Namespace) -> int:
+    """Transcribe the files that no earlier run has finished; a killed run goes on where it was."""
     from quire.streaming.ingest import run_new_files
 
-    query = run_new_files(_spark(), args.path, f"{args.output}/_checkpoint", f"{args.output}/documents", documents.described)
+    s = settings_of(args)
+    query = run_new_files(_spark(), args.path, f"{args.output}/_checkpoint", f"{args.output}/documents", lambda found: batch_documents(found, s))
     query.awaitTermination()
     done = _spark().read.parquet(f"{args.output}/documents")
-    jobs = done.select(F.col("doc").alias("source"), F.when(F.col("load_error").isNull(), "completed").otherwise("failed").alias("state"), F.lit(0).cast("bigint").alias("pages"), F.lit(0.0).alias("seconds"))
-    batch.progress(jobs).show(vertical=True)
+    batch.progress(done.withColumn("source", F.col("doc"))).show(vertical=True)
     return 0
 
 
 def bench(args: argparse.Namespace) -> int:
+    """Transcribe each document; a row per document, then the totals."""
     began = time.time()
-    summary = routing.plan_summary(routing.routed(_pages(_spark(), args.path)))
-    totals = summary.select("pages", F.col("needs_ocr").alias("pages_needing_ocr"), "pages_avoided", F.lit(None).cast("double").alias("seconds"), F.lit(None).cast("double").alias("memory_mb"))
-    row = reports.benchmark_totals(totals).first().asDict()
+    pages = _pages(_spark(), args.path)
+    routes, results, texts = transcribed(pages, Settings())
+    docs = pages.select("doc").distinct().withColumn("load_error", F.lit(None).cast("string"))
+    rows = reports.document_benchmark(docs, routes, results, texts)
+    for r in rows.orderBy("doc").toLocalIterator():
+        print(json.dumps(r.asDict()))
+    row = reports.benchmark_totals(rows.withColumn("memory_mb", F.lit(None).cast("double"))).first().asDict()
     print(json.dumps(row | {"seconds": round(time.time() - began, 2)}))
     return 0
 
@@ -108,6 +150,7 @@ def parser() -> argparse.ArgumentParser:
         if name in ("run", "batch"):
             c.add_argument("--profile", choices=sorted(PROFILES))
         if name == "run":
+            c.add_argument("--mode", choices=["cascade", "all_engines"], default="cascade")
             c.add_argument("--fusion", choices=["prefer_primary", "prefer_longest", "line_vote"])
         if name == "accuracy":
             c.add_argument("--results", required=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 STATES = ("queued", "processing", "retrying", "completed", "review_required", "failed", "cancelled")
@@ -64,6 +64,41 @@ def output_names(sources: DataFrame, extension: str = "txt") -> DataFrame:
     return df.withColumn("output", F.concat("__stem", F.when(F.col("__n") > 0, F.concat(F.lit("_"), F.col("__n").cast("string"))).otherwise(""), F.lit(f".{extension}"))).drop("__stem", "__n")
 
 
+def _folder(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def save(jobs: DataFrame, path: str) -> None:
+    """Keep the state of all jobs under ``path``; a reader sees the state before or this one, never a part.
+
+    Every save is a table of its own, complete once Spark has marked it so; older ones go after that.
+    """
+    spark = jobs.sparkSession
+    fs, root = _folder(spark, path)
+    before = [f.getPath() for f in fs.listStatus(root)] if fs.exists(root) else []
+    last = max((int(p.getName()) for p in before if p.getName().isdigit()), default=0)
+    jobs.write.parquet(f"{path}/{last + 1:020d}")
+    for p in before:
+        fs.delete(p, True)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last complete state under ``path``; None if there is none or it can't be read, so that a batch begins anew."""
+    fs, root = _folder(spark, path)
+    if not fs.exists(root):
+        return None
+    complete = [p.getName() for p in (f.getPath() for f in fs.listStatus(root)) if p.getName().isdigit() and fs.exists(_folder(spark, f"{path}/{p.getName()}/_SUCCESS")[1])]
+    if not complete:
+        return None
+    found = spark.read.schema(SCHEMA).parquet(f"{path}/{max(complete)}")
+    try:
+        found.agg(F.count("source"), F.max("state")).collect()
+    except Exception:  # noqa: BLE001 - whatever is wrong with it, it is no checkpoint
+        return None
+    return found
+
+
 def enough_memory(available_mb: float | None, least_mb: float) -> bool:
     """Whether the next document may start; memory that can't be observed never blocks."""
     return available_mb is None or available_mb >= least_mb

@@ -66,6 +66,11 @@ def routed(pages: DataFrame, *, image: str = "embedded_text", layer: str = "embe
     return plain.unionByName(rest)
 
 
+def routed_or_all(pages: DataFrame, *, image: str = "embedded_text", layer: str = "embedded_text", rule: Routing = Routing()) -> DataFrame | None:
+    """``routed``, or None where routing is switched off: then there is no plan, and every engine reads every page."""
+    return routed(pages, image=image, layer=layer, rule=rule) if rule.enabled else None
+
+
 def plan_summary(routes: DataFrame) -> DataFrame:
     """Per document: pages, how many of each class (zeros kept), how many avoid an engine."""
     counts = [F.count_if(F.col("page_class") == c).alias(c) for c in CLASSES]
