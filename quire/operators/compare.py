@@ -75,6 +75,16 @@ def summary(rows: DataFrame, *keys: str) -> DataFrame:
     return out.withColumn("similarity", similarity).withColumn("differing_lines", F.col("total_lines") - F.col("equal_lines")).drop("__g", "__w", "__a", "__b")
 
 
+def counters(pairs: DataFrame, *keys: str, threshold: float = 0.55) -> DataFrame:
+    """``summary`` of each pair with ``agreement_percent`` and the characters and words of both texts."""
+    size = lambda s: (F.length(F.coalesce(f"text_{s}", F.lit(""))).cast("bigint").alias(f"characters_{s}"), T.word_count(f"text_{s}").alias(f"words_{s}"))
+    sizes = pairs.select(*keys, *size("a"), *size("b"))
+    found = sizes.join(summary(diff_lines(pairs, *keys, threshold=threshold), *keys), list(keys), "left")
+    zero = ("equal_lines", "changed_lines", "only_a_lines", "only_b_lines", "total_lines", "differing_lines", "similarity")
+    found = found.fillna(0, [c for c in zero])
+    return found.withColumn("agreement_percent", F.bround(F.col("similarity") * 100, 1))
+
+
 def conflicts(rows: DataFrame) -> DataFrame:
     """Changed lines whose numbers differ, in order and number."""
     df = rows.filter("kind = 'changed'").withColumn("numbers_a", T.numbers("text_a")).withColumn("numbers_b", T.numbers("text_b"))

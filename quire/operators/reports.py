@@ -115,3 +115,43 @@ def run_progress(timings: DataFrame) -> DataFrame:
     minutes = F.col("remaining") / 60
     said = F.when(F.col("remaining").isNull(), F.lit(" - timing the first page before estimating")).when(minutes < 1, F.lit(" - under a minute left")).otherwise(F.concat(F.lit(" - about "), F.bround(minutes).cast("int").cast("string"), F.lit(" min left")))
     return df.withColumn("said", F.concat(position, said))
+
+
+def total_metrics(runs: DataFrame, show: Output = Output()) -> DataFrame:
+    """(doc, place, label, value) rows of a whole run: ``run_metrics`` columns and agreement_percent (null: nothing compared)."""
+    c = F.col
+    rows: list[tuple[bool, str, Column, Column | None]] = [
+        (True, "Total time", format_duration(c("seconds")), None),
+        (True, "Pages processed", format_int(c("pages")), None),
+        (True, "Average per page", format_duration(c("average_seconds")), None),
+        (True, "OCR engines", F.concat(c("engines_succeeded").cast("string"), F.lit(" of "), c("engines_run").cast("string"), F.lit(" succeeded")), None),
+        (show.token_usage, "Total tokens", format_int(c("total_tokens")), None),
+        (show.token_usage, "Input tokens", format_int(c("input_tokens")), None),
+        (show.token_usage, "Output tokens", format_int(c("output_tokens")), None),
+        (show.character_count, "Characters", format_int(c("final_characters")), None),
+        (show.word_count, "Words", format_int(c("final_words")), None),
+        (True, "Engine agreement", format_percent(c("agreement_percent")), c("agreement_percent").isNotNull()),
+    ]
+    shown = [F.when(F.lit(True) if when is None else when, F.struct(F.lit(i).cast("bigint").alias("place"), F.lit(label).alias("label"), value.alias("value"))) for i, (on, label, value, when) in enumerate(rows) if on]
+    return runs.select("doc", F.explode(F.filter(F.array(*shown), lambda x: x.isNotNull())).alias("m")).select("doc", "m.place", "m.label", "m.value")
+
+
+def document_benchmark(documents: DataFrame, routes: DataFrame, results: DataFrame, fused: DataFrame) -> DataFrame:
+    """One row per document: pages, pages an engine had to read, pages avoided, engine seconds, final words, error.
+
+    ``documents`` are (doc, load_error): one that couldn't be loaded has a row with its error and zeros.
+    """
+    plan = routes.groupBy("doc").agg(F.count("*").alias("pages"), F.count_if(F.col("page_class") == "needs_ocr").alias("pages_needing_ocr"))
+    spent = results.groupBy("doc").agg(F.sum("seconds").alias("seconds"))
+    words = fused.select("doc", T.word_count("text").alias("final_words"))
+    df = documents.select("doc", F.when(F.col("load_error").isNotNull(), F.concat(F.lit("could not be loaded: "), "load_error")).alias("error"))
+    for part in (plan, spent, words):
+        df = df.join(part, "doc", "left")
+    df = df.fillna(0, ["pages", "pages_needing_ocr", "seconds", "final_words"])
+    return df.withColumn("pages_avoided", F.col("pages") - F.col("pages_needing_ocr"))
+
+
+def page_timings(results: DataFrame) -> DataFrame:
+    """Every engine's page with its time and tokens, and the tokens a second that it gave (null: unknown)."""
+    rate = F.when((F.col("output_tokens") > 0) & (F.col("seconds") > 0), F.col("output_tokens") / F.col("seconds"))
+    return results.select("doc", "engine_id", "page_number", "status", "seconds", "input_tokens", "output_tokens", rate.alias("tokens_per_second"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.params import Documents
+from quire.params import Documents, Routing
 from quire.session import ship
 
 IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "webp", "tif", "tiff", "bmp")
@@ -44,6 +45,34 @@ def load_error(content: Column, name: Column, rule: Documents = Documents()) ->
     )
 
 
+#: The five kinds of load errors and what a user is told.
+ERROR_TEXTS = {
+    "unsupported": "That file type is not supported yet.",
+    "corrupt": "The file appears to be damaged and could not be opened.",
+    "too_large": "The file is larger than the configured limit.",
+    "empty": "The document contains no pages to process.",
+    "render": "The PDF could not be converted to images.",
+}
+
+
+def error_kind(content: Column, name: Column, pages: Column | None = None, reader_error: Column | None = None, rule: Documents = Documents()) -> Column:
+    """The kind of load error (a key of ERROR_TEXTS, null: none): what the file shows, then what its reader said, then a document without pages."""
+    size = F.coalesce(F.octet_length(content), F.lit(0))
+    kind = sniffed(content, name)
+    found = F.when(size == 0, "empty").when(size > rule.max_file_mb * 1024 * 1024, "too_large").when(kind == "unknown", "unsupported")
+    if reader_error is not None:
+        found = found.when(reader_error.isNotNull(), F.when(kind == "pdf", "render").otherwise("corrupt"))
+    return found if pages is None else found.when(pages == 0, "empty")
+
+
+def page_summary(pages: DataFrame) -> DataFrame:
+    """What may be logged of a page: sizes and counts, never its text or image."""
+    has = lambda c, t: F.col(c) if c in pages.columns else F.lit(None).cast(t)
+    layer = F.coalesce("embedded_text", F.lit(""))
+    image = has("image", "binary")
+    return pages.select("doc", F.col("page_number").alias("page"), has("width", "int").alias("width"), has("height", "int").alias("height"), has("dpi", "int").alias("dpi"), F.octet_length(image).cast("bigint").alias("size_bytes"), layer.rlike(r"\S").alias("has_text_layer"), F.length(layer).cast("bigint").alias("embedded_text_chars"), image.isNotNull().alias("rendered"))
+
+
 def mime_type(name: Column) -> Column:
     pairs = F.create_map(*(F.lit(x) for p in MIME.items() for x in p))
     return F.coalesce(pairs[extension(name)], F.lit("application/octet-stream"))
@@ -95,28 +124,69 @@ def loaded_pages(found: DataFrame, rule: Documents = Documents()) -> DataFrame:
     return kinds.select("path", "kind", "content").mapInPandas(run, PAGES)
 
 
-def ink_ratio(image: str, threshold: int = 200, side: int = 200) -> Column:
-    """Share of dark pixels of a scaled-down page; null where the image can't be decoded (or no decoder is there)."""
-
-    @F.pandas_udf("double")
-    def run(images: pd.Series) -> pd.Series:
-        import io
-
-        def one(data) -> float | None:
-            try:
-                from PIL import Image
+def image_pages(spark: SparkSession, path: str, rule: Documents = Documents(), routing: Routing = Routing()) -> DataFrame:
+    """A page for every image under ``path``, decoded in the JVM: PAGES' columns (image: the rendered pixels) and ``ink``.
 
-                with Image.open(io.BytesIO(bytes(data))) as im:
-                    grey = im.convert("L")
-                    grey.thumbnail((side, side), Image.BILINEAR)
-                    seen = grey.histogram()
-                    return sum(seen[: threshold + 1]) / max(1, sum(seen))
-            except Exception:  # noqa: BLE001 - not an image, or no decoder
-                return None
+    Images are flattened to red, green, blue and scaled down to the greatest dimension. One that
+    can't be decoded is a row with an error and unknown ink. Of a file of several frames the first counts.
+    """
+    ship(spark)
+    found = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "false").load(path).select("image.*")
+    names = [*(c.split()[0] for c in PAGES.split(", ")), "ink"]
 
-        return images.map(one).astype("float64")
-
-    return run(image)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for origin, height, width, channels, data in zip(batch["origin"], batch["height"], batch["width"], batch["nChannels"], batch["data"], strict=True):
+                if height <= 0 or width <= 0 or channels not in (1, 3, 4):
+                    rows.append({"doc": origin, "page_number": 1, "embedded_text": "", "error": ERROR_TEXTS["corrupt"]})
+                    continue
+                pixels = flattened(np.frombuffer(data, np.uint8).reshape(height, width, channels))
+                longest = max(width, height)
+                if longest > rule.max_dimension:
+                    scale = rule.max_dimension / longest
+                    pixels = scaled(pixels, max(1, int(width * scale)), max(1, int(height * scale)))
+                rows.append({"doc": origin, "page_number": 1, "width": pixels.shape[1], "height": pixels.shape[0], "embedded_text": "", "image": pixels.tobytes(), "ink": ink_of(pixels, routing.ink_threshold, routing.thumbnail)})
+            frame = pd.DataFrame([{n: r.get(n) for n in names} for r in rows], columns=names)
+            yield frame.astype({c: "Int32" for c in ("width", "height", "dpi")} | {"page_number": "Int64", "ink": "float64"})
+
+    return found.select("origin", "height", "width", "nChannels", "data").mapInPandas(run, f"{PAGES}, ink double")
+
+
+def flattened(pixels: np.ndarray) -> np.ndarray:
+    """Red, green, blue of grey, blue-green-red, or the same with opacity (over white)."""
+    if pixels.shape[2] == 1:
+        return np.repeat(pixels, 3, axis=2)
+    colours = pixels[:, :, 2::-1]
+    if pixels.shape[2] == 3:
+        return np.ascontiguousarray(colours)
+    opacity = pixels[:, :, 3:].astype(np.float64) / 255
+    return np.rint(colours * opacity + 255 * (1 - opacity)).astype(np.uint8)
+
+
+def scaled(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
+    """``pixels`` at another size; each new pixel is a mean weighted by a triangle as wide as the old pixels that it covers."""
+
+    def weights(old: int, new: int) -> np.ndarray:
+        step = old / new
+        middle = (np.arange(new)[:, None] + 0.5) * step
+        w = np.maximum(0, 1 - np.abs((np.arange(old)[None, :] + 0.5 - middle) / max(step, 1)))
+        return w / w.sum(axis=1, keepdims=True)
+
+    x = np.tensordot(weights(pixels.shape[0], height), pixels.astype(np.float64), (1, 0))
+    x = np.tensordot(weights(pixels.shape[1], width), x, (1, 1)).swapaxes(0, 1)
+    return np.clip(np.rint(x), 0, 255).astype(np.uint8)
+
+
+def ink_of(pixels: np.ndarray, threshold: int = 200, side: int = 200) -> float | None:
+    """Share of dark pixels of a page in grey, scaled down to ``side``; None without pixels."""
+    if not pixels.size:
+        return None
+    grey = np.rint(pixels.astype(np.float64) @ [0.299, 0.587, 0.114])
+    factor = min(1.0, side / max(grey.shape))
+    if factor < 1:
+        grey = scaled(grey[:, :, None], max(1, round(grey.shape[1] * factor)), max(1, round(grey.shape[0] * factor)))[:, :, 0]
+    return float((grey <= threshold).mean())
 
 
 def base64_image(image: str) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -14,7 +14,7 @@ from quire.params import Output
 from quire.session import ship
 
 MIME = {"txt": "text/plain", "md": "text/markdown", "json": "application/json", "csv": "text/csv", "xml": "application/xml", "html": "text/html", "pdf": "application/pdf"}
-CONFLICTS_SHOWN = 25
+CONFLICTS_SHOWN, PDF_PAGES = 25, 2000
 SCHEMA_VERSION = "1.0"
 
 
@@ -101,15 +101,51 @@ def write_texts(texts: DataFrame, path: str, column: str = "text") -> None:
     texts.select(F.col(column).alias("value")).write.text(path)
 
 
-def export_record(documents: DataFrame, engines: DataFrame, pages: DataFrame, fused: DataFrame, show: Output = Output()) -> DataFrame:
-    """``doc``, ``json``: the stable record of a document; unknown values are null, not absent."""
+def export_record(
+    documents: DataFrame, engines: DataFrame, pages: DataFrame, fused: DataFrame, show: Output = Output(), *, comparison: DataFrame | None = None, conflicts: DataFrame | None = None, routing: DataFrame | None = None, review: DataFrame | None = None,
+    metrics: DataFrame | None = None, logs: DataFrame | None = None, configuration: str = "{}", generated_at: str | None = None,
+) -> DataFrame:
+    """``doc``, ``json``: the stable record of a document; unknown values are null, not absent.
+
+    The keyword tables are one row per document each (conflicts, review and logs: many): counters of
+    the comparison with engine_a and engine_b, the routing summary, run metrics; a table that isn't
+    given is null in the record, no logs are an empty list. Without raw results engines have neither
+    text nor pages; without comparison that part is null; without logs the list is empty.
+    """
     page = F.struct(F.col("page_number").alias("page"), "status", "text", "error", F.col("seconds").alias("duration_seconds"), F.length("text").alias("character_count"), T.word_count("text").alias("word_count"), F.struct("input_tokens", "output_tokens").alias("tokens"), "confidence")
-    by_engine = pages.groupBy("doc", "engine_id").agg(F.array_sort(F.collect_list(page)).alias("pages"))
-    kept = ["engine_ord", "engine_id", "engine_name", "model_name", "engine_status", "error"] + (["pages"] if show.raw_results else [])
-    each = engines.join(by_engine, ["doc", "engine_id"], "left").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(*kept))).alias("engines"))
-    final = fused.select("doc", F.struct("text", F.length("text").alias("character_count"), T.word_count("text").alias("word_count"), "strategy").alias("final_result"))
+    ordered = F.array_sort(F.collect_list(page))
+    text = F.array_join(F.transform(F.filter(ordered, lambda p: F.coalesce(p["text"], F.lit("")) != ""), lambda p: p["text"]), "\n\n")
+    total = lambda c: F.sum(c).alias(c)
+    by_engine = pages.groupBy("doc", "engine_id").agg(ordered.alias("pages"), text.alias("text"), total("seconds"), total("input_tokens"), total("output_tokens"))
+    each = engines.join(by_engine, ["doc", "engine_id"], "left")
+    each = each.withColumns({"character_count": F.length("text"), "word_count": T.word_count("text")})
+    kept = ["engine_ord", "engine_id", "engine_name", "model_name", "engine_status", "error", "seconds", "input_tokens", "output_tokens", "character_count", "word_count"] + (["text", "pages"] if show.raw_results else [])
+    each = each.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(*kept))).alias("engines"))
+    extra = [c for c in ("detail", "warnings") if c in fused.columns]
+    final = fused.select("doc", F.struct("text", F.length("text").alias("character_count"), T.word_count("text").alias("word_count"), "strategy", *extra).alias("final_result"))
     df = documents.join(each, "doc", "left").join(final, "doc", "left")
-    record = F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), F.struct(*(F.col(c) for c in documents.columns)).alias("document"), "engines", "final_result")
+
+    def part(table: DataFrame | None, name: str, many: bool = False) -> None:
+        nonlocal df
+        if table is None:
+            df = df.withColumn(name, F.array() if name == "logs" else F.lit(None).cast("string"))
+            return
+        row = F.struct(*(c for c in table.columns if c != "doc"))
+        grouped = table.groupBy("doc").agg((F.array_sort(F.collect_list(row)) if many else F.first(row)).alias(name))
+        df = df.join(grouped, "doc", "left")
+        if name == "logs":
+            df = df.withColumn(name, F.coalesce(name, F.array()))
+
+    part(comparison if show.comparison else None, "comparison")
+    part(conflicts if show.comparison else None, "numeric_conflicts", many=True)
+    part(routing, "routing")
+    part(review, "review", many=True)
+    part(metrics, "metrics")
+    part(logs if show.logs else None, "logs", many=True)
+    record = F.struct(
+        F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(generated_at).alias("generated_at"), F.struct(*(F.col(c) for c in documents.columns)).alias("document"), "engines", "comparison", "numeric_conflicts", "routing", "review", "final_result", "metrics",
+        F.from_json(F.lit(configuration), "map<string,string>").alias("configuration"), "logs",
+    )
     return df.select("doc", F.to_json(record, {"ignoreNullFields": "false"}).alias("json"))
 
 
@@ -144,33 +180,160 @@ def _xml(record: str) -> str:
     return f"<?xml version='1.0' encoding='utf-8'?>\n<result>{body}</result>"
 
 
-def _html(record: str) -> str:
-    import html
-    import json
+def _counted(n: object) -> str:
+    return "N/A" if n is None else f"{n:.1f}" if isinstance(n, float) else f"{n:,}"
 
-    d = json.loads(record)
-    title = html.escape(str((d.get("document") or {}).get("filename") or (d.get("document") or {}).get("doc") or ""))
-    rows = "".join(f"<tr><td>{html.escape(str(e.get('engine_name')))}</td><td>{html.escape(str(e.get('engine_status')))}</td></tr>" for e in d.get("engines") or [])
-    text = html.escape(((d.get("final_result") or {}).get("text")) or "")
-    return f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{title}</title></head><body><h1>{title}</h1><table><tr><th>Engine</th><th>Status</th></tr>{rows}</table><pre>{text}</pre></body></html>'
 
+def _blocks(record: str, show: Output):
+    """A report as (kind, contents) blocks that every format lays out in its own way.
+
+    Kinds: title, line (facts on one line), facts (name and value), head, part, text, table, failed, log.
+    """
+    import json
 
-def _rendered(records: DataFrame, render: Callable[[str], str]) -> DataFrame:
+    d = json.loads(record)
+    doc, final, compared = d.get("document") or {}, d.get("final_result") or {}, d.get("comparison")
+    engines = d.get("engines") or []
+    spent = (d.get("metrics") or {}).get("seconds")
+    yield "title", str(doc.get("filename") or doc.get("doc") or "")
+    facts = [("Pages", str(doc.get("pages", "N/A")))]
+    facts += [("Generated", d["generated_at"])] if d.get("generated_at") else []
+    facts += [("Total time", f"{spent:.2f}s")] if show.processing_time and spent is not None else []
+    facts += [("Engines", ", ".join(str(e.get("engine_name")) for e in engines) or "none")] if show.engine_name else []
+    facts += [("Fusion strategy", final["strategy"])] if final.get("strategy") else []
+    yield "line", facts
+    if show.extracted_text:
+        yield "head", "Final result"
+        yield "text", final.get("text") or ""
+    if compared:
+        yield "head", "Comparison"
+        yield "facts", [("Agreement", f"{compared.get('agreement_percent')}%"), ("Lines", f"{compared.get('total_lines')} ({compared.get('equal_lines')} identical, {compared.get('differing_lines')} differing)")]
+        found = d.get("numeric_conflicts") or []
+        if found:
+            yield "part", f"Numeric disagreements ({len(found)})"
+            yield "table", ([str(compared.get("engine_a") or "A"), str(compared.get("engine_b") or "B")], [(c["text_a"], c["text_b"]) for c in found[:CONFLICTS_SHOWN]])
+    if show.raw_results:
+        yield "head", "Engine outputs"
+        for e in engines:
+            yield "part", str(e.get("engine_name"))
+            said = [("Status", str(e.get("engine_status")))]
+            said += [("Model", e["model_name"])] if show.model_name and e.get("model_name") else []
+            said += [("Time", f"{e['seconds']:.2f}s")] if show.processing_time and e.get("seconds") is not None else []
+            if show.token_usage:
+                i, o, sec = e.get("input_tokens"), e.get("output_tokens"), e.get("seconds")
+                said.append(("Tokens", f"in {_counted(i)}, out {_counted(o)}, total {_counted(None if i is None and o is None else (i or 0) + (o or 0))}"))
+                said.append(("Tokens/second", _counted(o / sec if o and sec else None)))
+            said += [("Characters", _counted(e.get("character_count")))] if show.character_count else []
+            said += [("Words", _counted(e.get("word_count")))] if show.word_count else []
+            yield "facts", said
+            ok = e.get("engine_status") in ("success", "partial") and e.get("text")
+            yield ("text", e["text"]) if ok else ("failed", str(e.get("error") or "unknown error"))
+    if show.logs and d.get("logs"):
+        yield "head", "Processing log"
+        yield "log", "\n".join(str(x.get("line") or x.get("message") or "") for x in d["logs"])
+
+
+def _markdown(record: str, show: Output = Output()) -> str:
+    out: list[str] = []
+    flat = lambda x: str(x).replace("|", "\\|").replace("\n", " ")
+    for kind, x in _blocks(record, show):
+        if kind in ("title", "head", "part"):
+            out.append({"title": "# Result - ", "head": "## ", "part": "### "}[kind] + x)
+        elif kind in ("line", "facts"):
+            out.append("\n".join(f"- **{k}:** {v}" for k, v in x))
+        elif kind == "table":
+            out.append("\n".join("| " + " | ".join(map(flat, r)) + " |" for r in (x[0], ["---"] * len(x[0]), *x[1])))
+        elif kind == "log":
+            out.append(f"```\n{x}\n```")
+        else:
+            out.append((x or "_No text extracted._") if kind == "text" else f"_Failed: {x}_")
+    return "\n\n".join(out) + "\n"
+
+
+STYLE = (
+    "body{font:15px/1.6 system-ui,sans-serif;max-width:56rem;margin:2rem auto;padding:0 1rem}pre{white-space:pre-wrap;background:#f4f5f8;padding:1rem;border-radius:6px}"
+    "table{border-collapse:collapse}td,th{text-align:left;padding:.3rem .6rem;border-bottom:1px solid #ddd;vertical-align:top}.failed{color:#a22}"
+)
+
+
+def _html(record: str, show: Output = Output()) -> str:
+    """One page that needs nothing from elsewhere."""
+    from html import escape
+
+    blocks = list(_blocks(record, show))
+    title = escape(blocks[0][1])
+    body: list[str] = []
+    for kind, x in blocks:
+        if kind in ("title", "head", "part"):
+            tag = {"title": "h1", "head": "h2", "part": "h3"}[kind]
+            body.append(f"<{tag}>{escape(x)}</{tag}>")
+        elif kind == "line":
+            body.append("<p>" + escape(" - ".join(f"{k}: {v}" for k, v in x)) + "</p>")
+        elif kind == "facts":
+            body.append("<table>" + "".join(f"<tr><th>{escape(k)}</th><td>{escape(str(v))}</td></tr>" for k, v in x) + "</table>")
+        elif kind == "table":
+            rows = "".join("<tr>" + "".join(f"<td>{escape(str(c))}</td>" for c in r) + "</tr>" for r in x[1])
+            body.append("<table><tr>" + "".join(f"<th>{escape(c)}</th>" for c in x[0]) + f"</tr>{rows}</table>")
+        elif kind == "failed":
+            body.append(f'<p class="failed">Failed: {escape(x)}</p>')
+        else:
+            body.append(f"<pre>{escape(x)}</pre>" if x else "<p><em>No text.</em></p>")
+    return f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{title}</title><style>{STYLE}</style></head><body>' + "".join(body) + "</body></html>"
+
+
+def _pdf(record: str, show: Output = Output()) -> bytes:
+    """The report as plain text on A4 pages of a built-in font, PDF_PAGES of them at most; letters beyond Latin-1 become ``?``."""
+    import textwrap
+
+    lines: list[str] = []
+    for x in _markdown(record, show).split("\n"):
+        lines += textwrap.wrap(x, 92, drop_whitespace=False, replace_whitespace=False) or [""]
+    pages = [lines[i : i + 60] for i in range(0, len(lines), 60)]
+    if len(pages) > PDF_PAGES:
+        pages = pages[:PDF_PAGES]
+        pages[-1][-1] = f"The report goes on; a PDF holds its first {PDF_PAGES} pages."
+    objects = ["<< /Type /Catalog /Pages 2 0 R >>", "<< /Type /Pages /Kids [" + " ".join(f"{4 + 2 * i} 0 R" for i in range(len(pages))) + f"] /Count {len(pages)} >>", "<< /Type /Font /Subtype /Type1 /BaseFont /Courier /Encoding /WinAnsiEncoding >>"]
+    for i, page in enumerate(pages):
+        shown = "\n".join("(" + x.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)") + ") Tj T*" for x in page)
+        stream = f"BT /F1 9 Tf 50 792 Td 12 TL\n{shown}\nET"
+        objects.append(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 595 842] /Resources << /Font << /F1 3 0 R >> >> /Contents {5 + 2 * i} 0 R >>")
+        objects.append(f"<< /Length {len(stream.encode('latin-1', 'replace'))} >>\nstream\n{stream}\nendstream")
+    out, places = b"%PDF-1.4\n", []
+    for n, x in enumerate(objects, 1):
+        places.append(len(out))
+        out += f"{n} 0 obj\n{x}\nendobj\n".encode("latin-1", "replace")
+    table = "".join(f"{p:010d} 00000 n \n" for p in places)
+    return out + f"xref\n0 {len(objects) + 1}\n0000000000 65535 f \n{table}trailer\n<< /Size {len(objects) + 1} /Root 1 0 R >>\nstartxref\n{len(out)}\n%%EOF\n".encode()
+
+
+def _rendered(records: DataFrame, render: Callable[..., str | bytes], show: Output, kind: str) -> DataFrame:
     ship(records.sparkSession)
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(kind)
     def run(s: pd.Series) -> pd.Series:
-        return s.map(render)
+        return s.map(lambda x: render(x, show))
 
     return records.select("doc", run("json").alias("content"))
 
 
-def as_text(documents: DataFrame, fused: DataFrame, show: Output = Output()) -> DataFrame:
-    """``doc``, ``content``: the final text under a header of what the settings show (documents: doc, filename, engines, seconds)."""
+def as_text(documents: DataFrame, fused: DataFrame, show: Output = Output(), pages: DataFrame | None = None) -> DataFrame:
+    """``doc``, ``content``: the final text under a header of what the settings show (documents: doc, filename, engines, models, seconds).
+
+    With ``pages`` (of the first engine that read several pages well), a document of more than one is
+    shown page by page instead, if page numbers are on: the fused text has no page borders.
+    """
     line = lambda on, c: F.when(F.lit(on), c)
     df = documents.join(fused.select("doc", "text"), "doc", "left").withColumn("text", F.coalesce("text", F.lit("")))
-    head = F.concat_ws("\n", F.col("filename"), line(show.engine_name, F.concat(F.lit("Engines: "), F.coalesce("engines", F.lit("none")))), line(show.processing_time, F.concat(F.lit("Processing time: "), F.format_string("%.2f", "seconds"), F.lit("s"))), line(show.character_count, F.concat(F.lit("Characters: "), F.length("text").cast("string"))), line(show.word_count, F.concat(F.lit("Words: "), T.word_count("text").cast("string"))), F.lit("-" * 60))
-    return df.select("doc", F.concat(T.stripped(F.concat(head, F.lit("\n\n"), F.col("text"))), F.lit("\n")).alias("content"))
+    models = F.when(F.coalesce(F.col("models"), F.lit("")) != "", F.concat(F.lit("Models: "), "models")) if "models" in documents.columns else F.lit(None).cast("string")
+    shown = [line(show.engine_name, F.concat(F.lit("Engines: "), F.coalesce("engines", F.lit("none")))), line(show.model_name, models), line(show.processing_time, F.concat(F.lit("Processing time: "), F.format_string("%.2f", "seconds"), F.lit("s"))), line(show.character_count, F.concat(F.lit("Characters: "), F.length("text").cast("string"))), line(show.word_count, F.concat(F.lit("Words: "), T.word_count("text").cast("string")))]
+    facts = F.concat_ws("\n", *shown)
+    head = F.when(facts == "", "").otherwise(F.concat(F.concat_ws("\n", F.col("filename"), facts, F.lit("-" * 60)), F.lit("\n\n")))
+    body = F.col("text")
+    if pages is not None and show.page_numbers:
+        several = pages.withColumn("__n", F.count("*").over(Window.partitionBy("doc"))).filter("__n > 1").drop("__n")
+        df = df.join(paginated(several).withColumnRenamed("content", "__paged"), "doc", "left")
+        body = F.coalesce("__paged", "text")
+    return df.select("doc", F.concat(T.stripped(F.concat(head, body)), F.lit("\n")).alias("content"))
 
 
 def paginated(pages: DataFrame) -> DataFrame:
@@ -182,8 +345,6 @@ def paginated(pages: DataFrame) -> DataFrame:
 
 def as_markdown(documents: DataFrame, fused: DataFrame, conflicts: DataFrame) -> DataFrame:
     """``doc``, ``content``: a report with the final text and the first disagreements in figures (conflicts: doc, row_no, text_a, text_b)."""
-    from pyspark.sql import Window
-
     n = F.row_number().over(Window.partitionBy("doc").orderBy("row_no"))
     row = F.concat(F.lit("| "), cell("text_a"), F.lit(" | "), cell("text_b"), F.lit(" |"))
     shown = conflicts.withColumn("n", n).withColumn("all", F.count("*").over(Window.partitionBy("doc"))).filter(F.col("n") <= CONFLICTS_SHOWN)
@@ -195,12 +356,14 @@ def as_markdown(documents: DataFrame, fused: DataFrame, conflicts: DataFrame) ->
     return df.select("doc", F.concat(F.lit("# Result - "), "filename", F.lit("\n\n## Final result\n\n"), text, F.lit("\n"), figures).alias("content"))
 
 
-#: Formats rendered from the JSON record; register another callable to add one. PDF needs a library that is not here.
-RENDERERS: dict[str, Callable[[str], str]] = {"json": str, "xml": _xml, "html": _html}
+#: Formats rendered from the JSON record by a function of it and the settings, and the type of their contents.
+RENDERERS: dict[str, tuple[Callable[..., str | bytes], str]] = {"xml": (lambda record, _: _xml(record), "string"), "html": (_html, "string"), "md": (_markdown, "string"), "pdf": (_pdf, "binary")}
 
 
-def exported(records: DataFrame, kind: str) -> DataFrame:
-    """``doc``, ``content`` in one of RENDERERS' formats."""
+def exported(records: DataFrame, kind: str, show: Output = Output()) -> DataFrame:
+    """``doc``, ``content`` in ``json`` or one of RENDERERS' formats."""
+    if kind == "json":
+        return records.select("doc", F.col("json").alias("content"))
     if kind not in RENDERERS:
         raise ValueError(f"unsupported export format: {kind}")
-    return records.select("doc", F.col("json").alias("content")) if kind == "json" else _rendered(records, RENDERERS[kind])
+    return _rendered(records, RENDERERS[kind][0], show, RENDERERS[kind][1])
