@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import accuracy, align, batch, cache, cascade, chat, compare, confidence, events, fuse, reports, routing
-from quire.params import PROFILES, Output
+from quire.operators import accuracy, align, batch, cache, cascade, chat, compare, confidence, events, fuse, panels, reports, routing
+from quire.params import PROFILES, Output, Routing
 from quire.plans.fixtures import fixture, with_fixtures
 from quire.sources import documents as D
 from quire.sources import export
@@ -129,6 +129,46 @@ def routing_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.headline(routing.plan_summary(routing.routed(fixture(spark, sf_dir, "pages")))).select("doc", "headline")
 
 
+@query(
+    f"""SELECT doc, page_number, CASE page_class WHEN 'text_layer' THEN 'From the document''s own text' WHEN 'blank' THEN 'Blank' WHEN 'duplicate' THEN 'Identical to an earlier page' ELSE 'Read by an engine' END AS label, CASE page_class WHEN 'text_layer' THEN 'ok' WHEN 'needs_ocr' THEN 'info' ELSE 'neutral' END AS kind FROM {_ROUTES}"""
+)
+def page_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panels.page_list(routing.routed(fixture(spark, sf_dir, "pages"))).select("doc", "page_number", "label", "kind")
+
+
+@query(f"SELECT doc, page_number, CASE WHEN first_page < page_number AND NOT usable THEN 'duplicate' ELSE 'needs_ocr' END AS page_class FROM (SELECT *, min(page_number) OVER (PARTITION BY doc, sha256(embedded_text)) AS first_page FROM (SELECT *, false AS usable FROM {{pages}}))")
+def routes_without_layer_and_blank_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rules switched off: copies are still found."""
+    rule = Routing(use_text_layer=False, skip_blank_pages=False)
+    return routing.routed(fixture(spark, sf_dir, "pages"), rule=rule).select("doc", "page_number", "page_class")
+
+
+@query("SELECT doc, page_number FROM {pages} WHERE page_number % 3 = 1")
+def page_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = fixture(spark, sf_dir, "pages")
+    return routing.subset(pages, pages.select("doc", "page_number").filter("page_number % 3 = 1")).select("doc", "page_number")
+
+
+@query(r"SELECT doc, page_number AS page, regexp_matches(embedded_text, '\S') AS has_text_layer, CAST(length(embedded_text) AS BIGINT) AS embedded_text_chars, strlen(embedded_text) AS size_bytes, true AS rendered FROM {pages}")
+def page_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = fixture(spark, sf_dir, "pages").withColumn("image", F.col("embedded_text").cast("binary"))
+    return D.page_summary(pages).select("doc", "page", "has_text_layer", "embedded_text_chars", "size_bytes", "rendered")
+
+
+@query(
+    """SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'image' WHEN 1 THEN 'pdf' WHEN 2 THEN 'unknown' WHEN 3 THEN 'image' WHEN 4 THEN 'pdf' WHEN 5 THEN 'image' ELSE 'image' END AS kind,
+        CASE WHEN page_id % 7 = 2 THEN 'unsupported' WHEN page_id % 5 = 0 THEN CASE WHEN page_id % 7 IN (1, 4) THEN 'render' ELSE 'corrupt' END WHEN page_id % 11 = 0 THEN 'empty' END AS error FROM pages"""
+)
+def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents against names: what a file begins with counts for more than what it is called."""
+    p, n = spark.read.parquet(f"{sf_dir}/pages.parquet"), F.col("page_id") % 7
+    magic = F.element_at(F.array(*(F.unhex(F.lit(x)) for x in ("89504E470D0A1A0A", "255044462D", "", "FFD8FF", "", "474946383961", "4D4D002A"))), (n + 1).cast("int"))
+    name = F.concat(F.lit("page"), F.col("page_id").cast("string"), F.element_at(F.array(*(F.lit(x) for x in (".pdf", ".png", ".txt", "", ".pdf", ".PDF", ".bmp"))), (n + 1).cast("int")))
+    content = F.concat(magic, F.coalesce(F.col("html"), F.lit("")).cast("binary"), F.lit("x").cast("binary"))
+    said = F.when(F.col("page_id") % 5 == 0, F.lit("broken"))
+    return p.select("page_id", D.sniffed(content, name).alias("kind"), D.error_kind(content, name, F.when(F.col("page_id") % 11 == 0, 0).otherwise(1), said).alias("error"))
+
+
 @query(
     """SELECT doc, page_number, CASE WHEN total > 5 THEN 'Only the first 5 of ' || total || ' pages were processed because of the configured page limit.' END AS warning
     FROM (SELECT *, count(*) OVER (PARTITION BY doc) AS total, row_number() OVER (PARTITION BY doc ORDER BY page_number) AS n FROM {pages}) WHERE n <= 5"""
@@ -267,6 +307,39 @@ def cascade_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy("doc", "engine_id").agg(F.count("*").alias("pages"), F.count_if(F.col("status") == "success").alias("succeeded"))
 
 
+_STUBS = "(SELECT doc, page_number, embedded_text, doc_id FROM {pages})"
+
+
+@query(
+    f"""SELECT doc, page_number, engine_id, status, error FROM (SELECT doc, page_number, 'vision_a' AS engine_id, CASE WHEN doc_id % 4 = 1 THEN 'failed' ELSE 'success' END AS status, CASE doc_id % 4 WHEN 1 THEN 'the engine returned no text' WHEN 2 THEN 'the output reached the token limit and was cut off' END AS error FROM {_STUBS}
+        UNION ALL SELECT doc, page_number, 'vision_b', 'failed', 'page ' || page_number || ' is unreadable' FROM {_STUBS})"""
+)
+def all_engines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every engine reads every page; empty, cut-off and failing pages are rows."""
+
+    def some(page: dict) -> dict:
+        return {"text": "" if page["doc_id"] % 4 == 1 else "read", "done_reason": "length" if page["doc_id"] % 4 == 2 else "stop"}
+
+    def none(page: dict) -> dict:
+        raise ValueError(f"page {page['page_number']} is unreadable")
+
+    engines = [cascade.Engine("vision_a", "A", some), cascade.Engine("vision_b", "B", none, retries=0)]
+    return cascade.all_engines(fixture(spark, sf_dir, "pages"), engines).select("doc", "page_number", "engine_id", "status", "error")
+
+
+@query(
+    """WITH run AS (SELECT doc, engine_id, CASE WHEN count(*) FILTER (status = 'success') = count(*) THEN 'success' WHEN count(*) FILTER (status = 'success') = 0 THEN 'failed' ELSE 'partial' END AS engine_status FROM {engines} GROUP BY ALL)
+    SELECT doc, engine_id, engine_status, CASE WHEN engine_id = 'vision_b' AND engine_status <> 'success' THEN 'start the server' END AS first_remedy FROM run
+    UNION ALL SELECT doc, e, 'skipped', NULL FROM (SELECT DISTINCT doc FROM {engines}), (VALUES ('vision_b'), ('extra')) v(e) WHERE (doc, e) NOT IN (SELECT (doc, engine_id) FROM run)"""
+)
+def engine_remedies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = fixture(spark, sf_dir, "engines").withColumn("error", F.lit(None).cast("string"))
+    status = cascade.engine_status(e, "doc", "engine_id").select("doc", "engine_id", "engine_status")
+    health = [{"engine_id": "vision_b", "remedy": "start the server"}, {"engine_id": "vision_a", "remedy": None}]
+    idle = cascade.skipped(e, e, [cascade.stub_engine("vision_b"), cascade.stub_engine("extra")])
+    return cascade.with_remedy(status, health).unionByName(idle.withColumn("first_remedy", F.lit(None).cast("string")))
+
+
 @query(f"SELECT doc, page_number, needs_text FROM (SELECT r.doc, r.page_number, CAST(word_count AS BIGINT) AS needs_text FROM {_ROUTED} r WHERE page_class = 'needs_ocr' AND page_number % 2 = 1)")
 def unread_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     routes = routing.routed(fixture(spark, sf_dir, "pages"))
@@ -370,19 +443,40 @@ def _page_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuse.first_two(fixture(spark, sf_dir, "engines"), "doc", "page_number").filter("text_a is not null and text_b is not null")
 
 
-@query()
+_PAGE_PAIRS = f"""(SELECT doc, page_number, max(text) FILTER (n = 1) AS text_a, max(text) FILTER (n = 2) AS text_b FROM (SELECT *, row_number() OVER (PARTITION BY doc, page_number ORDER BY engine_ord) AS n FROM {{engines}}
+    WHERE engine_status IN ('success', 'partial') AND NOT ({_blank('text')})) GROUP BY doc, page_number HAVING count(*) > 1)"""
+
+
+def _line_list(c: str) -> str:
+    return rf"list_filter(list_transform(regexp_split_to_array({c}, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85]'), lambda x: trim(regexp_replace(x, '[\s\x1c-\x1f\x85\p{{Z}}]+', ' ', 'g'))), lambda x: x <> '')"
+
+
+#: Readings of a page share all lines, and one may have one more at the end.
+_PAGE_LINES = f"(SELECT *, least(len(a), len(b)) AS shared FROM (SELECT doc, page_number, {_line_list('text_a')} AS a, {_line_list('text_b')} AS b FROM {_PAGE_PAIRS}))"
+
+
+@query(
+    f"""SELECT doc, page_number, CAST(i AS BIGINT) AS row_no, CASE WHEN i < shared THEN 'equal' WHEN len(a) > shared THEN 'only_a' ELSE 'only_b' END AS kind, coalesce(a[i + 1], '') AS text_a, coalesce(b[i + 1], '') AS text_b, CASE WHEN i < shared THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS similarity
+    FROM (SELECT *, unnest(range(greatest(len(a), len(b)))) AS i FROM {_PAGE_LINES})"""
+)
 def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.diff_lines(_page_pairs(spark, sf_dir), "doc", "page_number")
 
 
-@query()
+@query("SELECT doc, line_no, CASE WHEN line_a = line_b THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * length(line_a) / (length(line_a) + length(line_b)) END AS ratio FROM {invoice_lines} WHERE line_b IS NOT NULL")
 def similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = fixture(spark, sf_dir, "invoice_lines").filter("line_b is not null")
     plain = lines.filter("line_a = line_b").select("doc", "line_no", F.lit(1.0).alias("ratio"))
     return plain.unionByName(lines.filter("line_a <> line_b").select("doc", "line_no", align.ratio("line_a", "line_b").alias("ratio")))
 
 
-@query()
+_LENGTH = "list_sum(list_transform({c}, lambda x: length(x)))"
+
+
+@query(
+    f"""SELECT doc, page_number, similarity, round(similarity * 100, 1) AS agreement_percent, CASE WHEN round(similarity * 100, 1) >= 90 THEN 'ok' WHEN round(similarity * 100, 1) >= 70 THEN 'warn' ELSE 'err' END AS badge
+    FROM (SELECT doc, page_number, CASE WHEN shared = 0 THEN 0.0::DOUBLE ELSE CAST(2 * {_LENGTH.format(c='a[:shared]')} AS DOUBLE) / ({_LENGTH.format(c='a')} + {_LENGTH.format(c='b')}) END AS similarity FROM {_PAGE_LINES} WHERE len(a) + len(b) > 0)"""
+)
 def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = compare.summary(compare.diff_lines(_page_pairs(spark, sf_dir), "doc", "page_number"), "doc", "page_number")
     percent = F.round(F.col("similarity") * 100, 1)
@@ -425,6 +519,63 @@ def fuse_line_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuse.line_vote(_invoice_pairs(spark, sf_dir), "doc").withColumn("detail", fuse.merge_detail())
 
 
+def _moved_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = fixture(spark, sf_dir, "moved_lines")
+    joined = lambda at: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at.alias("at"), "line"))), lambda x: x["line"]), "\n")
+    last = F.when(F.col("line_no") == 1, F.col("n_lines") + 1).otherwise(F.col("line_no"))
+    return n.groupBy("doc").agg(joined(F.col("line_no")).alias("text_a"), joined(last).alias("text_b"))
+
+
+@query(
+    """SELECT doc, string_agg(line, chr(10) ORDER BY CASE WHEN n_lines = 2 THEN -line_no ELSE line_no END) AS text, count(*) - CASE WHEN n_lines > 1 THEN 1 ELSE 0 END AS agreed, CAST(0 AS BIGINT) AS reconciled, CAST(CASE WHEN n_lines > 1 THEN 1 ELSE 0 END AS BIGINT) AS kept_single, CAST(CASE WHEN n_lines > 1 THEN 1 ELSE 0 END AS BIGINT) AS repositioned,
+        (count(*) - CASE WHEN n_lines > 1 THEN 1 ELSE 0 END) || ' lines agreed, 0 reconciled, ' || CASE WHEN n_lines > 1 THEN '1 kept from a single engine. 1 line both engines placed differently were merged rather than repeated.' ELSE '0 kept from a single engine.' END AS detail FROM {moved_lines} GROUP BY doc, n_lines"""
+)
+def fuse_moved_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuse.line_vote(_moved_pairs(spark, sf_dir), "doc").withColumn("detail", fuse.merge_detail())
+
+
+@query(
+    """SELECT doc, line_no, 'changed' AS kind, line_a AS text_a, line_b AS text_b, CAST(2 * length(line_a) AS DOUBLE) / (length(line_a) + length(line_b)) AS similarity FROM {statements} WHERE line_b <> '?'
+    UNION ALL SELECT doc, line_no, 'only_a', line_a, '', 0 FROM {statements} WHERE line_b = '?' UNION ALL SELECT doc, line_no, 'only_b', '', '?', 0 FROM {statements} WHERE line_b = '?'"""
+)
+def positional_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks above the cell limit pair lines by place."""
+    n = fixture(spark, sf_dir, "statements")
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", c))), lambda x: x[c]), "\n")
+    rows = compare.diff_lines(n.groupBy("doc").agg(joined("line_a").alias("text_a"), joined("line_b").alias("text_b")), "doc")
+    # rows of a pair that is too unlike are two, so a row's line is how many rows with a left text come before it
+    from pyspark.sql import Window
+
+    before = F.count_if(F.col("kind") != "only_b").over(Window.partitionBy("doc").orderBy("row_no"))
+    return rows.withColumn("line_no", before - 1).select("doc", "line_no", "kind", "text_a", "text_b", "similarity")
+
+
+@query(
+    f"""SELECT doc, length(string_agg(line_a, chr(10) ORDER BY line_no)) AS characters_a, length(string_agg(line_b, chr(10) ORDER BY line_no)) AS characters_b, CAST(sum(len({_tokens('line_a')})) AS BIGINT) AS words_a, CAST(sum(len({_tokens('line_b')})) AS BIGINT) AS words_b, count(*) AS total_lines
+    FROM {{invoice_lines}} GROUP BY doc"""
+)
+def comparison_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = compare.counters(_invoice_pairs(spark, sf_dir), "doc")
+    return df.select("doc", "characters_a", "characters_b", "words_a", "words_b", "total_lines")
+
+
+@query(
+    f"""SELECT doc, line_no - 1 AS row_no, CASE WHEN line_b IS NULL THEN 'only-a' WHEN norm_b = line_a THEN '' WHEN {_NUM.format(c='line_a')} <> {_NUM.format(c='norm_b')} THEN 'numeric' ELSE 'changed' END AS style, total FROM (SELECT *, count(*) OVER (PARTITION BY doc) AS total FROM {_INVOICE}) WHERE line_no <= 6"""
+)
+def diff_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = compare.diff_lines(_invoice_pairs(spark, sf_dir), "doc")
+    return panels.diff_view(rows, compare.conflicts(rows), "doc", limit=6).select("doc", "row_no", "style", "total")
+
+
+@query(
+    f"""SELECT doc, line_no - 1 AS row_no FROM (SELECT *, count(*) FILTER (line_b IS NULL OR norm_b <> line_a) OVER (PARTITION BY doc) AS differing, count(*) FILTER (norm_b <> line_a AND {_NUM.format(c='line_a')} <> {_NUM.format(c='norm_b')}) OVER (PARTITION BY doc) AS numeric FROM {_INVOICE})
+    WHERE norm_b <> line_a AND {_NUM.format(c='line_a')} <> {_NUM.format(c='norm_b')} AND differing > numeric"""
+)
+def shown_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = compare.diff_lines(_invoice_pairs(spark, sf_dir), "doc")
+    return panels.shown_conflicts(rows, compare.conflicts(rows), "doc").select("doc", "row_no")
+
+
 _WORDS = "regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}_][\\p{{L}}\\p{{N}}_,.\\-/]*')"
 _FUSED = "(SELECT doc_id, reference AS text_a, hypothesis AS text_b, CASE doc_id % 5 WHEN 0 THEN hypothesis WHEN 1 THEN 'a summary of what this document says' WHEN 2 THEN substr(reference, 1, 60) WHEN 3 THEN '' ELSE lower(reference) END AS fused FROM {truth})"
 
@@ -450,7 +601,11 @@ def fuse_pagewise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuse.pagewise(fixture(spark, sf_dir, "engines"), "prefer_longest").select("doc", F.sha2("text", 256).alias("text_sha"), "pages", "contested")
 
 
-@query()
+_VOTED = f"""(SELECT doc, page_number, array_to_string(CASE WHEN len(a) > len(b) THEN a ELSE b END, chr(10)) AS text, 2 AS readings FROM {_PAGE_LINES}
+    UNION ALL SELECT doc, page_number, text, 1 FROM (SELECT *, count(*) OVER (PARTITION BY doc, page_number) AS n FROM {{engines}} WHERE engine_status IN ('success', 'partial') AND status = 'success' AND NOT ({_blank('text')})) WHERE n = 1)"""
+
+
+@query(f"SELECT doc, sha256({_strip('joined')}) AS text_sha, pages, contested FROM (SELECT doc, string_agg(text, chr(10) || chr(10) ORDER BY page_number) AS joined, count(*) AS pages, count(*) FILTER (readings > 1) AS contested FROM {_VOTED} GROUP BY doc)")
 def fuse_pagewise_line_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuse.pagewise(fixture(spark, sf_dir, "engines"), "line_vote").select("doc", F.sha2("text", 256).alias("text_sha"), "pages", "contested")
 
@@ -498,6 +653,22 @@ def error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accuracy.error_rates(fixture(spark, sf_dir, "truth"), "doc_id")
 
 
+_HALF = "CAST(floor(len(r) / 2) AS INTEGER)"
+
+
+@query(
+    f"""SELECT doc_id, CASE WHEN len(r) = 0 THEN CASE WHEN doc_id % 4 = 1 THEN 1 ELSE 0 END WHEN doc_id % 4 IN (0, 1) THEN 0 WHEN doc_id % 4 = 2 THEN 1 - CAST({_HALF} AS DOUBLE) / len(r) ELSE 1 END AS wer,
+        CASE WHEN length(array_to_string(r, ' ')) + CASE WHEN doc_id % 4 = 1 THEN 16 ELSE 0 END > 20000 THEN NULL WHEN len(r) = 0 THEN CASE WHEN doc_id % 4 = 1 THEN 1 ELSE 0 END WHEN doc_id % 4 IN (0, 1) THEN 0 WHEN doc_id % 4 = 2 THEN 1 - CAST(length(array_to_string(r[:{_HALF}], ' ')) AS DOUBLE) / length(array_to_string(r, ' ')) ELSE 1 END AS cer
+    FROM (SELECT doc_id, {_fold('text')} AS r FROM documents)"""
+)
+def error_rates_constructed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings that are equal, longer, cut in half or empty, whose rates are known."""
+    words = F.split("folded", " ")
+    df = fixture(spark, sf_dir, "documents").select("doc_id", F.array_join(T.fold("text"), " ").alias("folded"))
+    read = F.when(F.col("doc_id") % 4 == 0, F.col("folded")).when(F.col("doc_id") % 4 == 1, F.concat("folded", F.lit(" zzzzqqqq zzzqqqq"))).when(F.col("doc_id") % 4 == 2, F.array_join(F.slice(words, F.lit(1), F.floor(F.size(words) / 2).cast("int")), " ")).otherwise("")
+    return accuracy.error_rates(df.select("doc_id", F.col("folded").alias("reference"), read.alias("hypothesis")), "doc_id")
+
+
 _RANKED = f"(SELECT *, count(*) FILTER (good) OVER (PARTITION BY doc ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT *, usable AND word_count >= 60 AS good FROM {_assess('{pages}')}))"
 
 
@@ -583,6 +754,38 @@ def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.run_metrics(e, docs, fused).drop("final_characters", "final_words")
 
 
+@query(
+    """SELECT doc, unnest(['Total time', 'Pages processed', 'Average per page', 'OCR engines', 'Total tokens', 'Input tokens', 'Output tokens', 'Characters', 'Words']) AS label,
+        unnest([CASE WHEN pages * 2 < 60 THEN printf('%.2f', pages * 2.0) || 's' ELSE CAST(floor(pages * 2 / 60) AS BIGINT) || 'm ' || (pages * 2 % 60) || 's' END, format('{:,}', pages), '2.00s', ran || ' of ' || ran || ' succeeded',
+            CASE WHEN i IS NULL AND o IS NULL THEN 'N/A' ELSE format('{:,}', coalesce(i, 0) + coalesce(o, 0)) END, coalesce(format('{:,}', i), 'N/A'), coalesce(format('{:,}', o), 'N/A'), format('{:,}', pages * 5 - 1), format('{:,}', pages)]) AS value
+    FROM (SELECT doc, CAST(count(*) AS BIGINT) AS pages, count(DISTINCT engine_id) AS ran, CAST(sum(input_tokens) AS BIGINT) AS i, CAST(sum(output_tokens) AS BIGINT) AS o FROM {timings} GROUP BY doc)"""
+)
+def total_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = reports.token_totals(fixture(spark, sf_dir, "timings"), "doc", "engine_id").withColumn("engine_status", F.lit("success"))
+    docs = e.groupBy("doc").agg(F.sum("pages").alias("pages"), (F.sum("pages") * 2.0).alias("seconds"))
+    fused = docs.select("doc", F.expr("trim(repeat('word ', cast(pages as int)))").alias("text"))
+    runs = reports.run_metrics(e, docs, fused).withColumn("agreement_percent", F.lit(None).cast("double"))
+    return reports.total_metrics(runs).select("doc", "label", "value")
+
+
+@query("SELECT doc, engine_id, page_number, seconds, input_tokens, output_tokens, CASE WHEN output_tokens > 0 AND seconds > 0 THEN output_tokens / seconds END AS tokens_per_second FROM {timings}")
+def page_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.page_timings(fixture(spark, sf_dir, "timings").withColumn("status", F.lit("success"))).drop("status")
+
+
+@query(
+    f"""SELECT d.doc, CASE WHEN d.broken THEN 'could not be loaded: damaged' END AS error, CASE WHEN d.broken THEN 0 ELSE s.pages END AS pages, CASE WHEN d.broken THEN 0 ELSE s.needs_ocr END AS pages_needing_ocr, CASE WHEN d.broken THEN 0 ELSE s.pages_avoided END AS pages_avoided, CASE WHEN d.broken THEN 0::DOUBLE ELSE s.needs_ocr * 1.5::DOUBLE END AS seconds, CASE WHEN d.broken THEN 0 ELSE s.pages END AS final_words
+    FROM (SELECT DISTINCT doc, length(doc) % 3 = 0 AS broken FROM {{pages}}) d JOIN {_SUMMARY} s USING (doc)"""
+)
+def document_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = fixture(spark, sf_dir, "pages")
+    docs = pages.select("doc").distinct().withColumn("load_error", F.when(F.length("doc") % 3 == 0, "damaged"))
+    routes = routing.routed(pages.filter("length(doc) % 3 <> 0")).select("doc", "page_number", "page_class")
+    results = routes.filter("page_class = 'needs_ocr'").withColumn("seconds", F.lit(1.5))
+    fused = routes.groupBy("doc").agg(F.expr("trim(repeat('word ', cast(count(*) as int)))").alias("text"))
+    return reports.document_benchmark(docs, routes, results, fused)
+
+
 @query("SELECT * FROM (VALUES ('fast', 96, 1600, 2048, false), ('balanced', 120, 2048, 3072, true), ('accurate', 150, 2048, 4096, true)) AS p(profile, render_dpi, max_dimension, max_tokens, fallback_enabled)")
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, p["render_dpi"], p["max_dimension"], p["max_tokens"], p["fallback_enabled"]) for n, p in PROFILES.items()], "profile string, render_dpi int, max_dimension int, max_tokens int, fallback_enabled boolean")
@@ -596,15 +799,18 @@ _CACHE = f"""(SELECT DISTINCT ON (key) * FROM (SELECT {_KEY.format(c='text')} AS
 _LOOKED = f"(SELECT d.doc_id, d.source, {_KEY.format(c='text')} AS key, c.key IS NOT NULL AS hit, c.cached_text, c.saved FROM documents d LEFT JOIN {_CACHE} c ON c.key = {_KEY.format(c='d.text')})"
 
 
-def _cached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = fixture(spark, sf_dir, "documents")
-    key = cache.page_key(F.col("text"), "vision_a", "m", _OPTIONS)
-    entries = docs.filter("doc_id % 3 = 0").select(
-        key.alias("key"), F.lit(cache.FORMAT).alias("format"), F.lit("vision_a").alias("provider_id"), F.lit("m").alias("model"), F.concat(F.lit("cached "), F.col("doc_id").cast("string")).alias("text"),
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture(spark, sf_dir, "documents").filter("doc_id % 3 = 0").select(
+        cache.page_key(F.col("text"), "vision_a", "m", _OPTIONS).alias("key"), F.lit(cache.FORMAT).alias("format"), F.lit("vision_a").alias("provider_id"), F.lit("m").alias("model"), F.concat(F.lit("cached "), F.col("doc_id").cast("string")).alias("text"),
         F.lit(None).cast("bigint").alias("input_tokens"), F.lit(None).cast("bigint").alias("output_tokens"), (F.col("doc_id") % 50).cast("double").alias("seconds"), F.col("doc_id").cast("double").alias("created_at"),
     )
+
+
+def _cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = _entries(spark, sf_dir)
     old = entries.withColumn("format", F.lit(0)).withColumn("created_at", F.col("created_at") + 1e9)
-    pages = docs.select(F.col("source").alias("doc"), F.col("doc_id").alias("page_number"), key.alias("key"))
+    key = cache.page_key(F.col("text"), "vision_a", "m", _OPTIONS)
+    pages = fixture(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page_number"), key.alias("key"))
     return cache.lookup(pages, entries.unionByName(old))
 
 
@@ -625,6 +831,15 @@ def cache_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.merged(looked, fresh)
 
 
+@query(f"SELECT source AS doc, doc_id AS page_number, CASE WHEN hit THEN cached_text ELSE 'read ' || doc_id END AS text, 'success' AS status, CASE WHEN hit THEN 0.0::DOUBLE ELSE 2.5::DOUBLE END AS seconds, (SELECT count(DISTINCT key) FROM {_LOOKED}) AS entries FROM {_LOOKED}")
+def cache_read_through(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An engine behind the cache reads only the pages that miss; each new key is kept once."""
+    pages = fixture(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page_number"), F.col("text").alias("image"))
+    engine = cascade.Engine("vision_a", "A", lambda page: {"text": f"read {page['page_number']}", "seconds": 2.5}, model="m", options=_OPTIONS)
+    results, after, _ = cache.read_cached(pages, _entries(spark, sf_dir), engine, 1, now=9e9)
+    return results.select("doc", "page_number", "text", "status", "seconds").crossJoin(after.agg(F.count_distinct("key").alias("entries")))
+
+
 # --- batch ----------------------------------------------------------------------------------------------
 
 _KNOWN = "(SELECT source, arg_max(state, job) AS state, arg_max(pages, job) AS pages, arg_max(seconds, job) AS seconds FROM {jobs} GROUP BY source)"
@@ -700,6 +915,24 @@ def export_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.select("key", export.xml_tag("key").alias("tag"), export.singular("key").alias("entry"), export.cell("key").alias("cell"))
 
 
+@query(
+    f"""SELECT doc, trim(doc || '.pdf' || chr(10) || 'Engines: A, B' || chr(10) || 'Processing time: 2.50s' || chr(10) || 'Characters: ' || length(doc) || chr(10) || 'Words: 1' || chr(10) || repeat('-', 60) || chr(10) || chr(10)
+        || CASE WHEN count(*) > 1 THEN {_strip("string_agg('--- Page ' || page_number || ' ---' || chr(10) || text || chr(10), chr(10) ORDER BY page_number)")} ELSE doc END) || chr(10) AS content FROM {{engines}} WHERE engine_id = 'text_layer' GROUP BY doc"""
+)
+def export_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = fixture(spark, sf_dir, "engines").filter("engine_id = 'text_layer'").select("doc", "page_number", "text")
+    docs = pages.select("doc").distinct().select("doc", F.concat("doc", F.lit(".pdf")).alias("filename"), F.lit("A, B").alias("engines"), F.lit(2.5).alias("seconds"))
+    return export.as_text(docs, docs.select("doc", F.col("doc").alias("text")), pages=pages)
+
+
+@query("SELECT doc, engine_id, page_number AS page, status, CAST(length(text) AS BIGINT) AS character_count FROM {engines}")
+def export_json_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of the JSON records, read back."""
+    shape = "struct<engines:array<struct<engine_id:string,pages:array<struct<page:bigint,status:string,character_count:bigint>>>>>"
+    df = export_json(spark, sf_dir).select("doc", F.explode(F.from_json("json", shape)["engines"]).alias("e")).select("doc", "e.engine_id", F.explode("e.pages").alias("p"))
+    return df.select("doc", "engine_id", "p.page", "p.status", "p.character_count")
+
+
 @query()
 def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = fixture(spark, sf_dir, "engines")

@@ -67,6 +67,20 @@ SELECT doc, line_no, 'row ' || CAST(line_no AS VARCHAR(20)) || ' | part number '
 FROM n
 """
 
+#: Invoices of which reading B has the first line at the end.
+MOVED_LINES = """
+SELECT l_orderkey AS doc, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS BIGINT) AS line_no,
+       count(*) OVER (PARTITION BY l_orderkey) AS n_lines, 'part ' || CAST(l_partkey AS VARCHAR(20)) || ' of supplier ' || CAST(l_suppkey AS VARCHAR(20)) || ' on line ' || CAST(l_linenumber AS VARCHAR(20)) || ' for ' || CAST(CAST(l_extendedprice AS DECIMAL(15, 2)) AS VARCHAR(20)) AS line
+FROM lineitem
+"""
+
+#: Long statements of up to 150 lines, every one changed in reading B: blocks that are paired by place.
+STATEMENTS = """
+SELECT CAST(floor((n - 1) / 150) AS BIGINT) AS doc, CAST((n - 1) % 150 AS BIGINT) AS line_no, 'order ' || CAST(o_orderkey AS VARCHAR(20)) || ' of customer ' || CAST(o_custkey AS VARCHAR(20)) AS line_a,
+       CASE WHEN n % 10 = 0 THEN '?' ELSE 'order ' || CAST(o_orderkey AS VARCHAR(20)) || ' of customer ' || CAST(o_custkey AS VARCHAR(20)) || ' #' END AS line_b
+FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS n FROM (SELECT * FROM orders WHERE o_orderstatus = 'P'))
+"""
+
 #: Ground truth and a reading of it that loses words and figures.
 TRUTH = """
 SELECT doc_id, source, text AS reference,
@@ -104,7 +118,7 @@ SELECT 'scans/' || CAST(o_custkey % 40 AS VARCHAR(20)) || '/file' || CAST(o_orde
 FROM orders
 """
 
-FIXTURES = {"pages": PAGES, "results": RESULTS, "engines": ENGINES, "invoice_lines": INVOICE_LINES, "truth": TRUTH, "raw": RAW, "timings": TIMINGS, "jobs": JOBS}
+FIXTURES = {"pages": PAGES, "results": RESULTS, "engines": ENGINES, "invoice_lines": INVOICE_LINES, "moved_lines": MOVED_LINES, "statements": STATEMENTS, "truth": TRUTH, "raw": RAW, "timings": TIMINGS, "jobs": JOBS}
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
