@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import uuid
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.session import ship
+from quire.shared import forget, shared_dir, work_dir, written
+
+__all__ = ["forget", "shared_dir", "work_dir", "written"]
 
 #: White space of the word rule ``[^\x20\x09-\x0D]+``: space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,26 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here if unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = found.get() if found.isDefined() else None
-    if not found:
-        import tempfile
-
-        found = "file://" + tempfile.mkdtemp(prefix="quire-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as a Parquet table in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quire/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def fresh_name(df: DataFrame, wanted: str) -> str:
+    """A column name close to ``wanted`` that ``df`` doesn't have, in any case of letters."""
+    held = {c.lower() for c in df.columns}
+    name = f"__{wanted}"
+    while name.lower() in held:
+        name = "_" + name
+    return name
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -62,7 +51,7 @@ def worker_state(tag: str, make):
     return _state[tag]
 
 
-def slices(texts, rows: int, size: int = 2 << 20):
+def slices(texts, rows: int, size: int = 1 << 20):
     """(begin, length) of consecutive parts of an Arrow column of texts: up to ``rows`` texts and about ``size`` bytes each, one text at least."""
     lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     ends = lengths.cumsum()
@@ -100,5 +89,5 @@ def discard(df: DataFrame) -> None:
     jvm, paths = spark.sparkContext._jvm, {f.rsplit("/", 1)[0] for f in df.inputFiles()}
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
-        if "/quire/" in path:
+        if f"/quire-{spark.sparkContext.applicationId}/" in path:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
