@@ -4,8 +4,9 @@
 2. Encode the most frequent ones exactly (merges in rank order) and compile them, in byte order,
    into a minimal acyclic transducer: equal suffixes share states, ids sit on the arcs as early as
    they are certain. Its size is bounded by ``lexicon_size``.
-3. Ship its bytes to the executors, which map them into memory and walk them; a piece that the
-   automaton doesn't hold is merged exactly by the same rule.
+3. Ship it to the executors as a file, once a machine, which their workers map into memory and
+   walk; a piece that the automaton doesn't hold is merged exactly by the same rule.
+4. Decode from the ids.
 
 The encoder follows vocabularies of the kind "NFC, white space to one space, lower case; cut by
 pattern; byte-level BPE with a suffix at word ends".
@@ -17,6 +18,7 @@ import heapq
 import itertools
 import json
 import mmap
+import os
 import re
 import struct
 import tempfile
@@ -29,24 +31,23 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import slices, tidy, worker_state, written
+from quire.llm.common import fresh_name, slices, tidy, worker_state, written
+from quire.llm.words import Words, WordTable, ragged
 
 #: Frequent pieces that the automaton holds at most.
 LEXICON_SIZE = 1 << 17
 #: Pieces longer than this many bytes are not put into the automaton.
 LEXICON_BYTES = 64
 #: Texts, and bytes of them, whose words are looked up at once.
-SLICE, SLICE_BYTES = 4096, 2 << 20
-#: Distinct pieces that a counting task holds before it passes its counts on.
-FLUSH = 150_000
-
-_SPACES = regex.compile(r"\p{White_Space}+")
-#: Characters beyond ASCII's six that some rule takes for white space.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
-
+SLICE, SLICE_BYTES = 4096, 1 << 20
+#: Distinct chunks that a counting task holds before it passes its counts on, and that an encoder keeps.
+FLUSH, MEMO = 300_000, 700_000
+#: Symbols of a piece up to which pieces are merged many at once.
+MANY = 64
 
 def byte_letters() -> list[str]:
     """The printable letter that byte-level vocabularies write for each byte."""
@@ -74,8 +75,10 @@ class Merges:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.texts = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
         self.letters = byte_letters()
+        self._tables = None
         cut = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(cut["pattern"]["Regex"].replace(r"[^\s", r"[^\p{White_Space}"))
+        self.lines = regex.compile(self.pieces.pattern + r"|\n")
         self.specials = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
 
     def segments(self, text: str) -> Iterator[tuple[bool, str]]:
@@ -94,28 +97,28 @@ class Merges:
         s = segment if segment.isascii() else unicodedata.normalize("NFC", segment).replace("Σ", "σ")
         return s.lower()
 
-    def chunks(self, segment: str) -> list[str]:
-        """The normalised segment cut at white space; no piece crosses these cuts."""
-        s = self.normal(segment)
-        return s.split() if not _ODD.search(s) else [c for c in _SPACES.split(s) if c]
-
-    def split(self, texts: list[str | None]) -> tuple[pa.Array, np.ndarray, dict[int, str]]:
-        """(chunks of all texts one after the other, where each text's begin and end, texts that need care).
+    def cut(self, lines: str) -> tuple[list[str | int], list[int]]:
+        """(pieces of all lines, and the ids of added tokens; how many of each line), for lines without other ASCII white space.
 
-        Texts with added tokens or with white space that not all split alike are left out of the
-        first two and come back in the third.
+        Composition, lower case and the pattern never look across ASCII white space, so a text's
+        pieces are those of its chunks between it.
         """
-        plain, apart = [], {}
-        for i, t in enumerate(texts):
-            s = self.normal(t).strip(" \t\n\r\x0b\x0c") if t else ""
-            if s and ("<|" in t or _ODD.search(s)):
-                apart[i], s = t, ""
-            plain.append(s)
-        lists = pc.utf8_split_whitespace(pa.array(plain, pa.string()))
-        full = np.array([len(s) > 0 for s in plain], bool)
-        lists = pc.if_else(pa.array(full, pa.bool_()), lists, pa.scalar([], lists.type)) if not full.all() else lists
-        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        return lists.flatten(), np.concatenate([[0], np.cumsum(sizes)]), apart
+        found: list[str | int] = self.lines.findall(self.normal(lines))
+        ends = [i for i, p in enumerate(found) if p == "\n"]
+        counts = [b - a - 1 for a, b in zip([-1, *ends], ends, strict=False)]
+        found = [p for p in found if p != "\n"]
+        if "<|" in lines and self.specials is not None:
+            at, out = 0, []
+            for i, (line, n) in enumerate(zip(lines.split("\n"), counts, strict=False)):
+                part, at = found[at : at + n], at + n
+                if "<|" in line:
+                    part = []
+                    for special, s in self.segments(line):
+                        part += [self.added[s]] if special else self.pieces.findall(self.normal(s))
+                    counts[i] = len(part)
+                out += part
+            found = out
+        return found, counts
 
     def merge(self, piece: str) -> list[int]:
         """Ids of one piece: letters joined pair by pair, lowest rank first, leftmost first."""
@@ -126,6 +129,95 @@ class Merges:
         ids = [self.vocab[s] for s in symbols if s in self.vocab]
         return self._merge_short(ids) if len(ids) <= 64 else self._merge_long(ids)
 
+    def merge_many(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, one piece after the other; how many each has): ``merge`` for many at once.
+
+        In each round every piece that has a pair of known rank joins its pair of lowest rank, the
+        leftmost of equal ones.
+        """
+        if self._tables is None:
+            self._tables = self._pair_tables()
+        inner, last, keys, ranks, becomes = self._tables
+        counts = np.array([len(p) for p in pieces], np.int64)
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        ends = np.cumsum(counts)
+        ids = inner[data]
+        ids[ends[counts > 0] - 1] = last[data[ends[counts > 0] - 1]]
+        slow = [i for i, p in enumerate(pieces) if len(p) > MANY]
+        if (ids < 0).any():  # a vocabulary that doesn't hold every byte
+            slow = range(len(pieces))
+        out: list[np.ndarray | None] = [None] * len(pieces)
+        for i in slow:
+            out[i] = np.array(self.merge(pieces[i].decode("utf-8")), np.int64)
+        own = np.repeat(np.arange(len(pieces)), counts)
+        if slow:
+            live = np.ones(len(pieces), bool)
+            live[slow] = False
+            ids, own = ids[live[own]], own[live[own]]
+        none = len(self.becomes)
+
+        def rank(a: np.ndarray, b: np.ndarray, same: np.ndarray) -> np.ndarray:
+            key = a << 32 | b
+            at = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - len(keys).bit_length() + 1)).astype(np.int64)
+            found = np.full(len(key), none)
+            ask = np.flatnonzero(same)
+            at = at[ask]
+            while len(ask):
+                there = keys[at]
+                hit = there == key[ask]
+                found[ask[hit]] = ranks[at[hit]]
+                on = ~hit & (there >= 0)
+                ask, at = ask[on], (at[on] + 1) & (len(keys) - 1)
+            return found
+
+        done_ids, done_own = [], []
+        pair = rank(ids, np.append(ids[1:], 0), np.append(own[1:] == own[:-1], False)) if len(ids) else ids
+        while len(ids):
+            heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            least = np.minimum.reduceat(pair, heads)
+            sizes = np.diff(np.append(heads, len(ids)))
+            each = np.repeat(least, sizes)
+            ready = each == none
+            if ready.any():  # pieces without a known pair are done
+                done_ids.append(ids[ready])
+                done_own.append(own[ready])
+                keep = ~ready
+                ids, own, pair, each = ids[keep], own[keep], pair[keep], each[keep]
+                if not len(ids):
+                    break
+            at = np.flatnonzero(pair == each)
+            at = at[np.concatenate([[True], own[at[1:]] != own[at[:-1]]])]
+            ids[at] = becomes[pair[at]]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            at = at - np.arange(len(at))  # one id to the left of each is gone
+            ids, own, pair = ids[keep], own[keep], pair[keep]
+            for x in (at, at[at > 0] - 1):
+                right = np.minimum(x + 1, len(ids) - 1)
+                pair[x] = rank(ids[x], ids[right], (own[x] == own[right]) & (right > x))
+        for i in slow:
+            done_ids.append(out[i])
+            done_own.append(np.full(len(out[i]), i))
+        if not done_ids:
+            return np.zeros(0, np.int64), counts
+        ids, own = np.concatenate(done_ids), np.concatenate(done_own)
+        order = np.argsort(own, kind="stable")
+        return ids[order], np.bincount(own, minlength=len(pieces))
+
+    def _pair_tables(self) -> tuple[np.ndarray, ...]:
+        """(id of each byte inside a piece, and at its end; hashed pairs and their ranks; what a rank's pair becomes)."""
+        inner = np.array([self.vocab.get(c, -1) for c in self.letters], np.int64)
+        last = np.array([self.vocab.get(c + self.suffix, -1) for c in self.letters], np.int64)
+        bits = max(4, (4 * len(self.rank)).bit_length())
+        keys, ranks = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+        pairs = np.array(list(self.rank), np.int64)
+        slots = ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+        for k, at, r in zip(pairs.tolist(), slots.tolist(), self.rank.values(), strict=True):
+            while keys[at] >= 0:
+                at = (at + 1) & (1 << bits) - 1
+            keys[at], ranks[at] = k, r
+        return inner, last, keys, ranks, np.array(self.becomes, np.int64)
+
     def _merge_short(self, ids: list[int]) -> list[int]:
         """Merge in place: the smallest of all pair ranks, found anew after each merge."""
         get, none = self.rank.get, len(self.becomes)
@@ -264,13 +356,11 @@ NO_END = 0xFFFFFFFF
 
 
 class Lexicon:
-    """A serialised automaton, mapped into memory from an unnamed file of this process."""
+    """A serialised automaton in a file, mapped into memory: all workers of a machine share its pages."""
 
-    def __init__(self, data: bytes):
-        with tempfile.TemporaryFile() as f:
-            f.write(data)
-            f.flush()
-            self._map = mmap.mmap(f.fileno(), len(data), access=mmap.ACCESS_READ)
+    def __init__(self, path: str):
+        with open(path, "rb") as f:
+            self._map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         self._root, *sizes = struct.unpack_from("<6I", self._map)
         at, parts = 24, []
         for n in sizes:
@@ -278,49 +368,47 @@ class Lexicon:
             at += 4 * n
         self._ends, self._keys, self._targets, self._outs, self._pool = parts
 
-    def walk(self, words: list[bytes]) -> list[list[int] | None]:
-        """For every word the places in the pool of the outputs along its path, or None if it isn't held.
+    def walk(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(whether each word is held, ids of those that are, one word after the other, how many each word has).
 
         All words take a step at a time, so a step is a few array operations for all of them.
         """
-        if not words or not len(self._keys):
-            return [([] if not w and len(self._ends) and self._ends[self._root] != NO_END else None) for w in words]
-        lengths = np.array([len(w) for w in words])
+        lengths = np.array([len(w) for w in words], np.int64)
         starts, data = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(words), np.uint8)
-        state, found = np.full(len(words), self._root, np.int64), np.zeros((len(words), int(lengths.max(initial=0)) + 1), np.uint32)
-        live = np.arange(len(words))
-        ended = [live[:0]]
-        for i in range(found.shape[1]):
-            ended.append(live[lengths[live] == i])
+        state, places = np.full(len(words), self._root, np.int64), np.zeros((len(words), int(lengths.max(initial=0)) + 1), np.int64)
+        held, live = np.zeros(len(words), bool), np.arange(len(words))
+        for i in range(places.shape[1]):
+            ended = live[lengths[live] == i]
+            last = self._ends[state[ended]]
+            held[ended] = last != NO_END
+            places[ended[last != NO_END], i] = last[last != NO_END]
             live = live[lengths[live] > i]
-            if not len(live):
+            if not len(live) or not len(self._keys):
                 break
             key = state[live] << 8 | data[starts[live] + i]
             arc = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
-            held = self._keys[arc] == key
-            live, arc = live[held], arc[held]
-            state[live], found[live, i] = self._targets[arc], self._outs[arc]
-        done = np.concatenate(ended)
-        last = self._ends[state[done]]
-        done, last = done[last != NO_END], last[last != NO_END]
-        found[done, -1] = last
-        out: list[list[int] | None] = [None] * len(words)
-        for w in done.tolist():
-            out[w] = []
-        keep = np.zeros(len(words), bool)
-        keep[done] = True
-        rows, columns = np.nonzero(found)
-        for w, place in zip(rows[keep[rows]].tolist(), found[rows, columns][keep[rows]].tolist(), strict=True):
-            out[w].append(place)
-        return out
-
-    def output(self, place: int) -> list[int]:
-        return self._pool[place + 1 : place + 1 + int(self._pool[place])].tolist()
+            there = self._keys[arc] == key
+            live, arc = live[there], arc[there]
+            state[live], places[live, i] = self._targets[arc], self._outs[arc]
+        places[~held] = 0
+        sizes = self._pool[places].astype(np.int64)  # place 0 holds no ids
+        ids = self._pool[ragged((places + 1).ravel(), sizes.ravel())].astype(np.int64)
+        return held, ids, sizes.sum(axis=1)
 
     def get(self, word: bytes) -> list[int] | None:
         """The ids of ``word``, or None if the automaton doesn't hold it."""
-        places = self.walk([word])[0]
-        return None if places is None else [i for p in places for i in self.output(p)]
+        held, ids, _ = self.walk([word])
+        return ids.tolist() if held[0] else None
+
+
+def ship_lexicon(spark: SparkSession, data: bytes) -> str:
+    """Send a serialised automaton to every machine of the session; the name under which ``SparkFiles`` finds it."""
+    name = f"quire-lexicon-{uuid.uuid4().hex}"
+    path = os.path.join(tempfile.mkdtemp(prefix="quire-"), name)
+    with open(path, "wb") as f:
+        f.write(data)
+    spark.sparkContext.addFile(path)  # the driver serves it to executors that start later, too
+    return name
 
 
 # --- over tables --------------------------------------------------------------------------------
@@ -330,33 +418,30 @@ def piece_counts(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFra
     """``piece``, ``n``: how often each piece occurs in all texts (summed in tasks first)."""
 
     def run(batches):
-        rule, chunks = Merges(tokenizer), Counter()
+        rule, chunks = Merges(tokenizer), WordTable(FLUSH)
+        counts, lines = np.zeros(0, np.int64), []
 
         def out():
             pieces = Counter()
-            for c, n in chunks.items():
-                if c.isalpha():
-                    pieces[c] += n
-                else:
-                    for p in rule.pieces.findall(c):
-                        pieces[p] += n
-            chunks.clear()
-            for p in [p for p in pieces if len(p) > LEXICON_BYTES // 4 and len(p.encode()) > LEXICON_BYTES]:
+            found, sizes = rule.cut(b"".join(lines).decode("utf-8"))
+            for p, n in zip(found, np.repeat(counts, sizes).tolist(), strict=True):
+                pieces[p] += n
+            for p in [p for p in pieces if isinstance(p, int) or len(p) > LEXICON_BYTES // 4 and len(p.encode()) > LEXICON_BYTES]:
                 del pieces[p]
             return pa.RecordBatch.from_pydict({"piece": pa.array(pieces.keys(), pa.string()), "n": pa.array(pieces.values(), pa.int64())})
 
         for batch in batches:
             for lo, rows in slices(batch.column(0), SLICE, SLICE_BYTES):
-                words, _, apart = rule.split(batch.column(0).slice(lo, rows).to_pylist())
-                seen = words.value_counts()
-                for c, n in zip(seen.field(0).to_pylist(), seen.field(1).to_pylist(), strict=True):
-                    chunks[c] += n
-                for t in apart.values():
-                    for special, s in rule.segments(t):
-                        if not special:
-                            chunks.update(rule.chunks(s))
-                if len(chunks) >= FLUSH:
+                words = Words(batch.column(0).slice(lo, rows))
+                at, new = chunks.rows(words)
+                lines.append(words.lines(new))
+                seen = np.bincount(at, minlength=chunks.size)
+                seen[: len(counts)] += counts
+                counts = seen
+                if chunks.full():
                     yield out()
+                    chunks.clear()
+                    counts, lines = np.zeros(0, np.int64), []
             tidy()
         yield out()
 
@@ -383,124 +468,126 @@ def build_lexicon(docs: DataFrame, tokenizer: str, text: str = "text", size: int
     return compile_lexicon((p.encode("utf-8"), rule.merge(p)) for (p,) in top)
 
 
-class Encoder:
-    """Encodes and decodes texts with the automaton first and exact merges for the rest."""
+class Decoder:
+    """Texts of ids, as a vocabulary without a decoder gives them: joined by single spaces; ids without a text give nothing."""
 
-    def __init__(self, tokenizer: str, lexicon: bytes, memo: int = 150_000):
-        self.rule, self.lexicon, self.limit = Merges(tokenizer), Lexicon(lexicon), memo
-        self._memo: dict[str, tuple[str, str, int]] = {}
-        self._older: dict[str, tuple[str, str, int]] = {}
-        self._outputs: dict[int, tuple[str, str, int]] = {}
+    def __init__(self, rule: Merges):
+        top = max(rule.texts, default=-1) + 1
+        self._texts = pa.array([rule.texts.get(i) for i in range(top)], pa.string())
+        self._known = np.array([i in rule.texts for i in range(top)], bool)
 
-    def _entry(self, ids: list[int]) -> tuple[str, str, int]:
-        return " ".join(map(str, ids)), " ".join(map(self.rule.texts.__getitem__, ids)), len(ids)
+    def texts(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """The text of ``ids[bounds[i]:bounds[i + 1]]`` for every i."""
+        ok = (ids >= 0) & (ids < len(self._known))
+        ok[ok] = self._known[ids[ok]]
+        if not ok.all():
+            bounds = np.concatenate([[0], np.cumsum(ok)])[bounds]
+            ids = ids[ok]
+        return _joined(self._texts.take(pa.array(ids)), bounds)
 
-    @staticmethod
-    def _joined(parts: list[tuple[str, str, int]]) -> tuple[str, str, int]:
-        if len(parts) == 1:
-            return parts[0]
-        parts = [e for e in parts if e[2]]
-        return " ".join([e[0] for e in parts]), " ".join([e[1] for e in parts]), sum([e[2] for e in parts])
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Put chunks and their pieces into the memo: from the automaton, or merged."""
-        # a piece's text, taken as a chunk, is cut into that piece alone, so both share the memo
-        memo, outputs = self._memo, self._outputs
-        parts = {c: [c] if c.isalpha() else self.rule.pieces.findall(c) for c in chunks}
-        new = list({p for ps in parts.values() for p in ps if p not in memo})
-        for p, places in zip(new, self.lexicon.walk([p.encode("utf-8") if len(p) <= LEXICON_BYTES else b"" for p in new]), strict=True):
-            if places is None or len(p) > LEXICON_BYTES:
-                memo[p] = self._entry(self.rule.merge(p))
-                continue
-            for k in places:
-                if k not in outputs:
-                    outputs[k] = self._entry(self.lexicon.output(k))
-            memo[p] = self._joined([outputs[k] for k in places])
-        for c, ps in parts.items():
-            if len(ps) != 1:
-                memo[c] = self._joined([memo[p] for p in ps])
-
-    def _known(self, chunks: list[str]) -> list[tuple[str, str, int]]:
-        """The entries of all chunks; what is too long to be met again isn't kept."""
-        if len(self._memo) > self.limit:  # what is used again comes back from the older half
-            self._memo, self._older = {}, self._memo
-        memo, older, new = self._memo, self._older, []
-        for c in dict.fromkeys(chunks):
-            if c not in memo:
-                entry = older.get(c)
-                if entry is None:
-                    new.append(c)
-                else:
-                    memo[c] = entry
-        if new:
-            self._learn(new)
-        entries = [memo[c] for c in chunks]
-        for c in new:
-            if len(c) > 64:
-                for p in (c, *self.rule.pieces.findall(c)):
-                    memo.pop(p, None)
-        return entries
 
-    def encode(self, text: str) -> tuple[str, str, int]:
-        """Decimal ids joined by one space, the decoded text, the number of ids."""
-        found = []
-        for special, s in self.rule.segments(text):
-            found += [(str(self.rule.added[s]), s, 1)] if special else self._known(self.rule.chunks(s))
-        return self._joined([e for e in found if e[2]])
+def _joined(parts: pa.Array, bounds: np.ndarray) -> pa.Array:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), parts), " ")
 
-    def encode_many(self, texts: list[str | None]) -> tuple[pa.Array, pa.Array, pa.Array]:
-        """``encode`` of every text: arrays of ids, decoded texts and numbers of ids.
 
-        Each distinct chunk of all the texts is looked up once; putting the texts together again is
-        Arrow's work. Texts with added tokens go one by one.
-        """
-        words, ends, apart = self.rule.split(texts)
-        apart = {i: self.encode(t) for i, t in apart.items()}
-        coded = words.dictionary_encode()
-        entries = self._known(coded.dictionary.to_pylist())
-        if not all(e[2] for e in entries):  # a chunk without any id must not leave a space
-            apart = {i: self.encode(t or "") for i, t in enumerate(texts)}
-        joined = []
-        for k in (0, 1):
-            parts = pa.array([e[k] for e in entries], pa.string()).take(coded.indices)
-            joined.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts), " "))
-        sizes = np.concatenate([[0], np.cumsum(np.array([e[2] for e in entries], np.int64)[coded.indices.to_numpy()])]) if len(words) else np.zeros(1, np.int64)
-        counts = pa.array(np.diff(sizes[ends]), pa.int64())
-        if apart:
-            ids, decoded, n = joined[0].to_pylist(), joined[1].to_pylist(), counts.to_pylist()
-            for i, e in apart.items():
-                ids[i], decoded[i], n[i] = e
-            return pa.array(ids, pa.string()), pa.array(decoded, pa.string()), pa.array(n, pa.int64())
-        return joined[0], joined[1], counts
+class Encoder:
+    """Encodes texts with the automaton first and exact merges for the rest; what a chunk gave is kept."""
+
+    def __init__(self, tokenizer: str, lexicon: str, memo: int = MEMO):
+        self.rule, self.lexicon = Merges(tokenizer), Lexicon(lexicon)
+        self.decoder = Decoder(self.rule)
+        self._numbers = pa.array([str(i) for i in range(max(self.rule.texts, default=-1) + 1)], pa.string())
+        self._words = WordTable(memo)
+        self._clear()
+
+    def _clear(self) -> None:
+        self._words.clear()
+        self._pool, self._used = np.zeros(1 << 16, np.int32), 0
+        self._starts = np.zeros(0, np.int64)
+        self._sizes = np.zeros(0, np.int64)
+
+    def _learn(self, lines: bytes) -> None:
+        """The ids of new chunks, a line each."""
+        cut, per_chunk = self.rule.cut(lines.decode("utf-8"))
+        number = {p: i for i, p in enumerate(dict.fromkeys(cut))}
+        order = np.array([number[p] for p in cut], np.int64)
+        ids, sizes = self._ids(list(number))
+        starts = np.cumsum(sizes) - sizes
+        found = ids[ragged(starts[order], sizes[order])]
+        # ids of each chunk: those of its pieces
+        ends = np.concatenate([[0], np.cumsum(sizes[order])])
+        cuts = ends[np.concatenate([[0], np.cumsum(per_chunk)])]
+        while self._used + len(found) > len(self._pool):
+            self._pool = np.concatenate([self._pool, np.zeros_like(self._pool)])
+        self._pool[self._used : self._used + len(found)] = found
+        self._starts = np.concatenate([self._starts, self._used + cuts[:-1]])
+        self._sizes = np.concatenate([self._sizes, np.diff(cuts)])
+        self._used += len(found)
+
+    def _ids(self, pieces: list[str | int]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces one after the other, how many each has): from the automaton, or merged."""
+        coded = [p.encode("utf-8") if isinstance(p, str) else b"" for p in pieces]
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+        plain = lengths > 0
+        held, ids, sizes = self.lexicon.walk([c if len(c) <= LEXICON_BYTES else b"" for c in coded])
+        held &= plain & (lengths <= LEXICON_BYTES)
+        kept = np.repeat(held, sizes)
+        rest = np.flatnonzero(plain & ~held)
+        more, more_sizes = self.rule.merge_many([coded[i] for i in rest.tolist()])
+        added = np.flatnonzero(~plain)
+        owner = np.concatenate([np.repeat(np.arange(len(pieces)), sizes)[kept], np.repeat(rest, more_sizes), added])
+        every = np.concatenate([ids[kept], more, np.array([pieces[i] for i in added.tolist()], np.int64)])
+        return every[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(pieces))
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, where each text's begin and end)."""
+        if self._words.full():
+            self._clear()
+        words = Words(texts)
+        rows, new = self._words.rows(words)
+        if len(new):
+            self._learn(words.lines(new))
+        sizes = self._sizes[rows]
+        found = self._pool[ragged(self._starts[rows], sizes)]
+        return found, np.concatenate([[0], np.cumsum(sizes)])[words.bounds]
+
+    def encode_many(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """Arrays of decimal ids joined by one space, of the texts decoded from the ids, and of numbers of ids."""
+        ids, bounds = self.ids(texts)
+        return _joined(self._numbers.take(pa.array(ids)), bounds), self.decoder.texts(ids, bounds), pa.array(np.diff(bounds), pa.int64())
+
+    def encode(self, text: str) -> tuple[str, str, int]:
+        """``encode_many`` of one text."""
+        return tuple(x[0].as_py() for x in self.encode_many(pa.array([text], pa.string())))
 
 
 def decode(ids: Iterable[int], rule: Merges) -> str:
-    """The text that the vocabulary (without a decoder) gives for ids: their texts joined by spaces; unknown ids give nothing."""
-    return " ".join(rule.texts[i] for i in ids if i in rule.texts)
+    """The text of ids."""
+    ids = np.array(list(ids), np.int64)
+    return Decoder(rule).texts(ids, np.array([0, len(ids)]))[0].as_py()
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), lexicon_size: int = LEXICON_SIZE) -> DataFrame:
-    """``keep`` columns, ``ids`` (decimal, joined by one space), ``n_tokens``, ``decoded``.
+    """``keep`` columns, ``ids`` (decimal, joined by one space), ``n_tokens``, ``decoded`` (from the ids).
 
     Null text counts as empty: no ids, empty decoding. Texts of any length are encoded whole, piece
     by piece; rows with equal text are each encoded; an empty table gives an empty result (the
     automaton is then empty). Columns beyond ``keep`` and ``text`` are ignored.
     """
-    spark = docs.sparkSession
-    shipped = spark.sparkContext.broadcast(build_lexicon(docs, tokenizer, text, lexicon_size))
-    names, tag = list(keep), uuid.uuid4().hex
+    lexicon = ship_lexicon(docs.sparkSession, build_lexicon(docs, tokenizer, text, lexicon_size))
+    names, source = list(keep), fresh_name(docs, "text")
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "ids string, n_tokens long, decoded string"])
 
     def run(batches):
-        encoder = worker_state(tag, lambda: Encoder(tokenizer, shipped.value))
+        encoder = worker_state(lexicon, lambda: Encoder(tokenizer, SparkFiles.get(lexicon)))
         for batch in batches:
-            for lo, rows in slices(batch.column("__text"), SLICE, SLICE_BYTES):
+            for lo, rows in slices(batch.column(source), SLICE, SLICE_BYTES):
                 part = batch.slice(lo, rows)
-                ids, decoded, n = encoder.encode_many(part.column("__text").to_pylist())
+                ids, decoded, n = encoder.encode_many(part.column(source))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), ids, n, decoded], [*names, "ids", "n_tokens", "decoded"])
             tidy()
 
-    return docs.select(*names, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*names, F.col(text).alias(source)).mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
@@ -509,9 +596,14 @@ def decode_documents(encoded: DataFrame, tokenizer: str, ids: str = "ids") -> Da
     frame = encoded.drop("decoded")
 
     def run(batches):
-        rule = Merges(tokenizer)
+        decoder = Decoder(Merges(tokenizer))
         for batch in batches:
-            texts = [None if t is None else decode(map(int, t.split()), rule) for t in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+            words = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.fill_null(batch.column(ids), "")))
+            flat = words.flatten()
+            some = pc.not_equal(flat, "")  # an empty text splits into one empty word
+            bounds = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])[words.offsets.to_numpy() - words.offsets[0].as_py()]
+            texts = decoder.texts(flat.filter(some).cast(pa.int64()).to_numpy(), bounds)
+            texts = pc.if_else(batch.column(ids).is_null(), pa.scalar(None, pa.string()), texts)
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "decoded"])
 
     return frame.mapInArrow(run, f"{schema},decoded:string")
