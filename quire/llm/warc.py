@@ -6,9 +6,9 @@ has five, version 2 ten. The converter parses the lines by those names, takes ea
 declared length, and synthesises what WARC wants and ARC lacks: a record id (a name-based UUID of
 the record's place and contents), an ISO timestamp from the 14 digits, a record type, and digests.
 
-Files are written by Spark's text writer, one record a row, with the format's own record end as
-line separator, so any store that Spark writes to can hold them; they are read whole, one file a
-row, and bounded by ``FILE_BYTES``.
+Records are packed into rows of about ``FILE_BYTES``, one record at least, and Spark's text writer
+makes a file of each row, so any store that Spark writes to can hold them and a file is bounded by
+its bytes, however long single payloads are. Files are read whole, one a row.
 """
 
 from __future__ import annotations
@@ -19,13 +19,18 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import shared_dir
+from quire.llm.common import work_dir, written
 
-#: Payload bytes that an archive file holds, about (before compression).
+#: Bytes of records that an archive file holds, about (before compression).
 FILE_BYTES = 8 << 20
+#: Repeated payloads' digests that are broadcast at most, about 150 bytes each; beyond, records are joined.
+BROADCAST_DIGESTS = 100_000
+#: Bytes of blocks that are handed to Spark at once, about.
+BATCH_BYTES = 4 << 20
 #: Equal payloads below this many bytes are kept as responses.
 REVISIT_BYTES = 100
 
@@ -45,17 +50,40 @@ WARC_SCHEMA = "record_id string, record_type string, target_uri string, warc_dat
 # --- ARC ----------------------------------------------------------------------------------------
 
 
+def _packed(batches: Iterator[pa.RecordBatch], file_bytes: int, separator: bytes, lead) -> Iterator[pa.RecordBatch]:
+    """Records, a row each, to files, a row each: ``lead(number)``, then records with separators between, up to about ``file_bytes``."""
+    held, size, number = [], 0, 0
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array([separator.join([*lead(number), *held])], pa.binary()).cast(pa.string())], ["value"])
+
+    for batch in batches:
+        for record in batch.column(0):
+            record = record.as_buffer().to_pybytes()
+            if held and size + len(record) > file_bytes:
+                yield out()
+                held, size, number = [], 0, number + 1
+            held.append(record)
+            size += len(record)
+    if held:
+        yield out()
+
+
+def _write(files: DataFrame, path: str, end: str) -> None:
+    """A gzipped file of every row; archives are written once and read once here, so speed counts more than size."""
+    files.write.option("lineSep", end).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", 1).text(path)
+
+
 def arc_files(pages: DataFrame, path: str, *, version: int = 1, captured: str = "20240101000000", file_bytes: int = FILE_BYTES) -> None:
     """Write ``pages`` (page_id, url, html) as gzipped ARC files of one ``version`` under ``path``.
 
     The block of a page is an HTTP response; its page_id travels in the header X-Page-Id. Null html
     is an empty payload, a null page_id has no such header, a null url is ``about:blank``; white
-    space in a url is percent-encoded, since fields are cut at spaces.
+    space in a url is percent-encoded, since fields are cut at spaces. A file's description names it
+    by task and number, so that reruns over the same table give the same archives.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     n = F.octet_length(payload)
-    average = pages.agg(F.avg(n)).first()[0] or 0
-    rows = max(2, int(file_bytes / (average + 300)))
     head = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), n.cast("string"), F.coalesce(F.concat(F.lit("\r\nX-Page-Id: "), F.col("page_id").cast("string")), F.lit("")), F.lit("\r\n\r\n")
     )
@@ -63,25 +91,18 @@ def arc_files(pages: DataFrame, path: str, *, version: int = 1, captured: str =
     url = F.when(url == "", "about:blank").otherwise(url)
     lead = [url, F.lit("0.0.0.0"), F.lit(captured), F.lit("text/html")] + ([F.lit("200"), F.lit("-"), F.lit("-"), F.lit("0"), F.lit("-")] if version == 2 else [])
     record = F.concat(F.concat_ws(" ", *lead, (n + F.octet_length(head)).cast("string")), F.lit("\n"), head, payload)
-    fields = " ".join(ARC_FIELDS[version])
-    about = f"{version} 0 quire\n{fields}\n"
-    first = f"filedesc://quire.arc 0.0.0.0 {captured} text/plain " + ("200 - - 0 quire.arc " if version == 2 else "") + f"{len(about)}\n{about}"
+    about = f"{version} 0 quire\n{' '.join(ARC_FIELDS[version])}\n"
 
-    def with_descriptions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the writer begins a new file every ``rows`` rows; each begins with a description
-        at = 0
-        for batch in batches:
-            lo = 0
-            while lo < batch.num_rows:
-                if at % rows == 0:
-                    yield pa.RecordBatch.from_pydict({"value": pa.array([first], pa.string())})
-                    at += 1
-                take = min(batch.num_rows - lo, rows - at % rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, take)], ["value"])
-                lo, at = lo + take, at + take
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+
+        def first(number: int) -> list[bytes]:
+            name = f"{task:05d}-{number:05d}.arc"
+            return [f"filedesc://{name} 0.0.0.0 {captured} text/plain {f'200 - - 0 {name} ' if version == 2 else ''}{len(about)}\n{about}".encode()]
 
-    out = pages.select(record.alias("value")).mapInArrow(with_descriptions, "value string")
-    out.write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", rows).text(path)
+        yield from _packed(batches, file_bytes, b"\n", first)
+
+    _write(pages.select(record.alias("value")).mapInArrow(run, "value string"), path, "\n")
 
 
 def inflated(data: bytes) -> bytes:
@@ -96,57 +117,69 @@ def inflated(data: bytes) -> bytes:
     return b"".join(parts)
 
 
-def arc_records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, header fields by name, block) of each record; the first says which fields there are.
+def arc_records(data: bytes, strict: bool = True) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(offset, header fields by name, block) of each record; a description in front says which fields there are.
 
-    A line that has more words than fields has them in its URL. Reading stops at a line that isn't
-    a header or whose declared length isn't there.
+    A line that has more words than fields has them in its URL. A line that isn't a header or whose
+    declared length isn't there is an error; without ``strict`` what follows up to the next line
+    that is a header is left out.
     """
-    at, fields = 0, None
+    at, fields, first = 0, None, True
     while at < len(data):
         end = data.find(b"\n", at)
-        if end < 0:
-            return
-        words = data[at:end].decode("utf-8", "replace").rstrip("\r").split(" ")
+        end = len(data) if end < 0 else end
+        line = data[at:end].decode("utf-8", "replace").rstrip("\r")
+        if not line.strip():
+            at = end + 1
+            continue
+        words = line.split(" ")
         names = fields or (ARC_FIELDS[2] if len(words) >= 10 else ARC_FIELDS[1])
-        if len(words) < len(names) or not words[-1].isdigit():
-            if data[at:end].strip():
-                return
+        size = int(words[-1]) if words[-1].isdigit() and len(words) >= len(names) else None
+        if size is None or end + 1 + size > len(data):
+            if strict:
+                raise ValueError(f"no ARC record at byte {at}: {line[:100]!r}")
+            at = end + 1
+            continue
+        cut = len(words) - len(names) + 1
+        header = dict(zip(names, [" ".join(words[:cut]), *words[cut:]], strict=True))
+        if not strict and not header["Archive-date"].isdigit():
             at = end + 1
             continue
-        tail = words[len(words) - len(names) + 1 :]
-        header = dict(zip(names, [" ".join(words[: len(words) - len(names) + 1]), *tail], strict=True))
-        block = data[end + 1 : end + 1 + int(words[-1])]
-        if len(block) < int(words[-1]):
-            return
-        if header["URL"].startswith("filedesc:"):
+        block = data[end + 1 : end + 1 + size]
+        if first and header["URL"].startswith("filedesc:"):
             lines = block.decode("utf-8", "replace").split("\n")
             named = [x for x in lines if x.startswith("URL ")]
             version = int(lines[0].split(" ")[0]) if lines[0][:1].isdigit() else 1
             fields = named[0].strip().split(" ") if named else ARC_FIELDS.get(version, ARC_FIELDS[1])
         yield at, header, block
-        at = end + 1 + len(block)
+        first, at = False, end + 1 + size
         if data[at : at + 1] == b"\n":
             at += 1
 
 
-def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all ARC files under ``path``, descriptions left out; a path that was never written fails as Spark does."""
+def read_arc(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """The records of all ARC files under ``path``, descriptions left out; a path that was never written fails as Spark does.
+
+    ``archive`` is the name that a file's description gives it, or its own.
+    """
 
     def run(batches):
         for batch in batches:
             for name, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                rows = []
-                for at, h, block in arc_records(inflated(data.as_py())):
-                    if h["URL"].startswith("filedesc:"):
+                rows, size = [], 0
+                name = name.rsplit("/", 1)[-1]
+                for n, (at, h, block) in enumerate(arc_records(inflated(data.as_py()), strict)):
+                    if not n and h["URL"].startswith("filedesc:"):
+                        name = h["URL"].removeprefix("filedesc:").strip("/") or name
                         continue
                     http = block.startswith(b"HTTP/")
                     cut = block.find(b"\r\n\r\n") if http else -1
                     head, body = (block[: cut + 4], block[cut + 4 :]) if cut >= 0 else (b"", block)
                     rows.append((name, at, h["URL"], h["IP-address"], h["Archive-date"], h["Content-type"], head.decode("utf-8", "replace"), body.decode("utf-8", "replace"), http))
-                    if len(rows) == 512:
+                    size += len(block)
+                    if len(rows) == 512 or size > BATCH_BYTES:
                         yield _batch(rows, _ARC)
-                        rows = []
+                        rows, size = [], 0
                 if rows:
                     yield _batch(rows, _ARC)
 
@@ -167,26 +200,30 @@ _WARC = pa.schema(
 # --- conversion ---------------------------------------------------------------------------------
 
 
-def record_uuid(*parts: Column) -> Column:
+def record_uuid(*parts: Column | str) -> Column:
     """``<urn:uuid:...>``: a name-based identifier (version 8 layout over SHA-256) of ``parts``."""
     h = F.sha2(F.concat_ws("\x1f", *parts).cast("binary"), 256)
     cut = lambda a, n: F.substring(h, a, n)
     return F.concat(F.lit("<urn:uuid:"), cut(1, 8), F.lit("-"), cut(9, 4), F.lit("-8"), cut(14, 3), F.lit("-a"), cut(18, 3), F.lit("-"), cut(21, 12), F.lit(">"))
 
 
-def arc_to_warc(arc: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
+def arc_to_warc(arc: DataFrame, revisit_bytes: int = REVISIT_BYTES, broadcast_digests: int = BROADCAST_DIGESTS) -> DataFrame:
     """WARC fields for every ARC record (WARC_SCHEMA).
 
     Type: http blocks are responses, others resources. Of records with equal payloads of at least
     ``revisit_bytes`` bytes the one with the smallest page id (then record id; ids that are missing
-    last) stays, the others are revisits of it, keep their HTTP head and lose the payload. Only
-    digests and ids are shuffled to find them; the first is found by an aggregate with partial
-    sums, so a payload that a third of the records share needs no large task.
+    last) stays, the others are revisits of it, keep their HTTP head and lose the payload.
+
+    Payloads aren't shuffled. A first pass over the archives groups digests and ids, by partial
+    sums, so a payload that a third of the records share needs no large task; it leaves a table of
+    the payloads that repeat. If this has up to ``broadcast_digests`` rows it is broadcast;
+    otherwise the ids of the records that become revisits are found by a join without payloads and
+    joined to the records.
     """
     date = F.regexp_replace(F.rpad(F.coalesce("date", F.lit("")), 14, "0"), r"^(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2}).*$", "$1-$2-$3T$4:$5:$6Z")
     page = F.expr("try_cast(nullif(regexp_extract(http_head, '(?m)^X-Page-Id: (-?[0-9]+)\\r?$', 1), '') as bigint)")
     rows = arc.select(
-        record_uuid(F.element_at(F.split("archive", "/"), -1), F.col("place"), F.col("url"), F.col("date")).alias("record_id"),
+        record_uuid("archive", F.col("place"), F.col("url"), F.col("date")).alias("record_id"),
         F.when(F.col("is_http"), "response").otherwise("resource").alias("record_type"),
         F.col("url").alias("target_uri"),
         date.alias("warc_date"),
@@ -196,11 +233,18 @@ def arc_to_warc(arc: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame
         F.octet_length("payload").cast("long").alias("payload_bytes"),
         page.alias("page_id"),
     )
-    small = rows.filter((F.col("payload_bytes") >= revisit_bytes) & (F.col("record_type") == "response")).select("record_id", "payload_digest", "page_id")
-    firsts = small.groupBy("payload_digest").agg(F.count("*").alias("n"), F.min(F.struct(F.col("page_id").isNull().alias("u"), "page_id", "record_id")).alias("first")).filter("n > 1")
-    again = small.join(firsts, "payload_digest").filter("record_id <> first.record_id").select("record_id", F.col("first.page_id").alias("refers_to"), F.lit(True).alias("again"))
-    out = rows.join(again, "record_id", "left")
-    revisit = F.coalesce("again", F.lit(False))
+    may = (F.col("payload_bytes") >= revisit_bytes) & (F.col("record_type") == "response")
+    first = F.min(F.struct(F.col("page_id").isNull().alias("u"), "page_id", "record_id"))
+    marks = rows.filter(may).select("record_id", "payload_digest", "page_id")
+    firsts = written(marks.groupBy("payload_digest").agg(F.count("*").alias("n"), first.alias("first")).filter("n > 1").select("payload_digest", F.col("first.record_id").alias("first_id"), F.col("first.page_id").alias("first_page")), "repeats")
+    if firsts.count() <= broadcast_digests:
+        out = rows.join(F.broadcast(firsts), "payload_digest", "left")
+        revisit = may & (F.col("first_id") != F.col("record_id"))
+    else:
+        again = marks.join(firsts, "payload_digest").filter("record_id <> first_id").select("record_id", "first_id", "first_page")
+        out = rows.join(again, "record_id", "left")
+        revisit = F.col("first_id").isNotNull()
+    revisit = F.coalesce(revisit, F.lit(False))
     return out.select(
         "record_id",
         F.when(revisit, "revisit").otherwise(F.col("record_type")).alias("record_type"),
@@ -210,7 +254,7 @@ def arc_to_warc(arc: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame
         "http_head",
         F.when(revisit, "").otherwise(F.col("payload")).alias("payload"),
         "payload_bytes",
-        "refers_to",
+        F.when(revisit, F.col("first_page")).alias("refers_to"),
         "page_id",
     )
 
@@ -239,20 +283,22 @@ def warc_files(records: DataFrame, path: str, *, file_bytes: int = FILE_BYTES) -
         line("Content-Length", F.octet_length(block).cast("string")),
         F.lit("\r\n"),
     )
-    rows = max(2, int(file_bytes / 4096))
-    records.select(F.concat(head, block).alias("value")).write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", rows).text(path)
+    files = records.select(F.concat(head, block).alias("value")).mapInArrow(lambda batches: _packed(batches, file_bytes, RECORD_END.encode(), lambda _: []), "value string")
+    _write(files, path, RECORD_END)
 
 
 def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields by lower-case name, block) of each record, by declared lengths."""
+    """(header fields by lower-case name, block) of each record, by declared lengths; what is no record is an error."""
     at = 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
         if end < 0 or not data.startswith(b"WARC/", at):
-            return
+            raise ValueError(f"no WARC record at byte {at}: {data[at:at + 100]!r}")
         lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
         header = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
         n = int(header["content-length"])
+        if end + 4 + n > len(data):
+            raise ValueError(f"the WARC record at byte {at} is shorter than it says")
         yield header, data[end + 4 : end + 4 + n]
         at = end + 4 + n
         while data.startswith(b"\r\n", at):
@@ -269,7 +315,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for data in batch.column("content"):
-                rows = []
+                rows, size = [], 0
                 for h, block in warc_records(inflated(data.as_py())):
                     kind, digest = h["warc-type"], h.get("warc-payload-digest", "").removeprefix("sha256:")
                     cut = block.find(b"\r\n\r\n") if block.startswith(b"HTTP/") else -1
@@ -280,9 +326,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     n = len(body) if kind != "revisit" else int(fields["Content-Length"])
                     refers, page = h.get("x-refers-to-page-id"), fields.get("X-Page-Id")
                     rows.append((h["warc-record-id"], kind, h.get("warc-target-uri"), h.get("warc-date"), digest, head.decode("utf-8", "replace"), body.decode("utf-8", "replace"), n, None if refers is None else int(refers), None if page is None else int(page)))
-                    if len(rows) == 512:
+                    size += len(block)
+                    if len(rows) == 512 or size > BATCH_BYTES:
                         yield _batch(rows, _WARC)
-                        rows = []
+                        rows, size = [], 0
                 if rows:
                     yield _batch(rows, _WARC)
 
@@ -297,7 +344,7 @@ def archived(pages: DataFrame, *, version: int = 1) -> DataFrame:
     gives no record. Columns beyond page_id, url and html are ignored.
     """
     spark = pages.sparkSession
-    base = f"{shared_dir(spark)}/quire/archive-{uuid.uuid4().hex}"
+    base = f"{work_dir(spark)}/archive-{uuid.uuid4().hex}"
     arc_files(pages.select("page_id", "url", "html"), f"{base}/arc", version=version)
     warc_files(arc_to_warc(read_arc(spark, f"{base}/arc")), f"{base}/warc")
     return read_warc(spark, f"{base}/warc")
