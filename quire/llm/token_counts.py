@@ -1,57 +1,118 @@
 """Token counts by overlap resynchronisation.
 
-Ordinary texts are encoded whole. A text longer than ``chunk_chars`` is encoded in overlapping
-chunks with offsets, so that memory stays bounded by the chunk and not by the document. Two
-neighbouring chunks are spliced at a boundary inside their overlap that is
+A text longer than ``chunk_chars`` is encoded in overlapping chunks with offsets, so that memory
+stays bounded by the chunk and not by the document. Two neighbouring chunks are spliced at a
+boundary inside their overlap that is
 
-* proven stable: a single space or line end between two ASCII letters or digits. Every public
-  vocabulary served here cuts pieces there before it merges (white space is dropped, or goes to
-  the piece on its right), so what is on one side can't change the pieces on the other;
+* proven stable: the vocabulary cuts pieces there before it merges, whatever is on either side
+  (``json_boundaries`` and ``model_boundaries`` say which places these are and why), so what is on
+  one side can't change the pieces on the other;
 * common: both encodings start a token there, and from there to the last stable boundary of the
   overlap they agree token for token.
 
-If no boundary passes both tests the overlap is doubled and the next chunk encoded again, until
-the chunk reaches the end of the text, where it is exact by itself.
+An overlap is widened, before anything is encoded, until it holds two stable boundaries, and
+doubled if the encodings don't align in it. Only a stretch without any stable boundary, which is
+one piece to the vocabulary, is encoded in one call whatever its length.
+
+Shorter texts are encoded whole; where white space is a stable boundary, word by word, and a word
+met before isn't encoded again.
 """
 
 from __future__ import annotations
 
 import json
-import re
-import uuid
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import slices, worker_state
+from quire.llm.common import fresh_name, slices, tidy, worker_state
+from quire.llm.words import Words, WordTable, sums_between
 
-#: Texts above this many characters are encoded in chunks.
-CHUNK_CHARS = 1 << 16
-#: Characters that neighbouring chunks share at first.
+#: Texts above this many characters are encoded in chunks of about as many.
+CHUNK_CHARS = 1 << 15
+#: Characters that neighbouring chunks share at least.
 OVERLAP_CHARS = 1 << 9
-
-_STABLE = re.compile(r"(?<=[A-Za-z0-9])[ \n](?=[A-Za-z0-9])")
+#: Distinct words whose counts a worker keeps.
+MEMO = 800_000
 
 #: One encoding: token ids and, for each, the character offset at which it starts.
 Encoded = tuple[list[int], list[int]]
 
+#: Marks that no vocabulary served here joins to a letter before them and that Unicode composition leaves alone.
+_STOPS = r"[,.;:!?。，、；：！？…]"
+
 
 def json_encoder(path: str) -> Callable[[str], Encoded]:
     """Ids and start offsets as the tokenizers library gives them, special strings as by default."""
+    tok = _tokenizer(path)
+
+    def encode(text: str) -> Encoded:
+        e = tok.encode(text, add_special_tokens=False)
+        return e.ids, [a for a, _ in e.offsets]
+
+    return encode
+
+
+def model_encoder(path: str) -> Callable[[str], Encoded]:
+    """The same for sentencepiece."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+
+    def encode(text: str) -> Encoded:
+        found = model.encode(text, return_type="proto", num_threads=1).pieces
+        # its offsets count bytes
+        place = np.cumsum(np.frombuffer(text.encode("utf-8") + b"\0", np.uint8) & 0xC0 != 0x80) - 1
+        return [p.id for p in found], place[[p.begin for p in found]].tolist() if len(found) else []
+
+    return encode
+
+
+def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
+    return tok
 
-    def encode(text: str) -> Encoded:
-        e = tok.encode(text, add_special_tokens=False)
-        return e.ids, [a for a, _ in e.offsets]
 
-    return encode
+def json_boundaries(path: str) -> regex.Pattern | None:
+    """Where a ``.json`` vocabulary always cuts (None: nowhere for sure).
+
+    * White space between other characters, if the vocabulary removes it before it merges.
+    * Otherwise one space or line end between letters or digits: runs of letters and of digits are
+      pieces, with a space on their left at most.
+    * A full stop or the like after a letter, since letters and marks are never of one piece.
+    * Between digits, if every digit is a piece.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    if _drops_white_space(spec):
+        parts = [r"(?<=\S)[ \t\n\r\x0b\x0c](?=\S)"]
+        if r"|[\p{N}]|" in json.dumps(spec["pre_tokenizer"]).replace("\\\\", "\\"):
+            parts.append("(?<=[0-9])(?=[0-9])")
+    else:
+        kinds = {x.get("type") for x in [spec.get("pre_tokenizer") or {}, *((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [])]}
+        if not kinds & {"ByteLevel", "Split"}:
+            return None
+        parts = [r"(?<=[\p{L}\p{N}])[ \n](?=[\p{L}\p{N}])"]
+    return regex.compile("|".join([*parts, r"(?<=\p{L})(?=" + _STOPS + ")"]))
+
+
+def model_boundaries(path: str) -> regex.Pattern | None:
+    """A single space between letters, if no piece of the sentencepiece vocabulary goes on past a space."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
+    return None if any("▁" in p.lstrip("▁") for p in pieces) else regex.compile(r"(?<=\p{L}) (?=\p{L})")
 
 
 class JsonCounter:
@@ -62,37 +123,25 @@ class JsonCounter:
     is not encoded again. Other vocabularies get the whole text.
     """
 
-    def __init__(self, path: str, memo: int = 400_000):
-        from tokenizers import Tokenizer
-
-        self._tok = Tokenizer.from_file(path)
-        self._tok.no_truncation()
-        self._tok.no_padding()
-        self._limit, self._memo = memo, {}
+    def __init__(self, path: str, memo: int = MEMO):
+        self._tok, self._words, self._sizes = _tokenizer(path), WordTable(memo), np.zeros(0, np.int64)
         with open(path, encoding="utf-8") as f:
             self.by_words = _drops_white_space(json.load(f))
 
     def _encode(self, texts: list[str]) -> list[int]:
         return [len(e) for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def counts(self, texts: list[str]) -> list[int]:
+    def counts(self, texts: pa.Array) -> np.ndarray:
         if not self.by_words:
-            return self._encode(texts)
-        memo = self._memo
-        if len(memo) > self._limit:
-            memo.clear()
-        # str.split() also cuts at four control characters that are not white space to the vocabulary
-        words = [t.split(" ") if any(c in t for c in _CONTROLS) else t.split() for t in texts]
-        new = list({w for ws in words for w in ws if w not in memo})
-        memo.update(zip(new, self._encode(new), strict=True))
-        found = [sum([memo[w] for w in ws]) for ws in words]
-        for w in new:
-            if len(w) > 64:
-                del memo[w]
-        return found
-
-
-_CONTROLS = frozenset("\x1c\x1d\x1e\x1f")
+            return np.array(self._encode(pc.fill_null(texts, "").to_pylist()), np.int64)
+        if self._words.full():
+            self._words.clear()
+            self._sizes = np.zeros(0, np.int64)
+        words = Words(texts)
+        rows, new = self._words.rows(words)
+        if len(new):
+            self._sizes = np.concatenate([self._sizes, np.array(self._encode(words.lines(new).decode("utf-8").split("\n")[:-1]), np.int64)])
+        return sums_between(self._sizes[rows], words.bounds)
 
 
 def _drops_white_space(spec: dict) -> bool:
@@ -104,9 +153,23 @@ def _drops_white_space(spec: dict) -> bool:
     return added and first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and " " not in pattern.replace(r"[^\s", "") and "\\s" not in pattern.replace(r"[^\s", "")
 
 
-def stable_boundaries(text: str, lo: int, hi: int) -> list[int]:
-    """Offsets in [lo, hi) of single spaces or line ends between two ASCII letters or digits."""
-    return [m.start() for m in _STABLE.finditer(text, max(lo, 1), hi)]
+def covered(text: str, begin: int, end: int, overlap: int, stable: regex.Pattern) -> tuple[int, list[int]]:
+    """(where the chunk that begins at ``begin`` ends, at ``end`` or later; the stable boundaries in its overlap with the next).
+
+    The overlap holds two boundaries at least, unless the chunk ends with the text.
+    """
+    if end >= len(text):
+        return len(text), []
+    places = [m.start() for m in stable.finditer(text, max(begin + 1, end - overlap), end)]
+    if len(places) < 2:
+        for m in stable.finditer(text, end):
+            places.append(m.start())
+            if len(places) >= 2:
+                break
+        else:
+            return len(text), []
+        end = min(len(text), places[-1] + 2)
+    return end, places
 
 
 def splice_point(left: Encoded, left_at: int, right: Encoded, right_at: int, places: list[int]) -> tuple[int, int] | None:
@@ -133,30 +196,35 @@ def splice_point(left: Encoded, left_at: int, right: Encoded, right_at: int, pla
     return None
 
 
-def spliced(text: str, encode: Callable[[str], Encoded], chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> Iterator[list[int]]:
+def spliced(text: str, encode: Callable[[str], Encoded], stable: regex.Pattern | None, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> Iterator[list[int]]:
     """The ids of ``text``, piece by piece, exactly as ``encode`` gives them for the whole text."""
     n, chunk = len(text), max(2, chunk)
-    begin, end = 0, min(len(text), chunk)
+    if stable is None or n <= chunk:
+        yield encode(text)[0]
+        return
+    begin = 0
+    end, places = covered(text, 0, chunk, overlap, stable)
     ids, starts = encode(text[:end])
     done = 0  # tokens of the current chunk before this one are already out
     while end < n:
-        wide = max(1, overlap)
+        wide = overlap
         while True:
-            lo = max(begin, end - wide)
-            nxt_end = min(n, lo + wide + chunk)
-            nids, nstarts = encode(text[lo:nxt_end])
-            at = splice_point((ids, starts), begin, (nids, nstarts), lo, stable_boundaries(text, lo, end))
+            lo = min(max(begin, end - wide), max(begin, places[0] - 1))
+            nxt, ahead = covered(text, lo, lo + chunk + (end - lo), overlap, stable)
+            nids, nstarts = encode(text[lo:nxt])
+            at = splice_point((ids, starts), begin, (nids, nstarts), lo, places)
             if at is not None or lo == begin:
                 break
-            wide *= 2
-        if at is None:  # the overlap is the whole chunk: begin it again, longer
-            end = nxt_end if nxt_end > end else n
-            ids, starts = encode(text[begin:end])
-            # what is out already ends at a stable boundary, which is where this chunk's tokens go on
+            wide = 2 * (end - lo)
+            places = [m.start() for m in stable.finditer(text, max(begin + 1, end - wide), end)]
+        if at is None:
+            # the overlap is the whole chunk, so the next encoding begins where this one does and is
+            # longer: it replaces it. What is out ends at a stable boundary, where its tokens go on.
+            end, places, ids, starts = nxt, ahead, nids, nstarts
             continue
         yield ids[done : at[0]]
         done = at[1]
-        begin, end, ids, starts = lo, nxt_end, nids, nstarts
+        begin, end, places, ids, starts = lo, nxt, ahead, nids, nstarts
     yield ids[done:]
 
 
@@ -164,44 +232,32 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, text: str = "text", keep: t
     """``keep`` columns, ``n_bytes``, ``n_tokens``, ``over_limit`` for every row of ``docs``.
 
     ``tokenizer`` is the path of a ``.json`` vocabulary (tokenizers library) or a ``.model`` one
-    (sentencepiece, whose C++ encoder is linear in the text and is called on whole texts). Null
-    text counts as empty: 0 bytes, 0 tokens. Repeated rows are counted each; an empty table gives
-    an empty result; other columns are ignored, whatever their names.
+    (sentencepiece). Null text counts as empty: 0 bytes, 0 tokens. Repeated rows are counted each;
+    an empty table gives an empty result; other columns are ignored, whatever their names.
     """
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "n_bytes long", "n_tokens long", "over_limit boolean"])
-    names, tag = list(keep), uuid.uuid4().hex
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "n_bytes long, n_tokens long, over_limit boolean"])
+    names, source = list(keep), fresh_name(docs, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        model = None
         if tokenizer.endswith(".json"):
-            encode, counter = json_encoder(tokenizer), worker_state(tag, lambda: JsonCounter(tokenizer))
+            encode, stable = json_encoder(tokenizer), json_boundaries(tokenizer)
+            counts_of = worker_state(f"counts of {tokenizer}", lambda: JsonCounter(tokenizer)).counts
         else:
-            import sentencepiece
-
-            model = sentencepiece.SentencePieceProcessor(model_file=tokenizer)
+            encode, stable = model_encoder(tokenizer), model_boundaries(tokenizer)
+            counts_of = lambda texts: np.array([len(encode(t or "")[0]) for t in texts.to_pylist()], np.int64)
         for batch in batches:
-            n_bytes, n_tokens = [], []
-            column = batch.column("text")
-            for lo, rows in slices(column, 256):  # few texts at a time: encodings are larger than texts
-                texts = [t or "" for t in column.slice(lo, rows).to_pylist()]
-                n_bytes += [len(t.encode("utf-8", "surrogatepass")) for t in texts]
-                if model is not None:
-                    n_tokens += [len(model.encode(t, num_threads=1)) for t in texts]
-                    continue
-                short = [i for i, t in enumerate(texts) if len(t) <= chunk_chars]
-                counts = [0] * len(texts)
-                for i, n in zip(short, counter.counts([texts[i] for i in short]), strict=True):
-                    counts[i] = n
-                for i, t in enumerate(texts):
-                    if len(t) > chunk_chars:
-                        counts[i] = sum(map(len, spliced(t, encode, chunk_chars, overlap_chars)))
-                n_tokens += counts
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())],
-                [*names, "n_bytes", "n_tokens", "over_limit"],
-            )
-
-    return docs.select(*names, F.col(text).alias("text")).mapInArrow(run, schema)
+            for lo, rows in slices(batch.column(source), 1024):
+                part = batch.slice(lo, rows)
+                texts = part.column(source)
+                long = pc.fill_null(pc.greater(pc.utf8_length(texts), chunk_chars), False)
+                n_tokens = counts_of(pc.if_else(long, "", texts)).copy()
+                for i in np.flatnonzero(long.to_numpy(zero_copy_only=False)).tolist():
+                    n_tokens[i] = sum(map(len, spliced(texts[i].as_py(), encode, stable, chunk_chars, overlap_chars)))
+                n_bytes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), n_bytes, pa.array(n_tokens, pa.int64()), pa.array(n_tokens > limit, pa.bool_())], [*names, "n_bytes", "n_tokens", "over_limit"])
+            tidy()
+
+    return docs.select(*names, F.col(text).alias(source)).mapInArrow(run, schema)
