@@ -9,11 +9,14 @@ holds the points that may be within the radius r = 1 - threshold of something in
    blocks, and within a block sizes must be within the factor t; a point alone in all its blocks
    has no link and is done.
    Points share more than that in somewhat longer prefixes; one that doesn't is done as well.
-2. Each block's pivot is the point that shares most shingles with others. A point goes to the region of the pivot that it
-   shares most blocks with (its Voronoi cell), and its exact distance to that pivot is computed.
-   Distances up to r are links, and linked points are joined into components.
-3. Points on a border are those with another pivot in another component; they are replicated into
-   that pivot's region, and their distances computed as well.
+2. Each block's pivot is the point that shares most shingles with others. A point goes to the region
+   of the pivot that it shares most blocks with, which stands for its Voronoi cell, and its exact
+   distance to that pivot is computed. Distances up to r are links, and linked points are joined
+   into components.
+3. Points on a border are those with another pivot in another component. Where several points lie
+   between the same two pivots, the distance of the pivots is computed first; a point whose distances
+   leave no room for a neighbour within r of the other pivot's region, d(own, other) - 2 d(x, own) > 2r,
+   stays where it is. The others are replicated into that region, and their distances computed.
 4. A block whose points now lie in one component is done. In the others, points outside the
    pivot's component become pivots and meet the block's points of other components, except those
    whose known distances to a common pivot differ by more than r (triangle inequality) and those
@@ -21,7 +24,10 @@ holds the points that may be within the radius r = 1 - threshold of something in
    between components is missed.
 
 Hot groups: a group of near copies is one component after step 2, since its points meet their pivot
-and not each other; exact copies are one point; links and blocks are rows, never lists in memory.
+and not each other; exact copies are one point, and a set that very many rows have is cut into
+shingles from one row of it; links and blocks are rows, never lists in memory. A point's text is
+read from one row, named by a hash of id and text, so rows that share an id or have none are as good
+as others.
 """
 
 from __future__ import annotations
@@ -31,10 +37,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import discard, release, slices, tidy, worker_state, written
+from quire.llm.common import discard, fresh_name, release, slices, tidy, worker_state, written
 from quire.llm.components import components
 
 #: Words of a shingle, and the threshold as hundredths.
@@ -47,8 +53,12 @@ CHUNK = 1 << 14
 EXTRA = 15
 #: Bits of a point's sketch: how often, modulo two, its shingles fall on each.
 SKETCH_BITS = 2048
-#: Points of a block that become pivots in one round.
-NEW_PIVOTS = 2048
+#: Points of a block that become pivots in one round (few enough for Spark to cut them in each task before they are shuffled).
+NEW_PIVOTS = 1000
+#: Points between two pivots from which on the pivots' distance is computed.
+BETWEEN = 4
+#: A key is hot if it holds more rows than this, or than this share of all; so hot keys are fewer than HOT_SHARE.
+HOT_ROWS, HOT_SHARE = 1000, 200
 #: Members of a region, or of a part of a large one, about.
 REGION = 512
 #: Documents hashed together; prefix shingles in a bucket, about.
@@ -199,8 +209,11 @@ def _chunks(v: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"chunk": pa.array([r[0] for r in rows], pa.int32()), "data": pa.array([r[1] for r in rows], pa.binary())})
 
 
-def levels(docs: DataFrame) -> np.ndarray:
-    """How common a shingle is, by the top bits of its hash: 0 for up to twice the mean count, then by powers of two."""
+_FIRST = "chunk int, data binary, doc_id long, tid long, sid long, n int, sketch binary"
+
+
+def _first_pass(docs: DataFrame) -> DataFrame:
+    """Rows of two kinds: a part of the shingle counters (with a chunk), and a document's mark: its set's name, size and sketch."""
 
     def run(batches):
         shingler, counts, held, n = worker_state("shingles", Shingler), np.zeros(COUNTERS, np.uint32), [], 0
@@ -209,19 +222,32 @@ def levels(docs: DataFrame) -> np.ndarray:
             counts[:] += np.bincount(np.concatenate(held).astype(np.intp), minlength=COUNTERS).astype(np.uint32)
 
         for batch in batches:
-            for lo, n_rows in slices(batch.column(0), TOGETHER):
-                for s in shingler.sets(batch.column(0).slice(lo, n_rows).to_pylist()):
+            for lo, n_rows in slices(batch.column(2), TOGETHER):
+                part = batch.slice(lo, n_rows)
+                sets = shingler.sets(part.column(2).to_pylist())
+                for s in sets:
                     held.append(s >> np.uint64(64 - COUNTERS.bit_length() + 1))
                     n += len(s)
                 if n > 1_000_000:
                     put()
                     held, n = [], 0
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary()), part.column(0), part.column(1), pa.array([name_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([sketch_of(s) for s in sets], pa.binary())],
+                    names=["chunk", "data", "doc_id", "tid", "sid", "n", "sketch"],
+                )
             tidy()
         if held:
             put()
-        yield from _chunks(np.minimum(counts, 255).astype(np.uint8))
+        for part in _chunks(np.minimum(counts, 255).astype(np.uint8)):
+            none = [pa.nulls(part.num_rows, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*part.columns, *none], names=["chunk", "data", "doc_id", "tid", "sid", "n", "sketch"])
+
+    return docs.select("doc_id", "tid", "text").mapInArrow(run, _FIRST)
 
-    total = _merged(docs.select("text").mapInArrow(run, "chunk int, data binary"), add=True).astype(np.float64)
+
+def levels(parts: DataFrame) -> np.ndarray:
+    """How common a shingle is, by the top bits of its hash: 0 for up to twice the mean count, then by powers of two."""
+    total = _merged(parts, add=True).astype(np.float64)
     mean = max(1.0, total.mean())
     return np.maximum(np.floor(np.log2(np.maximum(total / mean, 1))), 0).astype(np.uint8)
 
@@ -232,7 +258,7 @@ def _bits(ids: np.ndarray) -> np.ndarray:
 
 
 def row_filter(ids: DataFrame) -> np.ndarray:
-    """A bitmap that holds every ``doc_id`` of ``ids`` (and, by chance, others)."""
+    """A bitmap that holds every ``tid`` of ``ids`` (and, by chance, others)."""
 
     def run(batches):
         bits = np.zeros(FILTER_BITS // 8, np.uint8)
@@ -241,11 +267,11 @@ def row_filter(ids: DataFrame) -> np.ndarray:
             np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
         yield from _chunks(bits)
 
-    return _merged(ids.select("doc_id").mapInArrow(run, "chunk int, data binary"), add=False)
+    return _merged(ids.select("tid").mapInArrow(run, "chunk int, data binary"), add=False)
 
 
 def _narrowed(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``texts`` (doc_id, text) that ``ids`` names, and a few by chance: what a join with them need not shuffle."""
+    """The rows of ``texts`` (tid, text) that ``ids`` names, and a few by chance: what a join with them need not shuffle."""
     shipped = texts.sparkSession.sparkContext.broadcast(row_filter(ids))
 
     def run(batches):
@@ -253,12 +279,12 @@ def _narrowed(texts: DataFrame, ids: DataFrame) -> DataFrame:
             at = _bits(batch.column(0).to_numpy())
             yield batch.filter(pa.array((shipped.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0))
 
-    return texts.mapInArrow(run, "doc_id long, text string")
+    return texts.select("tid", "text").mapInArrow(run, "tid long, text string")
 
 
 # --- blocks -----------------------------------------------------------------------------------------
 
-_MARKS = "bucket int, doc_id long, sid long, n int, sketch binary, hashes binary, owners binary, sids binary, sizes binary"
+_SHARES = "bucket int, hashes binary, owners binary, sids binary, sizes binary"
 
 
 def _short(h: np.ndarray) -> bytes:
@@ -272,22 +298,21 @@ def _long(data) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
-def _prefixes(docs: DataFrame, common: np.ndarray, bits: int) -> DataFrame:
-    """Rows of two kinds: a document's mark (bucket -1), and a bucket's share of prefix shingles with their owners."""
+def _prefixes(docs: DataFrame, common: np.ndarray, bits: int, left_out: frozenset[int] = frozenset()) -> DataFrame:
+    """Each bucket's share of prefix shingles with their owners; the sets named in ``left_out`` are passed over."""
     shipped = docs.sparkSession.sparkContext.broadcast(common)
     shift, mask = np.uint64(64 - COUNTERS.bit_length() + 1), np.uint64((1 << bits) - 1)
 
     def run(batches):
         shingler, level = worker_state("shingles", Shingler), shipped.value
         for batch in batches:
-            for lo, n_rows in slices(batch.column(1), TOGETHER):
-                part = batch.slice(lo, n_rows)
-                sets = shingler.sets(part.column(1).to_pylist())
+            for lo, n_rows in slices(batch.column(0), TOGETHER):
+                sets = shingler.sets(batch.column(0).slice(lo, n_rows).to_pylist())
                 names = [name_of(s) for s in sets]
                 sizes = [len(s) for s in sets]
                 first = {}
                 for i, (x, n) in enumerate(zip(names, sizes, strict=True)):
-                    if n and x not in first:
+                    if n and x not in first and x not in left_out:
                         first[x] = i
                 own = list(first.values())
                 picked, basic = [], []
@@ -297,10 +322,6 @@ def _prefixes(docs: DataFrame, common: np.ndarray, bits: int) -> DataFrame:
                     q = min(len(s), p + extra_length(len(s)))
                     picked.append(s[:q] if not lv.any() else s[np.argsort(lv, kind="stable")[:q]])
                     basic.append(np.arange(q) < p)
-                none = pa.nulls(len(names), pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([-1] * len(names), pa.int32()), part.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array([sketch_of(s) for s in sets], pa.binary()), none, none, none, none], names=["bucket", "doc_id", "sid", "n", "sketch", "hashes", "owners", "sids", "sizes"]
-                )
                 if not picked:
                     continue
                 h = np.concatenate(picked)
@@ -315,12 +336,11 @@ def _prefixes(docs: DataFrame, common: np.ndarray, bits: int) -> DataFrame:
                 for a, b in zip(cuts, cuts[1:], strict=False):
                     there, at = np.unique(o[a:b], return_inverse=True)
                     rows.append((int(bucket[a]), _short(h[a:b]), (at.astype(np.uint16) | first[a:b]).tobytes(), all_s[there].tobytes(), all_n[there].tobytes()))
-                no_long, no_int = pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int32())
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), no_long, no_long, no_int, pa.nulls(len(rows), pa.binary()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "doc_id", "sid", "n", "sketch", "hashes", "owners", "sids", "sizes"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "hashes", "owners", "sids", "sizes"])
             tidy()
 
-    return docs.select("doc_id", "text").mapInArrow(run, _MARKS)
+    return docs.select("text").mapInArrow(run, _SHARES)
 
 
 def _blocks(packed: DataFrame) -> DataFrame:
@@ -407,14 +427,14 @@ _MEMBERS = "cell long, salt int, member int, sid long, shingles binary"
 def _measured(pairs: DataFrame, points: DataFrame, texts: DataFrame) -> DataFrame:
     """``a``, ``b``, ``common``, ``either``, for pairs of points: exact sizes of intersection and union.
 
-    Points are (sid, doc_id), with the row whose text has that set. A text goes to the regions that
+    Points are (sid, tid), ``texts`` (tid, text), one row each. A text goes to the regions that
     need it and becomes a set there; in a region the pivot comes first and the members pass by it
     one at a time. Regions with many members are cut into parts with a copy of the pivot each.
     """
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / REGION).cast("int").alias("parts"))
     members = pairs.join(counts, "a").select(F.col("a").alias("cell"), F.pmod(F.xxhash64("b"), "parts").cast("int").alias("salt"), F.lit(1).alias("member"), F.col("b").alias("sid"))
     pivots = counts.select(F.col("a").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("a").alias("sid"))
-    wanted = written(members.unionByName(pivots).join(points.select("sid", "doc_id"), "sid"), "members")
+    wanted = written(members.unionByName(pivots).join(points.select("sid", "tid"), "sid"), "members")
 
     def shingled(batches):
         shingler = worker_state("shingles", Shingler)
@@ -422,7 +442,7 @@ def _measured(pairs: DataFrame, points: DataFrame, texts: DataFrame) -> DataFram
             for lo, n_rows in slices(batch.column("text"), TOGETHER):
                 part = batch.slice(lo, n_rows)
                 sets = shingler.sets(part.column("text").to_pylist())
-                # another row may have the same id: its set has another name
+                # should two texts share a tid: the other's set has another name
                 keep = [name_of(s) == x for s, x in zip(sets, part.column("sid").to_pylist(), strict=True)]
                 part = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("cell", "salt", "member", "sid")), pa.array([s.tobytes() for s in sets], pa.binary())], ["cell", "salt", "member", "sid", "shingles"])
                 yield part.filter(pa.array(keep, pa.bool_()))
@@ -448,7 +468,7 @@ def _measured(pairs: DataFrame, points: DataFrame, texts: DataFrame) -> DataFram
                 either.append(len(both) - k)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(common, pa.int32()), pa.array(either, pa.int32())], ["a", "b", "common", "either"])
 
-    found = _narrowed(texts, wanted.select("doc_id").distinct()).join(wanted, "doc_id")
+    found = _narrowed(texts, wanted.select("tid").distinct()).join(wanted, "tid")
     sets = found.mapInArrow(shingled, _MEMBERS)
     dealt = sets.repartition("cell", "salt").sortWithinPartitions("cell", "salt", "member")
     return dealt.mapInArrow(compared, "a long, b long, common int, either int")
@@ -510,6 +530,24 @@ def _near(rows: DataFrame) -> DataFrame:
     return dealt.select("block", "salt", "role", "sid", "n", "c", "d", "sketch").mapInArrow(run, "a long, b long").distinct()
 
 
+def _hot_apart(rows: DataFrame, values: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """``rows`` joined with ``values`` (one row per key, ``weight``: rows that have it).
+
+    Keys of very many rows are few (below HOT_SHARE of them, by their definition), so their values
+    are broadcast and their rows stay where they are; the rest is shuffled.
+    """
+    limit = max(HOT_ROWS, total // HOT_SHARE)
+    hot = values.filter(F.col(weight) > limit)
+    if hot.isEmpty():
+        return rows.join(values, key)
+    few = F.broadcast(hot)
+    return rows.join(few, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(values.filter(F.col(weight) <= limit), key))
+
+
+def _distance() -> Column:
+    return 1 - F.col("common") / F.col("either")
+
+
 class _Join:
     """The recursion: known distances, and the component of every point that has a link."""
 
@@ -554,24 +592,34 @@ def join_components(docs: DataFrame, text: str = "text") -> DataFrame:
     with a null id takes part, but no component is named after it (one of null ids only is null).
     Rows that repeat an id are points of their own with that id. Other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    count = docs.count()
-    bits = min(20, max(6, math.ceil(math.log2(max(1, count * 100 / BUCKET)))))
+    tid = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col(text))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), tid.alias("tid"))
     spark = docs.sparkSession
-    common = levels(docs)
+    first = written(_first_pass(docs), "first")
+    common = levels(first.filter("chunk is not null").select("chunk", "data"))
+    marks = written(first.filter("chunk is null").select("doc_id", "tid", "sid", "n", "sketch"), "marks")
+    discard(first)
     release(spark)
-    table = written(_prefixes(docs, common, bits), "prefixes")
-    marks = written(table.filter("bucket < 0").select("doc_id", "sid", "n", "sketch"), "marks")
-    found = written(_blocks(table.filter("bucket >= 0")), "found")
+    # one row per distinct set; of a set that very many rows have, one row is cut into shingles
+    sets = written(marks.filter("n > 0").groupBy("sid").agg(F.count("*").alias("rows"), F.min("doc_id").alias("low"), F.min("tid").alias("tid")), "sets")
+    count = marks.count()
+    bits = min(30, max(6, math.ceil(math.log2(max(1, count * 100 / BUCKET)))))
+    hot = sets.filter(F.col("rows") > max(HOT_ROWS, count // HOT_SHARE)).select("sid", "tid").collect()
+    shares = _prefixes(docs, common, bits, frozenset(r["sid"] for r in hot))
+    if hot:
+        one_each = docs.filter(F.col("tid").isin([r["tid"] for r in hot])).dropDuplicates(["tid"])
+        shares = shares.unionByName(_prefixes(one_each, common, bits))
+    table = written(shares, "prefixes")
+    found = written(_blocks(table), "found")
     discard(table)
-    del table
+    del table, first
     release(spark)
     blocks = _open_blocks(found)
     discard(found)
     del found
-    points = marks.join(blocks.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("doc_id"), F.first("sketch").alias("sketch"))
+    points = marks.join(blocks.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("tid").alias("tid"), F.first("sketch").alias("sketch"))
     points = written(points, "points")
-    texts = written(_narrowed(docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(0))), points), "texts")
+    texts = written(_narrowed(docs, points).dropDuplicates(["tid"]), "texts")
     release(spark)
     join = _Join(points, texts)
 
@@ -583,7 +631,16 @@ def join_components(docs: DataFrame, text: str = "text") -> DataFrame:
     join.measure(cells)
 
     # border points meet the pivots of other components whose regions they reach
-    rest = join.labelled(join.labelled(pairs.select(F.col("pivot").alias("a"), F.col("sid").alias("b")), "a", "x"), "b", "y").filter("x <> y").select("a", "b")
+    own = join.known.select(F.col("a").alias("own"), "b", _distance().alias("d"))
+    border = join.labelled(join.labelled(pairs.select(F.col("pivot").alias("a"), F.col("sid").alias("b")), "a", "x"), "b", "y").filter("x <> y").select("a", "b")
+    border = written(border.join(join.known.select("a", "b"), ["a", "b"], "left_anti").join(own, "b", "left"), "border")
+    between = border.filter("own is not null").groupBy(F.least("own", "a").alias("a"), F.greatest("own", "a").alias("b")).agg(F.count("*").alias("k")).filter(F.col("k") >= BETWEEN).select("a", "b")
+    join.measure(between.join(join.known.select("a", "b"), ["a", "b"], "left_anti"))
+    apart = join.known.select(F.col("a").alias("lo"), F.col("b").alias("hi"), _distance().alias("dp"))
+    border = border.withColumn("lo", F.least("own", "a")).withColumn("hi", F.greatest("own", "a")).join(apart, ["lo", "hi"], "left")
+    r = 1 - THRESHOLD / 100
+    rest = border.filter(F.col("dp").isNull() | (F.col("dp") - 2 * F.col("d") <= 2 * r + 1e-9)).select("a", "b")
+    rest = join.labelled(join.labelled(rest, "a", "x"), "b", "y").filter("x <> y").select("a", "b")
     join.measure(rest.join(join.known.select("a", "b"), ["a", "b"], "left_anti"))
 
     # blocks that still hold several components: their other points become pivots
@@ -603,13 +660,15 @@ def join_components(docs: DataFrame, text: str = "text") -> DataFrame:
         done = used if done is None else done.unionByName(used)
         open_rows = written(now.join(several, "block", "left_semi").drop("c", "pc"), "open")
         met = now.join(new.select("block").distinct(), "block", "left_semi").withColumn("role", F.lit(1)).unionByName(new.withColumn("role", F.lit(0)))
-        d = join.known.groupBy(F.col("a").alias("pivot"), F.col("b").alias("sid")).agg(F.first(1 - F.col("common") / F.col("either")).alias("d"))
+        d = join.known.groupBy(F.col("a").alias("pivot"), F.col("b").alias("sid")).agg(F.first(_distance()).alias("d"))
         met = met.join(d, ["pivot", "sid"], "left").join(points.select("sid", "sketch"), "sid")
         join.measure(_near(met.select("block", "role", "sid", "n", "c", "d", "sketch")).join(join.known.select("a", "b"), ["a", "b"], "left_anti"))
 
-    of = join.labelled(marks.filter("n > 0"), "sid", "label")
-    smallest = of.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    linked = of.join(smallest, "label").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    named = written(join.labelled(sets.select("sid", "rows", "low"), "sid", "label"), "named")
+    smallest = named.groupBy("label").agg(F.min("low").alias("component_id"), F.count("*").alias("sets"))
+    of = _hot_apart(named, smallest, "label", "sets", count).select("sid", "rows", "component_id")
+    of = written(of, "of")
+    linked = _hot_apart(marks.filter("n > 0").select("doc_id", "sid", "n"), of, "sid", "rows", count).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     alone = marks.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
 
@@ -621,5 +680,6 @@ def one_per_component(docs: DataFrame, text: str = "text") -> DataFrame:
     no other id. Rows that repeat the id that names a group are one document and all stay.
     """
     found = join_components(docs, text)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["__id"]), "left_semi")
+    name = fresh_name(docs, "id")
+    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay[name]), "left_semi")
