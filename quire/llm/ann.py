@@ -122,21 +122,20 @@ def neighbours(table: DataFrame, *, every: int = 100, k: int = 10, embedding: st
     """``query_id``, ``rank``, ``vec_id``, ``score``: for rows whose vec_id is divisible by ``every``,
     the ``k`` nearest found among all others by Euclidean distance; ties to smaller ids.
 
-    Null, zero and non-finite vectors take no part (``vectors.valid``). The index is fitted on a
-    bounded sample (``vectors.SAMPLE``) and holds every vector. A query never finds its own id, and
+    Null, zero and non-finite vectors take no part (``vectors.valid``); vectors of different lengths
+    have no distance and are searched apart. The index is fitted on a bounded sample (``vectors.SAMPLE``) and holds every vector. A query never finds its own id, and
     probes further lists while those so far hold too few vectors to answer it. An empty table gives
     an empty result.
     """
-    spark = table.sparkSession
-    good, width = V.valid(table, embedding=embedding, nonzero=True)
-    count = good.count()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not count:
-        return spark.createDataFrame([], schema)
+    found = V.by_length(*V.valid(table, embedding=embedding, nonzero=True), lambda good, width, count: _candidates(good, width, count, every, k), FOUND)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _candidates(good: DataFrame, width: int, count: int, every: int, k: int) -> DataFrame:
+    """FOUND: each query's ``k`` nearest within each data group that it probes, for vectors of one length."""
+    spark = good.sparkSession
     ids, x = V.sample(good, count)
-    if not len(ids):
-        first = good.orderBy("vec_id").first()
-        ids, x = np.array([first[0]], dtype=np.int64), np.array([first[1]], dtype=np.float64)
     lists = Lists(ids, x, int(min(max(LISTS[0], count**0.5), LISTS[1])), k)
     centres = lists.centres
     index = V.keyed(good, width, lambda v: V.nearest(v, centres), "lists")
@@ -162,6 +161,4 @@ def neighbours(table: DataFrame, *, every: int = 100, k: int = 10, embedding: st
         for a, b, s in shipped.value.search(data, *q):
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
 
-    found = V.on_grid(blocks, queries, search, FOUND, pairs)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return V.on_grid(blocks, queries, search, FOUND, pairs)

@@ -54,20 +54,31 @@ class PivotIndex:
             return np.full(len(q), -np.inf)
         return np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k]
 
+    def to_pivots(self, q: np.ndarray) -> np.ndarray:
+        return V.distances(np.concatenate([q, np.zeros((len(q), 1))], 1), self.pivots)
+
+    def reach(self, q: np.ndarray, to_pivots: np.ndarray, part: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(how far each query is from each annulus at least, the best score that this leaves)."""
+        d = to_pivots[:, part]
+        apart = np.maximum(np.maximum(d - hi, lo - d), 0)
+        # the slack covers the rounding of distances; it only admits more
+        apart = np.maximum(apart - 1e-6 * (1 + d), 0)
+        return apart, ((q * q).sum(1)[:, None] + self.norm2 - apart * apart) / 2 + 1e-6 * (1 + self.norm2)
+
+    def reached(self, ranges: tuple[np.ndarray, ...], asked: tuple[np.ndarray, ...]) -> np.ndarray:
+        """Annuli in which some query may still find an answer, given the queries' first bounds."""
+        _, q, bounds = asked
+        return (self.reach(q, self.to_pivots(q), *ranges)[1] >= bounds[:, None]).any(axis=0)
+
     def search(self, blocks: list, ids: np.ndarray, q: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(query ids, vector ids, scores) of each query's k best of ``blocks`` that reach its bound."""
         part = np.array([b[0] for b in blocks])
         lo, hi = np.array([b[1] for b in blocks]), np.array([b[2] for b in blocks])
-        to_pivots = V.distances(np.concatenate([q, np.zeros((len(q), 1))], 1), self.pivots)
-        q2 = (q * q).sum(1)
+        to_pivots = self.to_pivots(q)
         order = np.argsort(to_pivots.argmin(1), kind="stable")
         for at in range(0, len(order), TOGETHER):
             own = order[at : at + TOGETHER]
-            d = to_pivots[own][:, part]
-            apart = np.maximum(np.maximum(d - hi, lo - d), 0)
-            # the slack covers the rounding of distances; it only admits more
-            apart = np.maximum(apart - 1e-6 * (1 + d), 0)
-            most = (q2[own][:, None] + self.norm2 - apart * apart) / 2 + 1e-6 * (1 + self.norm2)
+            apart, most = self.reach(q[own], to_pivots[own], part, lo, hi)
             best_i = np.full((len(own), self.k), np.iinfo(np.int64).max)
             best_k = np.full((len(own), self.k), np.inf)
             least = bounds[own].copy()
@@ -103,21 +114,26 @@ def top_k(table: DataFrame, *, every: int = 20, k: int = 20, scale: float = 64.0
     """``query_id``, ``rank``, ``vec_id``, ``score``: for rows whose vec_id is divisible by ``every``,
     the ``k`` best of all others by the inner product of floor(scale * component); ties to smaller ids.
 
-    Null vectors and vectors with null or non-finite components take no part (``vectors.valid``). A
-    query never finds its own id; equal vectors under other ids are found like any. Rows that repeat
-    an id with another vector are each candidates. An empty table gives an empty result.
+    Null vectors and vectors with null or non-finite components take no part (``vectors.valid``);
+    vectors of different lengths have no product and are searched apart. A query never finds its own
+    id; equal vectors under other ids are found like any. Rows that repeat an id with another vector
+    are each candidates. An empty table gives an empty result.
+
+    Data groups are met only by query groups that a triangle bound doesn't rule out for all their
+    queries.
     """
-    spark = table.sparkSession
-    good, width = V.valid(table, embedding=embedding)
+    found = V.by_length(*V.valid(table, embedding=embedding), lambda good, width, _: _candidates(good, width, every, k, scale), FOUND)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _candidates(good: DataFrame, width: int, every: int, k: int, scale: float) -> DataFrame:
+    """FOUND: each query's ``k`` best within each data group that it reaches, for vectors of one length."""
+    spark = good.sparkSession
     whole = good.withColumn("embedding", F.transform("embedding", lambda x: F.floor(x * scale).cast("double")))
     square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
     count, norm2 = whole.agg(F.count("*"), F.max(square)).first()
-    if not count:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     ids, x = V.sample(whole, count)
-    if not len(ids):
-        first = whole.orderBy("vec_id").first()
-        ids, x = np.array([first[0]], dtype=np.int64), np.array([first[1]], dtype=np.float64)
     shipped = spark.sparkContext.broadcast(PivotIndex(ids, x, norm2, k))
     index = V.keyed(whole, width, lambda v: V.nearest(shipped.value.augmented(v), shipped.value.pivots), "pivots")
     asked = index.filter(F.col("vec_id") % every == 0)
@@ -128,6 +144,5 @@ def top_k(table: DataFrame, *, every: int = 20, k: int = 20, scale: float = 64.0
         for a, b, s in shipped.value.search(data, *q):
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s.astype(np.int64), pa.int64())], ["query_id", "vec_id", "score"])
 
-    found = V.on_grid(blocks, queries, search, FOUND)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    pairs = V.pairs_within_reach(blocks, queries, lambda ranges, asked: shipped.value.reached(ranges, asked))
+    return V.on_grid(blocks, queries, search, FOUND, pairs)

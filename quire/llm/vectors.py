@@ -28,26 +28,40 @@ BLOCKS = "grp int, part int, lo double, hi double, ids binary, vecs binary"
 QUERIES = "qgrp int, ids binary, vecs binary, bounds binary"
 
 
-def valid(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", nonzero: bool = False) -> tuple[DataFrame, int]:
-    """(``vec_id`` long, ``embedding`` array<double>) of the vectors that take part, and their length.
+def valid(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", nonzero: bool = False) -> tuple[DataFrame, dict[int, int]]:
+    """(``vec_id`` long, ``embedding`` array<double>) of the vectors that take part, and how many there are of each length.
 
-    Null vectors, null or non-finite components, null ids, empty vectors and vectors of another
-    length than most have don't take part; with ``nonzero``, nor do zero vectors.
+    Null vectors, null or non-finite components, null ids and empty vectors don't take part; with
+    ``nonzero``, nor do zero vectors. Neither products nor distances are defined between vectors of
+    different lengths, so each length is a search of its own (``by_length``).
     """
     ok = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     found = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
     found = found.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)).filter(F.coalesce(ok, F.lit(False)))
     if nonzero:
         found = found.filter(F.exists("embedding", lambda x: x != 0))
-    lengths = found.groupBy(F.size("embedding").alias("n")).count().orderBy(F.col("count").desc(), "n").first()
-    n = lengths["n"] if lengths else 0
-    return found.filter(F.size("embedding") == n), n
+    lengths = found.groupBy(F.size("embedding").alias("n")).count().collect()
+    return found, {r["n"]: r["count"] for r in sorted(lengths)}
+
+
+def by_length(found: DataFrame, lengths: dict[int, int], search: Callable[[DataFrame, int, int], DataFrame], schema: str) -> DataFrame:
+    """The union of ``search(vectors, length, count)`` over all lengths."""
+    out = None
+    for n, count in lengths.items():
+        part = search(found.filter(F.size("embedding") == n) if len(lengths) > 1 else found, n, count)
+        out = part if out is None else out.unionByName(part)
+    return found.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def sample(vectors: DataFrame, count: int, size: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, vectors) of about ``size`` of the ``count`` vectors, by hash of the id, in id order."""
+    """(ids, vectors) of about ``size`` of the ``count`` vectors, by hash of id and vector, in id order.
+
+    Repeated rows count once, so no id brings more than its share, and the one with the smallest
+    hash is always there.
+    """
+    h = F.pmod(F.xxhash64(F.lit(11), "vec_id", "embedding"), F.lit(1_000_000))
     share = min(1_000_000, -(-1_000_000 * size // max(1, count)))
-    rows = vectors.filter(F.pmod(F.xxhash64(F.lit(11), "vec_id"), F.lit(1_000_000)) < share).collect()
+    rows = vectors.filter(h < share).distinct().collect() or vectors.orderBy(h, "vec_id").limit(1).collect()
     rows.sort(key=lambda r: (r[0], r[1]))
     return np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64)
 
@@ -158,8 +172,35 @@ def packed_queries(index: DataFrame, count: int, width: int, bounds: Callable[[n
     return dealt.select(F.spark_partition_id().alias("qgrp"), "vec_id", "embedding").mapInArrow(run, QUERIES)
 
 
+#: Blocks' ranges that are sent to all tasks at most: about 24 bytes each.
+RANGES = 1_000_000
+
+
+def pairs_within_reach(blocks: DataFrame, queries: DataFrame, reached: Callable[[tuple[np.ndarray, ...], tuple[np.ndarray, ...]], np.ndarray]) -> DataFrame | None:
+    """``grp``, ``qgrp``: data groups that may hold an answer of a query group; None: too many ranges to say.
+
+    ``reached((part, lo, hi) of all ranges, (ids, vectors, bounds))`` says which ranges some query reaches.
+    """
+    ranges = blocks.groupBy("grp", "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    rows = ranges.limit(RANGES + 1).collect()
+    if len(rows) > RANGES:
+        return None
+    group = np.array([r[0] for r in rows], np.int64)
+    known = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+    shipped = blocks.sparkSession.sparkContext.broadcast((group, known))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, known = shipped.value
+        for batch in batches:
+            for g, i, v, b in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                some = np.unique(group[reached(known, (*unpack(i, v), np.frombuffer(b, np.float64)))])
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([g] * len(some), pa.int32())], ["grp", "qgrp"])
+
+    return queries.select("qgrp", "ids", "vecs", "bounds").mapInArrow(run, "grp int, qgrp int").distinct()
+
+
 def on_grid(blocks: DataFrame, queries: DataFrame, search: Callable[[list, tuple], Iterator[pa.RecordBatch]], schema: str, pairs: DataFrame | None = None) -> DataFrame:
-    """``search(blocks, (ids, vectors, bounds))`` for every data group and query group; with ``pairs`` (grp, qgrp) only for those."""
+    """``search(blocks, (ids, vectors, bounds))`` for the pairs (grp, qgrp) of data and query groups; without ``pairs`` for each."""
     if pairs is None:
         # group numbers only: one row per group on either side, not per vector
         g, q = blocks.select("grp").distinct(), queries.select("qgrp").distinct()
