@@ -8,6 +8,7 @@ nearest vote with their similarities as weights.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 import zlib
 
@@ -17,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import slices, worker_state
+from quire.llm.common import fresh_name, slices, worker_state
 
 #: Labelled rows that the fit uses at most (those with the smallest hashes of their ids).
 SAMPLE = 4096
@@ -26,6 +27,8 @@ AXES, NEIGHBOURS = 48, 25
 #: Cells for word shapes, words and whole-text measures.
 SHAPES, WORDS, MEASURES = 512, 1024, 64
 FEATURES = SHAPES + WORDS + MEASURES
+#: Letters above which a word is kept under a digest instead of itself.
+LONG = 64
 #: Texts whose similarities are computed at once.
 BLOCK = 256
 
@@ -36,8 +39,8 @@ _MARKS = ".,;:!?*&%$#|\"')]}"
 
 
 def shape(word: str) -> str:
-    """Runs of letters and digits as classes, everything else as it is, repeats up to three kept."""
-    s = word[:64]
+    """The whole word: runs of letters and digits as classes, everything else as it is, repeats up to three kept."""
+    s = word
     core = s.rstrip(_MARKS)
     if core.isalpha() and len(core) > 1:  # most words: letters, then marks
         low = core.lower()
@@ -62,10 +65,10 @@ class Features:
         self._clear()
 
     def _clear(self):
-        self._no: dict[str, int] = {}
+        self._no: dict[str | bytes, int] = {}  # long words are kept under a digest
         self._about = np.zeros((4096, 5), dtype=np.int64)
 
-    def _number(self, w: str) -> int:
+    def _number(self, w: str, key: str | bytes) -> int:
         n = len(self._no)
         if n == len(self._about):
             self._about = np.vstack([self._about, np.zeros_like(self._about)])
@@ -74,7 +77,7 @@ class Features:
         code = zlib.crc32(low.encode("utf-8", "replace"))
         own = zlib.crc32(low.strip(".,;:!?").encode("utf-8", "replace")) % WORDS
         self._about[n] = (zlib.crc32(shaped.encode("utf-8", "replace")) % SHAPES, SHAPES + own, code, marks, w.isupper())
-        self._no[w] = n
+        self._no[key] = n
         return n
 
     def vector(self, text: str | None) -> np.ndarray:
@@ -84,9 +87,10 @@ class Features:
         words, get = text.split(), self._no.get
         if not words:
             return np.zeros(FEATURES)
-        at = [get(w, -1) for w in words]
+        keys = words if len(max(words, key=len)) <= LONG else [w if len(w) <= LONG else hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=16).digest() for w in words]
+        at = [get(k, -1) for k in keys]
         if -1 in at:
-            at = [self._number(w) if i < 0 and w not in self._no else self._no[w] for w, i in zip(words, at, strict=True)]
+            at = [self._number(w, k) if i < 0 and k not in self._no else self._no[k] for w, k, i in zip(words, keys, at, strict=True)]
         at = np.array(at, dtype=np.intp)
         about = self._about[at]
         out = np.bincount(about[:, :2].ravel(), minlength=FEATURES).astype(np.float64)
@@ -191,14 +195,15 @@ def score_quality(docs: DataFrame, labelled: DataFrame, *, text: str = "text", k
     are read whole. Repeated rows get equal scores; columns beyond ``keep`` and ``text`` are not read.
     """
     shipped, names, tag = docs.sparkSession.sparkContext.broadcast(fit(labelled)), list(keep), uuid.uuid4().hex
+    source = fresh_name(docs, "text")
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double, predicted int"])
 
     def run(batches):
         model, f = shipped.value, worker_state(tag, Features)
         for batch in batches:
-            for lo, rows in slices(batch.column("__text"), BLOCK):
+            for lo, rows in slices(batch.column(source), BLOCK):
                 part = batch.slice(lo, rows)
-                scores = model.scores(np.array([f.vector(t.as_py()) for t in part.column("__text")]))
+                scores = model.scores(np.array([f.vector(t.as_py()) for t in part.column(source)]))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32), pa.int32())], [*names, "score", "predicted"])
 
-    return docs.select(*names, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*names, F.col(text).alias(source)).mapInArrow(run, schema)
