@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import WORD, written
+from quire.llm.common import WORD, fresh_name, written
 
 #: Slots of the schedule, about; also the bound on all sources' blocks (plus one for each source).
 SLOTS = 1 << 17
@@ -98,7 +98,8 @@ def mix(docs: DataFrame, *, text: str = "text", weights: tuple[int, ...] = (1, 2
     source of its own, last in order; repeated rows are laid out one after the other and each
     taken on its own; an empty table gives an empty result. Other columns are ignored.
     """
-    h = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    # the text's hash keeps rows that share an id, or have none, from falling on one place
+    h = F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64(F.col(text)))
     sized = written(sizes(docs.select("doc_id", "source", F.col(text).alias("text"))).select("doc_id", "source", "size", h.alias("h")), "sizes")
     total = sized.agg(F.count("*"), F.sum("size")).first()
     bits = max(0, math.ceil(math.log2(max(1, total[0] / bucket_rows))))
@@ -136,6 +137,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     that repeat a doc_id are mixed as what they are, but all of them get the largest number of
     copies among them.
     """
-    copies = mix(docs, **options).groupBy("doc_id").agg(F.max(F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)).alias("__copies"))
-    out = docs.join(copies.filter("__copies > 0"), docs["doc_id"].eqNullSafe(copies["doc_id"])).select(*(docs[c] for c in docs.columns), "__copies")
-    return out.withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("__copies")
+    name = fresh_name(docs, "copies")
+    copies = mix(docs, **options).groupBy("doc_id").agg(F.max(F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)).alias(name))
+    out = docs.join(copies.filter(F.col(name) > 0), docs["doc_id"].eqNullSafe(copies["doc_id"])).select(*(docs[c] for c in docs.columns), name)
+    return out.withColumn(name, F.explode(F.sequence(F.lit(1), F.col(name).cast("int")))).drop(name)
