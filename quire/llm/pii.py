@@ -9,7 +9,8 @@ stays as it is.
 ================  =====================================  ==========================================
 kind              validated by                           pseudonym
 ================  =====================================  ==========================================
-card number       13-19 digits, issuer range, Luhn       digits permuted, check digit recomputed
+card number       13-19 digits, issuer range, Luhn       digits permuted within the issuer ranges,
+                                                         check digit recomputed
 IBAN              length, checksum modulo 97             digits permuted, checksum recomputed
 SSN               area, group and serial ranges          digits permuted within the valid ranges
 phone number      8-15 digits, a telephone layout        subscriber digits permuted
@@ -30,6 +31,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import fresh_name
+
 #: Half rounds of the Feistel network.
 ROUNDS = 8
 #: Days from 1900-01-01 to 2099-12-31, and the factors of the range they are permuted over.
@@ -137,11 +140,17 @@ def _mod97(s: str) -> str:
     )
 
 
+#: How numbers of the known card networks begin.
+ISSUERS = "^(?:4|5[0-9]|6|3[4-9]|30|222[1-9]|22[3-9]|2[3-6]|27[01]|2720)"
+
+
 def _card(key: str) -> str:
-    valid = "(x.d rlike r'^(?:4|5[0-9]|6|3[4-9]|30|222[1-9]|22[3-9]|2[3-6]|27[01]|2720)' and length(x.d) between 13 and 19 and " + _luhn("x.d") + " = 0)"
-    body = "substr(x.d, 2, length(x.d) - 2)"  # the first digit names the network and stays; the last is the check digit
-    new = _let("p", f"concat(substr(x.d, 1, 1), {_let('q', body, _digits('q', "'card'", key))})", _let("z", "concat(p, '0')", f"concat(p, cast((10 - {_luhn('z')}) % 10 as string))"))
-    # issuer ranges of the second digit may be left by the permutation; the format (length, network digit, Luhn) is kept
+    """The first digit names the network and stays, the last is the check digit; what is between is permuted until an issuer range is met again."""
+    valid = f"(x.d rlike r'{ISSUERS}' and length(x.d) between 13 and 19 and {_luhn('x.d')} = 0)"
+    step = _let("q", "u.b", _digits("q", "'card'", key))
+    # at least half of the numbers of each network are in its ranges, so WALK steps leave no value without an end
+    walked = f"aggregate(sequence(1, {WALK}), named_struct('b', substr(x.d, 2, length(x.d) - 2), 'done', false), (u, e) -> case when u.done then u else {_let('y', step, f'named_struct(\'b\', y, \'done\', concat(substr(x.d, 1, 1), y) rlike r\'{ISSUERS}\')')} end)"
+    new = _let("p", f"concat(substr(x.d, 1, 1), ({walked}).b)", _let("z", "concat(p, '0')", f"concat(p, cast((10 - {_luhn('z')}) % 10 as string))"))
     return f"case when {valid} then {_let('n', new, _refill('x.m', 'n'))} end"
 
 
@@ -263,17 +272,20 @@ def _numbers(key: str) -> str:
     return f"case when g rlike {_lit(START)} then {_let('p', f'split(g, {_lit("(?=" + START + ")")}, -1)', _let('t', tried, f'flatten(({whole}).out)'))} else array(named_struct('text', g, 'hit', cast(null as struct<kind: string, old: string, new: string>))) end"
 
 
-def pseudonymised(docs: DataFrame, key: str = "quire", text: str = "text") -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with ``text`` pseudonymised, ``n_pii`` (replacements) and ``pii_kinds`` (their kinds, in text order).
 
     Rows stay one to one, whatever repeats. Null text stays null with 0 replacements and no kinds;
-    an empty or clean text is returned as it is. Columns named n_pii or pii_kinds are replaced;
-    the helper columns' names are not used by other columns because they are dropped by position.
+    an empty or clean text is returned as it is. Columns named n_pii or pii_kinds are replaced; all
+    others stay, whatever their names. Whoever has the ``key`` can invert the permutations. It is a
+    literal of the plan: let spark.sql.redaction.string.regex match it where plans are logged.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     if "'" in key or "\\" in key:
         raise ValueError("the key may hold neither quotes nor backslashes")
     k = f"'{key}'"
-    parts = "__quire_parts"
+    parts = fresh_name(docs, "parts")
     any_pii = F.col(text).rlike("[0-9@]|(?i:token|secret|passw|key)") & F.col(text).rlike(WORDS + "|" + START)
     kept = docs.drop("n_pii", "pii_kinds")
     word = "transform(slice(v, i + 1, 1), h -> named_struct('text', h.new, 'hit', h))"

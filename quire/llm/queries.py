@@ -15,6 +15,14 @@ VOCABULARY = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
 
 
+#: The key of the pseudonyms is the session's; this one is for trying things out and protects nothing.
+KEY_SETTING, TRIAL_KEY = "spark.quire.pii.key", "not-a-secret"
+
+
+def pii_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, TRIAL_KEY)
+
+
 def vocabulary(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
@@ -83,7 +91,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.pii import pseudonymised
 
-    return pseudonymised(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_pii", F.array_join("pii_kinds", ",").alias("pii_kinds"))
+    return pseudonymised(table(spark, sf_dir, "documents"), pii_key(spark)).select("doc_id", "text", "n_pii", F.array_join("pii_kinds", ",").alias("pii_kinds"))
 
 
 QUERIES = {"op1_topk": op1_topk, "op2_jaccard": op2_jaccard, "op3_bpe": op3_bpe, "op4_token_counts": op4_token_counts, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_ann": op8_ann, "op9_langid": op9_langid, "op10_pii": op10_pii}
@@ -102,6 +110,24 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
     """,
+    "op2_jaccard": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS shingle FROM w
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), p AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL
+        ), l AS (
+            SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)
+        ), e AS (
+            SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+        ), r AS (
+            SELECT doc_id, doc_id AS node FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.node
+        )
+        SELECT r.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(node) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+    """,
     "op7_warc": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS body FROM pages
