@@ -1,11 +1,13 @@
 """Vector searches and the Jaccard join against brute force."""
 
+import random
 from collections import defaultdict
 
 import numpy as np
 import pytest
 
 from quire.llm import ann, jaccard, queries, topk
+from quire.llm import vectors as V
 from quire.llm.components import components
 
 
@@ -167,3 +169,48 @@ def test_components(spark):
         got[r["label"]].add(r["node"])
     assert sorted(map(sorted, got.values())) == [[1, 2, 3, 4], [10, 11, 12]]
     assert components(links.limit(0)).count() == 0
+
+
+def test_near_copies_without_ids_stay_linear(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [rng.choice("abcdefgh") * rng.randint(1, 4) + str(rng.randint(0, 99)) for _ in range(120)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        words[i % 120] = f"edit{i}"
+        rows.append((None, " ".join(words)))
+    rows += [(7, " ".join(base)), (7, " ".join(base)), (8, "nothing of that kind is here"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    met = []
+    plain = jaccard._measured
+
+    def counted(pairs, points, texts):
+        met.append((pairs.count(), texts.count()))
+        return plain(pairs, points, texts)
+
+    monkeypatch.setattr(jaccard, "_measured", counted)
+    got = jaccard.join_components(df).collect()
+    assert sorted({r["component_id"] for r in got if r["n_shingles"] > 100}, key=str) == [7] and len(got) == len(rows)
+    assert max(t for _, t in met) <= 302 and sum(p for p, _ in met) < 3000
+
+
+def test_copies_of_one_set_are_cut_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT_ROWS", 20)
+    texts = ["this very long sentence is found in most of all rows here"] * 200 + ["this very long sentence is found in most of all rows here too", "another one that is alone in the world"]
+    df = spark.createDataFrame([(i if i % 3 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard.join_components(df).collect() if r["doc_id"] is not None}
+    assert got == {(i, 201 if i == 201 else 1) for i in range(202) if i % 3}
+
+
+def test_vectors_of_several_lengths_are_searched_apart(spark):
+    rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)] + [(100 + i, [float(i), 1.0]) for i in range(5)] + [(200, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for found in (topk.top_k(df, every=20, k=3), ann.neighbours(df, every=20, k=3)):
+        got = {(r["query_id"], r["vec_id"]) for r in found.collect()}
+        assert {q for q, _ in got} == {0, 20, 40, 100}
+        assert all((q >= 100) == (v >= 100) for q, v in got) and sum(q == 100 for q, _ in got) == 3
+
+
+def test_rows_that_repeat_an_id_bring_one_sample(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0])] * 5000 + [(2, [2.0, 1.0])], "vec_id long, embedding array<double>")
+    assert len(V.sample(df, 5001, 10)[0]) <= 2

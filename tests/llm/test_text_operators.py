@@ -1,11 +1,15 @@
 """Tokenisation, language, quality, mixing, archives, pseudonyms and the pipeline on small inputs."""
 
+import datetime
+import hashlib
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from quire.llm import bpe, langid, mixing, pii, quality, queries, token_counts, warc
@@ -40,16 +44,20 @@ def test_bpe_matches_the_library(spark, library):
     assert bpe.encode_documents(df.limit(0), JSON).count() == 0
 
 
-def test_transducer_is_exact_and_shares_suffixes():
+def test_transducer_is_exact_and_shares_suffixes(tmp_path):
+    def mapped(entries):
+        (tmp_path / "lexicon").write_bytes(bpe.compile_lexicon(entries))
+        return bpe.Lexicon(str(tmp_path / "lexicon"))
+
     rng = random.Random(3)
     words = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 9))).encode(): [rng.randint(1, 5) for _ in range(rng.randint(1, 4))] for _ in range(800)}
-    lexicon = bpe.Lexicon(bpe.compile_lexicon(words.items()))
+    lexicon = mapped(words.items())
     assert all(lexicon.get(w) == ids for w, ids in words.items())
     assert all(lexicon.get(w) is None for w in (b"abcabcabcabc", b"x", b"") if w not in words)
     shared = bpe.compile_lexicon([(p + b"ening", [7]) for p in (b"op", b"happ", b"list")])
     apart = bpe.compile_lexicon([(p + s, [7]) for p, s in ((b"op", b"abcde"), (b"happ", b"fghij"), (b"list", b"klmno"))])
     assert len(shared) < len(apart)
-    assert bpe.Lexicon(bpe.compile_lexicon([])).get(b"a") is None
+    assert mapped([]).get(b"a") is None
 
 
 def test_merges_short_and_long_agree():
@@ -58,17 +66,40 @@ def test_merges_short_and_long_agree():
     for _ in range(200):
         ids = [rule.vocab[rng.choice("abcdeinorst")] for _ in range(rng.randint(1, 60))]
         assert rule._merge_short(list(ids)) == rule._merge_long(list(ids))
+    pieces = ["".join(rng.choice("abcdeinorsté日!") for _ in range(rng.choice([1, 3, 9, 30, 200]))) for _ in range(200)]
+    ids, sizes = rule.merge_many([p.encode() for p in pieces])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [rule.merge(p) for p in pieces]
 
 
-@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
 def test_splicing_equals_whole_encoding(name):
-    encode = token_counts.json_encoder(queries.vocabulary(name))
-    counter = token_counts.JsonCounter(queries.vocabulary(name))
+    path = queries.vocabulary(name)
+    if name.endswith(".json"):
+        encode, stable, counter = token_counts.json_encoder(path), token_counts.json_boundaries(path), token_counts.JsonCounter(path)
+    else:
+        encode, stable, counter = token_counts.model_encoder(path), token_counts.model_boundaries(path), None
     for t in [*odd_texts(300, 2), "a b c d e f g " * 40, "no-space" * 100]:
         whole = encode(t)[0]
-        assert counter.counts([t]) == [len(whole)]
+        if counter:
+            assert counter.counts(pa.array([t], pa.string())).tolist() == [len(whole)]
         for chunk, overlap in ((10, 3), (40, 12)):
-            assert [i for part in token_counts.spliced(t, encode, chunk, overlap) for i in part] == whole
+            assert [i for part in token_counts.spliced(t, encode, stable, chunk, overlap) for i in part] == whole
+
+
+@pytest.mark.parametrize(("name", "texts"), [("word_bpe_49k.json", ["слово дело ", "日本語学校に行く。今天天气很好，", "0123456789", "some words "]), ("byte_bpe_50k.json", ["слово дело ", "日本語学校に行く。", "some words "]), ("piece_bpe_32k.model", ["слово дело ", "some words "])])
+def test_huge_texts_of_any_script_are_encoded_once_and_in_chunks(name, texts):
+    path = queries.vocabulary(name)
+    of = (token_counts.json_encoder, token_counts.json_boundaries) if name.endswith(".json") else (token_counts.model_encoder, token_counts.model_boundaries)
+    encode, stable = (f(path) for f in of)
+    for t in texts:
+        t, calls = t * (200_000 // len(t)), []
+
+        def counted(x, calls=calls):
+            calls.append(len(x))
+            return encode(x)
+
+        assert [i for part in token_counts.spliced(t, counted, stable) for i in part] == encode(t)[0]
+        assert sum(calls) < 1.2 * len(t) and max(calls) < 1.1 * token_counts.CHUNK_CHARS
 
 
 def test_token_counts(spark, library):
@@ -105,7 +136,9 @@ def test_sums_over_segmentations():
                     yield [w[:k], *rest]
 
     words = ["▁ab", "▁abcab", "▁b", "▁zab"]
-    got = np.exp(model.likelihoods(words))
+    runs = langid.Runs("\n".join(w[1:] for w in words).encode())
+    assert runs.words() == words
+    got = np.exp(model.likelihoods(runs))
     expected = [[sum(np.prod([pieces.get(p, langid.UNKNOWN * (1 + k)) / (1 + k) for p in s]) for s in segmentations(w)) for k in (0, 1)] for w in words]
     assert np.allclose(got, expected)
     counts = dict(zip(model.pieces, model.expected(words[:1], np.array([1.0]), 0), strict=True))
@@ -113,6 +146,16 @@ def test_sums_over_segmentations():
     assert np.isclose(counts["ab"], sum(v for s, v in each if "ab" in s) / sum(v for _, v in each))
 
 
+def test_words_of_any_length_and_script_are_one_run():
+    assert langid.words_of("Straße, 12 नमस्ते e\u0301te\u0301 日本語") == ["▁straße", "▁नमस्ते", "▁e\u0301te\u0301", "▁日本語"]
+    long = "ab" * 5000
+    assert langid.words_of(long) == ["▁" + long]
+    model = langid.Pieces({"ab": (0.5, 0.25), "▁": (0.5, 0.5)}, ["x", "y"])
+    got = model.likelihoods(langid.Runs(long.encode()))[0]
+    # the only likely segmentation is all pairs
+    assert np.allclose(got, [np.log(0.5) + 5000 * np.log(0.5), np.log(0.5) + 5000 * np.log(0.25)])
+
+
 def test_language_held_out_accuracy(spark, sf_dir):
     d = sf_dir.replace("sf0.001", "sf0.01")
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang").collect()}
@@ -121,6 +164,55 @@ def test_language_held_out_accuracy(spark, sf_dir):
     assert sum(truth[r["doc_id"]] == r["lang_pred"] for r in rows) / len(rows) >= 0.98
 
 
+def test_language_scores_equal_a_plain_forward_algorithm(spark):
+    model = queries.vocabulary(queries.PIECES)
+    train = spark.createDataFrame([(i, lang, t) for i, (lang, t) in enumerate([("en", "the house and the garden are green " * 20), ("de", "das haus und der garten sind groß " * 20)] * 5)], "doc_id long, lang string, text string")
+    pieces = langid.fit(train, model)
+    prob = dict(zip(pieces.pieces, pieces.table, strict=False))
+
+    def word(w, k):
+        f = [1.0] + [0.0] * len(w)
+        for j in range(1, len(w) + 1):
+            f[j] = sum(f[i] * prob[w[i:j]][k] for i in range(j) if w[i:j] in prob) + (0 if w[j - 1] in prob else f[j - 1] * langid.UNKNOWN)
+        return np.log(f[-1])
+
+    texts = ["The house", "der Garten, groß!", "xyz 日本 house", "garden " * 50, "éa"]
+    langs, scores = langid.Scorer(pieces).scores(pa.array(texts))
+    for t, lang, score in zip(texts, langs.to_pylist(), scores.to_pylist(), strict=True):
+        words = ["▁" + w.lower() for w in regex.findall(r"\p{L}+", t)]
+        z = np.array([sum(word(w, k) for w in words) for k in range(len(pieces.langs))]) * min(1, langid.FULL_WORDS / len(words))
+        assert lang == pieces.langs[z.argmax()] and abs(score - 1 / np.exp(z - z.max()).sum()) < 1e-4
+
+
+def test_languages_beside_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "the house", "a", "b")], "doc_id long, text string, __lang string, __SCORE string")
+    train = spark.createDataFrame([(1, "en", "the house")], "doc_id long, lang string, text string")
+    out = langid.accepted(docs, train, queries.vocabulary(queries.PIECES))
+    assert out.columns == docs.columns and out.collect() == docs.collect()
+
+
+def test_votes_equal_a_plain_vote():
+    rng = np.random.default_rng(5)
+    rows, labels = rng.random((300, quality.FEATURES)) * (rng.random((300, quality.FEATURES)) < 0.05), rng.integers(0, 2, 300)
+    rows[10] = rows[20]  # a tie
+    voters = quality.Voters(np.arange(300), rows, labels)
+    asked = np.concatenate([rows[:30] + rng.random((30, quality.FEATURES)) * 0.02, np.zeros((1, quality.FEATURES))])
+    for x, got in zip(asked, voters.scores(asked), strict=True):
+        v = x @ voters.axes
+        n = np.linalg.norm(v)
+        sims = [round(float(v @ u / n), 9) if n > 1e-12 else 0.0 for u in voters.latent]
+        best = sorted(range(300), key=lambda i: (-sims[i], i))[: quality.NEIGHBOURS]
+        w = [max(0.0, sims[i]) ** 8 for i in best]
+        plain = sum(a * labels[i] for a, i in zip(w, best, strict=True)) / sum(w) if sum(w) > 1e-12 else labels.mean()
+        assert abs(got - plain) < 1e-6
+
+
+def test_shapes_read_whole_words():
+    assert quality.shape("a" * 64 + "!!!###") != quality.shape("a" * 64)
+    f = quality.Features()
+    assert not np.array_equal(f.vector("a" * 70 + "!!!"), f.vector("a" * 70 + "###")) and np.array_equal(f.vector("b" * 90), f.vector("b" * 90))
+
+
 def test_language_edges(spark):
     model = queries.vocabulary(queries.PIECES)
     train = spark.createDataFrame([(i, lang, t) for i, (lang, t) in enumerate([("en", "the house and the garden " * 20), ("de", "das haus und der garten " * 20), (None, "x"), ("fr", None)] * 5)], "doc_id long, lang string, text string")
@@ -191,6 +283,62 @@ def test_mixing(spark):
     assert copies.columns == df.columns
 
 
+def plain_mix(rows, hashes, bits, slots, weights=(1, 2, 3), cap=3):
+    """{row number: words taken}: the schedule drawn slot by slot, documents laid end to end."""
+    named = sorted({r[1] for r in rows if r[1] is not None}) + ([None] if any(r[1] is None for r in rows) else [])
+    sizes = [len((r[2] or "").split()) for r in rows]
+    size = {x: sum(n for r, n in zip(rows, sizes, strict=True) if r[1] == x) for x in named}
+    weight = {x: weights[i % len(weights)] for i, x in enumerate(named)}
+    target, free, left = {}, [x for x in named if size[x]], sum(sizes)
+    while free:
+        level = left / sum(weight[x] for x in free)
+        over = [x for x in free if level * weight[x] > cap * size[x]]
+        if not over:
+            target |= {x: level * weight[x] for x in free}
+            break
+        target |= {x: cap * size[x] for x in over}
+        left, free = left - sum(cap * size[x] for x in over), [x for x in free if x not in over]
+    per_block = max(1, -(-sum(sizes) // slots))
+    blocks = {x: -(-size[x] // per_block) for x in named}
+    need = {x: target[x] * blocks[x] / size[x] for x in named if size[x]}
+    drawn, times = {x: 0 for x in need}, {x: [0] * blocks[x] for x in need}
+    for i in range(int(sum(need.values()) + 0.5)):
+        u, at, last = (i + 0.5) * mixing.GOLDEN % 1.0, 0.0, list(need)[-1]
+        for x in need:
+            at += need[x]
+            if u < at / sum(need.values()) or x == last:
+                break
+        if drawn[x] < blocks[x] * cap:
+            times[x][drawn[x] % blocks[x]] += 1
+        drawn[x] += 1
+    taken, at = {}, {x: 0 for x in named}
+    for i in sorted(range(len(rows)), key=lambda i: ((hashes[i] % 2**64) >> (64 - bits) if bits else 0, hashes[i], rows[i][0], sizes[i])):
+        x, n = rows[i][1], sizes[i]
+        edge = lambda b: (b * size[x] + blocks[x] - 1) // blocks[x]  # noqa: B023, E731
+        taken[i] = sum(max(0, min(at[x] + n, edge(b + 1)) - max(at[x], edge(b))) * times[x][b] for b in range(blocks[x])) if n else 0
+        at[x] += n
+    return taken
+
+
+@pytest.mark.parametrize("bucket_rows", [4, 1000])
+def test_mixing_equals_a_plain_schedule(spark, bucket_rows):
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["a", "b", "b", "c", "d", None]), rng.choice([None, "", "w " * rng.randint(1, 60)])) for i in range(120)]
+    rows += [(None, "b", f"null {i} id") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    hashes = [r[0] for r in df.select(F.xxhash64(F.lit(5), F.col("doc_id"), F.xxhash64(F.col("text")))).collect()]
+    bits = max(0, int(np.ceil(np.log2(max(1, len(rows) / bucket_rows)))))
+    plain = plain_mix(rows, hashes, bits, 256)
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["size"], r["taken"]) for r in mixing.mix(df, slots=256, bucket_rows=bucket_rows).collect())
+    assert got == sorted((r[0] if r[0] is not None else -1, len((r[2] or "").split()), plain[i]) for i, r in enumerate(rows))
+
+
+def test_mixed_documents_beside_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a", "x y z", "kept"), (None, "b", "q", "too")], "doc_id long, source string, text string, __copies string")
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns and {r["__copies"] for r in out.collect()} <= {"kept", "too"} and out.count() >= 1
+
+
 def test_native_plans_hold_no_python(spark, sf_dir):
     for name in ("op5_mixing", "op10_pii"):
         plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
@@ -220,11 +368,29 @@ def test_archives_round_trip(spark, version):
     assert warc.archived(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_archive_files_are_bounded_by_bytes_and_reruns_agree(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "filedesc://odd" if i == 3 else "u", "z%d" % (i % 4) * 40_000) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    warc.arc_files(pages, f"{tmp_path}/arc", file_bytes=200_000)
+    sizes = [len(warc.inflated(p.read_bytes())) for p in (tmp_path / "arc").glob("part-*")]
+    assert sum(sizes) > 3_000_000 and max(sizes) < 300_000
+    arc = warc.read_arc(spark, f"{tmp_path}/arc")
+    assert arc.count() == 40
+    few = {(r["record_id"], r["record_type"], r["refers_to"]) for r in warc.arc_to_warc(arc).collect()}
+    joined = {(r["record_id"], r["record_type"], r["refers_to"]) for r in warc.arc_to_warc(arc, broadcast_digests=0).collect()}
+    assert few == joined and sum(t == "revisit" for _, t, _ in few) == 36
+    warc.arc_files(pages, f"{tmp_path}/again", file_bytes=200_000)
+    assert few == {(r["record_id"], r["record_type"], r["refers_to"]) for r in warc.arc_to_warc(warc.read_arc(spark, f"{tmp_path}/again")).collect()}
+
+
 def test_foreign_archives():
 
     head = b"1 0 Org\nURL IP-address Archive-date Content-type Archive-length\n"
     data = b"filedesc://x 0.0.0.0 20010101000000 text/plain %d\n%s\n" % (len(head), head) + b"http://a/with space 1.2.3.4 20010203040506 text/html 5\nhello\ndns:a 1.2.3.4 2001 text/dns 2\nok\nbroken line\n"
-    got = [(h["URL"], block) for _, h, block in warc.arc_records(data)]
+    with pytest.raises(ValueError, match="broken line"):
+        list(warc.arc_records(data))
+    more = data + b"filedesc://y 1.2.3.4 2001 text/plain 2\nhi\n"
+    assert [(h["URL"], block) for _, h, block in warc.arc_records(more, strict=False)][-1] == ("filedesc://y", b"hi")
+    got = [(h["URL"], block) for _, h, block in warc.arc_records(data, strict=False)]
     assert got[1:] == [("http://a/with space", b"hello"), ("dns:a", b"ok")]
     import gzip
 
@@ -238,9 +404,9 @@ def luhn(s):
     return sum(int(c) if i % 2 == 0 else (2 * int(c) - 9 if int(c) > 4 else 2 * int(c)) for i, c in enumerate(reversed(s))) % 10 == 0
 
 
-def changed(spark, *texts, **kw):
+def changed(spark, *texts, key="k"):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id int, text string, n_pii string")
-    return [tuple(r) for r in pii.pseudonymised(df, **kw).orderBy("doc_id").select("text", "n_pii", "pii_kinds").collect()]
+    return [tuple(r) for r in pii.pseudonymised(df, key).orderBy("doc_id").select("text", "n_pii", "pii_kinds").collect()]
 
 
 def test_formats_are_kept_and_valid(spark):
@@ -276,6 +442,76 @@ def test_permutation_is_a_bijection(spark):
     assert one == set("0123456789")
 
 
+def feistel(left, right, a, b, tweak, key):
+    for i in range(pii.ROUNDS):
+        mix = lambda x: int(hashlib.sha256(f"{key}|{tweak}|{i}|{x}".encode()).hexdigest()[:14], 16)  # noqa: B023, E731
+        left, right = ((left + mix(right)) % a, right) if i % 2 == 0 else (left, (right + mix(left)) % b)
+    return left, right
+
+
+def permuted(d, tweak, key):
+    half, rest = len(d) // 2, len(d) - len(d) // 2
+    x, y = feistel(int("0" + d[:half]), int("0" + d[half:]), 10**half, 10**rest, f"{tweak}{len(d)}", key)
+    return (str(x).zfill(half) if half else "") + str(y).zfill(rest)
+
+
+def plain_card(d, key):
+    body = d[1:-1]
+    while True:
+        body = permuted(body, "card", key)
+        if re.match(pii.ISSUERS, d[0] + body):
+            break
+    return next(x for x in (d[0] + body + str(c) for c in range(10)) if luhn(x))
+
+
+def plain_ssn(t, key):
+    area, group, serial = map(int, t.split("-"))
+    x, y = feistel((area - 1 - (area > 666)) * 99 + group - 1, serial - 1, 898 * 99, 9999, "ssn", key)
+    area = x // 99 + 1
+    return f"{area + (area >= 666):03d}-{x % 99 + 1:02d}-{y + 1:04d}"
+
+
+def plain_ip(t, key):
+    a, b, c, d = map(int, t.split("."))
+    x, y = feistel(a * 256 + b, c * 256 + d, 65536, 65536, "ip", key)
+    return f"{x >> 8}.{x & 255}.{y >> 8}.{y & 255}"
+
+
+def plain_day(t, key):
+    first, k = datetime.date(1900, 1, 1), (datetime.date.fromisoformat(t) - datetime.date(1900, 1, 1)).days
+    a, b = pii.DAY_RANGE
+    while True:
+        x, y = feistel(k // b, k % b, a, b, "date", key)
+        k = x * b + y
+        if k < pii.DAYS:
+            return (first + datetime.timedelta(k)).isoformat()
+
+
+def test_pseudonyms_equal_a_plain_network(spark):
+    rng = random.Random(8)
+    cards = []
+    while len(cards) < 40:
+        d = rng.choice(["2221", "2720", "30", "34", "38", "4", "51", "59", "65"]) + "".join(rng.choice("0123456789") for _ in range(15))
+        d = d[: rng.choice([13, 15, 16, 19])]
+        cards += [d] if luhn(d) and re.match(pii.ISSUERS, d) else []
+    ssns = [f"{rng.choice([1, 665, 667, 899, 123]):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}" for _ in range(20)]
+    ips = [".".join(str(rng.randint(0, 255)) for _ in range(4)) for _ in range(20)]
+    days = ["1900-01-01", "2099-12-31", "2099-11-14", *((datetime.date(1900, 1, 1) + datetime.timedelta(rng.randrange(pii.DAYS))).isoformat() for _ in range(20))]
+    texts = [*cards, *ssns, *ips, *days]
+    got = [r[0] for r in changed(spark, *texts, key="some key")]
+    plain = [f(x, "some key") for xs, f in ((cards, plain_card), (ssns, plain_ssn), (ips, plain_ip), (days, plain_day)) for x in xs]
+    assert got == plain
+    # a pseudonym is recognised again as what it is
+    assert all(n == 1 for _, n, _ in changed(spark, *got, key="other"))
+
+
+def test_pseudonyms_need_a_key_and_leave_other_columns(spark):
+    df = spark.createDataFrame([(1, "call 4111111111111111", "kept")], "doc_id int, text string, __parts string")
+    assert pii.pseudonymised(df, "k").first()["__parts"] == "kept"
+    with pytest.raises(ValueError, match="key"):
+        pii.pseudonymised(df, "")
+
+
 def test_very_long_text(spark):
     (text, n, _), = changed(spark, "clean words " * 100_000 + "mail a.b@mail.example.com end")
     assert n == 1 and "a.b@mail" not in text and text.startswith("clean words ")
@@ -344,7 +580,7 @@ def test_pipeline_stages(spark, sf_dir, library):
     assert lang.count() == before.filter(F.col("text").rlike(r"\p{L}")).count()
     groups = {r["component_id"] for r in jaccard.join_components(lang).collect()}
     assert {r["doc_id"] for r in unique.collect()} == groups
-    expected = {r["doc_id"]: r["text"] for r in pii.pseudonymised(unique).collect()}
+    expected = {r["doc_id"]: r["text"] for r in pii.pseudonymised(unique, queries.TRIAL_KEY).collect()}
     assert {r["doc_id"]: r["text"] for r in private.collect()} == expected
     taken = {r["doc_id"]: int(r["taken"] / r["size"] + 0.5) if r["size"] else 0 for r in mixing.mix(private).collect()}
     copies = {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
@@ -352,3 +588,28 @@ def test_pipeline_stages(spark, sf_dir, library):
     got = encoded.collect()
     assert len(got) == mixed.count()
     assert all(r["ids"] == " ".join(map(str, library.encode(expected[r["doc_id"]], add_special_tokens=False).ids)) for r in got[:100])
+
+
+def test_pipeline_stages_take_nulls_ties_repeats_clashes_and_nothing(spark):
+    import corpus_pipeline as pipeline
+    from quire.llm.common import written
+
+    english, german = "the house and the garden are green and old ", "das haus und der garten sind alt und schön "
+    rows = [(i, english * 3 + f"number {i} of them is here", "en", "a", 10) for i in range(8)] + [(10 + i, german * 3 + f"nummer {i} davon ist hier", "de", "b", 10) for i in range(8)]
+    rows += [(30, None, "en", "a", None), (31, "", None, None, 0), (32, "12 !! 34", None, "c", 8), (None, "a text without an id that nobody else has at all", "en", None, 1), (None, None, None, None, None)]
+    rows += [(40, "call 4111111111111111 about the house and the green garden now", "en", "c", 62)] * 2 + [(41, english * 20_000, "en", "a", 1)]
+    columns = "doc_id long, text string, lang string, source string, n_chars int"
+    extra = ", __lang string, __score int, __copies int, __id long, __text string, __parts string, label string"
+    df = spark.createDataFrame([(*r, "l", 1, 2, 3, "t", "p", "x") for r in rows], columns + extra)
+    for table in (df, df.limit(0)):
+        docs = table
+        for name, stage in pipeline.STAGES[:-1]:
+            docs = written(stage(spark, docs, ""), name)
+            assert docs.columns == df.columns
+            if table is not df:
+                assert docs.count() == 0
+        out = pipeline.STAGES[-1][1](spark, docs, "")
+        assert out.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and (out.count() > 0) == (table is df)
+        if table is df:
+            assert not [r for r in docs.collect() if r["text"] and "4111111111111111" in r["text"]]
+            assert {r["doc_id"] for r in docs.collect()} <= {*range(8), *range(10, 18), None, 40, 41} and {r["__copies"] for r in docs.collect()} == {2}
