@@ -597,11 +597,13 @@ def join_components(docs: DataFrame, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     first = written(_first_pass(docs), "first")
     common = levels(first.filter("chunk is not null").select("chunk", "data"))
-    marks = written(first.filter("chunk is null").select("doc_id", "tid", "sid", "n", "sketch"), "marks")
+    seen = first.filter("chunk is null")
+    marks = written(seen.select("doc_id", "sid", "n"), "marks")
+    # one row per distinct set; of a set that very many rows have, one row is cut into shingles
+    sets = seen.filter("n > 0").groupBy("sid").agg(F.count("*").alias("rows"), F.min("doc_id").alias("low"), F.min("tid").alias("tid"), F.first("sketch").alias("sketch"))
+    sets = written(sets, "sets")
     discard(first)
     release(spark)
-    # one row per distinct set; of a set that very many rows have, one row is cut into shingles
-    sets = written(marks.filter("n > 0").groupBy("sid").agg(F.count("*").alias("rows"), F.min("doc_id").alias("low"), F.min("tid").alias("tid")), "sets")
     count = marks.count()
     bits = min(30, max(6, math.ceil(math.log2(max(1, count * 100 / BUCKET)))))
     hot = sets.filter(F.col("rows") > max(HOT_ROWS, count // HOT_SHARE)).select("sid", "tid").collect()
@@ -612,13 +614,12 @@ def join_components(docs: DataFrame, text: str = "text") -> DataFrame:
     table = written(shares, "prefixes")
     found = written(_blocks(table), "found")
     discard(table)
-    del table, first
+    del table, first, seen
     release(spark)
     blocks = _open_blocks(found)
     discard(found)
     del found
-    points = marks.join(blocks.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("tid").alias("tid"), F.first("sketch").alias("sketch"))
-    points = written(points, "points")
+    points = written(sets.join(blocks.select("sid").distinct(), "sid", "left_semi").select("sid", "tid", "sketch"), "points")
     texts = written(_narrowed(docs, points).dropDuplicates(["tid"]), "texts")
     release(spark)
     join = _Join(points, texts)
