@@ -14,6 +14,7 @@ pattern; byte-level BPE with a suffix at word ends".
 
 from __future__ import annotations
 
+import gc
 import heapq
 import itertools
 import json
@@ -24,6 +25,7 @@ import struct
 import tempfile
 import unicodedata
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -266,10 +268,12 @@ class Merges:
 
 
 class _State:
+    """A state that later keys may still change: byte -> [target's number once it is frozen, ids]."""
+
     __slots__ = ("arcs", "final", "out")
 
     def __init__(self):
-        self.arcs: dict[int, list] = {}  # byte -> [target state or its number, ids]
+        self.arcs: dict[int, list] = {}
         self.final = False
         self.out: tuple[int, ...] = ()
 
@@ -287,18 +291,34 @@ def compile_lexicon(entries: Iterable[tuple[bytes, list[int]]]) -> bytes:
     """The minimal acyclic transducer of ``entries`` (distinct keys, any order), serialised.
 
     Built key by key in byte order: the states that the next key can no longer change are frozen
-    and looked up among those already frozen, so equal right-hand parts exist once.
+    and looked up among those already frozen, so equal right-hand parts exist once. A frozen state
+    is a few bytes in the table and a few as its key.
     """
-    frozen: dict[tuple, int] = {}
-    table: list[tuple[bool, tuple, list]] = []
+    frozen: dict[bytes, int] = {}
+    ends, keys, targets, outs, pool = (array("I") for _ in range(5))
+    pool.append(0)
+    where: dict[tuple, int] = {(): 0}
+
+    def put(ids: tuple) -> int:
+        if ids not in where:
+            where[ids] = len(pool)
+            pool.append(len(ids))
+            pool.extend(ids)
+        return where[ids]
 
     def freeze(state: _State) -> int:
-        arcs = [(b, t, o) for b, (t, o) in sorted(state.arcs.items())]
-        key = (state.final, state.out, tuple(arcs))
-        if key not in frozen:
-            frozen[key] = len(table)
-            table.append((state.final, state.out, arcs))
-        return frozen[key]
+        end = put(state.out) if state.final else NO_END
+        arcs = [x for b, (t, o) in sorted(state.arcs.items()) for x in (b, t, put(o))]
+        key = array("I", [end, *arcs]).tobytes()
+        number = frozen.get(key)
+        if number is None:
+            number = frozen[key] = len(ends)
+            ends.append(end)
+            # states and labels ascend, so the keys do
+            keys.extend(number << 8 | b for b in arcs[::3])
+            targets.extend(arcs[1::3])
+            outs.extend(arcs[2::3])
+        return number
 
     path, last = [_State()], b""
     for word, ids in sorted(entries):
@@ -330,23 +350,6 @@ def compile_lexicon(entries: Iterable[tuple[bytes, list[int]]]) -> bytes:
     for depth in range(len(last), 0, -1):
         path[depth - 1].arcs[last[depth - 1]][0] = freeze(path[depth])
     root = freeze(path[0])
-
-    pool: list[int] = [0]
-    where: dict[tuple, int] = {(): 0}
-
-    def put(ids: tuple) -> int:
-        if ids not in where:
-            where[ids] = len(pool)
-            pool.extend((len(ids), *ids))
-        return where[ids]
-
-    keys, targets, outs, ends = [], [], [], []
-    for state, (final, out, arcs) in enumerate(table):
-        ends.append(put(out) if final else NO_END)
-        for label, target, ids in arcs:  # states and labels ascend, so the keys do
-            keys.append(state << 8 | label)
-            targets.append(target)
-            outs.append(put(ids))
     parts = (ends, keys, targets, outs, pool)
     return b"".join([struct.pack("<6I", root, *map(len, parts)), *(np.array(x, np.uint32).tobytes() for x in parts)])
 
@@ -463,9 +466,13 @@ def build_lexicon(docs: DataFrame, tokenizer: str, text: str = "text", size: int
         if held > size:
             break
         least = n
-    top = [] if least is None else counted.filter(F.col("n") >= least).select("piece").collect()
-    rule = Merges(tokenizer)
-    return compile_lexicon((p.encode("utf-8"), rule.merge(p)) for (p,) in top)
+    top = [] if least is None else [p.encode("utf-8") for (p,) in counted.filter(F.col("n") >= least).select("piece").collect()]
+    ids, sizes = Merges(tokenizer).merge_many(top)
+    data = compile_lexicon(zip(top, (x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])), strict=True) if top else [])
+    del top, ids, sizes
+    gc.collect()
+    tidy()
+    return data
 
 
 class Decoder:
