@@ -33,6 +33,22 @@ def fresh_name(df: DataFrame, wanted: str) -> str:
     return name
 
 
+#: Settings under which the parser drops what it has learned of a text as soon as it is parsed.
+FORGETFUL = {"spark.sql.parser.manageParserCaches": "true", "spark.sql.parser.parserDfaCacheFlushThreshold": "1"}
+
+
+def parsed(spark: SparkSession, sql: str) -> Column:
+    """``F.expr`` of a long text: what the parser would keep of it, some hundred megabytes of the driver's memory, goes at once."""
+    before = {k: spark.conf.get(k, None) for k in FORGETFUL}
+    try:
+        for k, v in FORGETFUL.items():
+            spark.conf.set(k, v)
+        return F.expr(sql)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as decimal text, modulo ``folds``; null ids fall in no fold (null)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds)
