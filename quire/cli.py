@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import accuracy, batch, cascade, reports, routing
 from quire.params import PROFILES, Settings, profile_of, with_profile
+from quire.shared import written
 from quire.sources import documents
 
 ENGINES = cascade.Registry([cascade.Engine("text_layer", "Embedded text", lambda page: {}), cascade.stub_engine("vision_a"), cascade.stub_engine("vision_b"), cascade.stub_engine("classic")])
@@ -21,10 +22,10 @@ def _spark() -> SparkSession:
 
 
 def _pages(spark: SparkSession, path: str):
-    """Pages from Parquet (doc, page_number, embedded_text, ink) or, through registered readers, from document files."""
+    """Pages from Parquet (doc, page_number, embedded_text, ink) or from document files: PDF and images."""
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
-    return documents.loaded_pages(documents.files(spark, path)).filter("error is null").withColumn("ink", F.lit(None).cast("double"))
+    return documents.pages_under(spark, path).filter("error is null").drop("error")
 
 
 def settings_of(args: argparse.Namespace) -> Settings:
@@ -87,9 +88,14 @@ def batch_documents(found, s: Settings):
     from quire.operators.confidence import scored
 
     seen = documents.described(found, s.documents)
-    pages = documents.loaded_pages(found.join(seen.filter("load_error is null").select(F.col("doc").alias("path")), "path", "left_semi"), s.documents)
+    fine = found.join(seen.filter("load_error is null").select(F.col("doc").alias("path"), "kind"), "path")
+    pages = documents.loaded_pages(fine.filter("kind <> 'image'").drop("kind"), s.documents).withColumn("ink", F.lit(None).cast("double"))
+    images = [r["path"] for r in fine.filter("kind = 'image'").select("path").collect()]  # a batch is bounded
+    if images:
+        pages = pages.unionByName(documents.image_pages(found.sparkSession, images, s.documents, s.routing))
+    pages = written(pages, "batch-pages")
     bad = pages.filter("error is not null").groupBy("doc").agg(F.first("error").alias("page_error"))
-    good = pages.filter("error is null").withColumn("ink", F.lit(None).cast("double"))
+    good = pages.filter("error is null").drop("error")
     routes, results, texts = transcribed(good, s)
     read = results.withColumn("ink", F.lit(None).cast("double"))
     judged = scored(read.filter("engine_id <> 'text_layer'"), s.confidence)

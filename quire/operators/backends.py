@@ -1,4 +1,4 @@
-"""Engines and models behind HTTP: chat-completions servers for pages, generate servers for prompts.
+"""Engines and models outside Spark: chat-completions servers, generate servers, and commands.
 
 Only the standard library is used. Errors say whether another try may help (``permanent``) and what
 would (``remedy``); unknown counts and durations stay None.
@@ -9,6 +9,9 @@ from __future__ import annotations
 import base64
 import json
 import socket
+import subprocess
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 from urllib import error, request
 
@@ -165,3 +168,53 @@ class ModelServer:
         return Completion(
             got.get("response") or "", got.get("model", model), got.get("prompt_eval_count"), got.get("eval_count"), seconds_of(got.get("total_duration")), seconds_of(got.get("load_duration")), seconds_of(got.get("eval_duration")), got.get("done_reason")
         )
+
+    def health(self, model: str) -> tuple[bool, str, str | None]:
+        try:
+            if self.has_model(model):
+                return True, f"{model} is ready at {self.host}", None
+        except ServiceError as e:
+            return False, str(e), e.remedy
+        return False, f"{self.host} does not have {model}", f"pull {model}"
+
+    def reader(self, model: str, prompt: str, max_tokens: int | None = None) -> Callable[[dict], dict]:
+        """``read`` of an engine that shows page images to ``model``."""
+
+        def read(page: dict) -> dict:
+            got = self.generate(model, prompt, images=[bytes(page["image"])], max_tokens=max_tokens)
+            return {"text": got.text, "done_reason": got.done_reason, "seconds": got.total_seconds, "input_tokens": got.prompt_tokens, "output_tokens": got.completion_tokens}
+
+        return read
+
+    def engine(self, engine_id: str, name: str, model: str, prompt: str = "Transcribe this page.", max_tokens: int | None = 3072, location: str = "local", retries: int = 1) -> Engine:
+        return Engine(engine_id, name, self.reader(model, prompt, max_tokens), model=model, location=location, retries=retries, options={"prompt": prompt, "max_tokens": max_tokens}, health=lambda: self.health(model))
+
+
+@dataclass(frozen=True)
+class CommandReader:
+    """A program on the executors that gets a page's image on its standard input and prints its text."""
+
+    command: tuple[str, ...]
+    timeout: float = 300.0
+
+    def read(self, page: dict) -> dict:
+        began = time.perf_counter()
+        try:
+            done = subprocess.run(self.command, input=bytes(page["image"]), capture_output=True, timeout=self.timeout, check=False)
+        except FileNotFoundError as e:
+            raise Refused(f"{self.command[0]} is not installed", f"install {self.command[0]} on every executor") from e
+        except subprocess.TimeoutExpired as e:
+            raise TimedOut(f"{self.command[0]} took longer than {self.timeout:.0f} seconds", "allow more time") from e
+        if done.returncode:
+            raise ServiceError(f"{self.command[0]} ended with {done.returncode}: {done.stderr[-200:].decode('utf-8', 'replace').strip()}")
+        return {"text": done.stdout.decode("utf-8", "replace"), "done_reason": "stop", "seconds": time.perf_counter() - began}
+
+    def health(self) -> tuple[bool, str, str | None]:
+        """Whether the program is there, asked where this is called."""
+        import shutil
+
+        found = shutil.which(self.command[0])
+        return (True, f"{found} is ready", None) if found else (False, f"{self.command[0]} is not installed", f"install {self.command[0]} on every executor")
+
+    def engine(self, engine_id: str, name: str, retries: int = 0) -> Engine:
+        return Engine(engine_id, name, self.read, location="local", retries=retries, options={"command": list(self.command)}, health=self.health)

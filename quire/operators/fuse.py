@@ -86,10 +86,12 @@ def guarded(fused: DataFrame, *keys: str, least: float = MIN_CONTAINMENT) -> Dat
     Words are counted as multisets; a word is supported as often as one of the sources has it. No
     words, too little support or less than half of the shorter source's length is rejected.
     """
-    words = lambda c, n: fused.select(*keys, F.explode(T.all_matches(F.lower(c), T.WORD)).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias(n))
-    counts = words("fused", "f").join(words("text_a", "a"), [*keys, "word"], "left").join(words("text_b", "b"), [*keys, "word"], "left")
-    supported = F.least("f", F.greatest(F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))))
-    share = counts.groupBy(*keys).agg((F.sum(supported) / F.sum("f")).alias("containment"))
+    # all three texts' words in one pass, counted by text
+    words = lambda side, c: F.transform(T.all_matches(F.lower(c), T.WORD), lambda w: F.struct(F.lit(side).alias("side"), w.alias("word")))
+    rows = fused.select(*keys, F.explode(F.concat(words("f", "fused"), words("a", "text_a"), words("b", "text_b"))).alias("w")).select(*keys, "w.side", "w.word")
+    n = lambda s: F.count_if(F.col("side") == s)
+    counts = rows.groupBy(*keys, "word").agg(n("f").alias("f"), n("a").alias("a"), n("b").alias("b")).filter("f > 0")
+    share = counts.groupBy(*keys).agg((F.sum(F.least("f", F.greatest("a", "b"))) / F.sum("f")).alias("containment"))
     df = fused.join(share, list(keys), "left")
     shortest = F.least(F.length(F.coalesce("text_a", F.lit(""))), F.length(F.coalesce("text_b", F.lit(""))))
     why = (

@@ -41,29 +41,48 @@ def fingerprint(image: str | Column) -> Column:
     return F.sha2(T.column(image).cast("binary"), 256)
 
 
+def _why(first: Column) -> Column:
+    return (
+        F.when(F.col("page_class") == "text_layer", F.col("reason"))
+        .when(F.col("page_class") == "blank", F.concat(F.lit("the page is blank ("), F.format_string("%.3f", F.col("ink") * 100), F.lit("% of it carries ink)")))
+        .when(F.col("page_class") == "duplicate", F.concat(F.lit("the page is identical to page "), first.cast("string")))
+        .when(F.col("word_count") > 0, F.col("reason"))
+        .otherwise(F.lit("the page must be read by an engine"))
+    )
+
+
+def _with_class(df: DataFrame, by_layer: Column, first: Column, rule: Routing) -> DataFrame:
+    """``df`` with page_class, route_reason and duplicate_of, given the number of the first page of the same image."""
+    blank = F.lit(rule.skip_blank_pages) & ~F.col("usable") & F.coalesce(F.col("ink") < rule.blank_ink, F.lit(False))
+    copy = F.lit(rule.detect_duplicates) & (first < F.col("page_number"))
+    df = df.withColumn("page_class", F.when(by_layer, "text_layer").when(blank, "blank").when(copy, "duplicate").otherwise("needs_ocr"))
+    return df.withColumn("route_reason", _why(first)).withColumn("duplicate_of", F.when(F.col("page_class") == "duplicate", first).cast("bigint"))
+
+
 def routed(pages: DataFrame, *, image: str = "embedded_text", layer: str = "embedded_text", rule: Routing = Routing()) -> DataFrame:
     """``pages`` with ``page_class``, ``route_reason``, ``fingerprint`` and ``duplicate_of``.
 
     Needs doc, page_number, ``ink`` (null: not measured) and the image or what stands for it. Pages
-    with a usable layer are split off first: they are neither fingerprinted nor shuffled.
+    with a usable layer are split off first: they, and their texts, are neither fingerprinted nor
+    shuffled. Where no texts are needed, ``classified`` reads the pages once.
     """
     df = assessed(pages, layer, rule)
     by_layer = F.col("usable") & F.lit(rule.use_text_layer)
-    plain = df.filter(by_layer).withColumns({"page_class": F.lit("text_layer"), "route_reason": F.col("reason"), "fingerprint": F.lit(""), "duplicate_of": F.lit(None).cast("bigint")})
+    plain = _with_class(df.filter(by_layer).withColumn("fingerprint", F.lit("")), F.lit(True), F.col("page_number"), rule)
     rest = df.filter(~by_layer).withColumn("fingerprint", fingerprint(image))
-    first = F.min("page_number").over(Window.partitionBy("doc", "fingerprint"))
-    rest = rest.withColumn("__first", first)
-    blank = F.lit(rule.skip_blank_pages) & ~F.col("usable") & F.coalesce(F.col("ink") < rule.blank_ink, F.lit(False))
-    copy = F.lit(rule.detect_duplicates) & (F.col("__first") < F.col("page_number"))
-    rest = rest.withColumn("page_class", F.when(blank, "blank").when(copy, "duplicate").otherwise("needs_ocr"))
-    why = (
-        F.when(F.col("page_class") == "blank", F.concat(F.lit("the page is blank ("), F.format_string("%.3f", F.col("ink") * 100), F.lit("% of it carries ink)")))
-        .when(F.col("page_class") == "duplicate", F.concat(F.lit("the page is identical to page "), F.col("__first").cast("string")))
-        .when(F.col("word_count") > 0, F.col("reason"))
-        .otherwise(F.lit("the page must be read by an engine"))
-    )
-    rest = rest.withColumn("route_reason", why).withColumn("duplicate_of", F.when(F.col("page_class") == "duplicate", F.col("__first")).cast("bigint")).drop("__first")
-    return plain.unionByName(rest)
+    rest = rest.withColumn("__first", F.min("page_number").over(Window.partitionBy("doc", "fingerprint")))
+    return plain.unionByName(_with_class(rest, F.lit(False), F.col("__first"), rule).drop("__first"))
+
+
+def classified(pages: DataFrame, *, image: str = "embedded_text", layer: str = "embedded_text", rule: Routing = Routing()) -> DataFrame:
+    """The routes of ``routed`` without images and texts: pages are read and assessed once, and what is shuffled is a short row a page."""
+    by_layer = F.col("usable") & F.lit(rule.use_text_layer)
+    short = assessed(pages, layer, rule).withColumn("by_layer", by_layer)
+    short = short.select("doc", "page_number", "ink", "word_count", "quality", "usable", "reason", "by_layer", F.when(F.col("by_layer"), "").otherwise(fingerprint(image)).alias("fingerprint"))
+    # pages with a layer have no fingerprint; each is alone
+    own = F.when(F.col("by_layer"), F.col("page_number").cast("string")).otherwise(F.col("fingerprint"))
+    short = short.withColumn("__first", F.min("page_number").over(Window.partitionBy("doc", "by_layer", own)))
+    return _with_class(short, F.col("by_layer"), F.col("__first"), rule).drop("__first", "by_layer")
 
 
 def routed_or_all(pages: DataFrame, *, image: str = "embedded_text", layer: str = "embedded_text", rule: Routing = Routing()) -> DataFrame | None:

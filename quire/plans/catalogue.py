@@ -112,12 +112,12 @@ def text_layer_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM {_ROUTED}"""
 )
 def page_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.routed(fixture(spark, sf_dir, "pages")).select("doc", "page_number", "page_class", "fingerprint", "duplicate_of", "route_reason")
+    return routing.classified(fixture(spark, sf_dir, "pages")).select("doc", "page_number", "page_class", "fingerprint", "duplicate_of", "route_reason")
 
 
 @query(f"SELECT *, CAST(pages_avoided AS DOUBLE) / pages AS share_avoided FROM {_SUMMARY}")
 def routing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.plan_summary(routing.routed(fixture(spark, sf_dir, "pages"))).withColumn("share_avoided", F.col("pages_avoided") / F.col("pages"))
+    return routing.plan_summary(routing.classified(fixture(spark, sf_dir, "pages"))).withColumn("share_avoided", F.col("pages_avoided") / F.col("pages"))
 
 
 @query(
@@ -126,21 +126,21 @@ def routing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT *, concat_ws(', ', CASE WHEN text_layer > 0 THEN text_layer || ' from the text layer' END, CASE WHEN duplicate > 0 THEN duplicate || ' duplicate' END, CASE WHEN blank > 0 THEN blank || ' blank' END) AS parts FROM {_SUMMARY})"""
 )
 def routing_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.headline(routing.plan_summary(routing.routed(fixture(spark, sf_dir, "pages")))).select("doc", "headline")
+    return routing.headline(routing.plan_summary(routing.classified(fixture(spark, sf_dir, "pages")))).select("doc", "headline")
 
 
 @query(
     f"""SELECT doc, page_number, CASE page_class WHEN 'text_layer' THEN 'From the document''s own text' WHEN 'blank' THEN 'Blank' WHEN 'duplicate' THEN 'Identical to an earlier page' ELSE 'Read by an engine' END AS label, CASE page_class WHEN 'text_layer' THEN 'ok' WHEN 'needs_ocr' THEN 'info' ELSE 'neutral' END AS kind FROM {_ROUTES}"""
 )
 def page_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panels.page_list(routing.routed(fixture(spark, sf_dir, "pages"))).select("doc", "page_number", "label", "kind")
+    return panels.page_list(routing.classified(fixture(spark, sf_dir, "pages"))).select("doc", "page_number", "label", "kind")
 
 
 @query(f"SELECT doc, page_number, CASE WHEN first_page < page_number AND NOT usable THEN 'duplicate' ELSE 'needs_ocr' END AS page_class FROM (SELECT *, min(page_number) OVER (PARTITION BY doc, sha256(embedded_text)) AS first_page FROM (SELECT *, false AS usable FROM {{pages}}))")
 def routes_without_layer_and_blank_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rules switched off: copies are still found."""
     rule = Routing(use_text_layer=False, skip_blank_pages=False)
-    return routing.routed(fixture(spark, sf_dir, "pages"), rule=rule).select("doc", "page_number", "page_class")
+    return routing.classified(fixture(spark, sf_dir, "pages"), rule=rule).select("doc", "page_number", "page_class")
 
 
 @query("SELECT doc, page_number FROM {pages} WHERE page_number % 3 = 1")
@@ -342,7 +342,7 @@ def engine_remedies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc, page_number, needs_text FROM (SELECT r.doc, r.page_number, CAST(word_count AS BIGINT) AS needs_text FROM {_ROUTED} r WHERE page_class = 'needs_ocr' AND page_number % 2 = 1)")
 def unread_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    routes = routing.routed(fixture(spark, sf_dir, "pages"))
+    routes = routing.classified(fixture(spark, sf_dir, "pages"))
     read = routes.filter("page_number % 2 = 0").select("doc", "page_number")
     return cascade.unread(routes, read).select("doc", "page_number", F.col("word_count").alias("needs_text"))
 
@@ -687,15 +687,14 @@ def gold_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def accuracy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = fixture(spark, sf_dir, "truth")
-    scores = t.select("doc_id", "source").join(accuracy.word_recall_joined(t, "doc_id"), "doc_id").join(accuracy.figure_recall(t, "doc_id"), "doc_id")
-    return accuracy.report(scores, "source")
+    return accuracy.report(accuracy.recalls(t, "doc_id", "source"), "source")
 
 
 @query()
 def accuracy_report_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """accuracy_report with the error rates, which have no SQL."""
     t = fixture(spark, sf_dir, "truth")
-    scores = t.select("doc_id", "source").join(accuracy.error_rates(t, "doc_id"), "doc_id").join(accuracy.word_recall_joined(t, "doc_id"), "doc_id").join(accuracy.figure_recall(t, "doc_id"), "doc_id")
+    scores = accuracy.recalls(t, "doc_id", "source").join(accuracy.error_rates(t, "doc_id"), "doc_id")
     return accuracy.report(scores, "source")
 
 
@@ -780,7 +779,7 @@ def page_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = fixture(spark, sf_dir, "pages")
     docs = pages.select("doc").distinct().withColumn("load_error", F.when(F.length("doc") % 3 == 0, "damaged"))
-    routes = routing.routed(pages.filter("length(doc) % 3 <> 0")).select("doc", "page_number", "page_class")
+    routes = routing.classified(pages.filter("length(doc) % 3 <> 0")).select("doc", "page_number", "page_class")
     results = routes.filter("page_class = 'needs_ocr'").withColumn("seconds", F.lit(1.5))
     fused = routes.groupBy("doc").agg(F.expr("trim(repeat('word ', cast(count(*) as int)))").alias("text"))
     return reports.document_benchmark(docs, routes, results, fused)

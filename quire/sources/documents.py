@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quire.params import Documents, Routing
 from quire.session import ship
+from quire.sources import pdf
 
 IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "webp", "tif", "tiff", "bmp")
 #: The first bytes of each kind, in hexadecimal.
@@ -94,11 +97,11 @@ def described(found: DataFrame, rule: Documents = Documents()) -> DataFrame:
 
 
 #: kind -> reader: (name, content, rule) -> iterator of page dicts with the columns of PAGES.
-READERS: dict[str, Callable[[str, bytes, Documents], Iterator[dict]]] = {}
+READERS: dict[str, Callable[[str, bytes, Documents], Iterator[dict]]] = {"pdf": pdf.read_pages}
 
 
 def register_reader(kind: str, reader: Callable[[str, bytes, Documents], Iterator[dict]]) -> None:
-    """Make files of a kind readable; rendering libraries are not part of this package."""
+    """Make files of a kind readable, or read another way: with a library that renders pages, say."""
     READERS[kind] = reader
 
 
@@ -124,14 +127,22 @@ def loaded_pages(found: DataFrame, rule: Documents = Documents()) -> DataFrame:
     return kinds.select("path", "kind", "content").mapInPandas(run, PAGES)
 
 
-def image_pages(spark: SparkSession, path: str, rule: Documents = Documents(), routing: Routing = Routing()) -> DataFrame:
-    """A page for every image under ``path``, decoded in the JVM: PAGES' columns (image: the rendered pixels) and ``ink``.
+def pages_under(spark: SparkSession, path: str, rule: Documents = Documents()) -> DataFrame:
+    """Pages of all PDF files and images under ``path``: PAGES' columns and ``ink`` (null: not measured)."""
+    found = files(spark, path).withColumn("kind", sniffed(F.col("content"), F.col("path")))
+    read = loaded_pages(found.filter("kind <> 'image'").drop("kind"), rule).withColumn("ink", F.lit(None).cast("double"))
+    return read.unionByName(image_pages(spark, path, rule))
+
+
+def image_pages(spark: SparkSession, path: str | list[str], rule: Documents = Documents(), routing: Routing = Routing()) -> DataFrame:
+    """A page for every image under ``path``, decoded in the JVM: PAGES' columns (image: as PNG) and ``ink``.
 
     Images are flattened to red, green, blue and scaled down to the greatest dimension. One that
     can't be decoded is a row with an error and unknown ink. Of a file of several frames the first counts.
     """
     ship(spark)
-    found = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "false").load(path).select("image.*")
+    kinds = ",".join(x for e in IMAGE_EXTENSIONS for x in (e, e.upper()))
+    found = spark.read.format("image").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{kinds}}}").option("dropInvalid", "false").load(path).select("image.*")
     names = [*(c.split()[0] for c in PAGES.split(", ")), "ink"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,13 +157,25 @@ def image_pages(spark: SparkSession, path: str, rule: Documents = Documents(), r
                 if longest > rule.max_dimension:
                     scale = rule.max_dimension / longest
                     pixels = scaled(pixels, max(1, int(width * scale)), max(1, int(height * scale)))
-                rows.append({"doc": origin, "page_number": 1, "width": pixels.shape[1], "height": pixels.shape[0], "embedded_text": "", "image": pixels.tobytes(), "ink": ink_of(pixels, routing.ink_threshold, routing.thumbnail)})
+                rows.append({"doc": origin, "page_number": 1, "width": pixels.shape[1], "height": pixels.shape[0], "embedded_text": "", "image": png(pixels), "ink": ink_of(pixels, routing.ink_threshold, routing.thumbnail)})
             frame = pd.DataFrame([{n: r.get(n) for n in names} for r in rows], columns=names)
             yield frame.astype({c: "Int32" for c in ("width", "height", "dpi")} | {"page_number": "Int64", "ink": "float64"})
 
     return found.select("origin", "height", "width", "nChannels", "data").mapInPandas(run, f"{PAGES}, ink double")
 
 
+def png(pixels: np.ndarray) -> bytes:
+    """Red, green, blue pixels as a PNG file."""
+    height, width, _ = pixels.shape
+    lines = np.zeros((height, 1 + 3 * width), np.uint8)  # each line begins with a zero: no filter
+    lines[:, 1:] = pixels.reshape(height, -1)
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+
+
 def flattened(pixels: np.ndarray) -> np.ndarray:
     """Red, green, blue of grey, blue-green-red, or the same with opacity (over white)."""
     if pixels.shape[2] == 1:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import batch, cache, cascade, compare, fuse, http_engine, panels, reports, routing
+from quire.operators import backends, batch, cache, cascade, compare, fuse, panels, reports, routing
 from quire.params import Documents, Output, Routing
 from quire.sources import documents, export
 
@@ -147,9 +147,11 @@ def test_batches_transcribe(spark, tmp_path, monkeypatch):
         yield {"page_number": 1, "embedded_text": content[9:].decode()}
 
     documents.register_reader("pdf", read)
+    (tmp_path / "white.png").write_bytes(png(np.full((50, 40, 1), 255, np.uint8)))
     found = documents.files(spark, str(tmp_path))
     got = {r["doc"].rsplit("/", 1)[-1]: r for r in cli.batch_documents(found, Settings()).collect()}
-    assert {k: r["state"] for k, r in got.items()} == {"good.pdf": "completed", "thin.pdf": "completed", "bad.pdf": "failed"}
+    assert {k: r["state"] for k, r in got.items()} == {"good.pdf": "completed", "thin.pdf": "completed", "bad.pdf": "failed", "white.png": "completed"}
+    assert got["white.png"]["pages"] == 0  # blank: no engine has anything to read
     assert (got["good.pdf"]["text"], got["good.pdf"]["pages"], got["good.pdf"]["pages_via_model"]) == (long, 1, 0)
     assert (got["thin.pdf"]["text"], got["thin.pdf"]["pages_via_model"]) == ("Total", 1)
     assert "damaged" in got["bad.pdf"]["error"] and got["bad.pdf"]["pages"] == 0
@@ -219,31 +221,52 @@ def server():
 
 
 def test_page_server(spark, server):
-    reader = http_engine.PageServer(f"{server}/v1", "reader")
+    reader = backends.PageServer(f"{server}/v1", "reader")
     df = spark.createDataFrame([("d", 1, bytearray(b"png"))], "doc string, page_number bigint, image binary")
     (row,) = cascade.run_engine(df, reader.engine("h", "H", "local"), 1).collect()
     assert row["text"] == "Transcribe this page. data:image/png;base64," and (row["input_tokens"], row["output_tokens"], row["status"]) == (5, 6, "success")
-    assert reader.health()[0] and not http_engine.PageServer(f"{server}/v1", "other").health()[0]
-    assert http_engine.PageServer(f"{server}/v1", "reader", key="bad").health()[2] == "check the key"
-    with pytest.raises(http_engine.Busy):
-        http_engine.PageServer(f"{server}/v1", "broken").read({"image": b""})
-    with pytest.raises(http_engine.Refused) as refused:
-        http_engine.PageServer(f"{server}/v1", "shapeless").read({"image": b""})
+    assert reader.health()[0] and not backends.PageServer(f"{server}/v1", "other").health()[0]
+    assert backends.PageServer(f"{server}/v1", "reader", key="bad").health()[2] == "check the key"
+    with pytest.raises(backends.Busy):
+        backends.PageServer(f"{server}/v1", "broken").read({"image": b""})
+    with pytest.raises(backends.Refused) as refused:
+        backends.PageServer(f"{server}/v1", "shapeless").read({"image": b""})
     assert refused.value.permanent
-    available, said, remedy = http_engine.PageServer("http://127.0.0.1:9", "reader").health()
+    available, said, remedy = backends.PageServer("http://127.0.0.1:9", "reader").health()
     assert not available and "nothing answers" in said and remedy
 
 
 def test_model_server(server):
-    s = http_engine.ModelServer(server)
+    s = backends.ModelServer(server)
     got = s.generate("small", "hello", max_tokens=9)
     assert got.text == "said hello" and got.truncated and got.inference_seconds == 2.0 and got.load_seconds is None and got.total_seconds is None and got.tokens_per_second == 15
     assert s.has_model("small") and not s.has_model("small:big")
-    with pytest.raises(http_engine.ModelMissing):
+    with pytest.raises(backends.ModelMissing):
         s.generate("gone", "x")
-    with pytest.raises(http_engine.Refused):
+    with pytest.raises(backends.Refused):
         s.generate("odd", "x")
-    assert [http_engine.seconds_of(x) for x in (None, "3", 0, -1, True, 5e8)] == [None, None, None, None, None, 0.5]
+    assert [backends.seconds_of(x) for x in (None, "3", 0, -1, True, 5e8)] == [None, None, None, None, None, 0.5]
+
+
+def test_model_server_as_an_engine(spark, server):
+    engine = backends.ModelServer(server).engine("o", "O", "small", prompt="read")
+    df = spark.createDataFrame([("d", 1, bytearray(b"png"))], "doc string, page_number bigint, image binary")
+    (row,) = cascade.run_engine(df, engine, 1).collect()
+    assert row["text"] == "said read" and row["error"] == cascade.CUT and row["status"] == "success" and row["seconds"] is None and row["output_tokens"] == 30
+    assert engine.health()[0] and backends.ModelServer(server).engine("o", "O", "big").health()[2] == "pull big"
+
+
+def test_commands_as_engines(spark):
+    df = spark.createDataFrame([("d", 1, bytearray(b"page text"))], "doc string, page_number bigint, image binary")
+    (row,) = cascade.run_engine(df, backends.CommandReader(("cat",)).engine("c", "C"), 1).collect()
+    assert row["text"] == "page text" and row["seconds"] > 0 and backends.CommandReader(("cat",)).health()[0]
+    (row,) = cascade.run_engine(df, backends.CommandReader(("false",)).engine("c", "C"), 1).collect()
+    assert row["status"] == "failed" and "ended with 1" in row["error"]
+    with pytest.raises(backends.TimedOut):
+        backends.CommandReader(("sleep", "9"), timeout=0.05).read({"image": b""})
+    assert not backends.CommandReader(("no-such-program",)).health()[0]
+    with pytest.raises(backends.Refused):
+        backends.CommandReader(("no-such-program",)).read({"image": b""})
 
 
 # --- images -----------------------------------------------------------------------------------------
@@ -256,6 +279,13 @@ def png(pixels):
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, {1: 0, 3: 2, 4: 6}[channels], 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
 
 
+def saved(folder, data):
+    other = folder.parent / f"{folder.name}-again"
+    other.mkdir()
+    (other / "page.png").write_bytes(bytes(data))
+    return str(other)
+
+
 def test_image_pages(spark, tmp_path):
     page = np.full((300, 400, 3), 255, np.uint8)
     page[:150, :200] = (10, 20, 30)
@@ -266,7 +296,7 @@ def test_image_pages(spark, tmp_path):
     (tmp_path / "broken.png").write_bytes(b"\x89PNG\r\n\x1a\nnothing")
     got = {r["doc"].rsplit("/", 1)[-1]: r for r in documents.image_pages(spark, str(tmp_path), Documents(max_dimension=200)).collect()}
     q = got["quarter.png"]
-    assert (q["width"], q["height"]) == (200, 150) and abs(q["ink"] - 0.25) < 0.01 and len(q["image"]) == 200 * 150 * 3 and tuple(q["image"][:3]) == (10, 20, 30)
+    assert (q["width"], q["height"]) == (200, 150) and abs(q["ink"] - 0.25) < 0.01 and spark.read.format("image").load(saved(tmp_path, q["image"])).select("image.width").first()[0] == 200
     assert got["white.png"]["ink"] == 0.0 and got["clear.png"]["ink"] == 0.0
     assert got["broken.png"]["ink"] is None and got["broken.png"]["error"] == documents.ERROR_TEXTS["corrupt"]
     routes = {r["doc"].rsplit("/", 1)[-1]: r["page_class"] for r in routing.routed(documents.image_pages(spark, str(tmp_path)), image="image").collect()}
@@ -281,6 +311,78 @@ def test_scaling_keeps_means_and_sizes():
     assert documents.ink_of(np.zeros((0, 0, 3), np.uint8)) is None and documents.ink_of(np.zeros((5, 500, 3), np.uint8)) == 1.0
 
 
+# --- PDF files --------------------------------------------------------------------------------------
+
+
+def pdf_file(objects, extra=b""):
+    out = b"%PDF-1.5\n%\xe2\xe3\n"
+    for n, body in objects.items():
+        out += b"%d 0 obj\n" % n + (body if isinstance(body, bytes) else body.encode("latin-1")) + b"\nendobj\n"
+    return out + extra + b"trailer << /Root 1 0 R >>\n%%EOF"
+
+
+def stream(data, head=b""):
+    return b"<< /Length %d %s >>\nstream\n" % (len(data), head) + data + b"\nendstream"
+
+
+def simple_pdf():
+    text = b"BT /F1 12 Tf 72 700 Td (First \\(line\\)) Tj 0 -14 Td [(Sec) -20 (ond) -400 (line)] TJ T* ET q 1 0 0 1 0 -50 cm BT /F2 10 Tf 1 0 0 1 72 650 Tm <00410042> Tj ET Q"
+    cmap = b"begincodespacerange <0000> <ffff> endcodespacerange 1 beginbfchar <0041> <03b1> endbfchar 1 beginbfrange <0042> <0043> <03b2> endbfrange"
+    return pdf_file({
+        1: "<< /Type /Catalog /Pages 2 0 R >>", 2: "<< /Type /Pages /Kids [3 0 R 4 0 R] /Count 2 /MediaBox [0 0 595 842] /Resources << /Font << /F1 5 0 R /F2 6 0 R >> >> >>",
+        3: "<< /Type /Page /Parent 2 0 R /Contents 7 0 R >>", 4: "<< /Type /Page /Parent 2 0 R /Rotate 90 /MediaBox [0 0 100 200] >>",
+        5: "<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding << /Differences [65 /eacute /uni20AC] >> >>", 6: "<< /Type /Font /Subtype /Type0 /ToUnicode 8 0 R >>",
+        7: stream(zlib.compress(text), b"/Filter /FlateDecode"), 8: stream(cmap),
+    })
+
+
+def test_pdf_text_layers_and_sizes():
+    from quire.sources import pdf
+
+    first, second = pdf.read_pages("a.pdf", simple_pdf(), Documents(render_dpi=144))
+    assert first["embedded_text"] == "First (line)\nSecond line\nαβ" and (first["width"], first["height"], first["dpi"]) == (1190, 1684, 144)
+    assert second["embedded_text"] == "" and (second["width"], second["height"]) == (400, 200) and second["page_number"] == 2
+    assert len(list(pdf.read_pages("a.pdf", simple_pdf(), Documents(max_pages=1)))) == 1
+
+
+def test_pdf_objects_in_streams_forms_and_odd_filters():
+    from quire.sources import pdf
+
+    packed = b"2 0 3 60 " .ljust(20) + b"<< /Type /Pages /Kids [3 0 R] /MediaBox [0 0 72 72] >>".ljust(60) + b"<< /Type /Page /Contents [9 0 R] /Resources << /XObject << /X 10 0 R >> >> >>"
+    predicted = b"".join(b"\x02" + bytes((a - b) & 255 for a, b in zip(packed[i : i + 10].ljust(10), packed[i - 10 : i] if i else bytes(10), strict=True)) for i in range(0, len(packed), 10))
+    form = b"BT /F 9 Tf (In a form) ' ET BI /W 1 ID \x00(\xff EI"
+    data = pdf_file({
+        1: "<< /Type /Catalog /Pages 2 0 R >>", 8: stream(zlib.compress(predicted), b"/Type /ObjStm /N 2 /First 20 /Filter /FlateDecode /DecodeParms << /Predictor 12 /Columns 10 >>"),
+        9: stream(b"/X Do".hex().encode() + b">", b"/Filter /ASCIIHexDecode"), 10: stream(form, b"/Type /XObject /Subtype /Form /Resources << /Font << /F 11 0 R >> >>"), 11: "<< /Type /Font /Subtype /Type1 >>",
+    })
+    (page,) = pdf.read_pages("a.pdf", data)
+    assert page["embedded_text"] == "In a form"
+    assert [pdf._letter(x) for x in ("a", "eacute", "Udieresis", "seven", "comma", "uni00E9", "fi", "nothing")] == ["a", "é", "Ü", "7", ",", "é", "fi", ""]
+
+
+@pytest.mark.parametrize("data", [b"no pdf", b"%PDF-1.4 nothing", pdf_file({1: "<< /Type /Catalog /Pages 2 0 R >>", 2: "<< /Type /Pages /Kids [2 0 R] >>"}), simple_pdf().replace(b"trailer <<", b"trailer << /Encrypt 9 0 R"), pdf_file({1: "[" * 5000})])
+def test_pdf_files_that_cannot_be_read(data):
+    from quire.sources import pdf
+
+    with pytest.raises(pdf.PdfError):
+        list(pdf.read_pages("a.pdf", data))
+
+
+def test_reports_as_pdf_are_read_again(record):
+    from quire.sources import pdf
+
+    found = export.exported(record(), "pdf").first()["content"]
+    text = "\n".join(p["embedded_text"] for p in pdf.read_pages("r.pdf", bytes(found)))
+    assert "# Result - d & co.pdf" in text and "page 1 | text" in text
+
+
+def test_folders_of_pdf_files(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(simple_pdf())
+    (tmp_path / "b.pdf").write_bytes(b"%PDF-1.4 nothing")
+    got = {(r["doc"].rsplit("/", 1)[-1], r["page_number"]): r for r in documents.loaded_pages(documents.files(spark, str(tmp_path))).collect()}
+    assert got["a.pdf", 1]["embedded_text"].startswith("First") and got["a.pdf", 2]["error"] is None and "no catalogue" in got["b.pdf", None]["error"]
+
+
 # --- panels, reports, exports -----------------------------------------------------------------------
 
 
