@@ -287,7 +287,7 @@ def _shared(a: tuple, b: tuple) -> int:
     return n
 
 
-def compile_lexicon(entries: Iterable[tuple[bytes, list[int]]]) -> bytes:
+def compile_lexicon(entries: Iterable[tuple[bytes, list[int] | tuple[int, ...]]]) -> bytes:
     """The minimal acyclic transducer of ``entries`` (distinct keys, any order), serialised.
 
     Built key by key in byte order: the states that the next key can no longer change are frozen
@@ -466,15 +466,24 @@ def build_lexicon(docs: DataFrame, tokenizer: str, text: str = "text", size: int
         if held > size:
             break
         least = n
-    top = [] if least is None else [p.encode("utf-8") for (p,) in counted.filter(F.col("n") >= least).select("piece").collect()]
-    ids, sizes = Merges(tokenizer).merge_many(top)
-    data = compile_lexicon(zip(top, (x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])), strict=True) if top else [])
-    del top, ids, sizes
+    top = [] if least is None else counted.filter(F.col("n") >= least).select("piece").toArrow().column(0).cast(pa.binary()).to_pylist()
+    data = compile_lexicon(_with_ids(top, tokenizer))
+    del top
     gc.collect()
     tidy()
     return data
 
 
+def _with_ids(pieces: list[bytes], tokenizer: str) -> Iterator[tuple[bytes, tuple[int, ...]]]:
+    """Each piece and its ids, merged some thousands at once."""
+    rule = Merges(tokenizer)
+    for lo in range(0, len(pieces), SLICE):
+        part = pieces[lo : lo + SLICE]
+        ids, sizes = rule.merge_many(part)
+        for p, x in zip(part, np.split(ids.astype(np.int32), np.cumsum(sizes)[:-1]), strict=True):
+            yield p, tuple(x.tolist())
+
+
 class Decoder:
     """Texts of ids, as a vocabulary without a decoder gives them: joined by single spaces; ids without a text give nothing."""
 

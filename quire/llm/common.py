@@ -47,6 +47,7 @@ def parsed(spark: SparkSession, sql: str) -> Column:
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        release(spark)  # parsing leaves the driver's memory full of what nothing refers to
 
 
 def fold(doc_id: Column, folds: int) -> Column:
