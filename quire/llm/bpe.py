@@ -14,6 +14,7 @@ pattern; byte-level BPE with a suffix at word ends".
 
 from __future__ import annotations
 
+import atexit
 import gc
 import heapq
 import itertools
@@ -21,6 +22,7 @@ import json
 import mmap
 import os
 import re
+import shutil
 import struct
 import tempfile
 import unicodedata
@@ -407,7 +409,9 @@ class Lexicon:
 def ship_lexicon(spark: SparkSession, data: bytes) -> str:
     """Send a serialised automaton to every machine of the session; the name under which ``SparkFiles`` finds it."""
     name = f"quire-lexicon-{uuid.uuid4().hex}"
-    path = os.path.join(tempfile.mkdtemp(prefix="quire-"), name)
+    folder = tempfile.mkdtemp(prefix="quire-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, name)
     with open(path, "wb") as f:
         f.write(data)
     spark.sparkContext.addFile(path)  # the driver serves it to executors that start later, too

@@ -670,6 +670,7 @@ def join_components(docs: DataFrame, text: str = "text") -> DataFrame:
     of = _hot_apart(named, smallest, "label", "sets", count).select("sid", "rows", "component_id")
     of = written(of, "of")
     linked = _hot_apart(marks.filter("n > 0").select("doc_id", "sid", "n"), of, "sid", "rows", count).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    tidy()
     alone = marks.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
 

@@ -338,6 +338,7 @@ def fit(train: DataFrame, model: str, *, train_docs: int = TRAIN_DOCS, rounds: i
         total = {lang: sum(sorted(counted[lang].values())) + PSEUDO * len(pieces) for lang in langs}
         prob = {p: tuple((counted[lang].get(p, 0.0) + PSEUDO) / total[lang] for lang in langs) for p in pieces}
         known.unpersist()
+    tidy()
     return Pieces(prob, langs)
 
 
