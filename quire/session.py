@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -18,6 +19,7 @@ def ship(spark: SparkSession) -> None:
     here = Path(__file__).resolve().parent
     handle, name = tempfile.mkstemp(prefix="quire-", suffix=".zip")
     os.close(handle)
+    atexit.register(Path(name).unlink, missing_ok=True)
     with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(here.rglob("*.py")):
             z.write(p, p.relative_to(here.parent))
