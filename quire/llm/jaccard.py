@@ -544,6 +544,13 @@ def _hot_apart(rows: DataFrame, values: DataFrame, key: str, weight: str, total:
     return rows.join(few, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(values.filter(F.col(weight) <= limit), key))
 
 
+def _kept(df: DataFrame, tag: str) -> DataFrame:
+    """``written``, and what planning it has left in the driver's memory goes at once: the join makes dozens of plans."""
+    out = written(df, tag)
+    release(df.sparkSession)
+    return out
+
+
 def _distance() -> Column:
     return 1 - F.col("common") / F.col("either")
 
@@ -562,13 +569,13 @@ class _Join:
 
     def measure(self, pairs: DataFrame) -> None:
         """Compute the distances of new pairs, and join what they link."""
-        pairs = written(pairs, "pairs")
+        pairs = _kept(pairs, "pairs")
         if pairs.isEmpty():
             if self.of is None:
                 self.of = pairs.select(F.col("a").alias("node"), F.col("b").alias("label"))
                 self.known = pairs.select("a", "b", F.lit(0).alias("common"), F.lit(1).alias("either"))
             return
-        found = written(_measured(pairs, self.points, self.texts), "distances")
+        found = _kept(_measured(pairs, self.points, self.texts), "distances")
         release(found.sparkSession)
         self.known = found if self.known is None else self.known.unionByName(found)
         links = found.filter(F.col("common").cast("long") * 100 >= F.col("either").cast("long") * THRESHOLD).select("a", "b")
@@ -580,7 +587,7 @@ class _Join:
         old = self.of.join(step.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left").select("node", F.coalesce("next", "label").alias("label"))
         # labels of the last round may themselves be points that had no link until now
         fresh = step.join(self.of.select("node"), "node", "left_anti").select("node", "label")
-        self.of = written(old.unionByName(fresh), "components")
+        self.of = _kept(old.unionByName(fresh), "components")
 
 
 def join_components(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -595,13 +602,13 @@ def join_components(docs: DataFrame, text: str = "text") -> DataFrame:
     tid = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col(text))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), tid.alias("tid"))
     spark = docs.sparkSession
-    first = written(_first_pass(docs), "first")
+    first = _kept(_first_pass(docs), "first")
     common = levels(first.filter("chunk is not null").select("chunk", "data"))
     seen = first.filter("chunk is null")
-    marks = written(seen.select("doc_id", "sid", "n"), "marks")
+    marks = _kept(seen.select("doc_id", "sid", "n"), "marks")
     # one row per distinct set; of a set that very many rows have, one row is cut into shingles
     sets = seen.filter("n > 0").groupBy("sid").agg(F.count("*").alias("rows"), F.min("doc_id").alias("low"), F.min("tid").alias("tid"), F.first("sketch").alias("sketch"))
-    sets = written(sets, "sets")
+    sets = _kept(sets, "sets")
     discard(first)
     release(spark)
     count = marks.count()
@@ -611,30 +618,30 @@ def join_components(docs: DataFrame, text: str = "text") -> DataFrame:
     if hot:
         one_each = docs.filter(F.col("tid").isin([r["tid"] for r in hot])).dropDuplicates(["tid"])
         shares = shares.unionByName(_prefixes(one_each, common, bits))
-    table = written(shares, "prefixes")
-    found = written(_blocks(table), "found")
+    table = _kept(shares, "prefixes")
+    found = _kept(_blocks(table), "found")
     discard(table)
     del table, first, seen
     release(spark)
     blocks = _open_blocks(found)
     discard(found)
     del found
-    points = written(sets.join(blocks.select("sid").distinct(), "sid", "left_semi").select("sid", "tid", "sketch"), "points")
-    texts = written(_narrowed(docs, points).dropDuplicates(["tid"]), "texts")
+    points = _kept(sets.join(blocks.select("sid").distinct(), "sid", "left_semi").select("sid", "tid", "sketch"), "points")
+    texts = _kept(_narrowed(docs, points).dropDuplicates(["tid"]), "texts")
     release(spark)
     join = _Join(points, texts)
 
     # every point meets the pivot that it shares most blocks with
     hubs = blocks.filter("sid = pivot").select("pivot", F.col("degree").alias("hub")).distinct()
     pairs = blocks.filter("sid <> pivot").groupBy("pivot", "sid").agg(F.count("*").alias("k")).join(hubs, "pivot")
-    pairs = written(pairs.select("pivot", "sid", "k", F.col("hub").alias("degree")), "pairs")
+    pairs = _kept(pairs.select("pivot", "sid", "k", F.col("hub").alias("degree")), "pairs")
     cells = pairs.groupBy("sid").agg(F.max(F.struct("k", "degree", "pivot")).alias("m")).select(F.col("m.pivot").alias("a"), F.col("sid").alias("b"))
     join.measure(cells)
 
     # border points meet the pivots of other components whose regions they reach
     own = join.known.select(F.col("a").alias("own"), "b", _distance().alias("d"))
     border = join.labelled(join.labelled(pairs.select(F.col("pivot").alias("a"), F.col("sid").alias("b")), "a", "x"), "b", "y").filter("x <> y").select("a", "b")
-    border = written(border.join(join.known.select("a", "b"), ["a", "b"], "left_anti").join(own, "b", "left"), "border")
+    border = _kept(border.join(join.known.select("a", "b"), ["a", "b"], "left_anti").join(own, "b", "left"), "border")
     between = border.filter("own is not null").groupBy(F.least("own", "a").alias("a"), F.greatest("own", "a").alias("b")).agg(F.count("*").alias("k")).filter(F.col("k") >= BETWEEN).select("a", "b")
     join.measure(between.join(join.known.select("a", "b"), ["a", "b"], "left_anti"))
     apart = join.known.select(F.col("a").alias("lo"), F.col("b").alias("hi"), _distance().alias("dp"))
@@ -648,27 +655,27 @@ def join_components(docs: DataFrame, text: str = "text") -> DataFrame:
     open_rows = blocks
     done = None
     while True:
-        now = written(join.labelled(join.labelled(open_rows, "sid", "c"), "pivot", "pc"), "open")
+        now = _kept(join.labelled(join.labelled(open_rows, "sid", "c"), "pivot", "pc"), "open")
         several = now.groupBy("block").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("block")
         outside = now.filter("c <> pc")
         if done is not None:
             outside = outside.join(done, ["block", "sid"], "left_anti")
         rank = F.row_number().over(Window.partitionBy("block").orderBy(F.col("degree").desc(), "sid"))
-        new = written(outside.withColumn("r", rank).filter(F.col("r") <= NEW_PIVOTS).drop("r"), "pivots")
+        new = _kept(outside.withColumn("r", rank).filter(F.col("r") <= NEW_PIVOTS).drop("r"), "pivots")
         if new.isEmpty():
             break
         used = new.select("block", "sid")
         done = used if done is None else done.unionByName(used)
-        open_rows = written(now.join(several, "block", "left_semi").drop("c", "pc"), "open")
+        open_rows = _kept(now.join(several, "block", "left_semi").drop("c", "pc"), "open")
         met = now.join(new.select("block").distinct(), "block", "left_semi").withColumn("role", F.lit(1)).unionByName(new.withColumn("role", F.lit(0)))
         d = join.known.groupBy(F.col("a").alias("pivot"), F.col("b").alias("sid")).agg(F.first(_distance()).alias("d"))
         met = met.join(d, ["pivot", "sid"], "left").join(points.select("sid", "sketch"), "sid")
         join.measure(_near(met.select("block", "role", "sid", "n", "c", "d", "sketch")).join(join.known.select("a", "b"), ["a", "b"], "left_anti"))
 
-    named = written(join.labelled(sets.select("sid", "rows", "low"), "sid", "label"), "named")
+    named = _kept(join.labelled(sets.select("sid", "rows", "low"), "sid", "label"), "named")
     smallest = named.groupBy("label").agg(F.min("low").alias("component_id"), F.count("*").alias("sets"))
     of = _hot_apart(named, smallest, "label", "sets", count).select("sid", "rows", "component_id")
-    of = written(of, "of")
+    of = _kept(of, "of")
     linked = _hot_apart(marks.filter("n > 0").select("doc_id", "sid", "n"), of, "sid", "rows", count).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     tidy()
     alone = marks.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
