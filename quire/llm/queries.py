@@ -94,7 +94,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymised(table(spark, sf_dir, "documents"), pii_key(spark)).select("doc_id", "text", "n_pii", F.array_join("pii_kinds", ",").alias("pii_kinds"))
 
 
-QUERIES = {"op1_topk": op1_topk, "op2_jaccard": op2_jaccard, "op3_bpe": op3_bpe, "op4_token_counts": op4_token_counts, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_ann": op8_ann, "op9_langid": op9_langid, "op10_pii": op10_pii}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {"op1_topk": op1_topk, "op2_jaccard": op2_jaccard, "op3_bpe": op3_bpe, "op4_token_counts": op4_token_counts, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_ann": op8_ann, "op9_langid": op9_langid, "op10_pii": op10_pii, "op11_prefix_trie": op11_prefix_trie}
 
 ORACLES: dict[str, str] = {
     "op1_topk": """
@@ -141,4 +147,31 @@ ORACLES: dict[str, str] = {
                CASE WHEN f.first_page < d.page_id THEN f.first_page END AS refers_to
         FROM d LEFT JOIN f USING (payload_digest)
     """,
+    "op11_prefix_trie": """
+        WITH t AS (
+            SELECT conv_id, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS key, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words, turn
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), a AS (
+            SELECT conv_id, key, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) AS at FROM t
+        ), c AS (
+            SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, x: list_reduce(list_concat([xor(c, x)], range(8)), lambda y, i: xor(y >> 1, (y & 1) * 3988292384))), 4294967295) % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)
+        ), b AS (
+            SELECT c.conv_id, a.at AS place, a.key, a.words FROM c JOIN a ON a.conv_id = c.base AND a.at <= c.h
+            UNION ALL SELECT c.conv_id, 10 + a.at, a.key, a.words FROM c JOIN a ON a.conv_id = c.conv_id AND a.at > c.h
+        ), r AS (
+            SELECT conv_id, words, row_number() OVER w AS depth, list(key) OVER w AS prefix, count(*) OVER (PARTITION BY conv_id) AS length FROM b
+            WINDOW w AS (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING)
+            UNION ALL SELECT conv_id, 0, 0, [], (SELECT count(*) FROM b WHERE b.conv_id = c.conv_id) FROM c
+        ), m AS (
+            SELECT conv_id, depth, words, length, min(conv_id) OVER (PARTITION BY depth, prefix) AS node FROM r
+        ), n AS (
+            SELECT node, depth, any_value(words) AS words, count(*) AS n_convs, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (length = depth) AS ends FROM m GROUP BY ALL
+        ), p AS (
+            SELECT n.*, u.node AS parent, (SELECT count(*) FROM n k JOIN m v ON v.conv_id = k.node AND v.depth = n.depth WHERE k.depth = n.depth + 1 AND v.node = n.node) AS n_children FROM n LEFT JOIN m u ON u.conv_id = n.node AND u.depth = n.depth - 1
+        ), s AS (
+            SELECT v.node, v.depth, count(*) FILTER (k.n_children = 0) AS n_leaves, sum((k.n_convs - 1) * k.words) AS saved FROM p k JOIN m v ON v.conv_id = k.node AND v.depth <= k.depth GROUP BY ALL
+        )
+        SELECT p.node AS conv_id, CAST(p.depth AS BIGINT) AS depth, p.parent AS parent_conv_id, p.n_convs, p.n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(p.ends, '')) AS ends_sha256
+        FROM p JOIN s USING (node, depth)
+    """,
 }
