@@ -100,7 +100,13 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {"op1_topk": op1_topk, "op2_jaccard": op2_jaccard, "op3_bpe": op3_bpe, "op4_token_counts": op4_token_counts, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_ann": op8_ann, "op9_langid": op9_langid, "op10_pii": op10_pii, "op11_prefix_trie": op11_prefix_trie}
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_topk": op1_topk, "op2_jaccard": op2_jaccard, "op3_bpe": op3_bpe, "op4_token_counts": op4_token_counts, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_ann": op8_ann, "op9_langid": op9_langid, "op10_pii": op10_pii, "op11_prefix_trie": op11_prefix_trie, "op12_collocations": op12_collocations}
 
 ORACLES: dict[str, str] = {
     "op1_topk": """
@@ -174,4 +180,29 @@ ORACLES: dict[str, str] = {
         SELECT p.node AS conv_id, CAST(p.depth AS BIGINT) AS depth, p.parent AS parent_conv_id, p.n_convs, p.n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(p.ends, '')) AS ends_sha256
         FROM p JOIN s USING (node, depth)
     """,
+    "op12_collocations": """
+        WITH t AS (
+            SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws
+            FROM (SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)
+        ), g AS (
+            SELECT lang, size, unnest(list_transform(range(1, len(ws) - size + 2), lambda i: array_to_string(ws[i:i + size - 1], ' '))) AS phrase FROM t CROSS JOIN (SELECT unnest([1, 2, 3]) AS size) WHERE len(ws) >= size
+        ), f AS (
+            SELECT lang, size, phrase, count(*) AS n FROM g GROUP BY ALL
+        ), c AS (
+            SELECT lang, size, phrase, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE size > 1 AND n >= 10
+        ), k AS (
+            SELECT c.*, unnest(range(1, size)) AS k FROM c
+        ), s AS (
+            SELECT k.lang, k.size, k.phrase, k.a, k.k, x.n AS l, y.n AS r, (CAST(1000000 AS HUGEINT) * k.a * k.a) // (CAST(x.n AS HUGEINT) * y.n) AS score
+            FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(ws[1:k.k], ' ') JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(ws[k.k + 1:], ' ')
+        ), w AS (
+            SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        ), d AS (
+            SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.lang = w.lang AND o.size > w.size AND contains(' ' || o.phrase || ' ', ' ' || w.phrase || ' ') AND 100 * o.a >= 50 * w.a)
+        ), r AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM d
+        )
+        SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, CAST(n.n AS BIGINT) AS n, CAST(r.score AS BIGINT) AS score
+        FROM r JOIN (SELECT lang, sum(len(ws)) AS n FROM t GROUP BY lang) n ON n.lang = r.lang WHERE rank <= 2000
+    """,
 }
