@@ -171,7 +171,11 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", *, max
     Null texts are empty, a null language is ``und``; texts that repeat count each, long ones
     whole; other columns are ignored; an empty table gives no rows.
     """
-    counts = phrase_counts(docs, text, lang, max_n, least, bits)
+    return ranked(phrase_counts(docs, text, lang, max_n, least, bits), share, top)
+
+
+def ranked(counts: DataFrame, share: int = 50, top: int = 2000) -> DataFrame:
+    """The result of ``collocations`` from the rows of ``phrase_counts``."""
     known = counts.filter("phrase is not null")
     candidates = known.filter("size > 1").withColumn("words", F.split("phrase", " "))
     part = lambda start, length: F.array_join(F.slice("words", start, length), " ")

@@ -106,7 +106,13 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_topk": op1_topk, "op2_jaccard": op2_jaccard, "op3_bpe": op3_bpe, "op4_token_counts": op4_token_counts, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_ann": op8_ann, "op9_langid": op9_langid, "op10_pii": op10_pii, "op11_prefix_trie": op11_prefix_trie, "op12_collocations": op12_collocations}
+def op13_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.licences import scan
+
+    return scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES = {"op1_topk": op1_topk, "op2_jaccard": op2_jaccard, "op3_bpe": op3_bpe, "op4_token_counts": op4_token_counts, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_ann": op8_ann, "op9_langid": op9_langid, "op10_pii": op10_pii, "op11_prefix_trie": op11_prefix_trie, "op12_collocations": op12_collocations, "op13_licences": op13_licences}
 
 ORACLES: dict[str, str] = {
     "op1_topk": """
