@@ -26,7 +26,9 @@ from quire.llm.grams import Cuts, mixed, scattered
 from quire.session import ship
 
 #: Bytes of text that are cut at once, and rows of hashes that are summed at once.
-SLICE, FLUSH = 4 << 20, 6_000_000
+SLICE, FLUSH = 2 << 20, 6_000_000
+#: Tasks that sum the hashes, as a multiple of the session's number: they hold a row for each hash.
+PARTS = 4
 #: Bits of the table of frequent hashes, as a power of two: 8 MB whatever the corpus is.
 BITS = 26
 #: Parts of a language that are ranked before the language is: its last task gets so many times `top` rows at most.
@@ -69,8 +71,12 @@ def _hashes(max_n: int):
     """Batches of (lang, text) to batches of (key, n)."""
 
     def summed(held: list[np.ndarray]) -> pa.RecordBatch:
-        keys, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
+        keys = np.concatenate(held)
+        held.clear()
+        keys.sort()
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        n = np.diff(np.r_[first, len(keys)])
+        return pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(n)], ["key", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -81,7 +87,7 @@ def _hashes(max_n: int):
                 size += sum(map(len, held[-max_n:]))
                 if size >= FLUSH:
                     yield summed(held)
-                    held, size = [], 0
+                    size = 0
         if size:
             yield summed(held)
         del held
@@ -153,7 +159,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", max_n
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    keys = docs.mapInArrow(_hashes(max_n), "key long, n long").repartition(tasks(spark), "key").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    keys = docs.mapInArrow(_hashes(max_n), "key long, n long").repartition(PARTS * tasks(spark), "key").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     table = spark.sparkContext.broadcast(_bit_table(keys, bits).tobytes())
     rows = docs.mapInArrow(_recount(max_n, table, bits), "lang string, phrase string, size int, n long")
     counts = rows.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))

@@ -13,6 +13,8 @@ from quire.llm.words import ragged
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Bytes of words that are hashed at once.
+BLOCK = 1 << 17
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -67,10 +69,16 @@ class Cuts:
             return np.zeros(0, np.uint64)
         size = self.ends - self.starts
         value, place = scattered(256, seed), scattered(int(size.max()), seed + 1)
-        which = ragged(self.starts, size)
-        where = ragged(np.zeros(len(size), np.int64), size)
-        sums = np.add.reduceat(value[self.data[which]] * place[where], np.cumsum(size) - size)
-        return mixed(sums + size.astype(np.uint64))
+        out, before = np.empty(len(size), np.uint64), np.concatenate([[0], np.cumsum(size)])
+        lo = 0
+        while lo < len(size):  # some words at once: what is needed beside them stays small
+            hi = max(lo + 1, int(np.searchsorted(before, before[lo] + BLOCK, side="right")) - 1)
+            some = size[lo:hi]
+            terms = value[self.data[ragged(self.starts[lo:hi], some)]]
+            terms *= place[ragged(np.zeros(hi - lo, np.int64), some)]
+            out[lo:hi] = np.add.reduceat(terms, before[lo:hi] - before[lo])
+            lo = hi
+        return mixed(out + size.astype(np.uint64))
 
     def strings(self, which: np.ndarray) -> pa.Array:
         """Some of the words, as text."""
