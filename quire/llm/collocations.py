@@ -25,8 +25,8 @@ from quire.llm.common import slices, tasks, tidy, written
 from quire.llm.grams import Cuts, mixed, scattered
 from quire.session import ship
 
-#: Bytes of text that are cut at once, and rows of hashes that are summed at once.
-SLICE, FLUSH = 2 << 20, 6_000_000
+#: Bytes of text that are cut at once, hashes that are summed at once, and given out at once.
+SLICE, FLUSH, EMITTED = 2 << 20, 6_000_000, 500_000
 #: Tasks that sum the hashes, as a multiple of the session's number: they hold a row for each hash.
 PARTS = 4
 #: Bits of the table of frequent hashes, as a power of two: 8 MB whatever the corpus is.
@@ -70,26 +70,32 @@ class _Grams:
 def _hashes(max_n: int):
     """Batches of (lang, text) to batches of (key, n)."""
 
-    def summed(held: list[np.ndarray]) -> pa.RecordBatch:
-        keys = np.concatenate(held)
-        held.clear()
+    def summed(keys: np.ndarray) -> Iterator[pa.RecordBatch]:
         keys.sort()
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        n = np.diff(np.r_[first, len(keys)])
-        return pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(n)], ["key", "n"])
+        lo = 0
+        while lo < len(keys):  # some at once; a key's run stays whole
+            hi = int(np.searchsorted(keys, keys[min(lo + EMITTED, len(keys)) - 1], side="right"))
+            some = keys[lo:hi]
+            first = np.flatnonzero(np.r_[True, some[1:] != some[:-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(some[first].view(np.int64)), pa.array(np.diff(np.r_[first, len(some)]))], ["key", "n"])
+            lo = hi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size = np.empty(FLUSH, np.uint64), 0
         for batch in batches:
             for lo, n in slices(batch.column(1), 1 << 16, SLICE):
                 grams = _Grams(batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), max_n)
-                held += [grams.keys(k, grams.places(k)) for k in range(1, max_n + 1)]
-                size += sum(map(len, held[-max_n:]))
-                if size >= FLUSH:
-                    yield summed(held)
-                    size = 0
-        if size:
-            yield summed(held)
+                for k in range(1, max_n + 1):
+                    keys = grams.keys(k, grams.places(k))
+                    if size + len(keys) > FLUSH:
+                        yield from summed(held[:size])
+                        size = 0
+                    if len(keys) > FLUSH:
+                        yield from summed(keys)
+                    else:
+                        held[size : size + len(keys)] = keys
+                        size += len(keys)
+        yield from summed(held[:size])
         del held
         tidy()
 
