@@ -134,6 +134,13 @@ def fold(c: str | Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(kept, F.lit(r"\S+"), F.lit(0)), lambda t: F.regexp_replace(t, r"^[.,:;()\-/$%]+|[.,:;()\-/$%]+$", "")), lambda t: t != "")
 
 
+def folded(c: str | Column) -> Column:
+    """The tokens of ``fold`` joined by spaces, by passes over the whole text."""
+    edge = r"[.,:;()\-/$%]+"
+    kept = F.regexp_replace(F.lower(F.coalesce(column(c), F.lit(""))), r"[^a-z0-9.,%$/:()\-\s]", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(kept, rf"{edge}(?!\S)|(?<!\S){edge}", ""), r"\s+", " "))
+
+
 def longest_repeat(c: str | Column) -> Column:
     """The longest run of equal consecutive non-blank lines; 0 when no line repeats."""
     trimmed = F.filter(F.transform(F.split(F.coalesce(column(c), F.lit("")), LINE_END), stripped), lambda x: x != "")

@@ -189,13 +189,6 @@ def matched_size(a: list, b: list) -> int:
     return total
 
 
-def unmatched_share(reference: list, hypothesis: list) -> float:
-    """Share of the reference outside the matching blocks; insertions cost nothing."""
-    if not len(reference):
-        return float(len(hypothesis) > 0)
-    return max(0.0, 1.0 - matched_size(reference, hypothesis) / len(reference))
-
-
 def ratio(a: str, b: str) -> Column:
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -212,13 +205,3 @@ def diff(a: str, b: str, least: float = 0.55) -> Column:
         return pd.Series([[dict(zip(("kind", "text_a", "text_b", "similarity"), r, strict=True)) for r in diff_rows(list(p), list(q), least)] for p, q in zip(x, y, strict=True)])
 
     return run(a, b)
-
-
-def unmatched(reference: str, hypothesis: str) -> Column:
-    """``unmatched_share`` of two array columns, or of the characters of two strings."""
-
-    @F.pandas_udf("double")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([unmatched_share(list(p), list(q)) for p, q in zip(x, y, strict=True)], dtype="float64")
-
-    return run(reference, hypothesis)

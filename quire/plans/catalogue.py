@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import accuracy, align, batch, cache, cascade, chat, compare, confidence, events, fuse, panels, reports, routing
+from quire.operators import accuracy, align, anchors, batch, cache, cascade, chat, compare, confidence, events, fuse, panels, reports, routing
 from quire.params import PROFILES, Output, Routing
 from quire.plans.fixtures import fixture, with_fixtures
 from quire.sources import documents as D
@@ -463,6 +463,21 @@ def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.diff_lines(_page_pairs(spark, sf_dir), "doc", "page_number")
 
 
+@query(
+    """SELECT doc, count(*) FILTER (line_b = line_a OR replace(line_b, '  of  ', ' of ') = line_a) AS equal_lines, count(*) FILTER (replace(line_b, '  of  ', ' of ') <> line_a) AS changed_lines, count(*) FILTER (line_b IS NULL) AS only_a_lines,
+        CAST(0 AS BIGINT) AS only_b_lines, count(*) AS total_lines, CAST(sum(n) FILTER (replace(line_b, '  of  ', ' of ') <> line_a) AS BIGINT) AS changed_places
+    FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS n FROM {ledgers}) GROUP BY doc"""
+)
+def diff_long_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three ledgers that grow with the table, aligned line by line; no task holds one."""
+    order = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    df = fixture(spark, sf_dir, "ledgers")
+    side = lambda c: df.select("doc", *order, T.normal_line(c).alias("line"))
+    rows = anchors.aligned(side("line_a"), side("line_b"), "doc", order=order)
+    places = rows.groupBy("doc").agg(F.sum(F.when(F.col("kind") == "changed", F.col("row_no"))).alias("changed_places"))
+    return compare.summary(rows, "doc").join(places, "doc").select("doc", "equal_lines", "changed_lines", "only_a_lines", "only_b_lines", "total_lines", "changed_places")
+
+
 @query("SELECT doc, line_no, CASE WHEN line_a = line_b THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * length(line_a) / (length(line_a) + length(line_b)) END AS ratio FROM {invoice_lines} WHERE line_b IS NOT NULL")
 def similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = fixture(spark, sf_dir, "invoice_lines").filter("line_b is not null")
@@ -648,6 +663,14 @@ def figure_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accuracy.figure_recall(fixture(spark, sf_dir, "truth"), "doc_id")
 
 
+@query(
+    f"""SELECT doc_id, CAST(len(r) AS BIGINT) AS reference_words, CAST(len(h) AS BIGINT) AS hypothesis_words, {_RECALL} AS recall, coalesce(figure_recall, 1) AS figure_recall
+    FROM (SELECT doc_id, {_fold('reference')} AS r, {_fold('hypothesis')} AS h FROM {{truth}}) LEFT JOIN {_FIGURES} USING (doc_id)"""
+)
+def page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return accuracy.measures(fixture(spark, sf_dir, "truth"), "doc_id", wanted=("words", "recall", "figure_recall"))
+
+
 @query()
 def error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accuracy.error_rates(fixture(spark, sf_dir, "truth"), "doc_id")
@@ -687,15 +710,14 @@ def gold_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def accuracy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = fixture(spark, sf_dir, "truth")
-    return accuracy.report(accuracy.recalls(t, "doc_id", "source"), "source")
+    return accuracy.report(accuracy.recalls(t, "source"), "source")
 
 
 @query()
 def accuracy_report_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """accuracy_report with the error rates, which have no SQL."""
     t = fixture(spark, sf_dir, "truth")
-    scores = accuracy.recalls(t, "doc_id", "source").join(accuracy.error_rates(t, "doc_id"), "doc_id")
-    return accuracy.report(scores, "source")
+    return accuracy.report(accuracy.measures(t, "source", wanted=("wer", "recall", "figure_recall")), "source")
 
 
 # --- reports --------------------------------------------------------------------------------------------

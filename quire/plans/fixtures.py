@@ -67,6 +67,16 @@ SELECT doc, line_no, 'row ' || CAST(line_no AS VARCHAR(20)) || ' | part number '
 FROM n
 """
 
+#: Ledgers of very many lines in two readings, some lines the same all over: reading B drops, edits and pads lines.
+LEDGERS = """
+SELECT doc, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, line AS line_a,
+       CASE WHEN e = 0 THEN NULL WHEN e IN (1, 2) THEN line || '7' WHEN e IN (3, 4) THEN replace(line, ' of ', '  of  ') ELSE line END AS line_b
+FROM (
+    SELECT *, CASE WHEN e IN (10, 11) THEN 'carried forward' ELSE 'order ' || CAST(l_orderkey AS VARCHAR(20)) || ' line ' || CAST(l_linenumber AS VARCHAR(20)) || ' of part ' || CAST(l_partkey AS VARCHAR(20)) || ' of supplier ' || CAST(l_suppkey AS VARCHAR(20)) || ' amount due ' || CAST(CAST(l_extendedprice AS DECIMAL(15, 2)) AS VARCHAR(20)) END AS line
+    FROM (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey, l_extendedprice, CAST(l_suppkey % 3 AS BIGINT) AS doc, (l_orderkey * 7 + l_linenumber * 3 + l_partkey) % 97 AS e FROM lineitem)
+)
+"""
+
 #: Invoices of which reading B has the first line at the end.
 MOVED_LINES = """
 SELECT l_orderkey AS doc, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS BIGINT) AS line_no,
@@ -118,7 +128,7 @@ SELECT 'scans/' || CAST(o_custkey % 40 AS VARCHAR(20)) || '/file' || CAST(o_orde
 FROM orders
 """
 
-FIXTURES = {"pages": PAGES, "results": RESULTS, "engines": ENGINES, "invoice_lines": INVOICE_LINES, "moved_lines": MOVED_LINES, "statements": STATEMENTS, "truth": TRUTH, "raw": RAW, "timings": TIMINGS, "jobs": JOBS}
+FIXTURES = {"pages": PAGES, "results": RESULTS, "engines": ENGINES, "invoice_lines": INVOICE_LINES, "ledgers": LEDGERS, "moved_lines": MOVED_LINES, "statements": STATEMENTS, "truth": TRUTH, "raw": RAW, "timings": TIMINGS, "jobs": JOBS}
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
