@@ -97,7 +97,7 @@ def batch_documents(found, s: Settings):
     bad = pages.filter("error is not null").groupBy("doc").agg(F.first("error").alias("page_error"))
     good = pages.filter("error is null").drop("error")
     routes, results, texts = transcribed(good, s)
-    read = results.withColumn("ink", F.lit(None).cast("double"))
+    read = results.join(good.select("doc", "page_number", "ink"), ["doc", "page_number"], "left")
     judged = scored(read.filter("engine_id <> 'text_layer'"), s.confidence)
     totals = results.groupBy("doc").agg(F.count_distinct("page_number").alias("pages"), F.count_distinct(F.when(F.col("engine_id") != "text_layer", F.col("page_number"))).alias("pages_via_model"), F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("seconds"))
     flagged = judged.filter(F.size("flags") > 0).groupBy("doc").agg(F.count_distinct("page_number").alias("pages_flagged"))
@@ -111,11 +111,14 @@ def batch_documents(found, s: Settings):
 
 def run_batch(args: argparse.Namespace) -> int:
     """Transcribe the files that no earlier run has finished; a killed run goes on where it was."""
-    from quire.streaming.ingest import run_new_files
-
-    s = settings_of(args)
-    query = run_new_files(_spark(), args.path, f"{args.output}/_checkpoint", f"{args.output}/documents", lambda found: batch_documents(found, s))
-    query.awaitTermination()
+    from quire.streaming.ingest import finished, gate, run_new_files
+
+    s, spark = settings_of(args), _spark()
+    held = finished(
+        run_new_files(spark, args.path, f"{args.output}/_checkpoint", f"{args.output}/documents", lambda found: batch_documents(found, s), files_per_batch=args.files_at_once, gate=gate(spark, f"{args.output}/_cancel", args.memory_floor_mb))
+    )
+    if held:
+        print(f"stopped: {held}; what is left will be done by the next run")
     done = _spark().read.parquet(f"{args.output}/documents")
     batch.progress(done.withColumn("source", F.col("doc"))).show(vertical=True)
     return 0
@@ -155,6 +158,9 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--output", required=True)
         if name in ("run", "batch"):
             c.add_argument("--profile", choices=sorted(PROFILES))
+        if name == "batch":
+            c.add_argument("--files-at-once", type=int, default=1000)
+            c.add_argument("--memory-floor-mb", type=float, default=0)
         if name == "run":
             c.add_argument("--mode", choices=["cascade", "all_engines"], default="cascade")
             c.add_argument("--fusion", choices=["prefer_primary", "prefer_longest", "line_vote"])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators import ranks
 from quire.params import Confidence
 
 #: What each flag tells the reader.
@@ -46,11 +47,12 @@ def selected_for_rereading(scores: DataFrame, rule: Confidence = Confidence()) -
     """Flagged pages that a second engine reads: the first of each document, up to a share of its pages, one at least."""
     if not rule.fallback_enabled:
         return scores.limit(0).withColumn("place", F.lit(0))
-    cap = F.greatest(F.lit(1), F.floor(F.count("*").over(Window.partitionBy("doc")) * rule.max_fallback_share))
-    flagged = F.size("flags") > 0
-    df = scores.withColumn("cap", cap.cast("bigint")).filter(flagged)
-    place = F.row_number().over(Window.partitionBy("doc").orderBy("page_number"))
-    return df.withColumn("place", place.cast("bigint")).filter("place <= cap")
+    cap = F.greatest(F.lit(1), F.floor(F.count("*") * rule.max_fallback_share)).cast("bigint")
+    caps = scores.groupBy("doc").agg(cap.alias("cap"))
+    flagged = scores.filter(F.size("flags") > 0)
+    placed = ranks.numbered(flagged.select("doc", "page_number"), ["doc"], [F.col("page_number")], "place")
+    first = ranks.joined(placed, caps, ["doc"]).filter("place <= cap").select("doc", "page_number", "cap", "place")
+    return ranks.joined(flagged, first, ["doc", "page_number"])
 
 
 def review_queue(scores: DataFrame, results: DataFrame) -> DataFrame:

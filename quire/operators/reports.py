@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators import ranks
 from quire.params import Output
 
 NOT_AVAILABLE = "N/A"
@@ -23,20 +24,22 @@ def token_totals(results: DataFrame, *keys: str) -> DataFrame:
 def percentiles(timings: DataFrame, *keys: str, value: str = "seconds") -> DataFrame:
     """mean, median, p90, p95, max of known values: percentiles by nearest index, rounded half to even.
 
-    Values are counted per distinct value first, so a key of any size is reduced before its values
-    meet in one array of distinct ones.
+    Values are counted per distinct value, dealt out by ranges of (key, value), and counted up within
+    ranges from where the ranges before end; the wanted ranks are then looked up, so no task holds a key.
     """
     known = timings.filter(F.col(value).isNotNull())
     distinct = known.groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*keys).orderBy("v")
-    all_rows = Window.partitionBy(*keys)
-    df = distinct.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(all_rows))
-    at = lambda i: F.min(F.when(F.col("upto") > i, F.col("v")))
+    table = ranks.dealt(distinct, list(keys), [F.col("v")])
+    sums = table.groupBy(*keys).agg(F.sum("n").alias("total"), F.sum(F.col("v") * F.col("n")).alias("sum"), F.max("v").alias("top"))
+    counted = ranks.running(table, list(keys), [F.col("v")], {"upto": ("sum", F.col("n"), False)})
     last = F.col("total") - 1
     index = lambda f: F.least(last, F.bround(last * F.lit(f)).cast("bigint"))
-    return df.groupBy(*keys).agg(
-        F.max("total").alias("measured"), (F.sum(F.col("v") * F.col("n")) / F.max("total")).alias("mean"), ((at(F.floor(last / 2)) + at(F.ceil(last / 2))) / 2).alias("median"), at(index(0.9)).alias("p90"), at(index(0.95)).alias("p95"), F.max("v").alias("max")
+    wanted = {"low": F.floor(last / 2), "high": F.ceil(last / 2), "p90": index(0.9), "p95": index(0.95)}
+    rows = ranks.joined(counted, sums, list(keys))
+    found = rows.groupBy(*keys).agg(
+        F.max("total").alias("measured"), F.max("sum").alias("sum"), F.max("top").alias("max"), *(F.max(F.when((i < F.col("upto")) & (i >= F.col("upto") - F.col("n")), F.col("v"))).alias(c) for c, i in wanted.items())
     )
+    return found.select(*keys, "measured", (F.col("sum") / F.col("measured")).alias("mean"), ((F.col("low") + F.col("high")) / 2).alias("median"), "p90", "p95", "max")
 
 
 def benchmark_totals(documents: DataFrame) -> DataFrame:
@@ -107,8 +110,9 @@ def display_metrics(engines: DataFrame, show: Output = Output()) -> DataFrame:
 
 def run_progress(timings: DataFrame) -> DataFrame:
     """Per finished page: mean seconds so far, pages left, and the sentence on what is left (needs doc, place, seconds, total)."""
-    w = Window.partitionBy("doc").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    df = timings.withColumn("rate", F.avg("seconds").over(w)).withColumn("left", F.col("total") - F.col("place"))
+    table = ranks.dealt(timings, ["doc"], [F.col("place")])
+    df = ranks.running(table, ["doc"], [F.col("place")], {"__s": ("sum", F.col("seconds"), False), "__k": ("count", F.col("seconds"), False)})
+    df = df.withColumn("rate", F.col("__s") / F.nullif("__k", F.lit(0))).withColumn("left", F.col("total") - F.col("place")).drop("__s", "__k")
     remaining = F.when((F.col("left") > 0) & F.col("rate").isNotNull(), F.col("rate") * F.col("left"))
     df = df.withColumn("remaining", remaining)
     position = F.concat(F.lit("Page "), (F.col("place") + 1).cast("string"), F.lit(" of "), F.col("total").cast("string"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators import ranks
 from quire.params import Documents, Routing
 
 CLASSES = ("text_layer", "blank", "duplicate", "needs_ocr")
@@ -118,11 +119,13 @@ def page_limited(pages: DataFrame, limit: int) -> DataFrame:
     """The first ``limit`` pages of each document, with the ``warning`` that pages were cut; 0 keeps all."""
     if limit <= 0:
         return pages.withColumn("warning", F.lit(None).cast("string"))
-    w = Window.partitionBy("doc")
-    total = F.count("*").over(w)
-    said = F.concat(F.lit(f"Only the first {limit} of "), total.cast("string"), F.lit(" pages were processed because of the configured page limit."))
-    out = pages.withColumn("warning", F.when(total > limit, said)).withColumn("__n", F.row_number().over(w.orderBy("page_number")))
-    return out.filter(F.col("__n") <= limit).drop("__n")
+    # only names of pages are ranked, by ranges: a document of any number of pages is spread over tasks
+    names = pages.select("doc", "page_number")
+    total = names.groupBy("doc").agg(F.count("*").alias("__total"))
+    first = ranks.numbered(names, ["doc"], [F.col("page_number")], "__n").filter(F.col("__n") <= limit)
+    said = F.concat(F.lit(f"Only the first {limit} of "), F.col("__total").cast("string"), F.lit(" pages were processed because of the configured page limit."))
+    kept = ranks.joined(first, total, ["doc"]).select("doc", "page_number", F.when(F.col("__total") > limit, said).alias("warning"))
+    return ranks.joined(pages, kept, ["doc", "page_number"])
 
 
 def rendered_size(width_pt: Column, height_pt: Column, rule: Documents = Documents()) -> tuple[Column, Column]:

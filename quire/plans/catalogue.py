@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import accuracy, align, anchors, batch, cache, cascade, chat, compare, confidence, events, fuse, panels, reports, routing
+from quire.operators import accuracy, align, anchors, batch, cache, cascade, chat, compare, confidence, events, fuse, panels, ranks, reports, routing
 from quire.params import PROFILES, Output, Routing
 from quire.plans.fixtures import fixture, with_fixtures
+from quire.shared import work_dir
 from quire.sources import documents as D
 from quire.sources import export
+from quire.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -364,10 +367,9 @@ def routed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY page_number) AS BIGINT) AS place, count(*) OVER (PARTITION BY doc) AS total, CAST(page_number % 97 AS DOUBLE) AS seconds FROM {timings})))"""
 )
 def run_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("doc")
-    df = fixture(spark, sf_dir, "timings").select("doc", F.row_number().over(w.orderBy("page_number")).cast("bigint").alias("place"), F.count("*").over(w).alias("total"), (F.col("page_number") % 97).cast("double").alias("seconds"))
+    timings = fixture(spark, sf_dir, "timings").select("doc", "page_number", (F.col("page_number") % 97).cast("double").alias("seconds"))
+    placed = ranks.numbered(timings, ["doc"], [F.col("page_number")], "place")
+    df = ranks.joined(placed, timings.groupBy("doc").agg(F.count("*").alias("total")), ["doc"])
     return reports.run_progress(df).select("doc", "place", "rate", "remaining", "said")
 
 
@@ -868,9 +870,9 @@ _KNOWN = "(SELECT source, arg_max(state, job) AS state, arg_max(pages, job) AS p
 
 @query(f"SELECT f.source, coalesce(k.state, 'queued') AS state, coalesce(k.pages, 0) AS pages, coalesce(k.seconds, 0) AS seconds FROM (SELECT DISTINCT replace(source, 'file1', 'new1') AS source FROM {{jobs}}) f LEFT JOIN {_KNOWN} k USING (source)")
 def batch_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs = fixture(spark, sf_dir, "jobs")
-    known = jobs.groupBy("source").agg(*(F.max_by(c, "job").alias(c) for c in ("state", "pages", "seconds")))
-    return batch.reconciled(jobs.select(F.replace("source", F.lit("file1"), F.lit("new1")).alias("source")), known)
+    files = fixture(spark, sf_dir, "jobs")
+    known = files.groupBy("source").agg(*(F.max_by(c, "job").alias(c) for c in ("state", "pages", "seconds")))
+    return batch.reconciled(files.select(F.replace("source", F.lit("file1"), F.lit("new1")).alias("source")), known)
 
 
 _FIN = "state IN ('completed', 'review_required', 'failed', 'cancelled')"
@@ -893,6 +895,26 @@ def batch_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("job", batch.started_state(F.col("attempts")).alias("started"), batch.next_state(F.col("load_error"), F.col("run_error"), F.col("flagged"), F.col("attempts")).alias("state"))
 
 
+_ATTEMPTS = "(SELECT *, row_number() OVER (PARTITION BY source ORDER BY job) AS n FROM {jobs})"
+
+
+@query(
+    f"""SELECT source, CASE WHEN t IS NULL AND tried < 3 THEN 'retrying' WHEN t IS NULL OR load_error IS NOT NULL THEN 'failed' WHEN flagged > 0 THEN 'review_required' ELSE 'completed' END AS state, CAST(tried AS INTEGER) AS attempts,
+        CASE WHEN t IS NULL OR load_error IS NOT NULL THEN 0 ELSE pages END AS pages, CASE WHEN t IS NULL THEN spent ELSE seconds END AS seconds,
+        CASE WHEN load_error IS NOT NULL THEN load_error WHEN t IS NULL AND tried = 3 THEN 'failed after 3 attempt(s): timeout' END AS error
+    FROM (SELECT source, t, coalesce(t, least(k, 3)) AS tried, spent FROM (SELECT source, min(n) FILTER (n <= 3 AND (load_error IS NOT NULL OR run_error IS NULL)) AS t, count(*) AS k, sum(seconds) FILTER (n <= 3) AS spent FROM {_ATTEMPTS} GROUP BY source))
+        JOIN (SELECT source, n AS tried, load_error, pages, flagged, seconds FROM {_ATTEMPTS}) USING (source, tried)"""
+)
+def batch_job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts at files, as a stream through the store of job states: up to three each."""
+    home = f"{work_dir(spark)}/jobs-{uuid.uuid4().hex}"
+    attempts = fixture(spark, sf_dir, "jobs").select("source", F.timestamp_seconds("job").alias("at"), F.lit("attempt").alias("kind"), "load_error", "run_error", "pages", "flagged", "seconds")
+    attempts.write.parquet(f"{home}/events")
+    events = spark.readStream.schema(jobs.EVENTS).parquet(f"{home}/events")
+    jobs.keep_states(spark, events, f"{home}/checkpoint", f"{home}/changes", max_attempts=3).awaitTermination()
+    return jobs.job_states(spark, f"{home}/changes").select("source", "state", "attempts", "pages", "seconds", "error")
+
+
 @query(
     """SELECT source, stem || CASE WHEN n > 0 THEN '_' || n ELSE '' END || '.txt' AS output FROM (SELECT source, stem, row_number() OVER (PARTITION BY stem ORDER BY source) - 1 AS n FROM (SELECT DISTINCT source, regexp_replace(regexp_extract(source, '[^/]+$'), '\\.[^.]*$', '') AS stem FROM {jobs}))"""
 )

@@ -11,10 +11,10 @@ from quire.session import ship
 
 TABLES = ("documents", "conversations", "events", "orders", "lineitem", "labels", "customer")
 
-#: Pages of documents (a source's rows by thousands of ids, so that documents stay bounded), some layers damaged, copies of some damaged pages.
+#: Pages of documents (a source's rows, so a document grows with the table), some layers damaged, copies of some damaged pages.
 PAGES = """
 WITH base AS (
-    SELECT source || '/' || CAST(CAST(floor(doc_id / 1000) AS BIGINT) AS VARCHAR(20)) AS doc, CAST(row_number() OVER (PARTITION BY source, floor(doc_id / 1000) ORDER BY doc_id) AS BIGINT) AS page_number, doc_id,
+    SELECT source AS doc, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS page_number, doc_id,
            CASE WHEN doc_id % 11 = 0 THEN translate(text, 'aeiouyAEIOUY', 'bcdfghBCDFGH') ELSE text END AS embedded_text,
            CASE WHEN doc_id % 4 = 0 THEN CAST(0.0 AS DOUBLE) ELSE CAST((doc_id * 37) % 100 AS DOUBLE) / 100 + CAST(0.01 AS DOUBLE) END AS ink
     FROM documents
@@ -26,7 +26,7 @@ SELECT doc, page_number + 1000000 AS page_number, doc_id, embedded_text, ink FRO
 
 #: One engine's results: empty, looping, truncated and symbol-only pages among good ones.
 RESULTS = """
-SELECT source || '/' || CAST(CAST(floor(doc_id / 1000) AS BIGINT) AS VARCHAR(20)) AS doc, CAST(doc_id AS BIGINT) AS page_number, 'vision_a' AS engine_id,
+SELECT source AS doc, CAST(doc_id AS BIGINT) AS page_number, 'vision_a' AS engine_id,
        CASE WHEN doc_id % 13 = 0 THEN '' WHEN doc_id % 19 = 0 THEN repeat('the same line again' || chr(10), 8)
             WHEN doc_id % 23 = 0 THEN repeat('## ++ == ', 12) WHEN doc_id % 29 = 0 THEN 'Total' ELSE text END AS text,
        CASE WHEN doc_id % 31 = 0 THEN 'failed' ELSE 'success' END AS status,
@@ -38,7 +38,7 @@ FROM documents
 #: Three engines that share some pages of each document.
 ENGINES = """
 WITH base AS (
-    SELECT source || '/' || CAST(CAST(floor(doc_id / 1000) AS BIGINT) AS VARCHAR(20)) AS doc, CAST(row_number() OVER (PARTITION BY source, floor(doc_id / 1000) ORDER BY doc_id) AS BIGINT) AS page_number, doc_id, text FROM documents
+    SELECT source AS doc, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS page_number, doc_id, text FROM documents
 ), e AS (
     SELECT 'text_layer' AS engine_id, 0 AS engine_ord, 'success' AS engine_status
     UNION ALL SELECT 'vision_a', 1, 'success' UNION ALL SELECT 'vision_b', 2, 'partial'
