@@ -29,6 +29,10 @@ from quire.llm.common import work_dir, written
 FILE_BYTES = 8 << 20
 #: Repeated payloads' digests that are broadcast at most, about 150 bytes each; beyond, records are joined.
 BROADCAST_DIGESTS = 100_000
+#: Digests that more than such a share of all repeats have are broadcast where the others are too many.
+HOT_SHARE = 64
+#: Bytes of a gzipped file that are handed to a member at once.
+MEMBER_BYTES = 1 << 14
 #: Bytes of blocks that are handed to Spark at once, about.
 BATCH_BYTES = 4 << 20
 #: Equal payloads below this many bytes are kept as responses.
@@ -105,15 +109,28 @@ def arc_files(pages: DataFrame, path: str, *, version: int = 1, captured: str =
     _write(pages.select(record.alias("value")).mapInArrow(run, "value string"), path, "\n")
 
 
-def inflated(data: bytes) -> bytes:
-    """The contents of a plain file or of all members of a gzipped one."""
+def inflated(data: bytes, strict: bool = True) -> bytes:
+    """The contents of a plain file or of all members of a gzipped one.
+
+    A member that is damaged or cut off is an error; without ``strict`` what could be read up to
+    there is given. What follows the last member is left out.
+    """
     if data[:2] != b"\x1f\x8b":
         return data
-    parts = []
-    while data[:2] == b"\x1f\x8b":
+    whole, parts, at = memoryview(data), [], 0
+    while data[at : at + 2] == b"\x1f\x8b":
         member = zlib.decompressobj(31)
-        parts.append(member.decompress(data))
-        data = member.unused_data
+        while not member.eof and at < len(data):  # a part at a time: what a member leaves of it is copied
+            fed = whole[at : at + MEMBER_BYTES]
+            try:
+                parts.append(member.decompress(fed))
+            except zlib.error:
+                if strict:
+                    raise
+                return b"".join(parts)
+            at += len(fed) - len(member.unused_data)
+        if not member.eof and strict:
+            raise ValueError("the last gzip member is cut off")
     return b"".join(parts)
 
 
@@ -158,9 +175,11 @@ def arc_records(data: bytes, strict: bool = True) -> Iterator[tuple[int, dict[st
 
 
 def read_arc(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """The records of all ARC files under ``path``, descriptions left out; a path that was never written fails as Spark does.
+    """The records of all files under ``path``, in folders too, descriptions left out; a path that was never written fails as Spark does.
 
-    ``archive`` is the name that a file's description gives it, or its own.
+    Files are plain or gzipped, whatever their names, but for those that begin with a dot or an
+    underscore, which Spark leaves out. A file that is no ARC file fails the read; without ``strict``
+    it has no records. ``archive`` is the name that a file's description gives it, or its own.
     """
 
     def run(batches):
@@ -168,7 +187,7 @@ def read_arc(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
             for name, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 rows, size = [], 0
                 name = name.rsplit("/", 1)[-1]
-                for n, (at, h, block) in enumerate(arc_records(inflated(data.as_py()), strict)):
+                for n, (at, h, block) in enumerate(arc_records(inflated(data.as_py(), strict), strict)):
                     if not n and h["URL"].startswith("filedesc:"):
                         name = h["URL"].removeprefix("filedesc:").strip("/") or name
                         continue
@@ -183,7 +202,7 @@ def read_arc(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
                 if rows:
                     yield _batch(rows, _ARC)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(run, ARC_SCHEMA)
 
 
@@ -214,11 +233,12 @@ def arc_to_warc(arc: DataFrame, revisit_bytes: int = REVISIT_BYTES, broadcast_di
     ``revisit_bytes`` bytes the one with the smallest page id (then record id; ids that are missing
     last) stays, the others are revisits of it, keep their HTTP head and lose the payload.
 
-    Payloads aren't shuffled. A first pass over the archives groups digests and ids, by partial
-    sums, so a payload that a third of the records share needs no large task; it leaves a table of
-    the payloads that repeat. If this has up to ``broadcast_digests`` rows it is broadcast;
-    otherwise the ids of the records that become revisits are found by a join without payloads and
-    joined to the records.
+    A first pass over the archives groups digests and ids, by partial sums, so a payload that a
+    third of the records share needs no large task; it leaves a table of the payloads that repeat.
+    If this has up to ``broadcast_digests`` rows it is broadcast and payloads aren't shuffled.
+    Otherwise the ids of the records that become revisits are found by a join without payloads,
+    in which digests of more than a HOT_SHARE-th of all repeats, fewer than HOT_SHARE, are
+    broadcast; records then meet their new types by id, evenly.
     """
     date = F.regexp_replace(F.rpad(F.coalesce("date", F.lit("")), 14, "0"), r"^(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2}).*$", "$1-$2-$3T$4:$5:$6Z")
     page = F.expr("try_cast(nullif(regexp_extract(http_head, '(?m)^X-Page-Id: (-?[0-9]+)\\r?$', 1), '') as bigint)")
@@ -236,12 +256,15 @@ def arc_to_warc(arc: DataFrame, revisit_bytes: int = REVISIT_BYTES, broadcast_di
     may = (F.col("payload_bytes") >= revisit_bytes) & (F.col("record_type") == "response")
     first = F.min(F.struct(F.col("page_id").isNull().alias("u"), "page_id", "record_id"))
     marks = rows.filter(may).select("record_id", "payload_digest", "page_id")
-    firsts = written(marks.groupBy("payload_digest").agg(F.count("*").alias("n"), first.alias("first")).filter("n > 1").select("payload_digest", F.col("first.record_id").alias("first_id"), F.col("first.page_id").alias("first_page")), "repeats")
+    firsts = written(marks.groupBy("payload_digest").agg(F.count("*").alias("n"), first.alias("first")).filter("n > 1").select("payload_digest", "n", F.col("first.record_id").alias("first_id"), F.col("first.page_id").alias("first_page")), "repeats")
     if firsts.count() <= broadcast_digests:
         out = rows.join(F.broadcast(firsts), "payload_digest", "left")
         revisit = may & (F.col("first_id") != F.col("record_id"))
     else:
-        again = marks.join(firsts, "payload_digest").filter("record_id <> first_id").select("record_id", "first_id", "first_page")
+        hot = F.col("n") > firsts.agg(F.sum("n")).first()[0] // HOT_SHARE
+        few = F.broadcast(firsts.filter(hot))
+        cold = marks.join(few.select("payload_digest"), "payload_digest", "left_anti").join(firsts.filter(~hot), "payload_digest")
+        again = marks.join(few, "payload_digest").unionByName(cold).filter("record_id <> first_id").select("record_id", "first_id", "first_page")
         out = rows.join(again, "record_id", "left")
         revisit = F.col("first_id").isNotNull()
     revisit = F.coalesce(revisit, F.lit(False))
@@ -306,7 +329,7 @@ def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all WARC files under ``path`` (WARC_SCHEMA).
+    """The records of all files under ``path``, in folders too (WARC_SCHEMA); they are plain or gzipped WARC files, whatever their names.
 
     The digest of a payload that is there is computed again; a record whose digest doesn't match
     fails the read. A revisit has the digest and the length of the payload that it refers to.
@@ -333,7 +356,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield _batch(rows, _WARC)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInArrow(run, WARC_SCHEMA)
 
 
