@@ -6,13 +6,15 @@
    blocks of about equal numbers of words.
 3. Schedule: slot i of the mix draws the point frac((i + 1/2) * golden ratio); cumulative weights
    map it to a source. The k-th slot of a source takes that source's k-th block, round and round,
-   at most ``cap`` times.
+   until its target is met: slots beyond it are left, slots that the draw fell short of stand at the
+   schedule's end, and the last one takes a part of its block. So each source gets its target to the
+   word, however small it is.
 4. A document's share is what the schedule takes of the blocks that it lies in.
 
-The numbers of slots and blocks are bounded by ``slots`` whatever the input is, so their tables
-are small and the one broadcast has a fixed bound; a block grows with the input instead. No step
-gathers a source in one task: documents are ordered within (source, hash range) buckets, and the
-buckets' totals give each its start.
+The numbers of slots and blocks are bounded by ``slots``, and one for each source, whatever the input
+is; a block grows with the input instead. No step gathers a source or all sources in one task:
+sources are ranked and summed up by ranges, and documents are ordered within (source, hash range)
+buckets, whose totals give each its start.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import WORD, fresh_name, written
+from quire.operators import ranks
 
 #: Slots of the schedule, about; also the bound on all sources' blocks (plus one for each source).
 SLOTS = 1 << 17
@@ -46,48 +49,52 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
     """
     w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("source_no") - 1, F.lit(len(weights))) + 1).cast("int"))
     each = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    each = each.withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))).withColumn("weight", w)
-    order = Window.orderBy(F.col("source_size") / F.col("weight"), "source_no")
-    all_rows = Window.partitionBy()
-    each = (
-        each.withColumn("total", F.sum("source_size").over(all_rows))
-        .withColumn("before", F.coalesce(F.sum(F.col("source_size") * cap).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("left", F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("level", (F.col("total") - F.col("before")) / F.col("left"))
-        # the first source, in this order, that the level reached so far doesn't fill
-        .withColumn("open", F.col("level") * F.col("weight") <= F.col("source_size") * cap)
-        .withColumn("final", F.min(F.when(F.col("open"), F.struct(F.col("source_size") / F.col("weight"), "source_no", "level"))).over(all_rows)["level"])
-    )
-    target = F.least(F.col("source_size") * F.lit(float(cap)), F.col("final") * F.col("weight"))
+    each = ranks.numbered(each, [], [F.col("source").asc_nulls_last()], "source_no").withColumn("weight", w)
+    order = [F.col("source_size") / F.col("weight"), F.col("source_no")]
+    table = ranks.dealt(each, [], order)
+    total = table.agg(F.sum("source_size")).first()[0] or 0
+    each = ranks.running(table, [], order, {"upto": ("sum", F.col("source_size") * cap, False), "left": ("sum", F.col("weight"), True)})
+    each = each.withColumn("level", (F.lit(total) - F.col("upto") + F.col("source_size") * cap) / F.col("left"))
+    # the first source, in this order, that the level reached so far doesn't fill
+    each = written(each.withColumn("open", F.col("level") * F.col("weight") <= F.col("source_size") * cap), "levels")
+    final = each.agg(F.min(F.when(F.col("open"), F.struct(F.col("source_size") / F.col("weight"), "source_no", "level")))["level"]).first()[0]
+    target = F.least(F.col("source_size") * F.lit(float(cap)), F.lit(final) * F.col("weight"))
     return each.select("source", "source_no", "source_size", "weight", F.when(F.col("source_size") > 0, target).otherwise(0.0).alias("target"))
 
 
 def schedule(sources: DataFrame, slots: int = SLOTS, cap: int = 3) -> DataFrame:
-    """One row per block that the mix takes: ``source_no``, ``block``, ``times``.
+    """One row per block that the mix takes: ``source_no``, ``block``, ``times``, ``part``, the words of it that the source's last slot takes beside.
 
     ``sources`` needs source_no, source_size, blocks and target.
     """
     spark = sources.sparkSession
-    need = F.col("target") * F.col("blocks") / F.col("source_size")
-    line = Window.orderBy("source_no")
-    parts = sources.filter("source_size > 0 and target > 0").withColumn("need", need)
-    parts = (
-        parts.withColumn("all_need", F.sum("need").over(Window.partitionBy()))
-        .withColumn("hi", F.sum("need").over(line) / F.col("all_need"))
-        .withColumn("lo", F.coalesce(F.lag("hi").over(line), F.lit(0.0)))
-        .withColumn("hi", F.when(F.lead("source_no").over(line).isNull(), F.lit(2.0)).otherwise(F.col("hi")))
-        .withColumn("n_slots", F.round("all_need").cast("long"))
-    )
-    cells = parts.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * GRID), F.least(F.floor(F.col("hi") * GRID), F.lit(GRID)))))
+    parts = sources.filter("source_size > 0 and target > 0").withColumn("words", F.least(F.round("target").cast("long"), F.col("source_size") * cap))
+    # slots that a source needs, the last perhaps in part; needs are added up as whole numbers, so that intervals meet
+    last = F.expr("(words - 1) % source_size * blocks div source_size + (words - 1) div source_size * blocks")
+    parts = parts.filter("words > 0").withColumn("last", last).withColumn("need", F.round(F.col("words") * F.col("blocks") / F.col("source_size") * 1000).cast("long"))
+    parts = written(ranks.running(ranks.dealt(parts, [], [F.col("source_no")]), [], [F.col("source_no")], {"upto": ("sum", F.col("need"), False)}), "needs")
+    every = parts.agg(F.sum("need"), F.sum(F.col("last") + 1)).first()
+    total, n_slots = every[0] or 1, every[1] or 0
+    hi = F.when(F.col("upto") == total, F.lit(2.0)).otherwise(F.col("upto") / F.lit(total))
+    parts = parts.withColumn("hi", hi).withColumn("lo", (F.col("upto") - F.col("need")) / F.lit(total))
+    cells = parts.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * GRID), F.least(F.floor(F.col("hi") * GRID), F.lit(GRID))))).select("source_no", "lo", "hi", "cell")
     # needs add up to the blocks' number on the whole mix, at most `slots` + one for each source
     point = F.pmod((F.col("id") + 0.5) * F.lit(GOLDEN), F.lit(1.0))
-    drawn = spark.range(0, slots + 4 * sources.count() + 1).withColumn("u", point).withColumn("cell", F.floor(F.col("u") * GRID))
-    drawn = drawn.join(cells, "cell").filter("u >= lo and u < hi and id < n_slots").select("id", "source_no", "blocks", (F.col("id") / RANKED).cast("long").alias("run"))
-    runs = drawn.groupBy("source_no", "run").agg(F.count("*").alias("n"))
-    runs = runs.withColumn("before", F.sum("n").over(Window.partitionBy("source_no").orderBy("run")) - F.col("n")).select("source_no", "run", "before")
-    rank = F.col("before") + F.row_number().over(Window.partitionBy("source_no", "run").orderBy("id")) - 1
-    ranked = drawn.join(runs, ["source_no", "run"]).withColumn("rank", rank).filter(F.col("rank") < F.col("blocks") * cap)
-    return ranked.groupBy("source_no", F.pmod(F.col("rank"), F.col("blocks")).alias("block")).agg(F.count("*").alias("times"))
+    drawn = spark.range(0, n_slots).withColumn("u", point).withColumn("cell", F.floor(F.col("u") * GRID))
+    drawn = drawn.join(cells, "cell").filter("u >= lo and u < hi").select("id", "source_no", (F.col("id") / RANKED).cast("long").alias("run"))
+    runs = written(drawn.groupBy("source_no", "run").agg(F.count("*").alias("n")), "runs")
+    runs = ranks.running(ranks.dealt(runs, ["source_no"], [F.col("run")]), ["source_no"], [F.col("run")], {"upto": ("sum", F.col("n"), False)})
+    rank = F.col("upto") - F.col("n") + F.row_number().over(Window.partitionBy("source_no", "run").orderBy("id")) - 1
+    ranked = drawn.join(runs, ["source_no", "run"]).select("source_no", rank.alias("rank"))
+    # what the draw fell short of, at the schedule's end
+    short = parts.join(runs.groupBy("source_no").agg(F.sum("n").alias("drawn")), "source_no", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    short = short.filter(F.col("drawn") <= F.col("last")).select("source_no", F.explode(F.sequence("drawn", "last")).alias("rank"))
+    slot = ranked.unionByName(short).join(parts.select("source_no", "source_size", "blocks", "words", "last"), "source_no").filter("rank <= last")
+    slot = slot.withColumn("block", F.pmod("rank", "blocks"))
+    begins = F.expr("rank div blocks * source_size + (block * source_size + blocks - 1) div blocks")
+    ends = F.expr("rank div blocks * source_size + ((block + 1) * source_size + blocks - 1) div blocks")
+    whole = (F.col("rank") < F.col("last")) | (ends <= F.col("words"))
+    return slot.groupBy("source_no", "block").agg(F.count_if(whole).alias("times"), F.coalesce(F.sum(F.when(~whole, F.col("words") - begins)), F.lit(0)).alias("part"))
 
 
 def mix(docs: DataFrame, *, text: str = "text", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, slots: int = SLOTS, seed: int = 5, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -106,7 +113,7 @@ def mix(docs: DataFrame, *, text: str = "text", weights: tuple[int, ...] = (1, 2
     per_block = max(1, -(-(total[1] or 0) // slots))
     blocks = F.ceil(F.col("source_size") / F.lit(per_block)).cast("long")
     sources = written(source_targets(sized, weights, cap).withColumn("blocks", blocks), "sources")
-    taken = F.broadcast(schedule(sources, slots, cap))  # at most `slots` rows and one for each source
+    taken = schedule(sources, slots, cap)
 
     bucket = F.shiftrightunsigned("h", 64 - bits).cast("long") if bits else F.lit(0).cast("long")
     keyed = sized.withColumn("bucket", bucket)
@@ -122,10 +129,11 @@ def mix(docs: DataFrame, *, text: str = "text", weights: tuple[int, ...] = (1, 2
     edge = lambda b: F.expr(f"(({b}) * source_size + blocks - 1) div blocks")
     pieces = laid.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(number("at"), number("at + size - 1")))))
     pieces = pieces.join(taken, ["source_no", "block"], "left")
-    words = F.least(F.col("at") + F.col("size"), edge("block + 1")) - F.greatest("at", edge("block"))
+    within = lambda end: F.greatest(F.lit(0), F.least(F.col("at") + F.col("size"), end) - F.greatest("at", edge("block")))
+    words = within(edge("block + 1")) * F.col("times") + within(edge("block") + F.col("part"))
     row = ["source_key", "bucket", "no"]
     out = pieces.groupBy(*row).agg(
-        *(F.first(c).alias(c) for c in ("doc_id", "source", "size", "source_size", "target")), F.coalesce(F.sum(words * F.col("times")), F.lit(0)).cast("long").alias("taken")
+        *(F.first(c).alias(c) for c in ("doc_id", "source", "size", "source_size", "target")), F.coalesce(F.sum(words), F.lit(0)).cast("long").alias("taken")
     )
     return out.select("doc_id", "source", "size", "source_size", "target", "taken")
 
