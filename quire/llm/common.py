@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -108,6 +109,22 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextmanager
+def plain_plans(spark: SparkSession):
+    """Queries planned meanwhile are not compiled into code of their own.
+
+    A join of many rounds has many plans of narrow rows; the driver, which compiles each of them,
+    keeps the classes, some megabytes a plan.
+    """
+    name = "spark.sql.codegen.wholeStage"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver collect what it no longer refers to, so that Spark removes those shuffle files now and not at some later collection."""
     gc.collect()

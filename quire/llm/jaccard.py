@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import discard, fresh_name, release, slices, tidy, worker_state, written
+from quire.llm.common import discard, fresh_name, plain_plans, release, slices, tidy, worker_state, written
 from quire.llm.components import components
 
 #: Words of a shingle, and the threshold as hundredths.
@@ -583,45 +583,8 @@ class _Join:
         self.of = written(old.unionByName(fresh), "components")
 
 
-def join_components(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id``, one row per row of ``docs`` (any order).
-
-    Links: Jaccard similarity of the shingle sets of at least THRESHOLD hundredths, computed in
-    whole numbers. A text with fewer than five words has one shingle, its whole sequence; null and
-    empty texts and texts of white space have none and link with nothing. Equal sets link. A row
-    with a null id takes part, but no component is named after it (one of null ids only is null).
-    Rows that repeat an id are points of their own with that id. Other columns are ignored.
-    """
-    tid = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col(text))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), tid.alias("tid"))
-    spark = docs.sparkSession
-    first = written(_first_pass(docs), "first")
-    common = levels(first.filter("chunk is not null").select("chunk", "data"))
-    seen = first.filter("chunk is null")
-    marks = written(seen.select("doc_id", "sid", "n"), "marks")
-    # one row per distinct set; of a set that very many rows have, one row is cut into shingles
-    sets = seen.filter("n > 0").groupBy("sid").agg(F.count("*").alias("rows"), F.min("doc_id").alias("low"), F.min("tid").alias("tid"), F.first("sketch").alias("sketch"))
-    sets = written(sets, "sets")
-    discard(first)
-    release(spark)
-    count = marks.count()
-    bits = min(30, max(6, math.ceil(math.log2(max(1, count * 100 / BUCKET)))))
-    hot = sets.filter(F.col("rows") > max(HOT_ROWS, count // HOT_SHARE)).select("sid", "tid").collect()
-    shares = _prefixes(docs, common, bits, frozenset(r["sid"] for r in hot))
-    if hot:
-        one_each = docs.filter(F.col("tid").isin([r["tid"] for r in hot])).dropDuplicates(["tid"])
-        shares = shares.unionByName(_prefixes(one_each, common, bits))
-    table = written(shares, "prefixes")
-    found = written(_blocks(table), "found")
-    discard(table)
-    del table, first, seen
-    release(spark)
-    blocks = _open_blocks(found)
-    discard(found)
-    del found
-    points = written(sets.join(blocks.select("sid").distinct(), "sid", "left_semi").select("sid", "tid", "sketch"), "points")
-    texts = written(_narrowed(docs, points).dropDuplicates(["tid"]), "texts")
-    release(spark)
+def _linked(points: DataFrame, texts: DataFrame, blocks: DataFrame) -> _Join:
+    """The join of all points, by cells, border points and recursion."""
     join = _Join(points, texts)
 
     # every point meets the pivot that it shares most blocks with
@@ -664,6 +627,50 @@ def join_components(docs: DataFrame, text: str = "text") -> DataFrame:
         d = join.known.groupBy(F.col("a").alias("pivot"), F.col("b").alias("sid")).agg(F.first(_distance()).alias("d"))
         met = met.join(d, ["pivot", "sid"], "left").join(points.select("sid", "sketch"), "sid")
         join.measure(_near(met.select("block", "role", "sid", "n", "c", "d", "sketch")).join(join.known.select("a", "b"), ["a", "b"], "left_anti"))
+    return join
+
+
+def join_components(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id``, one row per row of ``docs`` (any order).
+
+    Links: Jaccard similarity of the shingle sets of at least THRESHOLD hundredths, computed in
+    whole numbers. A text with fewer than five words has one shingle, its whole sequence; null and
+    empty texts and texts of white space have none and link with nothing. Equal sets link. A row
+    with a null id takes part, but no component is named after it (one of null ids only is null).
+    Rows that repeat an id are points of their own with that id. Other columns are ignored.
+    """
+    tid = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col(text))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), tid.alias("tid"))
+    spark = docs.sparkSession
+    first = written(_first_pass(docs), "first")
+    common = levels(first.filter("chunk is not null").select("chunk", "data"))
+    seen = first.filter("chunk is null")
+    marks = written(seen.select("doc_id", "sid", "n"), "marks")
+    # one row per distinct set; of a set that very many rows have, one row is cut into shingles
+    sets = seen.filter("n > 0").groupBy("sid").agg(F.count("*").alias("rows"), F.min("doc_id").alias("low"), F.min("tid").alias("tid"), F.first("sketch").alias("sketch"))
+    sets = written(sets, "sets")
+    discard(first)
+    release(spark)
+    count = marks.count()
+    bits = min(30, max(6, math.ceil(math.log2(max(1, count * 100 / BUCKET)))))
+    hot = sets.filter(F.col("rows") > max(HOT_ROWS, count // HOT_SHARE)).select("sid", "tid").collect()
+    shares = _prefixes(docs, common, bits, frozenset(r["sid"] for r in hot))
+    if hot:
+        one_each = docs.filter(F.col("tid").isin([r["tid"] for r in hot])).dropDuplicates(["tid"])
+        shares = shares.unionByName(_prefixes(one_each, common, bits))
+    table = written(shares, "prefixes")
+    found = written(_blocks(table), "found")
+    discard(table)
+    del table, first, seen
+    release(spark)
+    blocks = _open_blocks(found)
+    discard(found)
+    del found
+    points = written(sets.join(blocks.select("sid").distinct(), "sid", "left_semi").select("sid", "tid", "sketch"), "points")
+    texts = written(_narrowed(docs, points).dropDuplicates(["tid"]), "texts")
+    release(spark)
+    with plain_plans(spark):
+        join = _linked(points, texts, blocks)
 
     named = written(join.labelled(sets.select("sid", "rows", "low"), "sid", "label"), "named")
     smallest = named.groupBy("label").agg(F.min("low").alias("component_id"), F.count("*").alias("sets"))
