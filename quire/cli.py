@@ -9,10 +9,10 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import accuracy, batch, cascade, reports, routing
+from quire.operators import accuracy, batch, cascade, compare, fuse, reports, routing
 from quire.params import PROFILES, Settings, profile_of, with_profile
 from quire.shared import written
-from quire.sources import documents
+from quire.sources import documents, parts
 
 ENGINES = cascade.Registry([cascade.Engine("text_layer", "Embedded text", lambda page: {}), cascade.stub_engine("vision_a"), cascade.stub_engine("vision_b"), cascade.stub_engine("classic")])
 
@@ -41,8 +41,6 @@ def transcribed(pages, s: Settings, mode: str = "cascade"):
 
     Texts are fused page by page where engines divide the pages between them, else as wholes.
     """
-    from quire.operators import compare, fuse
-
     routes = routing.routed_or_all(pages, rule=s.routing) if mode == "cascade" else None
     engines = ENGINES.ordered(s.engine_order)
     results = cascade.all_engines(pages, engines) if routes is None else cascade.cascade(routes, engines, s.confidence)
@@ -55,7 +53,10 @@ def transcribed(pages, s: Settings, mode: str = "cascade"):
 
 def run(args: argparse.Namespace) -> int:
     s = settings_of(args)
-    transcribed(_pages(_spark(), args.path), s, args.mode)[2].write.mode("overwrite").parquet(args.output)
+    _, results, texts = transcribed(_pages(_spark(), args.path), s, args.mode)
+    texts.write.mode("overwrite").parquet(args.output)
+    if args.texts:
+        parts.write_texts(parts.joined_parts(fuse.page_choices(results, s.fusion), "doc", trim=True), args.texts, "doc")
     return 0
 
 
@@ -163,6 +164,7 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--memory-floor-mb", type=float, default=0)
         if name == "run":
             c.add_argument("--mode", choices=["cascade", "all_engines"], default="cascade")
+            c.add_argument("--texts", help="a folder for text files, page by page, in parts of bounded size")
             c.add_argument("--fusion", choices=["prefer_primary", "prefer_longest", "line_vote"])
         if name == "accuracy":
             c.add_argument("--results", required=True)

@@ -77,8 +77,14 @@ def read_cached(pages: DataFrame, cache: DataFrame, engine: Engine, order: int,
     results go into the cache. Engines that cost less than a lookup go past it. A cached page took
     no time now; what it took when it was read counts as saved.
     """
+    results, new, counts = read_new(pages, cache, engine, order, now=now, image=image)
+    return results, cache if new is None else stored(cache, new), counts
+
+
+def read_new(pages: DataFrame, cache: DataFrame, engine: Engine, order: int, *, now: float, image: str = "image") -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """As ``read_cached``, with the new entries (with status; None: the engine goes past the cache) in place of the cache after."""
     if engine.engine_id in BYPASSED:
-        return read_once(pages, engine, order), cache, pages.select("doc").distinct().select("doc", *(F.lit(0).cast("bigint").alias(c) for c in ("hits", "misses")), F.lit(0.0).alias("seconds_saved"))
+        return read_once(pages, engine, order), None, pages.select("doc").distinct().select("doc", *(F.lit(0).cast("bigint").alias(c) for c in ("hits", "misses")), F.lit(0.0).alias("seconds_saved"))
     keyed = pages.withColumn("key", page_key(F.col(image), engine.engine_id, engine.model, engine.options))
     fresh = read_once(misses(keyed, cache), engine, order)
     looked = lookup(keyed.select("doc", "page_number", "key"), cache)
@@ -91,7 +97,7 @@ def read_cached(pages: DataFrame, cache: DataFrame, engine: Engine, order: int,
         "key", F.lit(FORMAT).alias("format"), F.col("engine_id").alias("provider_id"), F.lit(engine.model).cast("string").alias("model"), "text", "input_tokens", "output_tokens", "seconds", F.lit(float(now)).alias("created_at"), "status"
     )
     names = [c.split()[0] for c in RESULT.split(", ")]
-    return kept.select(*names).unionByName(fresh.select(*names)), stored(cache, new), stats(looked, "doc")
+    return kept.select(*names).unionByName(fresh.select(*names)), new, stats(looked, "doc")
 
 
 def rolled_up(results: DataFrame) -> DataFrame:

@@ -103,8 +103,8 @@ def guarded(fused: DataFrame, *keys: str, least: float = MIN_CONTAINMENT) -> Dat
     return df.withColumn("rejected_for", why).withColumn("accepted", why.isNull())
 
 
-def pagewise(results: DataFrame, strategy: str = "line_vote", threshold: float = 0.55) -> DataFrame:
-    """Per document the text assembled page by page, ``pages`` used and ``contested`` ones.
+def page_choices(results: DataFrame, strategy: str = "line_vote", threshold: float = 0.55) -> DataFrame:
+    """``doc``, ``page_number``, ``text`` and ``readings``: each page's text as the strategy decides, and how many engines read it.
 
     Page results need doc, page_number, engine_id, engine_ord, engine_status, status and text. A
     page that one engine read is taken as it is; of others the strategy decides, from the first two.
@@ -118,7 +118,12 @@ def pagewise(results: DataFrame, strategy: str = "line_vote", threshold: float =
         text = prefer_longest(ok, *keys).select(*keys, "text")
     else:
         text = line_vote(first_two(ok, *keys), *keys, threshold=threshold).select(*keys, "text")
-    pages = text.join(count, keys)
+    return text.join(count, keys)
+
+
+def pagewise(results: DataFrame, strategy: str = "line_vote", threshold: float = 0.55) -> DataFrame:
+    """Per document the text assembled page by page, ``pages`` used and ``contested`` ones; ``page_choices`` for documents too long for a row."""
+    pages = page_choices(results, strategy, threshold)
     parts = F.array_sort(F.collect_list(F.struct("page_number", "text")))
     return pages.groupBy("doc").agg(T.stripped(F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n")).alias("text"), F.count("*").alias("pages"), F.count_if(F.col("readings") > 1).alias("contested"))
 

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import accuracy, align, anchors, batch, cache, cascade, chat, compare, confidence, events, fuse, panels, ranks, reports, routing
+from quire.operators import accuracy, align, anchors, batch, cache, cascade, chat, compare, confidence, events, fuse, panels, ranks, reports, routing, store
 from quire.params import PROFILES, Output, Routing
 from quire.plans.fixtures import fixture, with_fixtures
 from quire.shared import work_dir
 from quire.sources import documents as D
-from quire.sources import export
+from quire.sources import export, parts
 from quire.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -217,6 +217,21 @@ def document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.document_text(fixture(spark, sf_dir, "pages")).select("doc", "pages", "has_text_layer", F.sha2("text", 256).alias("text_sha"))
 
 
+def _in_parts(rows: str, keys: str, size: int, text: str = "text") -> str:
+    """DuckDB: ``rows`` with the number of the part that each page's first byte falls into."""
+    return f"(SELECT *, CAST(floor((sum(strlen({text})) OVER (PARTITION BY {keys} ORDER BY page_number) - strlen({text})) / {size}) AS BIGINT) AS part FROM {rows} WHERE {text} <> '')"
+
+
+@query(
+    f"""SELECT doc, part, count(*) AS pages, CAST(sum(strlen(embedded_text)) AS BIGINT) AS bytes, sha256(string_agg(embedded_text, chr(10) || chr(10) ORDER BY page_number)) AS text_sha
+    FROM {_in_parts("(SELECT * FROM {pages} WHERE regexp_matches(embedded_text, '[^[:space:]]'))", 'doc', 20000, 'embedded_text')} GROUP BY doc, part"""
+)
+def document_text_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text layers of documents of any length, in parts of bounded size."""
+    layers = fixture(spark, sf_dir, "pages").filter(F.col("embedded_text").rlike(r"\S")).select("doc", "page_number", F.col("embedded_text").alias("text"))
+    return parts.joined_parts(layers, "doc", part_bytes=20000).select("doc", "part", "pages", "bytes", F.sha2("text", 256).alias("text_sha"))
+
+
 # --- engine output, confidence, cascade ---------------------------------------------------------------
 
 _FENCE = T.FENCE
@@ -518,6 +533,12 @@ def engine_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _engine_texts(spark, sf_dir).select("doc", "engine_id", "engine_ord", F.length("text").cast("bigint").alias("characters"), T.word_count("text").alias("words"), F.sha2("text", 256).alias("text_sha"))
 
 
+@query(f"SELECT doc, engine_id, part, count(*) AS pages, sha256(string_agg(text, chr(10) || chr(10) ORDER BY page_number)) AS text_sha FROM {_in_parts('{engines}', 'doc, engine_id', 20000)} GROUP BY doc, engine_id, part")
+def engine_text_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = parts.joined_parts(fixture(spark, sf_dir, "engines"), "doc", "engine_id", part_bytes=20000)
+    return df.select("doc", "engine_id", "part", "pages", F.sha2("text", 256).alias("text_sha"))
+
+
 @query(f"SELECT doc, engine_id, sha256(text) AS text_sha FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY engine_ord) AS n FROM {_USABLE}) WHERE n = 1")
 def fuse_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuse.prefer_primary(_engine_texts(spark, sf_dir), "doc").select("doc", "engine_id", F.sha2("text", 256).alias("text_sha"))
@@ -618,6 +639,15 @@ def fuse_pagewise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuse.pagewise(fixture(spark, sf_dir, "engines"), "prefer_longest").select("doc", F.sha2("text", 256).alias("text_sha"), "pages", "contested")
 
 
+@query(
+    f"""SELECT doc, part, sha256(joined) AS text_sha, pages FROM (SELECT doc, part, {_strip("string_agg(text, chr(10) || chr(10) ORDER BY page_number)")} AS joined, count(*) AS pages FROM {_in_parts(f"(SELECT *, row_number() OVER (PARTITION BY doc, page_number ORDER BY length(text) DESC, engine_ord) AS n FROM {{engines}} WHERE engine_status IN ('success', 'partial') AND status = 'success' AND NOT ({_blank('text')}) QUALIFY n = 1)", 'doc', 20000)} GROUP BY doc, part)"""
+)
+def fuse_pagewise_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts assembled page by page without a document in one row."""
+    chosen = fuse.page_choices(fixture(spark, sf_dir, "engines"), "prefer_longest")
+    return parts.joined_parts(chosen, "doc", part_bytes=20000).select("doc", "part", F.sha2(T.stripped("text"), 256).alias("text_sha"), "pages")
+
+
 _VOTED = f"""(SELECT doc, page_number, array_to_string(CASE WHEN len(a) > len(b) THEN a ELSE b END, chr(10)) AS text, 2 AS readings FROM {_PAGE_LINES}
     UNION ALL SELECT doc, page_number, text, 1 FROM (SELECT *, count(*) OVER (PARTITION BY doc, page_number) AS n FROM {{engines}} WHERE engine_status IN ('success', 'partial') AND status = 'success' AND NOT ({_blank('text')})) WHERE n = 1)"""
 
@@ -863,6 +893,18 @@ def cache_read_through(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.select("doc", "page_number", "text", "status", "seconds").crossJoin(after.agg(F.count_distinct("key").alias("entries")))
 
 
+@query(f"SELECT doc_id AS page_number, key, hit, cached_text FROM {_LOOKED}")
+def cache_store_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lookup against files by key prefix, put in two goes, the second an old format."""
+    path = f"{work_dir(spark)}/cache-{uuid.uuid4().hex}"
+    kept = _entries(spark, sf_dir).withColumn("status", F.lit("success"))
+    store.put(kept, path)
+    store.put(kept.withColumn("format", F.lit(0)).withColumn("created_at", F.col("created_at") + 1e9), path)
+    key = cache.page_key(F.col("text"), "vision_a", "m", _OPTIONS)
+    pages = fixture(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page_number"), key.alias("key"))
+    return store.lookup(pages, path).select("page_number", "key", "hit", "cached_text")
+
+
 # --- batch ----------------------------------------------------------------------------------------------
 
 _KNOWN = "(SELECT source, arg_max(state, job) AS state, arg_max(pages, job) AS pages, arg_max(seconds, job) AS seconds FROM {jobs} GROUP BY source)"
@@ -968,6 +1010,16 @@ def export_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.as_text(docs, docs.select("doc", F.col("doc").alias("text")), pages=pages)
 
 
+@query(
+    f"""SELECT doc, part, count(*) AS pages, sha256({_strip("string_agg(said, chr(10) || chr(10) ORDER BY page_number)")}) AS text_sha
+    FROM {_in_parts("(SELECT doc, page_number, '--- Page ' || page_number || ' ---' || chr(10) || CASE WHEN text = '' THEN '(no text extracted)' ELSE text END AS said FROM {engines} WHERE engine_id = 'vision_b')", 'doc', 20000, 'said')} GROUP BY doc, part"""
+)
+def export_text_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page-by-page export of documents of any length."""
+    pages = fixture(spark, sf_dir, "engines").filter("engine_id = 'vision_b'").select("doc", "page_number", "text")
+    return export.paginated_parts(pages, 20000).select("doc", "part", "pages", F.sha2(T.stripped("text"), 256).alias("text_sha"))
+
+
 @query("SELECT doc, engine_id, page_number AS page, status, CAST(length(text) AS BIGINT) AS character_count FROM {engines}")
 def export_json_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages of the JSON records, read back."""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.params import Output
 from quire.session import ship
+from quire.sources import parts
 
 MIME = {"txt": "text/plain", "md": "text/markdown", "json": "application/json", "csv": "text/csv", "xml": "application/xml", "html": "text/html", "pdf": "application/pdf"}
 CONFLICTS_SHOWN, PDF_PAGES = 25, 2000
@@ -97,8 +98,10 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.select(csv_line(rows.columns).alias("value")).mapInArrow(run, "value string").write.option("lineSep", "\r\n").text(path)
 
 
-def write_texts(texts: DataFrame, path: str, column: str = "text") -> None:
-    texts.select(F.col(column).alias("value")).write.text(path)
+def write_csv_in_order(rows: DataFrame, path: str) -> None:
+    """``csv_rows`` by document, engine and page over all files, in the order of their names; no document is in one task."""
+    order = [F.col("doc"), F.col("place")] + ([F.col("page").cast("bigint")] if "page" in rows.columns else [])
+    write_csv(parts.in_order(rows, *order).drop("doc", "place"), path)
 
 
 def export_record(
@@ -336,11 +339,20 @@ def as_text(documents: DataFrame, fused: DataFrame, show: Output = Output(), pag
     return df.select("doc", F.concat(T.stripped(F.concat(head, body)), F.lit("\n")).alias("content"))
 
 
+def _page_said() -> Column:
+    return F.concat(F.lit("--- Page "), F.col("page_number").cast("string"), F.lit(" ---\n"), F.when(F.coalesce(F.col("text"), F.lit("")) == "", "(no text extracted)").otherwise(F.col("text")), F.lit("\n"))
+
+
 def paginated(pages: DataFrame) -> DataFrame:
     """``doc``, ``content``: pages under ``--- Page n ---`` lines, in order."""
-    said = F.concat(F.lit("--- Page "), F.col("page_number").cast("string"), F.lit(" ---\n"), F.when(F.coalesce(F.col("text"), F.lit("")) == "", "(no text extracted)").otherwise(F.col("text")), F.lit("\n"))
-    parts = F.array_sort(F.collect_list(F.struct("page_number", said.alias("said"))))
-    return pages.groupBy("doc").agg(F.array_join(F.transform(parts, lambda p: p["said"]), "\n").alias("content"))
+    ordered = F.array_sort(F.collect_list(F.struct("page_number", _page_said().alias("said"))))
+    return pages.groupBy("doc").agg(F.array_join(F.transform(ordered, lambda p: p["said"]), "\n").alias("content"))
+
+
+def paginated_parts(pages: DataFrame, part_bytes: int = parts.PART_BYTES) -> DataFrame:
+    """``paginated`` for documents of any length, as ``parts.joined_parts`` gives them; joined by blank lines they are its stripped text."""
+    said = pages.select("doc", "page_number", F.regexp_replace(_page_said(), r"\n\z", "").alias("text"))
+    return parts.joined_parts(said, "doc", part_bytes=part_bytes, trim=True)
 
 
 def as_markdown(documents: DataFrame, fused: DataFrame, conflicts: DataFrame) -> DataFrame:
