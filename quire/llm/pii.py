@@ -42,8 +42,16 @@ WALK = 64
 
 # Patterns are used by Java's engine; quantifiers are bounded or possessive, so no text makes them
 # backtrack far. None holds a single quote.
+#: A secret: runs of at least 16 characters, with dots between them as in signed tokens.
+VALUE = r"[0-9A-Za-z_+/\-]{16,}+(?:\.[0-9A-Za-z_+/\-]{16,}+)*+"
+#: What names of secrets end with; other words may stand before, parted by _ or -.
+NAMES = r"(?:access|auth|client|refresh|session|user|app|db)?(?:token|secret|passwd|password|passphrase|pwd|(?:api|access|private|secret)[_-]?key)"
+QUOTE = r"[\x22\x27]?"
 PATTERNS = {
-    "secret": r"(?i:\b(?:token|secret|passwd|password|api[_-]?key|access[_-]?key)\b\s{0,3}[=:]\s{0,3}\x22?[0-9A-Za-z_+/\-]{16,}+\x22?)",
+    "secret": (
+        r"(?i:(?<![A-Za-z0-9])(?:(?:[A-Za-z0-9]{1,32}+[_-]){0,6}" + NAMES + QUOTE + r"\s{0,3}[=:]\s{0,3}" + QUOTE
+        + "|authorization" + QUOTE + r"\s{0,3}[=:]\s{0,3}" + QUOTE + r"(?:bearer|basic)\s{1,3})" + VALUE + QUOTE + ")"
+    ),
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9_%+\-](?:[A-Za-z0-9._%+\-]{0,62}[A-Za-z0-9_%+\-])?@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])(?!\.[0-9])",
@@ -218,11 +226,12 @@ def _email(key: str) -> str:
 
 
 def _secret(key: str) -> str:
-    value = r"regexp_extract(x.m, r'[=:]\s{0,3}\x22?([0-9A-Za-z_+/\-]{16,}+)\x22?$', 1)"
+    value = _lit(r"(?:[=:]\s{0,3}" + QUOTE + r"|(?i:bearer|basic)\s{1,3})(" + VALUE + ")" + QUOTE + "$")
     # the first hashes are those of values of 256 characters at most
     stream = f"array_join(transform(sequence(0, greatest(3, (length(v) - 1) div 64)), i -> sha2(concat_ws('|', {key}, 'secret', i, h), 256)), '')"
     hashed = _let("h", "case when length(v) <= 256 then v else sha2(v, 256) end", f"substr({stream}, 1, length(v))")
-    return _let("v", value, f"concat(substr(x.m, 1, length(x.m) - length(v) - case when endswith(x.m, '\"') then 1 else 0 end), {hashed}, case when endswith(x.m, '\"') then '\"' else '' end)")
+    end = _lit(QUOTE.removesuffix("?") + "$")
+    return _let("v", f"regexp_extract(x.m, {value}, 1)", _let("q", f"regexp_substr(x.m, {end})", f"concat(substr(x.m, 1, length(x.m) - length(v) - coalesce(length(q), 0)), {hashed}, coalesce(q, ''))"))
 
 
 KINDS = {"iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
@@ -286,7 +295,7 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         raise ValueError("the key may hold neither quotes nor backslashes")
     k = f"'{key}'"
     parts = fresh_name(docs, "parts")
-    any_pii = F.col(text).rlike("[0-9@]|(?i:token|secret|passw|key)") & F.col(text).rlike(WORDS + "|" + START)
+    any_pii = F.col(text).rlike("[0-9@]|(?i:token|secret|passw|passp|pwd|key|authorization)") & F.col(text).rlike(WORDS + "|" + START)
     kept = docs.drop("n_pii", "pii_kinds")
     word = "transform(slice(v, i + 1, 1), h -> named_struct('text', h.new, 'hit', h))"
     cut = _let("v", f"transform(regexp_extract_all(`{text}`, {_lit(WORDS)}, 0), m -> {_word(k)})", f"flatten(transform(split(`{text}`, {_lit(WORDS)}, -1), (g, i) -> concat({_numbers(k)}, {word})))")

@@ -451,6 +451,23 @@ def test_formats_are_kept_and_valid(spark):
     assert re.fullmatch(r"u[0-9a-f]{12}@d[0-9a-f]{10}\.example", m) and re.fullmatch(r'token = "[0-9a-f]{40}"', t) and t != token
 
 
+def test_secrets_under_the_usual_names(spark):
+    v = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde"
+    names = [
+        f"access_token={v}", f"client_secret: {v}", f'"api_key": "{v}"', f"'api-key': '{v}'", f"AWS_SECRET_ACCESS_KEY={v}", f"Authorization: Bearer {v}", f'"authorization": "Basic {v}"', f"password={v}", f"accessToken = {v}",
+        f"MY_APP_DB_PASSWORD:{v}", f"a_b_c_d_e_f_g_h_token={v}", f"private_key = {v}, then more", f"pwd='{v}'.",
+    ]
+    done = changed(spark, *names)
+    new = {re.search("[0-9a-f]{40}", t)[0] for t, _, _ in done}
+    assert len(new) == 1 and new != {v} and [(n, k) for _, n, k in done] == [(1, ["secret"])] * len(names)
+    assert [t.replace(new.copy().pop(), v) for t, _, _ in done] == names
+    signed = "eyJhbGciOiJIUzI1NiIs.eyJzdWIiOiIxMjM0NTY3.SflKxwRJSMeKKF2QT4fw"
+    (text, n, _), = changed(spark, f"Authorization: Bearer {signed}. Next")
+    assert n == 1 and not any(p in text for p in signed.split(".")) and text.startswith("Authorization: Bearer ") and text.endswith(". Next")
+    clean = ["a bearer internationalisations", "broken=internationalisation1", "token short=abc", "the secret of internationalisation", "keyboard=internationalisation1", "tokens: internationalisation1", "x" * 5000 + "_token", "a_" * 3000, "authorization: bearer short"]
+    assert changed(spark, *clean) == [(t, 0, []) for t in clean]
+
+
 def test_what_fails_validation_stays(spark):
     clean = ["4111111111111112", "Version 2.0 of 300.1.2.3", "30.02.2001 and 2001-13-01", "000-12-3456 666-12-3456", "GB82WEST12345698765433", "0000000000000000", "", "plain words", "a@b", "12 or 1,234.50"]
     assert changed(spark, *clean, None) == [*((t, 0, []) for t in clean), (None, 0, [])]
