@@ -1,12 +1,13 @@
-"""Stages of a run and its log, kept by the driver and handed over as tables."""
+"""Stages of a run and its log: kept by the driver and handed over as tables, or appended to a table at once."""
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -54,6 +55,64 @@ class RunLog:
         return spark.createDataFrame([(e["at"], e["level"], e["message"], e["stage"], e["data"]) for e in self._events], EVENTS)
 
 
+#: An append-only table of what happened to the stages of runs, written by whoever runs them.
+STAGE_EVENTS = "run string, stage string, at timestamp, status string, rows bigint, detail string"
+
+
+class StageTable:
+    """Stages of a run appended to a table at ``path``: one row when a stage begins and one when it ends."""
+
+    def __init__(self, spark: SparkSession, path: str, run: str):
+        self.spark, self.path, self.run = spark, path, run
+
+    def append(self, stage: str, status: str, rows: int | None = None, detail: str = "") -> None:
+        row = self.spark.createDataFrame([(self.run, stage, datetime.now(), status, rows, detail)], STAGE_EVENTS)
+        row.coalesce(1).write.mode("append").parquet(self.path)
+
+    @contextmanager
+    def stage(self, key: str) -> Iterator[Callable[[DataFrame], DataFrame]]:
+        """Gives a function that lets the executors count the rows of a table in passing, without a pass of their own.
+
+        Of several watched tables the counts add up; one that no action has read counts nothing. An
+        error inside the stage is its last event, and goes on.
+        """
+        watched: list[Observation] = []
+
+        def watch(df: DataFrame) -> DataFrame:
+            watched.append(Observation())
+            return df.observe(watched[-1], F.count(F.lit(1)).alias("rows"))
+
+        self.append(key, "running")
+        try:
+            yield watch
+        except Exception as e:
+            self.append(key, "failed", None, str(e).split("\n", 1)[0])
+            raise
+        seen = [o.get["rows"] for o in watched if o._jo is not None and not o._jo.future().value().isEmpty()]
+        self.append(key, "completed", sum(seen) if seen else None)
+
+    def skip(self, key: str, why: str) -> None:
+        self.append(key, "skipped", None, why)
+
+    def events(self) -> DataFrame:
+        return self.spark.read.schema(STAGE_EVENTS).parquet(self.path)
+
+
+def stage_timings(events: DataFrame) -> DataFrame:
+    """Per run and stage of a table like STAGE_EVENTS: the latest ``status``, ``attempts``, ``seconds`` and ``rows``.
+
+    ``seconds`` go from the latest beginning to the latest end; null while the stage is running, or
+    where it never began. Of events at one time the one whose status sorts last counts. One
+    aggregate with partial sums, whatever the number of events.
+    """
+    began, ended = F.col("status") == "running", F.col("status").isin("completed", "failed")
+    at = F.struct("at", "status")
+    last = lambda c, on=None: F.max_by(c, at if on is None else F.when(on, at))
+    found = events.groupBy("run", "stage").agg(last("status").alias("status"), F.count_if(began).alias("attempts"), F.max(F.when(began, F.col("at"))).alias("b"), F.max(F.when(ended, F.col("at"))).alias("e"), last("rows", ended).alias("rows"))
+    seconds = F.when((F.col("status") != "running") & (F.col("e") >= F.col("b")), (F.unix_micros(F.col("e").cast("timestamp")) - F.unix_micros(F.col("b").cast("timestamp"))) / 1e6)
+    return found.select("run", "stage", "status", "attempts", seconds.alias("seconds"), "rows")
+
+
 def line(at: Column, message: Column) -> Column:
     """``[HH:MM:SS] message``."""
     return F.concat(F.lit("["), F.date_format(at, "HH:mm:ss"), F.lit("] "), message)

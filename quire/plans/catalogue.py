@@ -1064,3 +1064,17 @@ def chat_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = fixture(spark, sf_dir, "events")
     return df.select("event_id", events.line(F.col("ts"), F.col("event_type")).alias("line"), events.text_summary("props").alias("summary"))
+
+
+_STAGE_EVENTS = """(SELECT CAST(user_id AS VARCHAR) AS run, event_type AS stage, ts AS happened, CASE event_id % 5 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' WHEN 2 THEN 'skipped' ELSE 'running' END AS status, event_id AS rows FROM events)"""
+
+
+@query(
+    f"""SELECT run, stage, status, attempts, CASE WHEN status <> 'running' AND e >= b THEN (epoch_us(e) - epoch_us(b)) / 1e6::DOUBLE END AS seconds, rows FROM (
+        SELECT run, stage, max(status) FILTER (happened = newest) AS status, count(*) FILTER (status = 'running') AS attempts, max(happened) FILTER (status = 'running') AS b, max(happened) FILTER (status IN ('completed', 'failed')) AS e, arg_max(rows, epoch_us(happened)::HUGEINT * 2 + (status = 'failed')::INT) FILTER (status IN ('completed', 'failed')) AS rows
+        FROM (SELECT *, max(happened) OVER (PARTITION BY run, stage) AS newest FROM {_STAGE_EVENTS}) GROUP BY run, stage)"""
+)
+def stage_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.element_at(F.array(*(F.lit(x) for x in ("completed", "failed", "skipped", "running", "running"))), (F.col("event_id") % 5 + 1).cast("int"))
+    df = fixture(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("run"), F.col("event_type").alias("stage"), F.col("ts").alias("at"), status.alias("status"), F.col("event_id").alias("rows"))
+    return events.stage_timings(df)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quire.params import Documents, Routing
 from quire.session import ship
-from quire.sources import pdf
+from quire.sources import pdf, tiff
 
 IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "webp", "tif", "tiff", "bmp")
 #: The first bytes of each kind, in hexadecimal.
@@ -138,11 +139,13 @@ def image_pages(spark: SparkSession, path: str | list[str], rule: Documents = Do
     """A page for every image under ``path``, decoded in the JVM: PAGES' columns (image: as PNG) and ``ink``.
 
     Images are flattened to red, green, blue and scaled down to the greatest dimension. One that
-    can't be decoded is a row with an error and unknown ink. Of a file of several frames the first counts.
+    can't be decoded is a row with an error and unknown ink. A TIFF file has a page for each frame.
     """
     ship(spark)
     kinds = ",".join(x for e in IMAGE_EXTENSIONS for x in (e, e.upper()))
     found = spark.read.format("image").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{kinds}}}").option("dropInvalid", "false").load(path).select("image.*")
+    # the image source names local files file:///, the binary one, as all other tables here, file:/
+    found = found.withColumn("origin", F.regexp_replace("origin", "^file:///(?!/)", "file:/"))
     names = [*(c.split()[0] for c in PAGES.split(", ")), "ink"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,16 +155,62 @@ def image_pages(spark: SparkSession, path: str | list[str], rule: Documents = Do
                 if height <= 0 or width <= 0 or channels not in (1, 3, 4):
                     rows.append({"doc": origin, "page_number": 1, "embedded_text": "", "error": ERROR_TEXTS["corrupt"]})
                     continue
-                pixels = flattened(np.frombuffer(data, np.uint8).reshape(height, width, channels))
-                longest = max(width, height)
-                if longest > rule.max_dimension:
-                    scale = rule.max_dimension / longest
-                    pixels = scaled(pixels, max(1, int(width * scale)), max(1, int(height * scale)))
-                rows.append({"doc": origin, "page_number": 1, "width": pixels.shape[1], "height": pixels.shape[0], "embedded_text": "", "image": png(pixels), "ink": ink_of(pixels, routing.ink_threshold, routing.thumbnail)})
+                rows.append({"doc": origin, "page_number": 1, **page_of(np.frombuffer(data, np.uint8).reshape(height, width, channels), rule, routing)})
             frame = pd.DataFrame([{n: r.get(n) for n in names} for r in rows], columns=names)
             yield frame.astype({c: "Int32" for c in ("width", "height", "dpi")} | {"page_number": "Int64", "ink": "float64"})
 
-    return found.select("origin", "height", "width", "nChannels", "data").mapInPandas(run, f"{PAGES}, ink double")
+    first = found.select("origin", "height", "width", "nChannels", "data").mapInPandas(run, f"{PAGES}, ink double")
+    return first.unionByName(further_frames(spark, path, rule, routing))
+
+
+def page_of(pixels: np.ndarray, rule: Documents, routing: Routing) -> dict:
+    """Columns of a page of decoded pixels (grey, blue-green-red or with opacity), scaled down to the greatest dimension."""
+    pixels = flattened(pixels)
+    height, width = pixels.shape[:2]
+    if max(width, height) > rule.max_dimension:
+        scale = rule.max_dimension / max(width, height)
+        pixels = scaled(pixels, max(1, int(width * scale)), max(1, int(height * scale)))
+    return {"width": pixels.shape[1], "height": pixels.shape[0], "embedded_text": "", "image": png(pixels), "ink": ink_of(pixels, routing.ink_threshold, routing.thumbnail)}
+
+
+def further_frames(spark: SparkSession, path: str | list[str], rule: Documents = Documents(), routing: Routing = Routing()) -> DataFrame:
+    """Pages of the frames after the first of TIFF files: a row a frame with its bytes alone, dealt out, then decoded.
+
+    Grey, palette and colour frames of 1 or 8 bits in strips are read, plain, deflated or in packed
+    runs; a frame of another kind, or a damaged one, is a row with its error, never left out. The
+    first frames are those of Spark's own image source, which reads no others.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{tif,tiff,TIF,TIFF}").load(path).select("path", "content")
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc, content in zip(batch["path"], batch["content"], strict=True):
+                number = 0
+                try:
+                    for number, tags in enumerate(tiff.frames(content), 1):
+                        if number > 1:
+                            yield pd.DataFrame([{"doc": doc, "frame": number, "tags": json.dumps(tags), "strips": tiff.strips(content, tags), "error": None}])
+                except (struct.error, ValueError) as e:
+                    # without a directory at all the first frame says so
+                    if number:
+                        yield pd.DataFrame([{"doc": doc, "frame": number + 1, "tags": None, "strips": None, "error": f"{ERROR_TEXTS['corrupt']} ({e})"}])
+
+    names = [*(c.split()[0] for c in PAGES.split(", ")), "ink"]
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                row = {"doc": r.doc, "page_number": r.frame, "embedded_text": "", "error": r.error}
+                if r.tags is not None:
+                    try:
+                        row |= page_of(tiff.pixels({int(k): v for k, v in json.loads(r.tags).items()}, r.strips), rule, routing)
+                    except (ValueError, KeyError, zlib.error) as e:
+                        row["error"] = f"{ERROR_TEXTS['corrupt']} ({e})"
+                frame = pd.DataFrame([{n: row.get(n) for n in names}], columns=names)
+                yield frame.astype({c: "Int32" for c in ("width", "height", "dpi")} | {"page_number": "Int64", "ink": "float64"})
+
+    each = found.mapInPandas(split, "doc string, frame bigint, tags string, strips array<binary>, error string")
+    return each.repartition("doc", "frame").mapInPandas(decode, f"{PAGES}, ink double")
 
 
 def png(pixels: np.ndarray) -> bytes:
