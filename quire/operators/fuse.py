@@ -37,39 +37,33 @@ def first_two(engines: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max(F.when(F.col("__n") == 1, F.col("text"))).alias("text_a"), F.max(F.when(F.col("__n") == 2, F.col("text"))).alias("text_b"))
 
 
-def merged_lines(rows: DataFrame, *keys: str) -> DataFrame:
-    """Diff rows with ``kept`` (the text that the merge emits, null if it drops the row).
+def line_vote(pairs: DataFrame, *keys: str, threshold: float = 0.55) -> DataFrame:
+    """``text`` and counters of the line merge of text_a and text_b; one null side passes the other through.
 
     Equal lines stay; of a changed line the longer version; a line of one engine stays unless the
-    other engine has it too and an earlier row already carried it.
+    other engine has it too and an earlier row already carried it. A pair's rows are an array
+    already and are merged there: nothing is exploded or shuffled.
     """
-    # every row once for each side's line; windows over equal lines replace a join, so that the
-    # alignment is evaluated once
-    line = lambda side: F.struct(F.lit(side).alias("side"), F.col(f"text_{side}").alias("line"))
-    sides = rows.withColumn("s", F.explode(F.array(line("a"), line("b")))).select("*", "s.side", "s.line").drop("s").filter("line <> ''")
-    w = Window.partitionBy(*keys, "line")
-    sides = sides.withColumns({"first_at": F.min("row_no").over(w), "in_a": F.max((F.col("side") == "a").cast("int")).over(w), "in_b": F.max((F.col("side") == "b").cast("int")).over(w)})
-    df = sides.filter((F.col("side") == "b") == (F.col("kind") == "only_b"))
-    other = F.when(F.col("kind") == "only_a", F.col("in_b")).when(F.col("kind") == "only_b", F.col("in_a")).otherwise(0)
-    repeated = (other == 1) & (F.col("first_at") < F.col("row_no"))
-    longer = F.when(F.length("text_b") > F.length("text_a"), F.col("text_b")).otherwise(F.col("text_a"))
-    return df.withColumn("kept", F.when(repeated, F.lit(None)).when(F.col("kind") == "changed", longer).otherwise(F.col("line"))).drop("first_at", "in_a", "in_b", "line", "side")
-
-
-def line_vote(pairs: DataFrame, *keys: str, threshold: float = 0.55) -> DataFrame:
-    """``text`` and counters of the line merge of text_a and text_b; one null side passes the other through."""
-    both = pairs.filter("text_a is not null and text_b is not null")
-    rows = merged_lines(compare.diff_lines(both, *keys, threshold=threshold), *keys)
-    parts = F.array_sort(F.collect_list(F.when(F.col("kept").isNotNull(), F.struct("row_no", "kept"))))
-    n = lambda c: F.count_if(c).cast("bigint")
-    one_sided = F.col("kind").isin("only_a", "only_b")
-    merged = rows.groupBy(*keys).agg(
-        F.array_join(F.transform(parts, lambda p: p["kept"]), "\n").alias("text"), n(F.col("kind") == "equal").alias("agreed"), n(F.col("kind") == "changed").alias("reconciled"),
-        n(one_sided & F.col("kept").isNotNull()).alias("kept_single"), n(one_sided & F.col("kept").isNull()).alias("repositioned"),
+    lacks = F.col("text_a").isNull() | F.col("text_b").isNull()
+    marked = pairs.select(*keys, F.when(lacks, F.coalesce("text_a", "text_b", F.lit(""))).alias("__alone"), *(F.when(~lacks, F.col(c)).alias(c) for c in ("text_a", "text_b")))
+    d = F.col("diff")
+    side = lambda s, kind=None: F.transform(d if kind is None else F.filter(d, lambda x: x["kind"] == kind), lambda x: x[f"text_{s}"])
+    # lines of one engine that the other has elsewhere: mostly none, and only these are looked for before
+    moved = F.array_union(F.array_intersect(side("a", "only_a"), side("b")), F.array_intersect(side("b", "only_b"), side("a")))
+
+    def merged(x: Column, no: Column) -> Column:
+        single = x["kind"].isin("only_a", "only_b")
+        line = F.when((x["kind"] == "only_b") | (F.length(x["text_b"]) > F.length(x["text_a"])), x["text_b"]).otherwise(x["text_a"])
+        carried = lambda: F.exists(F.slice(d, F.lit(1), no), lambda y: (y["text_a"] == line) | (y["text_b"] == line))
+        kept = F.when(single & F.array_contains("__moved", line) & carried(), F.lit(None)).otherwise(line)
+        return F.struct(x["kind"].alias("kind"), single.alias("single"), kept.alias("kept"))
+
+    df = compare.diffs(marked, *keys, "__alone", threshold=threshold).withColumn("__moved", moved).withColumn("__m", F.transform("diff", merged))
+    n = lambda f: F.size(F.filter("__m", f)).cast("bigint")
+    return df.select(
+        *keys, F.coalesce("__alone", F.array_join(F.transform("__m", lambda x: x["kept"]), "\n")).alias("text"), n(lambda x: x["kind"] == "equal").alias("agreed"), n(lambda x: x["kind"] == "changed").alias("reconciled"),
+        n(lambda x: x["single"] & x["kept"].isNotNull()).alias("kept_single"), n(lambda x: x["single"] & x["kept"].isNull()).alias("repositioned"),
     )
-    zero = [F.lit(0).cast("bigint").alias(c) for c in ("agreed", "reconciled", "kept_single", "repositioned")]
-    alone = pairs.filter("text_a is null or text_b is null").select(*keys, F.coalesce("text_a", "text_b", F.lit("")).alias("text"), *zero)
-    return merged.unionByName(alone)
 
 
 def merge_detail() -> Column:
