@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import compare
+from quire.operators import align, compare
 from quire.session import ship
 from quire.shared import written
 
@@ -80,13 +82,20 @@ def guarded(fused: DataFrame, *keys: str, least: float = MIN_CONTAINMENT) -> Dat
     Words are counted as multisets; a word is supported as often as one of the sources has it. No
     words, too little support or less than half of the shorter source's length is rejected.
     """
-    # all three texts' words in one pass, counted by text
-    words = lambda side, c: F.transform(T.all_matches(F.lower(c), T.WORD), lambda w: F.struct(F.lit(side).alias("side"), w.alias("word")))
-    rows = fused.select(*keys, F.explode(F.concat(words("f", "fused"), words("a", "text_a"), words("b", "text_b"))).alias("w")).select(*keys, "w.side", "w.word")
-    n = lambda s: F.count_if(F.col("side") == s)
-    counts = rows.groupBy(*keys, "word").agg(n("f").alias("f"), n("a").alias("a"), n("b").alias("b")).filter("f > 0")
-    share = counts.groupBy(*keys).agg((F.sum(F.least("f", F.greatest("a", "b"))) / F.sum("f")).alias("containment"))
-    df = fused.join(share, list(keys), "left")
+    ship(fused.sparkSession)
+    words = lambda c: F.array_join(T.all_matches(F.lower(c), T.WORD), " ")
+
+    @F.arrow_udf("double")
+    def support(f: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for rows in align._slices(f, a, b):
+            for x, *sides in rows:
+                have, (p, q) = Counter(x.split()), (Counter(y.split()) for y in sides)
+                out.append(sum(min(n, max(p[w], q[w])) for w, n in have.items()) / have.total() if have else None)
+        return pa.array(out, pa.float64())
+
+    # a row's words are counted where the row is: nothing is shuffled
+    df = fused.withColumn("containment", support(words("fused"), words("text_a"), words("text_b")))
     shortest = F.least(F.length(F.coalesce("text_a", F.lit(""))), F.length(F.coalesce("text_b", F.lit(""))))
     why = (
         F.when(T.is_blank("fused"), "blank")
