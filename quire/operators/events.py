@@ -88,6 +88,10 @@ class StageTable:
         except Exception as e:
             self.append(key, "failed", None, str(e).split("\n", 1)[0])
             raise
+        # counts come in after their action, in the order of actions: once this one's is there, so are all before it
+        last = Observation()
+        self.spark.range(1).observe(last, F.count(F.lit(1)).alias("rows")).collect()
+        last.get  # noqa: B018 - waits
         seen = [o.get["rows"] for o in watched if o._jo is not None and not o._jo.future().value().isEmpty()]
         self.append(key, "completed", sum(seen) if seen else None)
 
