@@ -247,9 +247,13 @@ def _first_pass(docs: DataFrame) -> DataFrame:
 
 def levels(parts: DataFrame) -> np.ndarray:
     """How common a shingle is, by the top bits of its hash: 0 for up to twice the mean count, then by powers of two."""
-    total = _merged(parts, add=True).astype(np.float64)
-    mean = max(1.0, total.mean())
-    return np.maximum(np.floor(np.log2(np.maximum(total / mean, 1))), 0).astype(np.uint8)
+    total = _merged(parts, add=True)
+    mean = max(1.0, total.sum(dtype=np.float64) / len(total))
+    out = np.zeros(len(total), np.uint8)
+    for lo in range(0, len(total), CHUNK):  # as floating-point numbers all of them would take a hundred megabytes of the driver's memory
+        part = slice(lo, lo + CHUNK)
+        out[part] = np.floor(np.log2(np.maximum(total[part] / mean, 1)))
+    return out
 
 
 def _bits(ids: np.ndarray) -> np.ndarray:

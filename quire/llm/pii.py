@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import fresh_name, parsed
+from quire.llm.common import forgetful_parser, fresh_name
 
 #: Half rounds of the Feistel network.
 ROUNDS = 8
@@ -299,7 +299,8 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     kept = docs.drop("n_pii", "pii_kinds")
     word = "transform(slice(v, i + 1, 1), h -> named_struct('text', h.new, 'hit', h))"
     cut = _let("v", f"transform(regexp_extract_all(`{text}`, {_lit(WORDS)}, 0), m -> {_word(k)})", f"flatten(transform(split(`{text}`, {_lit(WORDS)}, -1), (g, i) -> concat({_numbers(k)}, {word})))")
-    out = kept.withColumn(parts, F.when(any_pii, parsed(docs.sparkSession, cut)))
+    with forgetful_parser(docs.sparkSession):
+        out = kept.withColumn(parts, F.when(any_pii, F.expr(cut)))
     joined = F.expr(f"array_join(transform({parts}, h -> h.text), '')")
     changed = F.expr(f"filter({parts}, h -> h.hit is not null and h.hit.new <> h.hit.old)")
     columns = [F.coalesce(joined, F.col(text)).alias(text) if c == text else F.col(f"`{c}`") for c in kept.columns]

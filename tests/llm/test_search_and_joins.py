@@ -214,3 +214,17 @@ def test_vectors_of_several_lengths_are_searched_apart(spark):
 def test_rows_that_repeat_an_id_bring_one_sample(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0])] * 5000 + [(2, [2.0, 1.0])], "vec_id long, embedding array<double>")
     assert len(V.sample(df, 5001, 10)[0]) <= 2
+
+
+def test_levels_of_shingles_take_little_memory(monkeypatch):
+    import tracemalloc
+
+    total = np.random.default_rng(3).integers(0, 60, jaccard.COUNTERS).astype(np.uint32)
+    total[::1000] *= 500
+    monkeypatch.setattr(jaccard, "_merged", lambda parts, add: total)
+    tracemalloc.start()
+    got = jaccard.levels(None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == np.floor(np.log2(np.maximum(total / total.mean(), 1))).astype(np.uint8)).all() and got.max() > 5
+    assert peak < 20_000_000

@@ -13,6 +13,7 @@ import regex
 from pyspark.sql import functions as F
 
 from quire.llm import bpe, langid, mixing, pii, quality, queries, token_counts, warc
+from quire.llm.common import release
 from tests.conftest import duck_rows, rows_of
 
 JSON = queries.vocabulary()
@@ -550,6 +551,20 @@ def test_pseudonyms_equal_a_plain_network(spark):
     assert all(n == 1 for _, n, _ in changed(spark, *got, key="other"))
 
 
+def test_the_parser_keeps_nothing_of_the_pseudonyms(spark):
+    """Their expression is long; what the parser would learn of it takes some ninety megabytes."""
+    jvm = spark.sparkContext._jvm
+    docs, runtime = spark.createDataFrame([(1, "a")], "doc_id long, text string"), jvm.java.lang.Runtime.getRuntime()
+    jvm.org.apache.spark.sql.catalyst.parser.SqlBaseParser(None).getInterpreter().clearDFA()  # what earlier texts taught it
+    used = []
+    for kept in (lambda: None, lambda: pii.pseudonymised(docs, "k")):
+        held = kept()
+        release(spark)
+        used.append((runtime.totalMemory() - runtime.freeMemory()) / 1e6)
+    assert held.columns and used[1] - used[0] < 40
+    assert spark.conf.get("spark.sql.parser.manageParserCaches") == "false"
+
+
 def test_pseudonyms_need_a_key_and_leave_other_columns(spark):
     df = spark.createDataFrame([(1, "call 4111111111111111", "kept")], "doc_id int, text string, __parts string")
     assert pii.pseudonymised(df, "k").first()["__parts"] == "kept"
