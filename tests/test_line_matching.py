@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 import pytest
 
 from quire.functions import text as T
-from quire.operators import align, compare, fuse
+from quire.operators import align, blocks, compare, fuse
 
 
 def expanded(ops):
@@ -59,3 +59,18 @@ def test_python_holds_a_slice_of_a_batch():
 
     seen = [len(x) for x in align._slices(pa.array([["a"]] * 1000), pa.array([["b"]] * 1000))]
     assert max(seen) == align.SLICE and sum(seen) == 1000
+
+
+def test_short_texts_are_matched_many_at_once(monkeypatch):
+    rng = random.Random(7)
+    pairs = [("row 3 | part 12 | of 4", "row  3  |  part 12  | of 4"), ("x" * 250, "xy" * 125), ("x" * 251, "xy" * 120)]
+    for alphabet in ("ab", "é日a😀 1", "abcdefghijklmnop 0123", "ÿþa\ud800"):
+        for _ in range(150):
+            a = "".join(rng.choice(alphabet) for _ in range(rng.randrange(rng.choice([1, 6, 40, 260]))))
+            b = "".join(c * rng.choice([0, 1, 1, 1, 1, 2]) for c in a)
+            pairs.append((a, b))
+    want = [sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()) for a, b in pairs]
+    short = [k for k, p in enumerate(pairs) if max(map(len, p)) <= blocks.SHORT]
+    assert blocks.matched_characters([a for a, _ in pairs], [b for _, b in pairs]) == want and 3 < len(short) < len(pairs)
+    monkeypatch.setattr(align, "_matched", None)  # no pair is matched by itself
+    assert blocks.matched_characters([pairs[k][0] for k in short], [pairs[k][1] for k in short]) == [want[k] for k in short]
