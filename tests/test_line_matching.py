@@ -74,3 +74,17 @@ def test_short_texts_are_matched_many_at_once(monkeypatch):
     assert blocks.matched_characters([a for a, _ in pairs], [b for _, b in pairs]) == want and 3 < len(short) < len(pairs)
     monkeypatch.setattr(align, "_matched", None)  # no pair is matched by itself
     assert blocks.matched_characters([pairs[k][0] for k in short], [pairs[k][1] for k in short]) == [want[k] for k in short]
+
+
+def test_python_holds_few_long_documents_of_a_batch():
+    import pyarrow as pa
+
+    long = pa.array([["a line of some length " * 3] * 150] * 400)
+    seen = [len(x) for x in align._slices(long, long)]
+    assert max(seen) < 32 and sum(seen) == 400
+
+
+def test_statements_are_spread_over_tasks(spark, sf_dir):
+    from quire.plans import catalogue
+
+    assert "RepartitionByExpression [doc" in catalogue.QUERIES["positional_alignment"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
