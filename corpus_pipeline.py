@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as a Parquet table
 in the shared folder and read again as the next stage's docs. All but the last return the columns
-of documents.
+of documents. A stage begins by giving back what the stages before it needed of the driver's memory.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import bpe, jaccard, langid, mixing, pii
-from quire.llm.common import fold, table, written
+from quire.llm.common import fold, release, table, written
 from quire.llm.queries import PIECES, pii_key, vocabulary
 from quire.session import ship
 
@@ -27,6 +27,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     their names; an empty table stays empty.
     """
     ship(spark)
+    release(spark)
     return langid.accepted(docs, docs.filter(fold(F.col("doc_id"), 4) != 2), vocabulary(PIECES))
 
 
@@ -38,6 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     long. All columns stay, whatever their names; an empty table stays empty.
     """
     ship(spark)
+    release(spark)
     return jaccard.one_per_component(docs)
 
 
@@ -48,6 +50,7 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     n_chars. Long texts are searched whole. All columns stay, whatever their names; an empty table
     stays empty.
     """
+    release(spark)
     columns = docs.columns
     out = pii.pseudonymised(docs, pii_key(spark))
     if "n_chars" in columns:
@@ -65,6 +68,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     equal numbers of copies, rows without an id share one number. The same rows come out on every
     run. All columns stay, whatever their names; an empty table stays empty.
     """
+    release(spark)
     return mixing.mixed_documents(docs)
 
 
@@ -75,6 +79,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns are not read; an empty table stays empty.
     """
     ship(spark)
+    release(spark)
     return bpe.encode_documents(docs, vocabulary()).select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import fresh_name, slices, tidy, worker_state, written
+from quire.llm.common import fresh_name, release, slices, tidy, worker_state, written
 from quire.llm.words import Words, WordTable, sums_between
 
 #: Documents of a language that the fit uses, about (those with the smallest hashes of their ids).
@@ -338,7 +338,7 @@ def fit(train: DataFrame, model: str, *, train_docs: int = TRAIN_DOCS, rounds: i
         total = {lang: sum(sorted(counted[lang].values())) + PSEUDO * len(pieces) for lang in langs}
         prob = {p: tuple((counted[lang].get(p, 0.0) + PSEUDO) / total[lang] for lang in langs) for p in pieces}
         known.unpersist()
-    tidy()
+    release(spark)
     return Pieces(prob, langs)
 
 

@@ -28,6 +28,8 @@ different values of one format different ones.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -258,19 +260,38 @@ def _matches(kind: str) -> str:
     return f"concat({_ibans()}, {found})" if kind == "iban" else found
 
 
-def _number(key: str) -> str:
-    """SQL struct (kind, old, new) for the first valid value at the second character of ``w``, or null."""
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _parsed_with(value: Column, name: str, body: str) -> Column:
+    """SQL ``body``, which names nothing but ``name``, with ``value`` for it, computed once.
+
+    A text of its own: what the parser needs for a text grows faster than its length.
+    """
+    return F.element_at(F.call_function("transform", F.array(value), F.expr(f"{name} -> {body}")), 1)
+
+
+def _number(w: Column, key: str) -> Column:
+    """Struct (kind, old, new) for the first valid value at the second character of ``w``, or null."""
     hits = []
     for kind, f in KINDS.items():
         found = _let("x", "named_struct('m', m, 'd', regexp_replace(m, r'[^0-9]', ''))", f"named_struct('kind', '{kind}', 'old', m, 'new', {f(key)})")
-        hits.append(f"get(filter(transform(filter({_matches(kind)}, m -> m <> ''), m -> {found}), h -> h.new is not null), 0)")
-    return f"case when w rlike {_lit('(?s)^.(?:' + START + ')')} then coalesce({', '.join(hits)}) end"
+        hits.append(_parsed_with(w, "w", f"get(filter(transform(filter({_matches(kind)}, m -> m <> ''), m -> {found}), h -> h.new is not null), 0)"))
+    return F.when(w.rlike("(?s)^.(?:" + START + ")"), F.coalesce(*hits))
+
+
+def _numbers(g: Column, key: str) -> Column:
+    """Array of structs (text, hit): the text ``g`` with its numbers, addresses and dates replaced, in parts."""
+
+    def window(p: Column, i: Column) -> Column:
+        ahead = F.array_join(F.transform(F.slice(p, i + 1, STARTS), lambda q: F.substring(q, 1, SEEN)), "")
+        return F.concat(F.when(i == 0, "\n").otherwise(F.right(p[i - 1], F.lit(1))), F.substring(ahead, 1, SEEN))
 
+    def tried(p: Column) -> Column:
+        return F.transform(p, lambda q, i: F.struct(q.alias("q"), _with(window(p, i), lambda w: _number(w, key)).alias("h")))
 
-def _numbers(key: str) -> str:
-    """SQL array of structs (text, hit): the text ``g`` with its numbers, addresses and dates replaced, in parts."""
-    window = f"concat(case when i = 0 then '\\n' else right(p[i - 1], 1) end, substr(array_join(transform(slice(p, i + 1, {STARTS}), q -> substr(q, 1, {SEEN})), ''), 1, {SEEN}))"
-    tried = f"transform(p, (q, i) -> named_struct('q', q, 'h', {_let('w', window, _number(key))}))"
     # a part that a value found before covers is dropped as far as it is covered; values don't begin inside others
     free = "named_struct('skip', greatest(length(c.h.old) - length(c.q), 0), 'out', concat(s.out, array(named_struct('text', concat(c.h.new, substr(c.q, length(c.h.old) + 1)), 'hit', c.h))))"
     plain = "named_struct('skip', greatest(s.skip - length(c.q), 0), 'out', concat(s.out, array(named_struct('text', substr(c.q, s.skip + 1), 'hit', cast(null as struct<kind: string, old: string, new: string>)))))"
@@ -278,7 +299,9 @@ def _numbers(key: str) -> str:
     step = f"case when s.skip = 0 and c.h is not null then {free} else {plain} end"
     chunk = f"aggregate(slice(t, k * {CHUNK} + 1, {CHUNK}), named_struct('skip', a.skip, 'out', {none}), (s, c) -> {step})"
     whole = f"aggregate(sequence(0, (size(t) - 1) div {CHUNK}), named_struct('skip', 0, 'out', cast(array() as array<array<struct<text: string, hit: struct<kind: string, old: string, new: string>>>>)), (a, k) -> {_let('o', chunk, 'named_struct(\'skip\', o.skip, \'out\', concat(a.out, array(o.out)))')})"
-    return f"case when g rlike {_lit(START)} then {_let('p', f'split(g, {_lit("(?=" + START + ")")}, -1)', _let('t', tried, f'flatten(({whole}).out)'))} else array(named_struct('text', g, 'hit', cast(null as struct<kind: string, old: string, new: string>))) end"
+    replaced = _with(F.split(g, "(?=" + START + ")", -1), lambda p: _parsed_with(tried(p), "t", f"flatten(({whole}).out)"))
+    untouched = F.array(F.struct(g.alias("text"), F.lit(None).cast("struct<kind: string, old: string, new: string>").alias("hit")))
+    return F.when(g.rlike(START), replaced).otherwise(untouched)
 
 
 def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -297,10 +320,12 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     parts = fresh_name(docs, "parts")
     any_pii = F.col(text).rlike("[0-9@]|(?i:token|secret|passw|passp|pwd|key|authorization)") & F.col(text).rlike(WORDS + "|" + START)
     kept = docs.drop("n_pii", "pii_kinds")
-    word = "transform(slice(v, i + 1, 1), h -> named_struct('text', h.new, 'hit', h))"
-    cut = _let("v", f"transform(regexp_extract_all(`{text}`, {_lit(WORDS)}, 0), m -> {_word(k)})", f"flatten(transform(split(`{text}`, {_lit(WORDS)}, -1), (g, i) -> concat({_numbers(k)}, {word})))")
+    column = F.col(f"`{text}`")
+    words = F.call_function("transform", F.regexp_extract_all(column, F.lit(WORDS), F.lit(0)), F.expr(f"m -> {_word(k)}"))
+    word = lambda v, i: F.transform(F.slice(v, i + 1, 1), lambda h: F.struct(h["new"].alias("text"), h.alias("hit")))
+    cut = _with(words, lambda v: F.flatten(F.transform(F.split(column, WORDS, -1), lambda g, i: F.concat(_numbers(g, k), word(v, i)))))
     with forgetful_parser(docs.sparkSession):
-        out = kept.withColumn(parts, F.when(any_pii, F.expr(cut)))
+        out = kept.withColumn(parts, F.when(any_pii, cut))
     joined = F.expr(f"array_join(transform({parts}, h -> h.text), '')")
     changed = F.expr(f"filter({parts}, h -> h.hit is not null and h.hit.new <> h.hit.old)")
     columns = [F.coalesce(joined, F.col(text)).alias(text) if c == text else F.col(f"`{c}`") for c in kept.columns]

@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import functions as F
 
 from quire.llm import bpe, langid, mixing, pii, quality, queries, token_counts, warc
-from quire.llm.common import release
+from quire.llm.common import release, trim_driver
 from tests.conftest import duck_rows, rows_of
 
 JSON = queries.vocabulary()
@@ -565,6 +565,18 @@ def test_the_parser_keeps_nothing_of_the_pseudonyms(spark):
     assert spark.conf.get("spark.sql.parser.manageParserCaches") == "false"
 
 
+def test_the_pseudonyms_are_parsed_in_short_texts(spark, monkeypatch):
+    """What the parser needs meanwhile grows faster than a text: for the whole in one, 400 MB of heap."""
+    texts, parsed = [], F.expr
+    monkeypatch.setattr(pii.F, "expr", lambda t: texts.append(t) or parsed(t))
+    found = pii.pseudonymised(spark.createDataFrame([(1, "call +1 202 555 0143 or 10.0.0.1")], "doc_id long, text string"), "k")
+    assert max(map(len, texts)) < 5000 and found.collect()[0]["pii_kinds"] == ["phone", "ip"]
+
+
+def test_the_driver_gives_back_what_it_has_freed_outside_the_heap(spark):
+    assert trim_driver(spark)
+
+
 def test_pseudonyms_need_a_key_and_leave_other_columns(spark):
     df = spark.createDataFrame([(1, "call 4111111111111111", "kept")], "doc_id int, text string, __parts string")
     assert pii.pseudonymised(df, "k").first()["__parts"] == "kept"
