@@ -145,3 +145,16 @@ def test_measures_of_rows(spark):
     assert by[4, 3, 2].figure_recall == 1 / 3 and by[4, 3, 2].recall == 2 / 3
     assert by[6, 3000, 3000].cer is None and by[6, 3000, 3000].wer == pytest.approx(1 / 3000)
     assert accuracy.measures(df.limit(0), "i").count() == 0
+
+
+def test_rates_of_long_pages_are_averaged_too(spark, sf_dir, tmp_path):
+    from quire.plans import catalogue
+
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(6_000)) + " the end 05"
+    spark.createDataFrame([(1, text, "s"), (2, "a the b 0", "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in catalogue.error_rates(spark, str(tmp_path)).collect()}
+    whole = spark.createDataFrame([(text, text.replace("05", "17").replace(" the ", " teh ") + " (total: 1,250.00)")], "r string, h string").select(T.folded("r"), T.folded("h")).first()
+    assert len(whole[0]) > 20_000 and got[1].cer == pytest.approx(1 - align.matched_size(list(whole[0]), list(whole[1])) / len(whole[0]))
+    row = catalogue.accuracy_report_aligned(spark, str(tmp_path)).first()
+    assert row.pages == 2 and row.cer == pytest.approx((got[1].cer + got[2].cer) / 2)
