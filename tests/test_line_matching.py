@@ -88,3 +88,14 @@ def test_statements_are_spread_over_tasks(spark, sf_dir):
     from quire.plans import catalogue
 
     assert "RepartitionByExpression [doc" in catalogue.QUERIES["positional_alignment"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("band", [1, 1 << 20])
+def test_large_blocks_are_aligned_as_small_ones(monkeypatch, band):
+    monkeypatch.setattr(align, "BAND", band)
+    a = [f"entry {i} of {i * 37 % 1009} euro" for i in range(130)]
+    b = [x + " paid" if i % 9 else f"# {i}" for i, x in enumerate(a) if i not in (0, 1, 60)]
+    got = align.aligned_block(a, b, 0.55)  # more cells than MAX_CELLS
+    monkeypatch.setattr(align, "MAX_CELLS", 10**9)
+    assert len(a) * len(b) > 15_000 and got == align.aligned_block(a, b, 0.55)
+    assert [r[:2] for r in got[:2]] == [("only_a", a[0]), ("only_a", a[1])]
