@@ -99,3 +99,10 @@ def test_large_blocks_are_aligned_as_small_ones(monkeypatch, band):
     monkeypatch.setattr(align, "MAX_CELLS", 10**9)
     assert len(a) * len(b) > 15_000 and got == align.aligned_block(a, b, 0.55)
     assert [r[:2] for r in got[:2]] == [("only_a", a[0]), ("only_a", a[1])]
+
+
+def test_the_vote_on_a_large_block_keeps_each_line_once(spark):
+    a = [f"entry {i} of {i * 37 % 1009} euro" for i in range(130)]
+    pairs = spark.createDataFrame([(1, "\n".join(a), "\n".join(x + " paid" for x in a[2:]))], "doc long, text_a string, text_b string")
+    row = fuse.line_vote(pairs, "doc").first()
+    assert row.text.split("\n") == a[:2] + [x + " paid" for x in a[2:]] and row.reconciled == 128
