@@ -158,3 +158,15 @@ def test_rates_of_long_pages_are_averaged_too(spark, sf_dir, tmp_path):
     assert len(whole[0]) > 20_000 and got[1].cer == pytest.approx(1 - align.matched_size(list(whole[0]), list(whole[1])) / len(whole[0]))
     row = catalogue.accuracy_report_aligned(spark, str(tmp_path)).first()
     assert row.pages == 2 and row.cer == pytest.approx((got[1].cer + got[2].cer) / 2)
+
+
+def test_only_the_rows_table_of_an_alignment_stays(spark):
+    import os
+
+    from quire.shared import work_dir
+
+    lines = [f"entry {i} of {i * 37 % 1009}" for i in range(400)]
+    folder = work_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.exists(folder) else set()
+    rows = anchors.aligned(rows_of_lines(spark, {1: lines}), rows_of_lines(spark, {1: lines[:100] + lines[103:]}), "doc", at_once=50)
+    assert [x.split("-")[0] for x in set(os.listdir(folder)) - before] == ["ranges"] and rows.filter("kind = 'only_a'").count() == 3
